@@ -137,22 +137,26 @@ class Packer:
             self.keep(*x)
 
 
-def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", tokens: int = SEQUENCE, segments: int = MAX_SEGMENTS, loss: int | None = None, pool: int = POOL, end: int = END) -> DataFrame:
-    """Pack whole texts, each followed by the end token; every token of a text bears loss."""
+def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", tokens: int = SEQUENCE, segments: int = MAX_SEGMENTS, loss: int | None = None, pool: int = POOL, end: int = END, crc32: bool = False) -> DataFrame:
+    """Pack whole texts, each followed by the end token; every token of a text bears loss.
+
+    With crc32, each piece carries instead of its ids their CRC-32 as little-endian unsigned 32-bit numbers (ids_crc32).
+    """
     limit = loss or tokens
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = load_encoder(tokenizer)
         packer = Packer(TaskContext.get().partitionId() << 36, tokens, segments, limit, pool)
-        for part in text_slices(batches):
+        for part in text_slices(batches, limit=1 << 20):
             out = []
             for doc, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
                 ids = np.array([*encode(text or ""), end], np.int32)
                 out += packer.add(doc, ids, np.ones(len(ids), np.int8))
-            yield from pieces(out)
-        yield from pieces(list(packer.fill()))
+            yield from pieces(out, crc32)
+        yield from pieces(list(packer.fill()), crc32)
 
-    return docs.selectExpr(f"`{id_col}` AS doc_id", f"`{text_col}` AS text").mapInArrow(run, PIECES)
+    rows = docs.selectExpr(f"`{id_col}` AS doc_id", f"`{text_col}` AS text")
+    return rows.mapInArrow(run, PIECES.replace("ids array<int>", "ids_crc32 long") if crc32 else PIECES)
 
 
 def pack_examples(examples: DataFrame, tokens: int = SEQUENCE, segments: int = MAX_SEGMENTS, loss: int = SEQUENCE, pool: int = POOL) -> DataFrame:
@@ -172,25 +176,14 @@ def pack_examples(examples: DataFrame, tokens: int = SEQUENCE, segments: int = M
     return examples.select("doc_id", "ids", "loss_mask").mapInArrow(run, PIECES)
 
 
-def pieces(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+def pieces(rows: list[tuple], crc32: bool = False) -> Iterator[pa.RecordBatch]:
     for at in range(0, len(rows), 4096):
         doc, start, length, ids, loss, total, sequence, offset = zip(*rows[at : at + 4096], strict=True)
-        ends = np.cumsum([0, *length])
+        if crc32:
+            tokens = pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in ids], pa.int64())
+        else:
+            tokens = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *length]), pa.int32()), pa.array(np.concatenate(ids)))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(doc, pa.int64()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids))), *(pa.array(x, pa.int64()) for x in (loss, total, sequence, offset))],
-            names=["doc_id", "start", "length", "ids", "loss", "doc_tokens", "sequence_id", "offset"],
+            [pa.array(doc, pa.int64()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), tokens, *(pa.array(x, pa.int64()) for x in (loss, total, sequence, offset))],
+            names=["doc_id", "start", "length", "ids_crc32" if crc32 else "ids", "loss", "doc_tokens", "sequence_id", "offset"],
         )
-
-
-def with_crc32(packed: DataFrame) -> DataFrame:
-    """Replace the ids of each piece by their CRC-32, as little-endian unsigned 32-bit numbers."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column("ids")
-            offsets, flat = np.asarray(lists.offsets), np.asarray(lists.values).astype("<u4")
-            crc = [zlib.crc32(flat[a:b].tobytes()) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(crc, pa.int64()) if c == "ids" else batch.column(c) for c in names], names=["ids_crc32" if c == "ids" else c for c in names])
-
-    names = packed.columns
-    return packed.mapInArrow(run, PIECES.replace("ids array<int>", "ids_crc32 long"))

@@ -56,7 +56,7 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    packed = packing.with_crc32(packing.pack(table(spark, sf_dir, "documents"), tokenizer_path()))
+    packed = packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(), crc32=True)
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
