@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, jaccard_join, language_id, line_dedup, packing, quality, url_filter
+from . import decontaminate, exact_dedup, jaccard_join, language_id, line_dedup, packing, quality, substring_dedup, suffix_array_dedup, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,6 +46,11 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_shingles", "component_id")
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup.deduplicate_substrings(table(spark, sf_dir, "documents"), window=20)
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 #: Fixed by the query's definition: verdict, host, path.
 URL_RULES = [
     ("allow", "com", "/"),
@@ -70,10 +75,31 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.fit(docs))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_language_id, op3_exact_dedup, op4_line_dedup, op5_jaccard_join, op7_url_filter, op8_packing, op9_quality)}
+def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_array_dedup.deduplicate_passages(table(spark, sf_dir, "documents"), window=50)
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_language_id, op3_exact_dedup, op4_line_dedup, op5_jaccard_join, op6_substring_dedup, op7_url_filter, op8_packing, op9_quality, op10_suffix_array_dedup)}
 
 UPPER, LOWER = url_filter.UPPER, url_filter.LOWER
 
+
+
+def _repeats_sql(window: int) -> str:
+    return f"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+g AS (SELECT doc_id, i, md5(array_to_string(list_slice(ws, i, i + {window - 1}), ' ')) AS g
+      FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - {window - 2})) AS i FROM w WHERE len(ws) >= {window})),
+f AS (SELECT doc_id, i, min((doc_id, i)) OVER (PARTITION BY g) AS first FROM g),
+c AS (SELECT DISTINCT doc_id, unnest(range(i, i + {window})) AS j FROM f WHERE (doc_id, i) > first),
+k AS (SELECT doc_id, len(ws) AS n, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS j FROM w),
+r AS (SELECT k.doc_id, count(c.j) AS removed, string_agg(word, ' ' ORDER BY k.j) FILTER (c.j IS NULL) AS kept
+      FROM k LEFT JOIN c ON k.doc_id = c.doc_id AND k.j = c.j GROUP BY k.doc_id)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN r USING (doc_id)"""
+
+
 SQL = {
     "op1_decontaminate": f"""
 WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM documents),
@@ -107,6 +133,8 @@ e AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE
 r AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x)
 SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, m.component_id
 FROM w LEFT JOIN n USING (doc_id) JOIN (SELECT x AS doc_id, min(y) AS component_id FROM r GROUP BY x) m USING (doc_id)""",
+    "op6_substring_dedup": _repeats_sql(20),
+    "op10_suffix_array_dedup": _repeats_sql(50),
     "op7_url_filter": f"""
 WITH u AS (SELECT page_id, CASE WHEN url LIKE '%://%' THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS r FROM pages),
 v AS (SELECT page_id, regexp_extract(r, '^([^?#]*)', 1) AS b FROM u),
