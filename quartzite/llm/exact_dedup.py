@@ -18,6 +18,9 @@ from pyspark.sql import functions as F
 
 from .common import materialise, shared_path, shuffle_partitions
 
+#: Dropped rows that may be broadcast (about 100 bytes each).
+BROADCAST_ROWS = 1_000_000
+
 
 class DigestIndex:
     """A table (digest BINARY, keep_id, group_size) in `path`, in `buckets` buckets sorted by digest."""
@@ -69,8 +72,30 @@ def deduplicate(docs: DataFrame, index: DigestIndex | None = None, id_col: str =
     groups = index.table().select(F.concat("digest", F.lit(b"")).alias("digest"), "keep_id", "group_size")
     out = digests.hint("merge").join(groups, "digest")
     if fresh_ids is None:
-        kept = F.col("doc_id") == F.col("keep_id")
+        kept = F.col("doc_id").eqNullSafe(F.col("keep_id"))
     else:
         out = out.join(fresh_ids.withColumn("fresh", F.lit(True)), "digest", "left")
-        kept = F.coalesce("fresh", F.lit(False)) & (F.col("doc_id") == F.col("keep_id"))
-    return out.select("doc_id", "digest", "keep_id", "group_size", F.coalesce(kept, F.lit(False)).alias("kept"))
+        kept = F.coalesce("fresh", F.lit(False)) & F.col("doc_id").eqNullSafe(F.col("keep_id"))
+    return out.select("doc_id", "digest", "keep_id", "group_size", kept.alias("kept"))
+
+
+def drop_duplicates(docs: DataFrame, index: DigestIndex | None = None, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """The rows of docs that stay, with all their columns as they were; of rows equal in id and text one stays.
+
+    The dropped rows are broadcast while they are few; beyond, the join shuffles.
+    """
+    decided = materialise(deduplicate(docs, index, id_col, text_col), "decisions")
+    again = decided.where("kept").groupBy("doc_id", "digest").count().where("count > 1").select("doc_id", "digest")
+    again = materialise(again, "again")
+    gone = decided.where(~F.col("kept")).select("doc_id", "digest").union(again).toDF("__id", "__digest_of")
+    digest = F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256))
+
+    def held(keys: DataFrame) -> DataFrame:
+        return F.broadcast(keys) if keys.count() <= broadcast_rows else keys
+
+    rows = docs.withColumn("__digest", digest)
+    fits = F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__digest") == F.col("__digest_of"))
+    out = rows.join(held(gone), fits, "left_anti")
+    if again.limit(1).count():
+        out = out.unionByName(rows.join(held(again.toDF("__id", "__digest_of")), fits, "left_semi").dropDuplicates([id_col, "__digest"]))
+    return out.drop("__digest")

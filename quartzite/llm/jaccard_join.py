@@ -86,9 +86,9 @@ def _signatures(docs: DataFrame, k: int, t: Threshold) -> DataFrame:
                 sig.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 tokens.append(signed(s[: int(t.beginning(len(s)))]))
             ends = np.concatenate([[0], np.cumsum([len(x) for x in tokens])])
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(tokens)))], names=["doc_id", "n", "sig", "tokens"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("th"), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(tokens)))], names=["doc_id", "th", "n", "sig", "tokens"])
 
-    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, sig binary, tokens array<long>")
+    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, th long, n long, sig binary, tokens array<long>")
 
 
 def _repeats(signatures: DataFrame, total: int) -> DataFrame:
@@ -230,12 +230,12 @@ def _links(members: DataFrame, t: Threshold, block: int) -> DataFrame:
 
 
 def similar_groups(docs: DataFrame, words: int = WORDS, num: int = NUMERATOR, den: int = DENOMINATOR, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
-    """One row for each document: doc_id, n_shingles, class_id (of equal sets; null without tokens), class_size, component_id (smallest id reachable by links).
+    """One row for each document: doc_id, text_hash, n_shingles, class_id (of equal sets; null without tokens), class_size, component_id (smallest id reachable by links).
 
     Two sets link when den * intersection >= num * union.
     """
     spark, t = docs.sparkSession, Threshold(num, den)
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("th"))
     rows = materialise(_signatures(docs, words, t).withColumn("row", F.monotonically_increasing_id()), "sets")
     total = rows.agg(F.sum(F.size("tokens"))).first()[0] or 0
     classes = materialise(rows.where("n > 0").groupBy("sig").agg(F.min("row").alias("node"), F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("class_size"), F.first("n").alias("n")), "classes")
@@ -266,7 +266,18 @@ def similar_groups(docs: DataFrame, words: int = WORDS, num: int = NUMERATOR, de
     named = materialise(named.join(least_id, "root").select("sig", F.col("node").alias("class_id"), "class_size", "component_id"), "classes")
     for table in (begin, sets, kept):
         discard(table)
-    slim = rows.select("doc_id", F.col("n").alias("n_shingles"), "sig")
-    out = slim.where("sig IS NOT NULL").join(named, "sig").select("doc_id", "n_shingles", "class_id", "class_size", "component_id")
-    alone = slim.where("sig IS NULL").select("doc_id", "n_shingles", F.lit(None).cast("long").alias("class_id"), F.lit(None).cast("long").alias("class_size"), F.col("doc_id").alias("component_id"))
+    slim = rows.select("doc_id", F.col("th").alias("text_hash"), F.col("n").alias("n_shingles"), "sig")
+    out = slim.where("sig IS NOT NULL").join(named, "sig").select("doc_id", "text_hash", "n_shingles", "class_id", "class_size", "component_id")
+    alone = slim.where("sig IS NULL").select("doc_id", "text_hash", "n_shingles", F.lit(None).cast("long").alias("class_id"), F.lit(None).cast("long").alias("class_size"), F.col("doc_id").alias("component_id"))
     return out.unionByName(alone)
+
+
+def drop_similar(docs: DataFrame, words: int = WORDS, num: int = NUMERATOR, den: int = DENOMINATOR, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = BROADCAST_IDS) -> DataFrame:
+    """The documents with the smallest id of their component, all columns as they were; texts without words all stay.
+
+    The dropped rows are broadcast while they are few; beyond, the join shuffles.
+    """
+    groups = materialise(similar_groups(docs, words, num, den, id_col, text_col), "groups")
+    gone = groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__th"))
+    gone = F.broadcast(gone) if gone.count() <= broadcast_rows else gone
+    return docs.join(gone, F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text_col) == F.col("__th")), "left_anti")
