@@ -93,13 +93,13 @@ class Trajectory(DataSource):
     def schema(self) -> str:
         return schema.FRAME
 
-    def reader(self, _: StructType) -> DataSourceReader:
-        return TrajectoryReader(dict(self.options))
+    def reader(self, schema: StructType) -> DataSourceReader:
+        return TrajectoryReader(dict(self.options), schema)
 
 
 class TrajectoryReader(DataSourceReader):
-    def __init__(self, options: dict[str, str]):
-        self.options = options
+    def __init__(self, options: dict[str, str], kind: StructType):
+        self.options, self.kind = options, kind
 
     def partitions(self) -> list[InputPartition]:
         import pyarrow.fs as fs
@@ -120,7 +120,7 @@ class TrajectoryReader(DataSourceReader):
         if o.get("grammar", "extxyz") == "extxyz":
             more |= {"space": o.get("coords", "cartesian"), "raw": o.get("raw") == "true", "atoms": o.get("atoms") != "false"}
         store = fs.FileSystem.from_uri(o["path"])[0] if "://" in o["path"] else fs.LocalFileSystem()
-        arrow, rows = to_arrow_schema(StructType.fromDDL(schema.FRAME)), []
+        arrow, rows = to_arrow_schema(self.kind), []
         with store.open_input_stream(partition.value) as stream:
             for frame in grammar(io.TextIOWrapper(stream, encoding="utf-8", errors="replace"), **more):
                 rows.append({"path": partition.value} | frame)

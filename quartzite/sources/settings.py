@@ -72,6 +72,10 @@ def eos_point(files: DataFrame) -> DataFrame:
     return out.where("volume IS NOT NULL AND energy IS NOT NULL")
 
 
+def _matches(pattern: str, barred: str):
+    return lambda x: x.rlike(pattern) & ~x.rlike(barred)
+
+
 def tvp(files: DataFrame) -> DataFrame:
     """path, series ('temperature', 'volume', 'pressure'), place, value: three series of an OUTCAR, each with its own length; lines with settings are no temperatures."""
     settings = r"TEBEG|TEIN|SMASS|TAV|TCHAIN|POTIM"
@@ -79,7 +83,8 @@ def tvp(files: DataFrame) -> DataFrame:
     rows = files.select("path", F.filter(F.split("text", "\n"), lambda x: x.rlike("temperature|volume of cell|external pressure")).alias("rows"))
     out = None
     for series, pattern in patterns.items():
-        keep = F.filter("rows", lambda x, p=pattern, s=series: x.rlike(p) & (~x.rlike(settings) if s == "temperature" else F.lit(True)))
+        barred = settings if series == "temperature" else r"\b\B"
+        keep = F.filter("rows", _matches(pattern, barred))
         one = rows.select("path", F.lit(series).alias("series"), F.posexplode(keep).alias("place", "_x")).select("path", "series", "place", F.regexp_extract("_x", pattern, 1).cast("double").alias("value"))
         out = one if out is None else out.unionByName(one)
     return out

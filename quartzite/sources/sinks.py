@@ -29,7 +29,7 @@ def extxyz_text(symbols: Column, positions: Column, cell: Column, info: Column |
 
 def poscar_text(comment: Column, cell: Column, symbols: Column, counts: Column, coords: Column, mode: str = "Direct") -> Column:
     lattice = F.array_join(F.transform(F.array(F.lit(0), F.lit(3), F.lit(6)), lambda i: vector(F.slice(cell, i + 1, F.lit(3)))), "\n")
-    rows = F.array_join(F.transform(coords, vector), "\n")
+    rows = F.array_join(F.transform(coords, lambda p: vector(p)), "\n")
     return F.concat_ws("\n", comment, F.lit("1.0"), lattice, F.array_join(symbols, " "), F.array_join(F.transform(counts, lambda n: n.cast("string")), " "), F.lit(mode), rows)
 
 
