@@ -6,57 +6,100 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def kpoint_grid(lengths: Column, constant: float = 25.0) -> Column:
-    """Points along each lattice vector: constant / length, whole, one at least."""
-    return F.transform(lengths, lambda x: F.greatest(F.lit(1), F.floor(constant / F.nullif(x, F.lit(0.0))).cast("int")))
+#: Fixed values of the rules.
+KPOINT_DENSITY, GAMMA_LENGTH = 25.0, 15.0
+FRICTION = {"base": 2.0, "mass_power": 0.6, "temperature_power": 0.5, "low": 0.5, "high": 15.0}
+TIME_STEP = {"base": 1.0, "low": 0.2, "high": 2.0}
+BOLTZMANN_J, AMU_KG = 1.380649e-23, 1.66053906660e-27
+#: Atoms up to (null: any), whether there are 64 k-points or more, then caps and divisors of k-point groups and of cores for each band.
+LAYOUTS = [(50, True, 8, 8, 8, 2), (50, False, 4, 4, 4, 4), (100, True, 8, 8, 4, 4), (100, False, 4, 4, 4, 4), (None, True, 4, 16, 2, 8), (None, False, 2, 9, 2, 8)]
+
+
+def kpoint_grid(lengths: Column, constant: float = KPOINT_DENSITY) -> Column:
+    """Points along each lattice vector: constant / length to the nearest whole number (halves up), one at least."""
+    return F.transform(lengths, lambda x: F.greatest(F.lit(1), F.floor(constant / F.nullif(x, F.lit(0.0)) + 0.5).cast("int")))
 
 
 def kpoint_count(grid: Column) -> Column:
     return F.aggregate(grid, F.lit(1), lambda a, x: a * x)
 
 
-def mesh_type(grid: Column, threshold: int = 1) -> Column:
-    """Gamma-centred for a sparse grid, else Monkhorst-Pack."""
-    return F.when(kpoint_count(grid) <= threshold, "Gamma").otherwise("Monkhorst-Pack")
+def mesh_type(lengths: Column, threshold: float = GAMMA_LENGTH) -> Column:
+    """Gamma-centred where every lattice vector is longer than a threshold, else Monkhorst-Pack."""
+    return F.when(F.array_min(lengths) > threshold, "Gamma").otherwise("Monkhorst-Pack")
 
 
 def clamp(x: Column, low: float, high: float) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), x))
 
 
-def friction(mass: Column, temperature: Column, base: float = 10.0, ref_mass: float = 50.0, ref_temperature: float = 300.0, low: float = 1.0, high: float = 50.0) -> Column:
-    """Langevin friction (1/ps): falls with the root of the mass and rises with the root of the temperature, within limits."""
-    return clamp(base * F.sqrt(ref_mass / mass) * F.sqrt(temperature / ref_temperature), low, high)
+def mean_mass(masses: Column, counts: Column) -> Column:
+    """Mean mass of the atoms of a composition."""
+    total = F.aggregate(F.zip_with(masses, counts, lambda m, n: m * n), F.lit(0.0), lambda a, x: a + x)
+    return total / F.aggregate(counts, F.lit(0.0), lambda a, n: a + n)
+
+
+def friction(mass: Column, reference: Column, temperature: Column) -> Column:
+    """Langevin friction (1/ps) of a species: a power of its mass relative to the composition's mean, and of the temperature relative to 300 K, within limits."""
+    f = FRICTION
+    return clamp(f["base"] * F.pow(reference / mass, F.lit(f["mass_power"])) * F.pow(temperature / 300.0, F.lit(f["temperature_power"])), f["low"], f["high"])
+
+
+def never_rising(masses: Column, values: Column) -> Column:
+    """In order, a value above the one before it is held down to that where the mass rises."""
+    pairs = F.zip_with(masses, values, lambda m, v: F.struct(m.alias("m"), v.alias("v")))
+    held = lambda done, x: F.when((F.size(done) > 0) & (x["m"] > F.element_at(done, -1)["m"]), F.least(x["v"], F.element_at(done, -1)["v"])).otherwise(x["v"])
+    step = lambda done, x: F.concat(done, F.array(F.struct(x["m"].alias("m"), held(done, x).alias("v"))))
+    return F.transform(F.aggregate(pairs, F.array().cast("array<struct<m:double,v:double>>"), step), lambda x: x["v"])
+
+
+def size_factor(atoms: Column) -> Column:
+    return clamp(atoms / 50.0, 0.5, 3.0)
+
+
+def time_step(lightest: Column, temperature: Column) -> Column:
+    """Time step (fs): grows with the root of the lightest mass (16 amu: one) and falls with the root of the temperature, within limits."""
+    return clamp(TIME_STEP["base"] * F.sqrt(300.0 / temperature) * F.sqrt(lightest / 16.0), TIME_STEP["low"], TIME_STEP["high"])
+
+
+def piston_mass(atoms: Column, temperature: Column) -> Column:
+    return clamp(1000.0 * size_factor(atoms) * clamp(temperature / 300.0, 0.5, 2.0), 800.0, 5000.0)
+
+
+def lattice_friction(atoms: Column) -> Column:
+    return clamp(3.0 * size_factor(atoms), 1.0, 10.0)
 
 
-def never_rising(values: Column) -> Column:
-    """Each value held to at most the one before it, in order."""
-    step = lambda acc, x: F.concat(acc, F.array(F.when(F.size(acc) == 0, x).otherwise(F.least(x, F.element_at(acc, -1)))))
-    return F.aggregate(values, F.array().cast("array<double>"), step)
+def steps(atoms: Column) -> Column:
+    return clamp(10000.0 * size_factor(atoms), 5000.0, 50000.0).cast("int")
 
 
-def time_step(lightest: Column, temperature: Column, base: float = 2.0, low: float = 0.5, high: float = 3.0) -> Column:
-    """Time step (fs): grows with the root of the lightest mass and falls with the root of the temperature, within limits."""
-    return clamp(base * F.sqrt(lightest / 16.0) * F.sqrt(300.0 / temperature), low, high)
+def degrees_of_freedom(atoms: Column, free: Column | None = None) -> Column:
+    """The free Cartesian components if they are stated, else 3 N less the drift."""
+    return F.coalesce(free if free is not None else F.lit(None), 3 * atoms - 3)
 
 
-def degrees_of_freedom(atoms: Column, constrained: Column | None = None) -> Column:
-    """3 N less the drift, or less the stated constraints."""
-    return 3 * atoms - F.coalesce(constrained if constrained is not None else F.lit(None), F.lit(3))
+def period_fs(wavenumber: Column) -> Column:
+    """Period (fs) of a wave number (1/cm)."""
+    return 33356.4095198152 / wavenumber
 
 
-def nose_mass(atoms: Column, temperature: Column, period_fs: Column) -> Column:
-    """Thermostat mass (eV fs^2): degrees of freedom x kT x (period / 2 pi)^2."""
-    return degrees_of_freedom(atoms) * 8.617333262e-5 * temperature * F.pow(period_fs / 6.283185307179586, F.lit(2.0))
+def nose_mass(freedom: Column, temperature: Column, period: Column, first_length: Column) -> Column:
+    """Thermostat mass in units of amu times the first lattice vector squared: (period / 2 pi)^2 x 2 x degrees of freedom x kT."""
+    joule = F.pow(period * 1e-15 / 6.283185307179586, F.lit(2.0)) * 2.0 * freedom * BOLTZMANN_J * temperature
+    return joule / (AMU_KG * F.pow(first_length * 1e-10, F.lit(2.0)))
 
 
-def layout(atoms: Column, kpoints: Column, cores: int) -> Column:
-    """Parallel layout: groups over k-points (a divisor of the cores, no more than there are points), cores for each band."""
-    divisors = [d for d in range(1, cores + 1) if cores % d == 0]
-    kpar = F.greatest(*[F.when(F.lit(d) <= kpoints, F.lit(d)).otherwise(F.lit(1)) for d in divisors]) if len(divisors) > 1 else F.lit(1)
-    left = F.floor(F.lit(cores) / kpar).cast("int")
-    ncore = F.when(atoms <= 50, F.least(left, F.lit(4))).when(atoms <= 200, F.least(left, F.lit(8))).otherwise(F.least(left, F.lit(16)))
-    return F.struct(kpar.alias("kpar"), ncore.cast("int").alias("ncore"))
+def layout(atoms: Column, kpoints: Column, cores: int, most: int = 64) -> Column:
+    """Parallel layout by number of atoms and k-points: groups over k-points, cores for each band, bands at once, blocking."""
+    chosen = None
+    for limit, many, kcap, kdiv, ncap, ndiv in reversed(LAYOUTS):
+        kpar = F.greatest(F.lit(1), F.least(F.lit(kcap), F.floor(kpoints / kdiv), kpoints)).cast("int")
+        ncore = max(1, min(ncap, cores // ndiv, most))
+        row = F.struct(kpar.alias("kpar"), F.lit(ncore).alias("ncore"), F.lit(max(1, cores // max(1, min(ncap, cores // ndiv)))).alias("npar"), F.lit(4).alias("nsim"))
+        fits = (kpoints >= 64 if many else kpoints < 64) & (atoms <= limit if limit else F.lit(True))
+        chosen = row if chosen is None else F.when(fits, row).otherwise(chosen)
+    return chosen
 
 
 def formula(symbols: Column, counts: Column) -> Column:

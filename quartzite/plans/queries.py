@@ -784,34 +784,44 @@ def text_lines_matching(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("doc_id", F.explode(keys).alias("key")).groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("n"))
 
 
-GRID = "[greatest(1, floor(25.0 / (p_size + 1.0)))::INT, greatest(1, floor(25.0 / (p_size + 4.0)))::INT, greatest(1, floor(25.0 / (p_size + 9.0)))::INT]"
+GRID = "[" + ", ".join(f"greatest(1, floor(25.0 / (p_size + {k}) + 0.5))::INT" for k in ("1.0", "4.0", "9.0")) + "]"
 
 
-@query(f"SELECT p_partkey, array_to_string(g, 'x') AS grid, g[1] * g[2] * g[3] AS n, CASE WHEN g[1] * g[2] * g[3] <= 4 THEN 'Gamma' ELSE 'Monkhorst-Pack' END AS mesh FROM (SELECT p_partkey, {GRID} AS g FROM part)")
+@query(f"SELECT p_partkey, array_to_string(g, 'x') AS grid, g[1] * g[2] * g[3] AS n, CASE WHEN p_size + 1.0 > 15 THEN 'Gamma' ELSE 'Monkhorst-Pack' END AS mesh FROM (SELECT p_partkey, p_size, {GRID} AS g FROM part)")
 def kpoint_rule(spark: SparkSession, d: str) -> DataFrame:
     """F04."""
-    grid = rules.kpoint_grid(F.array(F.col("p_size") + 1.0, F.col("p_size") + 4.0, F.col("p_size") + 9.0))
-    out = table(spark, d, "part").select("p_partkey", grid.alias("grid"))
-    return out.select("p_partkey", F.array_join(F.transform("grid", lambda n: n.cast("string")), "x").alias("grid"), rules.kpoint_count(F.col("grid")).alias("n"), rules.mesh_type(F.col("grid"), 4).alias("mesh"))
+    lengths = F.array(F.col("p_size") + 1.0, F.col("p_size") + 4.0, F.col("p_size") + 9.0)
+    out = table(spark, d, "part").select("p_partkey", rules.kpoint_grid(lengths).alias("g"), rules.mesh_type(lengths).alias("mesh"))
+    return out.select("p_partkey", F.array_join(F.transform("g", lambda n: n.cast("string")), "x").alias("grid"), rules.kpoint_count(F.col("g")).alias("n"), "mesh")
 
 
-@query("SELECT p_partkey, round(greatest(1.0, least(50.0, 10.0 * sqrt(50.0 / p_size) * sqrt(p_retailprice / 300.0))), 6) AS gamma, round(greatest(0.5, least(3.0, 2.0 * sqrt(p_size / 16.0) * sqrt(300.0 / p_retailprice))), 6) AS dt FROM part")
+@query(
+    """SELECT p_partkey, round(greatest(0.5, least(15.0, 2.0 * pow(50.0 / p_size, 0.6) * pow(p_retailprice / 300.0, 0.5))), 6) AS gamma, round(greatest(0.2, least(2.0, sqrt(300.0 / p_retailprice) * sqrt(p_size / 16.0))), 6) AS dt,
+ round(greatest(800.0, least(5000.0, 1000.0 * greatest(0.5, least(3.0, p_size / 50.0)) * greatest(0.5, least(2.0, p_retailprice / 300.0)))), 6) AS pmass, round(greatest(1.0, least(10.0, 3.0 * greatest(0.5, least(3.0, p_size / 50.0)))), 6) AS gamma_l FROM part"""
+)
 def friction_rule(spark: SparkSession, d: str) -> DataFrame:
-    """F05."""
+    """frictions, time step and piston mass."""
     mass, t = F.col("p_size").cast("double"), F.col("p_retailprice")
-    return rounded(table(spark, d, "part").select("p_partkey", rules.friction(mass, t).alias("gamma"), rules.time_step(mass, t).alias("dt")), 6)
+    out = table(spark, d, "part").select("p_partkey", rules.friction(mass, F.lit(50.0), t).alias("gamma"), rules.time_step(mass, t).alias("dt"), rules.piston_mass(mass, t).alias("pmass"), rules.lattice_friction(mass).alias("gamma_l"))
+    return rounded(out, 6)
 
 
-@query("SELECT p_partkey, (3 * p_size - 3)::INT AS dof, round((3 * p_size - 3) * 8.617333262e-5 * p_retailprice * (40.0 / 6.283185307179586) ** 2, 6) AS smass FROM part")
+@query("SELECT p_partkey, 3 * p_size - 3 AS dof, round(pow(33356.4095198152 / 400 * 1e-15 / 6.283185307179586, 2) * 2.0 * (3 * p_size - 3) * 1.380649e-23 * p_retailprice / (1.66053906660e-27 * pow(5e-10, 2)), 6) AS smass FROM part")
 def nose_mass_rule(spark: SparkSession, d: str) -> DataFrame:
     """F06."""
-    return rounded(table(spark, d, "part").select("p_partkey", rules.degrees_of_freedom(F.col("p_size")).alias("dof"), rules.nose_mass(F.col("p_size"), F.col("p_retailprice"), F.lit(40.0)).alias("smass")), 6)
+    dof = rules.degrees_of_freedom(F.col("p_size"))
+    return rounded(table(spark, d, "part").select("p_partkey", dof.alias("dof"), rules.nose_mass(dof, F.col("p_retailprice"), rules.period_fs(F.lit(400.0)), F.lit(5.0)).alias("smass")), 6)
 
 
-@query("SELECT p_partkey, CASE WHEN p_size >= 8 THEN 8 WHEN p_size >= 4 THEN 4 WHEN p_size >= 2 THEN 2 ELSE 1 END AS kpar, least(8 // CASE WHEN p_size >= 8 THEN 8 WHEN p_size >= 4 THEN 4 WHEN p_size >= 2 THEN 2 ELSE 1 END, 4)::INT AS ncore FROM part")
+@query(
+    """SELECT p_partkey, greatest(1, least(CASE WHEN n <= 100 THEN CASE WHEN k >= 64 THEN 8 ELSE 4 END ELSE CASE WHEN k >= 64 THEN 4 ELSE 2 END END,
+ k // CASE WHEN n <= 100 THEN CASE WHEN k >= 64 THEN 8 ELSE 4 END ELSE CASE WHEN k >= 64 THEN 16 ELSE 9 END END, k))::INT AS kpar,
+ CASE WHEN n <= 50 AND k >= 64 THEN 8 WHEN n <= 100 THEN 4 ELSE 2 END AS ncore, CASE WHEN n <= 50 AND k >= 64 THEN 4 WHEN n <= 100 THEN 8 ELSE 16 END AS npar
+FROM (SELECT p_partkey, p_size * 4 AS n, p_partkey % 150 AS k FROM part)"""
+)
 def layout_rule(spark: SparkSession, d: str) -> DataFrame:
     """F07."""
-    return table(spark, d, "part").select("p_partkey", rules.layout(F.col("p_size"), F.col("p_size"), 8).alias("l")).select("p_partkey", "l.kpar", "l.ncore")
+    return table(spark, d, "part").select("p_partkey", rules.layout(F.col("p_size") * 4, F.col("p_partkey") % 150, 32).alias("l")).select("p_partkey", "l.kpar", "l.ncore", "l.npar")
 
 
 @query("SELECT l_orderkey, string_agg(l_returnflag || CASE WHEN n = 1 THEN '' ELSE n::VARCHAR END, '' ORDER BY l_returnflag) AS formula, round(sum(n * CASE l_returnflag WHEN 'A' THEN 7 WHEN 'N' THEN 6 ELSE 9 END)::DOUBLE - 1, 4) AS nelect FROM (SELECT l_orderkey, l_returnflag, count(*) AS n FROM lineitem GROUP BY 1, 2) GROUP BY 1")

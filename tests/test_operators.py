@@ -116,8 +116,8 @@ def test_text_builders(spark):
 
 
 def test_rules(spark):
-    assert value(spark, rules.kpoint_grid(F.array(F.lit(3.0), F.lit(30.0), F.lit(9.0)))) == [8, 1, 2]
-    assert value(spark, rules.never_rising(F.array(F.lit(3.0), F.lit(5.0), F.lit(2.0)))) == [3.0, 3.0, 2.0]
+    assert value(spark, rules.kpoint_grid(F.array(F.lit(3.0), F.lit(30.0), F.lit(9.0)))) == [8, 1, 3]
+    assert value(spark, rules.never_rising(F.array(F.lit(1.0), F.lit(2.0), F.lit(1.0)), F.array(F.lit(3.0), F.lit(5.0), F.lit(4.0)))) == [3.0, 3.0, 4.0]
     assert value(spark, rules.violations(F.create_map(F.lit("A"), F.lit("1")), {"A": "1", "B": "2"})) == ["B: wanted 2, found nothing"]
 
 
