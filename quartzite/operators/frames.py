@@ -44,10 +44,10 @@ def largest_force(forces: Column) -> Column:
     return F.array_max(F.transform(forces, lambda f: F.sqrt(f[0] * f[0] + f[1] * f[1] + f[2] * f[2])))
 
 
-def converged(finished: Column, failed: Column, iterations: Column, limit: Column, default_limit: int = 60) -> Column:
-    """Convergence of a run: false with a failure message or iterations at the limit, true when it finished within it, null when undecidable."""
+def converged(failed: Column, has_energy: Column, iterations: Column, limit: Column, default_limit: int = 60) -> Column:
+    """Convergence of a run: null without electronic steps; false with a failure text, without an energy line, or with as many iterations as the limit; else true."""
     limit = F.coalesce(limit, F.lit(default_limit))
-    return F.when(failed, False).when(iterations.isNull(), None).when(iterations >= limit, False).when(finished, True)
+    return F.when(iterations.isNull(), None).otherwise(~(F.coalesce(failed, F.lit(False)) | ~F.coalesce(has_energy, F.lit(False)) | (iterations >= limit)))
 
 
 def step_mask(steps: DataFrame, run: list[str], iterations: str, limit: str, default_limit: int = 60) -> DataFrame:

@@ -49,7 +49,7 @@ def pair_histogram(pairs: DataFrame, by: list[str | Column], distance: str, widt
 def radial_distribution(atoms: DataFrame, run: list[str], frame: str, r_max: float, width: float, idx: str = "idx", symbol: str = "symbol", frac: str = "frac", cell: str = "cell") -> DataFrame:
     """g(r) of each run, for all pairs and for each pair of species: run, pair ('total' or 'A-B'), bin, r, g.
 
-    The volume is the mean over the frames given; r_max is to be less than half the cell. Channels without pairs have no row.
+    The volume is the mean over the frames given; r_max is to be less than half the cell. Channels without pairs have no row, empty bins of others have g = 0.
     """
     bins = int(math.ceil(r_max / width))
     pairs = frame_pairs(atoms, [*run, frame], r_max, idx=idx, symbol=symbol, frac=frac, cell=cell)
@@ -64,6 +64,8 @@ def radial_distribution(atoms: DataFrame, run: list[str], frame: str, r_max: flo
     total = per_frame.groupBy(*run).agg(F.max("_n").alias("_n")).select(*run, F.lit("total").alias("pair"), (F.col("_n") * (F.col("_n") - 1) / 2).alias("_pairs"))
     channels = channels.unionByName(total)
     shell = 4.0 / 3.0 * math.pi * (F.pow((F.col("bin") + 1) * width, F.lit(3.0)) - F.pow(F.col("bin") * width, F.lit(3.0)))
+    seen = counts.select(*run, "pair").distinct().withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
+    counts = seen.join(counts, [*run, "pair", "bin"], "left").withColumn("pairs", F.coalesce("pairs", F.lit(0)))
     out = counts.join(whole, run).join(channels, [*run, "pair"]).where("_pairs > 0")
     return out.select(*run, "pair", "bin", ((F.col("bin") + 0.5) * width).alias("r"), (F.col("pairs") * F.col("_volume") / (F.col("_frames") * F.col("_pairs") * shell)).alias("g"))
 

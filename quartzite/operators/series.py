@@ -95,13 +95,22 @@ def tail_mean(df: DataFrame, run: list[str], order: list[str], value: str, name:
     return df.withColumn(name, F.avg(value).over(ordered(run, order).rowsBetween(Window.currentRow, Window.unboundedFollowing)))
 
 
-def equilibration_skip(df: DataFrame, run: list[str], ordinal: str, value: str, tail: float = 0.5, tolerance: float = 0.02) -> DataFrame:
-    """Smallest ordinal from which the mean of the rest lies within a relative tolerance of the mean of the last part of the run; null if none does."""
+def equilibration_skip(df: DataFrame, run: list[str], ordinal: str, value: str, tail: float = 0.35, rtol: float = 5e-4, atol: float = 0.02, most: float = 0.55, least: int = 20) -> DataFrame:
+    """How many rows of each run to leave out: the fewest, up to a share `most`, after which the mean agrees with the mean of the run's tail.
+
+    Agreement is within the larger of the two tolerances; where none is reached the closest (first) one counts. A run under
+    `least` rows leaves none out. The tail begins at the share 1 - tail, rounded half to even.
+    """
     n = F.count(F.lit(1)).over(Window.partitionBy(*run))
+    share = min(0.49, max(0.05, tail))
     marked = tail_mean(df, run, [ordinal], value, "_rest").withColumn("_n", n)
-    reference = F.avg(F.when(F.col(ordinal) >= F.floor(F.col("_n") * (1 - tail)), F.col(value))).over(Window.partitionBy(*run))
-    close = F.abs(F.col("_rest") - F.col("_ref")) <= tolerance * F.abs(F.col("_ref"))
-    return marked.withColumn("_ref", reference).groupBy(*run).agg(F.min(F.when(close, F.col(ordinal))).alias("skip"))
+    begin = F.greatest(F.lit(1), F.least(F.rint(F.col("_n") * (1 - share)), F.col("_n") - 2))
+    marked = marked.withColumn("_ref", F.avg(F.when(F.col(ordinal) >= begin, F.col(value))).over(Window.partitionBy(*run)))
+    error = F.abs(F.col("_rest") - F.col("_ref"))
+    allowed = F.col(ordinal) <= F.least(F.col("_n") - 2, F.floor(F.col("_n") * most))
+    close = allowed & (error <= F.greatest(F.lit(atol), rtol * F.abs(F.col("_ref"))))
+    best = F.coalesce(F.min(F.when(close, F.col(ordinal))), F.min_by(F.col(ordinal), F.when(allowed, F.struct(error, F.col(ordinal)))))
+    return marked.groupBy(*run).agg(F.when(F.max("_n") < least, F.lit(0)).otherwise(best).cast("long").alias("skip"))
 
 
 def blocks(df: DataFrame, run: list[str], order: list[str], closes: Column, name: str = "block") -> DataFrame:

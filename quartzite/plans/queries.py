@@ -290,12 +290,13 @@ def reverse_cumulative_mean(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     f"""WITH t AS (SELECT user_id, i, avg(value) OVER (PARTITION BY user_id ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest, count(*) OVER (PARTITION BY user_id) AS n, value FROM {RUNS}),
-r AS (SELECT user_id, avg(value) FILTER (i >= floor(n * 0.5)) AS ref FROM t GROUP BY 1)
-SELECT user_id, min(i) FILTER (abs(rest - ref) <= 0.05 * abs(ref)) AS skip FROM t JOIN r USING (user_id) GROUP BY 1"""
+r AS (SELECT user_id, avg(value) FILTER (i >= greatest(1, least(round_even(n * 0.65, 0), n - 2))) AS ref FROM t GROUP BY 1),
+e AS (SELECT user_id, i, n, abs(rest - ref) AS err, greatest(0.02, 0.01 * abs(ref)) AS tol, i <= least(n - 2, floor(n * 0.55)) AS allowed FROM t JOIN r USING (user_id))
+SELECT user_id, (CASE WHEN max(n) < 20 THEN 0 ELSE coalesce(min(i) FILTER (allowed AND err <= tol), min_by(i, (err, i)) FILTER (allowed)) END)::BIGINT AS skip FROM e GROUP BY 1"""
 )
 def tail_reference_skip(spark: SparkSession, d: str) -> DataFrame:
     """The smallest skip whose rest agrees with the tail."""
-    return series.equilibration_skip(runs(spark, d), ["user_id"], "i", "value", 0.5, 0.05)
+    return series.equilibration_skip(runs(spark, d), ["user_id"], "i", "value", rtol=0.01)
 
 
 @query(
@@ -521,8 +522,9 @@ def pair_distance_histogram(spark: SparkSession, d: str) -> DataFrame:
     f"""WITH p AS (SELECT * FROM {PAIRS} WHERE dist < 1.0), c AS (SELECT pair, least(floor(dist / 0.1), 9)::INT AS bin, count(*) AS pairs FROM (SELECT dist, unnest(['total', least(si, sj) || '-' || greatest(si, sj)]) AS pair FROM p) GROUP BY 1, 2),
 s AS (SELECT symbol, max(m) AS m FROM (SELECT frame, symbol, count(*) AS m FROM {POINTS} GROUP BY 1, 2) GROUP BY 1),
 n AS (SELECT max(n) AS n, count(*) AS frames FROM (SELECT frame, count(*) AS n FROM {POINTS} GROUP BY 1)),
-k AS (SELECT a.symbol || '-' || b.symbol AS pair, CASE WHEN a.symbol = b.symbol THEN a.m * (a.m - 1) / 2 ELSE a.m * b.m END AS np FROM s a JOIN s b ON a.symbol <= b.symbol UNION ALL SELECT 'total', n * (n - 1) / 2 FROM n)
-SELECT pair, bin, round((bin + 0.5) * 0.1, 4) AS r, round(pairs * 64.0 / (frames * np * 4.0 / 3.0 * pi() * (pow((bin + 1) * 0.1, 3) - pow(bin * 0.1, 3))), 4) AS g FROM c JOIN k USING (pair), n WHERE np > 0"""
+k AS (SELECT a.symbol || '-' || b.symbol AS pair, CASE WHEN a.symbol = b.symbol THEN a.m * (a.m - 1) / 2 ELSE a.m * b.m END AS np FROM s a JOIN s b ON a.symbol <= b.symbol UNION ALL SELECT 'total', n * (n - 1) / 2 FROM n),
+d AS (SELECT pair, bin, coalesce(pairs, 0) AS pairs FROM (SELECT DISTINCT pair FROM c) CROSS JOIN (SELECT unnest(range(10))::INT AS bin) LEFT JOIN c USING (pair, bin))
+SELECT pair, bin, round((bin + 0.5) * 0.1, 4) AS r, round(pairs * 64.0 / (frames * np * 4.0 / 3.0 * pi() * (pow((bin + 1) * 0.1, 3) - pow(bin * 0.1, 3))), 4) AS g FROM d JOIN k USING (pair), n WHERE np > 0"""
 )
 def radial_distribution(spark: SparkSession, d: str) -> DataFrame:
     """g(r) in all and for each pair of species."""
@@ -680,11 +682,11 @@ def force_split(spark: SparkSession, d: str) -> DataFrame:
     return calm.select("l_orderkey", F.lit(True).alias("calm")).unionByName(rest.select("l_orderkey", F.lit(False).alias("calm")))
 
 
-@query("SELECT o_orderkey, CASE WHEN o_orderpriority = '1-URGENT' THEN false WHEN o_orderstatus = 'P' THEN NULL WHEN o_custkey % 80 >= 60 THEN false WHEN o_orderstatus = 'F' THEN true END AS converged FROM orders")
+@query("SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN NULL ELSE NOT (o_orderpriority = '1-URGENT' OR o_orderstatus <> 'F' OR o_custkey % 80 >= 60) END AS converged FROM orders")
 def convergence_three_valued(spark: SparkSession, d: str) -> DataFrame:
     """True, false or undecidable."""
     iterations = F.when(F.col("o_orderstatus") != "P", F.col("o_custkey") % 80)
-    c = frames.converged(F.col("o_orderstatus") == "F", F.col("o_orderpriority") == "1-URGENT", iterations, F.lit(None).cast("int"))
+    c = frames.converged(F.col("o_orderpriority") == "1-URGENT", F.col("o_orderstatus") == "F", iterations, F.lit(None).cast("int"))
     return table(spark, d, "orders").select("o_orderkey", c.alias("converged"))
 
 

@@ -10,6 +10,8 @@ from ..operators.series import ordered
 
 #: Electronic steps allowed where a file does not say.
 DEFAULT_NELM = 60
+#: Texts of a run that failed (a pattern).
+FAILURE = r"(?i)ZBRENT: fatal|BRMIX: very serious|Error EDDDAV|VERY BAD NEWS|aborting loop because hard stop"
 
 
 def incar_map(text: Column) -> Column:
@@ -203,13 +205,12 @@ def png_sizes(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", number(17).alias("width"), number(21).alias("height"), F.conv(F.hex(F.substring("content", 26, 1)), 16, 10).isin("4", "6").alias("alpha"))
 
 
-def convergence(outcars: DataFrame, oszicars: DataFrame, incars: DataFrame, directory: Column) -> DataFrame:
-    """run, converged (null where undecidable) of each run, from its three files."""
+def convergence(outcars: DataFrame, oszicars: DataFrame, incars: DataFrame, directory: Column, failure: str = FAILURE) -> DataFrame:
+    """run, converged (null where undecidable) of each run, from its three files: the most electronic iterations of any step count."""
     from ..operators.frames import converged
 
-    failure = r"(?i)ZBRENT: fatal|BRMIX: very serious|Error EDDDAV|VERY BAD NEWS|aborting loop because hard stop"
-    a = outcars.select(directory.alias("run"), F.col("text").rlike(r"General timing and accounting").alias("finished"), F.col("text").rlike(failure).alias("failed"))
-    b = oszicar(oszicars).withColumn("run", directory).groupBy("run").agg(F.max_by("iterations", "ionic_step").alias("iterations"))
+    a = outcars.select(directory.alias("run"), F.col("text").rlike(failure).alias("failed"))
+    b = oszicar(oszicars).withColumn("run", directory).groupBy("run").agg(F.max("iterations").alias("iterations"), F.bool_or("has_ionic_line").alias("energy"))
     c = incars.select(directory.alias("run"), electronic_limit(incar_map(F.col("text"))).alias("limit"))
     out = a.join(b, "run", "full").join(c, "run", "left")
-    return out.select("run", converged(F.coalesce("finished", F.lit(False)), F.coalesce("failed", F.lit(False)), F.col("iterations"), F.col("limit")).alias("converged"))
+    return out.select("run", converged(F.col("failed"), F.col("energy"), F.col("iterations"), F.col("limit")).alias("converged"))
