@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterator
 
@@ -15,7 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 ALNUM_SPLIT = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 ALNUM_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 SPACES = "\x20\x09\x0a\x0b\x0c\x0d"
-SLICE_BYTES = 6 << 20
+SLICE_BYTES = 3 << 20
+BATCH_BYTES = 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -29,6 +31,13 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most BATCH_BYTES, where the session leaves Spark's default: ten thousand long texts are a lot to hold in two processes."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) in ("67108864b", "64m", "64MB"):
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
@@ -36,6 +45,7 @@ def shared_path(spark: SparkSession, name: str) -> str:
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage through a written table in the shared folder: it survives lost executors."""
     spark = df.sparkSession
+    bounded_batches(spark)
     path = shared_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -66,6 +76,15 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit:
             stop = max(start + 1, int(np.searchsorted(ends, base + limit, "right")))
             yield batch.slice(start, stop - start)
             start, base = stop, ends[stop - 1]
+    release_memory()
+
+
+def release_memory() -> None:
+    """Hand freed memory back: Spark keeps Python workers for later tasks, and theirs would add up."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 def word_lists(texts: pa.Array, kind: str = "space", lower: bool = True) -> tuple[np.ndarray, pa.Array]:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from .common import ALNUM_WORD, text_slices, word_lists
+from .common import ALNUM_WORD, bounded_batches, text_slices, word_lists
 from .fm_index import FMIndex
 
 WINDOW = 10
@@ -94,7 +94,8 @@ def cut(text: str, spans: list[dict]) -> str:
     return "".join([*kept, text[at:]])
 
 
-def _pass(items: list[tuple[int, str | None]], window: int):
+def _pass(items: list[tuple[int, str | None]], window: int, into: int | None = None):
+    """One pass over the documents. into: the place among the kept columns that gets the text without the spans; the pass then is the last one."""
     vocabulary, phrases = phrases_of(items, window)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,8 +116,13 @@ def _pass(items: list[tuple[int, str | None]], window: int):
                     for s in old["spans"]:
                         own[s["start"] : s["stop"]] = True
                 out.append({"n_words": int(b - a), "n_hit": int(own.sum()), "spans": merged_spans(own), "items": sorted({*found[i], *((old or {}).get("items") or [])})})
-            columns = [pa.array(out, part.schema.field("__found").type) if c == "__found" else part.column(c) for c in part.schema.names]
-            yield pa.RecordBatch.from_arrays(columns, names=part.schema.names)
+            if into is None:
+                columns = [pa.array(out, part.schema.field("__found").type) if c == "__found" else part.column(c) for c in part.schema.names]
+                yield pa.RecordBatch.from_arrays(columns, names=part.schema.names)
+            else:
+                texts = [cut(t, f["spans"]) if f["spans"] else t for t, f in zip(part.column("__text").to_pylist(), out, strict=True)]
+                names = [c for c in part.schema.names if c.startswith("__c")]
+                yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == f"__c{into}" else part.column(c) for c in names], names=names)
 
     return run
 
@@ -126,22 +132,16 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, i
 
     With clean, instead every column of the documents, the text without the spans.
     """
+    bounded_batches(docs.sparkSession)
     kept = docs.columns if clean else [id_col]
     out = docs.select(*[F.col(f"`{c}`").alias(f"__c{i}") for i, c in enumerate(kept)], F.col(f"`{text_col}`").alias("__text"), F.lit(None).cast(FOUND).alias("__found"))
-    schema, block, passes = out.schema, [], 0
+    schema, block = out.schema, []
     rows = benchmark.select(F.col(f"`{item_id}`").cast("long").alias("i"), F.col(f"`{item_text}`").alias("t")).where("i IS NOT NULL").toLocalIterator()
     for row in rows:
-        block.append((row.i, row.t))
         if len(block) == items_per_block:
-            out, block, passes = out.mapInArrow(_pass(block, window), schema), [], passes + 1
-    if block or not passes:
-        out = out.mapInArrow(_pass(block, window), schema)
+            out, block = out.mapInArrow(_pass(block, window), schema), []
+        block.append((row.i, row.t))
     if not clean:
-        return out.select(F.col("__c0").alias("doc_id"), "__found.*")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = pa.array([cut(t, f["spans"]) if f["spans"] else t for t, f in zip(batch.column("__text").to_pylist(), batch.column("__found").to_pylist(), strict=True)], pa.string())
-            yield pa.RecordBatch.from_arrays([texts if c == text_col else batch.column(f"__c{i}") for i, c in enumerate(kept)], names=[f"__c{i}" for i in range(len(kept))])
-
-    return out.mapInArrow(run, StructType([StructField(f"__c{i}", docs.schema[c].dataType) for i, c in enumerate(kept)])).toDF(*kept)
+        return out.mapInArrow(_pass(block, window), schema).select(F.col("__c0").alias("doc_id"), "__found.*")
+    cleaned = StructType([StructField(f"__c{i}", docs.schema[c].dataType) for i, c in enumerate(kept)])
+    return out.mapInArrow(_pass(block, window, kept.index(text_col)), cleaned).toDF(*kept)

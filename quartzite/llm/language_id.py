@@ -23,14 +23,14 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, text_slices
+from .common import bounded_batches, mix, text_slices
 
 SAMPLE = 4000
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3, 4)
 PENALTY = 12.0
 FLOOR = -12.0
-SLICE = 10 << 20
+SLICE = 6 << 20
 UNDETERMINED = "und"
 NOT_LETTERS = r"[^\pL\pM]+"
 #: First code points of script ranges, and the script that begins there (0: other).
@@ -128,6 +128,7 @@ def viterbi(score: np.ndarray, offsets: np.ndarray, penalty: float) -> np.ndarra
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Model:
     """Learn from the rows of docs whose language is known, about `sample` of each language."""
+    bounded_batches(docs.sparkSession)
     known = docs.where(F.col(lang_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     totals = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
     languages = sorted(totals)
@@ -161,6 +162,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", penalty: float = PENALTY) -> DataFrame:
     """One row for each document: doc_id, lang_pred, score (share of its letters in that language's spans), spans of words with their languages."""
+    bounded_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

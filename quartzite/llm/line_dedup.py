@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, shuffle_partitions, signed, text_slices
+from .common import bounded_batches, materialise, shuffle_partitions, signed, text_slices
 
 MAX_BITS = 1 << 27
 CHUNK = 1 << 16
@@ -61,8 +61,8 @@ def by_document(offsets: np.ndarray, codes: np.ndarray, n_codes: int) -> np.ndar
 def _chunks(name: str, bitmap: np.ndarray) -> Iterator[tuple[int, str, bytes]]:
     set_at = np.flatnonzero(bitmap)
     chunk = set_at // CHUNK
-    begin = np.flatnonzero(np.concatenate([[True], chunk[1:] != chunk[:-1]])) if len(set_at) else []
-    for a, b in zip(begin, [*begin[1:], len(set_at)], strict=True):
+    edges = np.append(np.flatnonzero(np.concatenate([[True], chunk[1:] != chunk[:-1]])), len(set_at)) if len(set_at) else []
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
         yield int(chunk[a]), name, (set_at[a:b] % CHUNK).astype(np.uint16).tobytes()
 
 
@@ -145,6 +145,7 @@ def drop_lines(docs: DataFrame, min_docs: int = 2, min_chars: int = 1, keep: str
     keep: 'first' leaves each repeated line at its first place (in the smallest id, its first line there), 'none' drops all.
     """
     spark = docs.sparkSession
+    bounded_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     keys = materialise(repeated_lines(docs, min_docs, min_chars), "lines")
     small = keys.count() <= broadcast_keys

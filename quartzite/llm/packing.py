@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import text_slices
+from .common import bounded_batches, text_slices
 
 SEQUENCE = 2048
 MAX_SEGMENTS = 64
@@ -142,6 +142,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
 
     With crc32, each piece carries instead of its ids their CRC-32 as little-endian unsigned 32-bit numbers (ids_crc32).
     """
+    bounded_batches(docs.sparkSession)
     limit = loss or tokens
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

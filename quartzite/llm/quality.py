@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from .common import text_slices, word_lists
+from .common import bounded_batches, text_slices, word_lists
 
 GOOD, JUNK, ABSTAIN = 1, 0, 2
 SAMPLE = 20_000
@@ -182,6 +182,7 @@ def codes_of(v: np.ndarray) -> np.ndarray:
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Scorer:
     """Votes of the whole corpus, their posteriors, and the linear scorer learned from about `sample` documents."""
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     total = rows.count()
     rows = rows.select("text", (F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1e6 * min(1, sample / max(total, 1)))).alias("chosen"))
@@ -220,6 +221,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample:
 
 def score(docs: DataFrame, scorer: Scorer, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """One row for each document: doc_id, score (0 to 1), posterior of its votes (null without words), kept."""
+    bounded_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(scorer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,6 +237,7 @@ def score(docs: DataFrame, scorer: Scorer, id_col: str = "doc_id", text_col: str
 
 def filter_quality(docs: DataFrame, scorer: Scorer, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The documents that the scorer keeps, all their columns as they were."""
+    bounded_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(scorer)
     names = docs.columns
 
