@@ -22,14 +22,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, shuffle_partitions, text_slices, window_hashes, word_hashes, word_lists
+from .common import bounded_batches, discard, materialise, shuffle_partitions, text_slices, window_hashes, word_hashes, word_lists
 
 GRAM = 8
 BITS = 27
 CHUNK_BITS = 13
 ANCHORS_PER_TASK = 4_000_000
 LAST_ID = (1 << 63) - 1
-RUNS = "digest binary, v long, doc long, th long, start int, r int, loops boolean, content binary"
+RUNS = "d1 long, d2 long, v long, doc long, th long, start int, r int, loops boolean, content string"
 
 
 def sliding(op, x: np.ndarray, width: int) -> np.ndarray:
@@ -43,12 +43,12 @@ def sliding(op, x: np.ndarray, width: int) -> np.ndarray:
 
 
 def minima(texts: pa.Array, window: int, k: int) -> tuple[np.ndarray, ...]:
-    """Word hashes, offsets, gram hashes, each window's minimiser (0 where a window would leave its text)."""
+    """Word hashes, offsets, gram hashes, each window's minimiser (0 where a window would leave its text), and the words."""
     offsets, flat = word_lists(texts, lower=False)
     words = word_hashes(flat)
     n = len(words) - window + 1
     if n <= 0:
-        return words, offsets, np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        return words, offsets, np.zeros(0, np.uint64), np.zeros(0, np.uint64), flat
     grams = window_hashes(words, k)
     low = sliding(np.minimum, grams, window - k + 1)
     edge = np.zeros(len(words) + 2, np.int32)
@@ -56,13 +56,13 @@ def minima(texts: pa.Array, window: int, k: int) -> tuple[np.ndarray, ...]:
     np.add.at(edge, offsets[:-1][long], 1)
     np.add.at(edge, offsets[1:][long] - window + 1, -1)
     low[np.cumsum(edge)[:n] <= 0] = 0
-    return words, offsets, grams, low
+    return words, offsets, grams, low, flat
 
 
 def repeated_bitmap(docs: DataFrame, window: int, k: int) -> np.ndarray:
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in text_slices(batches, limit=16 << 20):
-            _, _, grams, low = minima(part.column("text"), window, k)
+        for part in text_slices(batches, limit=6 << 20):
+            _, _, grams, low, _ = minima(part.column("text"), window, k)
             if not len(low):
                 continue
             pad = np.zeros(window - k, np.uint64)
@@ -81,36 +81,63 @@ def repeated_bitmap(docs: DataFrame, window: int, k: int) -> np.ndarray:
         order = np.argsort(value)
         value, again = value[order], again[order]
         again[1:] |= value[1:] == value[:-1]
-        bit = (value[again] >> np.uint64(64 - BITS)).astype(np.int64)
-        for chunk in np.unique(bit >> CHUNK_BITS):
-            own = np.zeros(1 << CHUNK_BITS, np.uint8)
-            own[bit[bit >> CHUNK_BITS == chunk] & ((1 << CHUNK_BITS) - 1)] = 1
-            yield pa.RecordBatch.from_arrays([pa.array([int(chunk)]), pa.array([np.packbits(own, bitorder="little").tobytes()])], names=["chunk", "bitmap"])
+        yield from bitmaps((value[again] >> np.uint64(64 - BITS)).astype(np.int64))
 
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     parts = max(shuffle_partitions(docs.sparkSession), chars // 12 // (window - k + 2) // ANCHORS_PER_TASK)
-    rows = docs.select("text").mapInArrow(emit, "chunk long, value long, again boolean").repartition(parts, "chunk").mapInArrow(count, "chunk long, bitmap binary")
+    return collected(docs.select("text").mapInArrow(emit, "chunk long, value long, again boolean").repartition(parts, "chunk").mapInArrow(count, BITMAPS))
+
+
+BITMAPS = "chunk long, bitmap binary"
+
+
+def bitmaps(bit: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The bits that are set, a row for each chunk."""
+    for chunk in np.unique(bit >> CHUNK_BITS):
+        own = np.zeros(1 << CHUNK_BITS, np.uint8)
+        own[bit[bit >> CHUNK_BITS == chunk] & ((1 << CHUNK_BITS) - 1)] = 1
+        yield pa.RecordBatch.from_arrays([pa.array([int(chunk)]), pa.array([np.packbits(own, bitorder="little").tobytes()])], names=["chunk", "bitmap"])
+
+
+def collected(rows: DataFrame) -> np.ndarray:
+    """The whole bitmap: 16 MB, whatever the input."""
     bitmap, size = np.zeros(1 << (BITS - 3), np.uint8), 1 << (CHUNK_BITS - 3)
-    for row in rows.toLocalIterator():  # 16 MB in all, whatever the input
-        bitmap[row.chunk * size : (row.chunk + 1) * size] = np.frombuffer(row.bitmap, np.uint8)
+    for row in rows.toLocalIterator():
+        bitmap[row.chunk * size : (row.chunk + 1) * size] |= np.frombuffer(row.bitmap, np.uint8)
     return bitmap
 
 
+def bitmap_of(df: DataFrame, column: str) -> np.ndarray:
+    """A bitmap of the hashes in a column."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = [np.asarray(batch.column("h")).view(np.uint64) for batch in batches]
+        if found:
+            yield from bitmaps((np.concatenate(found) >> np.uint64(64 - BITS)).astype(np.int64))
+
+    chunk = F.shiftrightunsigned(column, 64 - BITS + CHUNK_BITS)
+    parts = shuffle_partitions(df.sparkSession)
+    return collected(df.select(F.col(column).alias("h"), chunk.alias("chunk")).repartition(parts, "chunk").select("h").mapInArrow(run, BITMAPS))
+
+
+def held_in(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
+    bit = (h >> np.uint64(64 - BITS)).astype(np.int64)
+    return ((bitmap[bit >> 3] >> (bit & 7)) & 1) > 0
+
+
 def candidate_runs(docs: DataFrame, window: int, k: int) -> DataFrame:
-    """docs: doc, th, text. Runs of candidate windows; content (word hashes) only at a digest's first place within a batch."""
+    """docs: doc, th, text. Runs of candidate windows; content (the words) only at a digest's first place within a batch."""
     held = docs.sparkSession.sparkContext.broadcast(repeated_bitmap(docs, window, k))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches):
-            words, offsets, _, low = minima(part.column("text"), window, k)
-            bit = (low >> np.uint64(64 - BITS)).astype(np.int64)
-            good = (low > 0) & (((held.value[bit >> 3] >> (bit & 7)) & 1) > 0)
+            words, offsets, _, low, flat = minima(part.column("text"), window, k)
+            good = (low > 0) & held_in(held.value, low)
             if not good.any():
                 continue
-            first = good.copy()
-            first[1:] &= ~good[:-1] | (low[1:] != low[:-1])
             text = np.searchsorted(offsets, np.arange(len(low)), "right") - 1
-            first[1:] |= good[1:] & (text[1:] != text[:-1])
+            first = good.copy()
+            first[1:] &= ~good[:-1] | (low[1:] != low[:-1]) | (text[1:] != text[:-1])
             begin = np.flatnonzero(first)
             last = good.copy()
             last[:-1] &= ~good[1:] | first[1:]
@@ -123,74 +150,90 @@ def candidate_runs(docs: DataFrame, window: int, k: int) -> DataFrame:
             same = (of[order][1:] == of[order][:-1]) & (whole[order][1:] == whole[order][:-1])
             loops = np.zeros(len(begin), bool)
             loops[of[order][1:][same]] = True
-            raw, digests, contents, seen = words.tobytes(), [], [], set()
+            raw, digests = words.tobytes(), []
             for a, n in zip(begin.tolist(), r.tolist(), strict=True):
-                own = raw[8 * a : 8 * (a + n + window - 1)]
-                digest = xxhash.xxh3_128_digest(own)
-                digests.append(digest)
-                contents.append(None if digest in seen else own)
-                seen.add(digest)
+                digests.append(xxhash.xxh3_128_digest(raw[8 * a : 8 * (a + n + window - 1)]))
+            digest = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+            _, new = np.unique(digest[:, 0], return_index=True)
+            new.sort()
+            size = r[new] + window - 1
+            ends = np.concatenate([[0], np.cumsum(size)])
+            taken = flat.take(pa.array(np.repeat(begin[new] - ends[:-1], size) + np.arange(ends[-1])))
+            joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), taken), " ")
+            place = np.full(len(begin), -1)
+            place[new] = np.arange(len(new))
             owner = pa.array(text[begin])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(digests, pa.binary()), pa.array(low[begin].view(np.int64)), part.column("doc").take(owner), part.column("th").take(owner), pa.array((begin - offsets[text[begin]]).astype(np.int32)), pa.array(r.astype(np.int32)), pa.array(loops), pa.array(contents, pa.binary())],
-                names=["digest", "v", "doc", "th", "start", "r", "loops", "content"],
+                [pa.array(digest[:, 0].copy()), pa.array(digest[:, 1].copy()), pa.array(low[begin].view(np.int64)), part.column("doc").take(owner), part.column("th").take(owner), pa.array((begin - offsets[text[begin]]).astype(np.int32)), pa.array(r.astype(np.int32)), pa.array(loops), joined.take(pa.array(place, mask=place < 0))],
+                names=["d1", "d2", "v", "doc", "th", "start", "r", "loops", "content"],
             )
 
     return materialise(docs.mapInArrow(run, RUNS), "runs")
 
 
-Resolver = Callable[[list[np.ndarray], int], list[np.ndarray]]
+Resolver = Callable[[list[list[str]], int], list[np.ndarray]]
 
 
 def resolve(runs: DataFrame, window: int, resolver: Resolver) -> DataFrame:
-    """digest, first (doc, start), ranges: the windows of the run that start earlier than its first place.
+    """d1, d2, first (doc, start), ranges: the windows of a run that start earlier than at its first place.
 
-    The resolver gets the contents of a group of runs with one minimiser, in the order of their first places, and gives for each a mask of windows.
+    Only runs that share their minimiser with another one, or repeat a window themselves, need a resolver and their contents. It
+    gets the words of a group of runs with one minimiser, in the order of their first places, and gives for each a mask of windows.
     """
-    distinct = runs.groupBy("digest", "v").agg(F.min(F.struct("doc", "start")).alias("first"), F.max("content").alias("content"), F.bool_or("loops").alias("loops"))
+    distinct = runs.groupBy("d1", "d2").agg(F.min("v").alias("v"), F.min(F.struct("doc", "start")).alias("first"), F.bool_or("loops").alias("loops"))
+    distinct = materialise(distinct, "distinct")
+    several = distinct.groupBy("v").agg(F.count(F.lit(1)).alias("n"), F.bool_or("loops").alias("loops")).where("n > 1 OR loops").select("v")
+    needed = materialise(distinct.join(several, "v").select("d1", "d2", "v", "first"), "needed")
+    held = runs.sparkSession.sparkContext.broadcast(bitmap_of(needed, "d1"))
+
+    def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(held_in(held.value, np.asarray(batch.column("d1")).view(np.uint64))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group: list = []
         for batch in batches:
             out: list = []
-            for row in zip(*(batch.column(c).to_pylist() for c in ("v", "digest", "first", "content", "loops")), strict=True):
+            for row in zip(*(batch.column(c).to_pylist() for c in ("v", "d1", "d2", "content")), strict=True):
                 if group and group[-1][0] != row[0]:
                     out += settle(group)
                     group = []
                 group.append(row)
             yield table(out)
-        yield table(settle(group))
+        if group:
+            yield table(settle(group))
 
     def settle(group: list) -> list:
-        if len(group) == 1 and not group[0][4]:
-            return []
-        masks = resolver([np.frombuffer(row[3], np.uint64) for row in group], window)
         out = []
-        for row, mask in zip(group, masks, strict=True):
+        for row, mask in zip(group, resolver([row[3].split(" ") for row in group], window), strict=True):
             edge = np.flatnonzero(np.diff(np.concatenate([[0], mask.astype(np.int8), [0]])))
             if len(edge):
-                out.append((row[1], [{"a": int(a), "b": int(b)} for a, b in edge.reshape(-1, 2)]))
+                out.append((row[1], row[2], [{"a": int(a), "b": int(b)} for a, b in edge.reshape(-1, 2)]))
         return out
 
     def table(rows: list) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([d for d, _ in rows], pa.binary()), pa.array([x for _, x in rows], pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))], names=["digest", "ranges"])
+        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.int64()), pa.array([x[1] for x in rows], pa.int64()), pa.array([x[2] for x in rows], pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))], names=["d1", "d2", "ranges"])
 
-    distinct = materialise(distinct, "distinct")
-    parts = max(shuffle_partitions(runs.sparkSession), 1)
-    ranges = distinct.repartition(parts, "v").sortWithinPartitions("v", "first").mapInArrow(run, "digest binary, ranges array<struct<a:int,b:int>>")
-    return distinct.select("digest", "first").join(ranges, "digest", "left")
+    contents = runs.where("content IS NOT NULL").select("d1", "d2", "content").mapInArrow(wanted, "d1 long, d2 long, content string")
+    contents = contents.groupBy("d1", "d2").agg(F.max("content").alias("content"))
+    placed = needed.join(contents, ["d1", "d2"]).repartition(shuffle_partitions(runs.sparkSession), "v").sortWithinPartitions("v", "first")
+    ranges = placed.select("v", "d1", "d2", "content").mapInArrow(run, "d1 long, d2 long, ranges array<struct<a:int,b:int>>")
+    return materialise(distinct.select("d1", "d2", "first").join(ranges, ["d1", "d2"], "left"), "ranges")
 
 
 def cut_repeats(docs: DataFrame, window: int, resolver: Resolver, id_col: str = "doc_id", text_col: str = "text", k: int = GRAM) -> DataFrame:
     """One row for each document: doc_id, n_words, n_removed, text of the kept words, joined by one space."""
+    bounded_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("doc"), F.xxhash64(F.col(text_col)).alias("th"))
     runs = candidate_runs(docs.select("doc", "th", "text"), window, min(k, window))
     found = resolve(runs, window, resolver)
-    places = runs.select("digest", "doc", "th", "start", "r").join(found, "digest")
+    places = runs.select("d1", "d2", "doc", "th", "start", "r").join(found, ["d1", "d2"])
     own = F.transform("ranges", lambda x: F.struct((x["a"] + F.col("start")).alias("a"), (x["b"] + F.col("start")).alias("b")))
     whole = F.array(F.struct(F.col("start").alias("a"), (F.col("start") + F.col("r")).alias("b")))
     places = places.select("doc", "th", F.when(F.struct("doc", "start") == F.col("first"), own).otherwise(whole).alias("w")).where("w IS NOT NULL")
-    spans = places.groupBy("doc", "th").agg(F.flatten(F.collect_set("w")).alias("w"))
+    spans = materialise(places.groupBy("doc", "th").agg(F.flatten(F.collect_set("w")).alias("w")), "spans")
+    discard(runs)
+    discard(found)
     joined = docs.join(spans, ["doc", "th"], "left").select("doc_id", "text", "w")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

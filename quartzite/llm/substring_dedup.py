@@ -60,12 +60,12 @@ class SuffixAutomaton:
         return new, self.length[self.link[new]]
 
 
-def seen_before(contents: list[np.ndarray], window: int) -> list[np.ndarray]:
+def seen_before(contents: list[list[str]], window: int) -> list[np.ndarray]:
     """For each content a mask of its windows that occurred before: in an earlier content, or earlier in this one."""
     automaton, out = SuffixAutomaton(), []
     for words in contents:
         state, statistic = 0, np.empty(len(words), np.int64)
-        for i, c in enumerate(words.tolist()):
+        for i, c in enumerate(words):
             state, statistic[i] = automaton.extend(state, c)
         out.append(statistic[window - 1 :] >= window)
     return out

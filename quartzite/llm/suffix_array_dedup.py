@@ -12,9 +12,10 @@ Defined results: as for substring deduplication, with passages in place of windo
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import window_hashes
+from .common import window_hashes, word_hashes
 from .repeats import GRAM, cut_repeats
 
 PASSAGE = 50
@@ -36,8 +37,10 @@ def by_hashes(contents: list[np.ndarray], window: int) -> list[np.ndarray]:
     return np.split(first[where.ravel()] < np.arange(len(key)), np.cumsum(size)[:-1])
 
 
-def matched_before(contents: list[np.ndarray], window: int, k: int = GRAM) -> list[np.ndarray]:
-    """For each content a mask of its passages that occurred before, in an earlier content or earlier in this one."""
+def matched_before(texts: list[list[str]], window: int, k: int = GRAM) -> list[np.ndarray]:
+    """For each content (its words) a mask of its passages that occurred before, in an earlier content or earlier in this one."""
+    words = word_hashes(pa.array([w for t in texts for w in t], pa.string()))
+    contents = np.split(words, np.cumsum([len(t) for t in texts])[:-1])
     grams = [window_hashes(c, k) for c in contents]
     lowest = [g.min() for g in grams]
     anchor = [int(g.argmin()) for g in grams]
