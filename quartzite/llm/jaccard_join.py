@@ -31,14 +31,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialise, shuffle_partitions, signed, text_slices, window_hashes, word_hashes, word_lists
+from .common import bounded_batches, discard, materialise, release_memory, shuffle_partitions, signed, text_slices, window_hashes, word_hashes, word_lists
 from .components import components
 
 WORDS, NUMERATOR, DENOMINATOR = 5, 80, 100
-#: Sets in one R-tree; larger blocks are cut into parts.
+#: Sets in one R-tree, and their tokens (8 bytes each); larger blocks are cut into parts.
 BLOCK = 4000
+BLOCK_TOKENS = 2_000_000
 #: Tokens that a task holds at once while it counts them (16 bytes each).
 TOKENS_PER_TASK = 4_000_000
+#: Rows whose credits travel together.
+GROUP_BITS = 12
 LEAF = 16
 BROADCAST_IDS = 1_000_000
 
@@ -111,27 +114,44 @@ def _repeats(signatures: DataFrame, total: int) -> DataFrame:
             )
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, rows = [], []
-        for batch in batches:
-            key, row, credit = (np.asarray(batch.column(c)) for c in ("key", "row", "credit"))
-            local = credit > 0
-            keys.append(key[~local])
-            rows.append(row[~local])
-            yield pa.RecordBatch.from_arrays([pa.array(row[local]), pa.array(credit[local].astype(np.int64))], names=["row", "credit"])
-        if not keys:
+        columns = [tuple(np.asarray(batch.column(c)) for c in ("key", "row", "credit")) for batch in batches]
+        if not columns:
             return
-        key, row = np.concatenate(keys), np.concatenate(rows)
+        key, row, credit = (np.concatenate(x) for x in zip(*columns, strict=True))
+        local, rows, credits = credit > 0, row, credit.astype(np.int64)
+        key, row = key[~local], row[~local]
         order = np.argsort(key)
         key, row = key[order], row[order]
         same = key[1:] == key[:-1]
         again = np.concatenate([[False], same]) | np.concatenate([same, [False]]) if len(key) else np.zeros(0, bool)
         # A mark stands for repeats within a batch, also where no other batch has the token; its row needs no credit here.
-        found, credit = np.unique(row[again & (row >= 0)], return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(credit)], names=["row", "credit"])
+        found, n = np.unique(row[again & (row >= 0)], return_counts=True)
+        yield credited(np.concatenate([rows[local], found]), np.concatenate([credits[local], n]))
+        release_memory()
+
+    def credited(row: np.ndarray, credit: np.ndarray) -> pa.RecordBatch:
+        """One row for each group of neighbouring rows, so that what a task sends does not grow with the number of documents times tasks."""
+        order = np.argsort(row, kind="stable")
+        row, credit = row[order], credit[order]
+        group = row >> GROUP_BITS
+        begin = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(row) else np.zeros(0, np.int64)
+        ends = pa.array(np.concatenate([begin, [len(row)]]), pa.int32())
+        return pa.RecordBatch.from_arrays([pa.array(group[begin]), pa.ListArray.from_arrays(ends, pa.array(row)), pa.ListArray.from_arrays(ends, pa.array(credit))], names=["group", "rows", "credits"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for group, rows, credits in zip(batch.column("group").to_pylist(), batch.column("rows"), batch.column("credits"), strict=True):
+                total = sums.setdefault(group, np.zeros(1 << GROUP_BITS, np.int64))
+                np.add.at(total, np.asarray(rows.values) & ((1 << GROUP_BITS) - 1), np.asarray(credits.values))
+        for group, total in sums.items():
+            at = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array((group << GROUP_BITS) + at), pa.array(total[at])], names=["row", "credit"])
 
     parts = max(shuffle_partitions(signatures.sparkSession), -(-total // TOKENS_PER_TASK))
     rows = signatures.where("n > 0").select("row", "sig", "tokens").mapInArrow(emit, "key long, row long, credit int")
-    return rows.repartition(parts, "key").mapInArrow(count, "row long, credit long").groupBy("row").agg(F.sum("credit").alias("credit"))
+    counted = rows.repartition(parts, "key").mapInArrow(count, "group long, rows array<long>, credits array<long>")
+    return counted.repartition(parts, "group").mapInArrow(add, "row long, credit long")
 
 
 def _sets(docs: DataFrame, k: int) -> DataFrame:
@@ -212,7 +232,7 @@ def link_block(nodes: np.ndarray, sets: list[np.ndarray], side: np.ndarray | Non
 
 def _links(members: DataFrame, t: Threshold, block: int) -> DataFrame:
     """members: comp, node, tokens. Edges (a, b) of forests within each component."""
-    parts = members.groupBy("comp").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("parts"))
+    parts = members.groupBy("comp").agg(F.ceil(F.greatest(F.count(F.lit(1)) / block, F.sum(F.size("tokens")) / BLOCK_TOKENS)).cast("int").alias("parts"))
     placed = members.join(parts, "comp").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     placed = placed.withColumn("other", other).select("comp", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "node", "tokens")
@@ -234,6 +254,7 @@ def similar_groups(docs: DataFrame, words: int = WORDS, num: int = NUMERATOR, de
 
     Two sets link when den * intersection >= num * union.
     """
+    bounded_batches(docs.sparkSession)
     spark, t = docs.sparkSession, Threshold(num, den)
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("th"))
     rows = materialise(_signatures(docs, words, t).withColumn("row", F.monotonically_increasing_id()), "sets")
