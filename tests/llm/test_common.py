@@ -1,0 +1,79 @@
+"""Words, hashes and suffix structures against plain Python."""
+
+import random
+import re
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+pytest.importorskip("quartzite.llm")
+
+from quartzite.llm import common, fm_index, repeats, substring_dedup, suffix_array_dedup
+
+TEXTS = ["", None, "Hello  World\tfoo", " lead", "trail ", "Été Café-bar 42x", " nbsp em", "a\x0bb\x0cc\rd\n", "x" * 5000]
+
+
+def test_words_match_regular_expressions():
+    lower = lambda t: re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
+    for kind, pattern in (("space", r"[^\x20\x09-\x0D]+"), ("alnum", r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")):
+        offsets, flat = common.word_lists(pa.array(TEXTS, pa.string()), kind)
+        words = flat.to_pylist()
+        assert [words[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)] == [re.findall(pattern, lower(t)) for t in TEXTS]
+
+
+def test_sliced_arrays_and_windows():
+    offsets, flat = common.word_lists(pa.array(TEXTS, pa.string()).slice(2, 4))
+    assert offsets[0] == 0 and offsets[-1] == len(flat)
+    h = common.word_hashes(pa.array(list("abcabc")))
+    w = common.window_hashes(h, 3)
+    assert w[0] == w[3] and len(set(w.tolist())) == 3 and len(common.window_hashes(h, 9)) == 0
+
+
+def test_fm_index_finds_all_occurrences():
+    rng = random.Random(5)
+    for trial in range(30):
+        runs = [[rng.randint(1, 4) for _ in range(rng.randint(1, 40))] for _ in range(rng.randint(1, 6))]
+        text = np.array([x for r in runs for x in [*r, 0]])
+        index = fm_index.FMIndex(text, sample=rng.choice([1, 3, 8]))
+        n = rng.randint(1, 4)
+        phrases = np.array([[rng.randint(1, 5) for _ in range(n)] for _ in range(20)])
+        low, high = index.search(phrases)
+        for p, a, b in zip(phrases.tolist(), low, high, strict=True):
+            expected = [i for i in range(len(text) - n + 1) if text[i : i + n].tolist() == p]
+            assert sorted(index.locate(np.arange(a, b)).tolist()) == expected
+
+
+def test_sliding_extremes():
+    x = np.random.default_rng(0).integers(0, 100, 60)
+    for width in (1, 2, 5, 13, 60):
+        assert repeats.sliding(np.minimum, x, width).tolist() == [x[i : i + width].min() for i in range(61 - width)]
+
+
+def brute_seen(contents, window):
+    known, out = set(), []
+    for c in contents:
+        mask = []
+        for i in range(len(c) - window + 1):
+            w = tuple(c[i : i + window])
+            mask.append(w in known)
+            known.add(w)
+        out.append(mask)
+    return out
+
+
+@pytest.mark.parametrize("resolver", [substring_dedup.seen_before, lambda c, n: suffix_array_dedup.matched_before(c, n, 2)])
+def test_resolvers_match_sets_of_windows(resolver):
+    rng = random.Random(7)
+    for trial in range(200):
+        window = rng.randint(2, 6)
+        # A group shares its least gram, as groups of runs with one minimiser do.
+        base = [rng.choice("ab") for _ in range(2 * window)]
+        contents = []
+        for _ in range(rng.randint(1, 5)):
+            c = list(base)
+            for _ in range(rng.randint(0, 2)):
+                c[rng.randrange(len(c))] = rng.choice("abc")
+            contents.append(c)
+        got = substring_dedup.seen_before(contents, window)
+        assert [m.tolist() for m in got] == brute_seen(contents, window)

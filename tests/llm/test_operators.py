@@ -1,0 +1,306 @@
+"""Each operator against a brute-force version, and its defined results for awkward rows."""
+
+import hashlib
+import re
+from collections import defaultdict
+
+import pytest
+from helpers import AWKWARD, corpus, empty, frame
+from pyspark.sql import functions as F
+
+pytest.importorskip("quartzite.llm")
+
+from quartzite.llm import components, decontaminate, exact_dedup, jaccard_join, language_id, line_dedup, packing, quality, repeats, substring_dedup, suffix_array_dedup, url_filter
+
+TEXTS = corpus() + AWKWARD + ["", None, "one"]
+
+
+def lower(t):
+    return re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
+
+
+def test_decontamination(spark):
+    items = [(0, TEXTS[5]), (1, "w1 w2"), (2, None), (3, ""), (4, " ".join((TEXTS[3] or "").split()[2:30])), (5, "a b c"), (6, "a b c")]
+    bench = spark.createDataFrame(items, "item_id long, text string").withColumn("n_hit", F.lit(1))
+    words = [re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t)) for t in TEXTS]
+    expected = {}
+    for d, ws in enumerate(words):
+        hit, found = set(), set()
+        for item, text in items:
+            iw = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(text))
+            n = min(10, len(iw))
+            grams = {tuple(iw[i : i + n]) for i in range(len(iw) - n + 1)} if n else set()
+            for i in range(len(ws) - n + 1 if n else 0):
+                if tuple(ws[i : i + n]) in grams:
+                    hit.update(range(i, i + n))
+                    found.add(item)
+        expected[d] = (len(ws), len(hit), sorted(found))
+    for block in (100, 2):
+        got = decontaminate.contamination(frame(spark, TEXTS), bench, items_per_block=block).collect()
+        assert {r.doc_id: (r.n_words, r.n_hit, sorted(r["items"])) for r in got} == expected
+        assert all(sum(s.stop - s.start for s in r.spans) == r.n_hit for r in got)
+    clean = decontaminate.contamination(frame(spark, TEXTS), bench, clean=True)
+    assert clean.columns == frame(spark, TEXTS).columns
+    again = decontaminate.contamination(clean, bench.where("item_id <> 1")).where("n_hit > 0").count()
+    assert again == 0 and clean.count() == len(TEXTS)
+    untouched = {d for d, (_, n, _) in expected.items() if n == 0}
+    assert all(r.text == TEXTS[r.doc_id] for r in clean.collect() if r.doc_id in untouched)
+    assert decontaminate.contamination(empty(spark), bench).count() == 0
+    assert decontaminate.contamination(frame(spark, TEXTS), bench.limit(0)).where("n_hit > 0").count() == 0
+
+
+def test_exact_dedup(spark):
+    groups = defaultdict(list)
+    for i, t in enumerate(TEXTS):
+        groups[t or ""].append(i)
+    got = {r.doc_id: r for r in exact_dedup.deduplicate(frame(spark, TEXTS)).collect()}
+    for text, ids in groups.items():
+        for i in ids:
+            assert (got[i].keep_id, got[i].group_size, got[i].kept) == (max(ids), len(ids), i == max(ids))
+            assert bytes(got[i].digest).hex() == hashlib.sha256(text.encode()).hexdigest()
+    assert exact_dedup.deduplicate(empty(spark)).count() == 0
+
+
+def test_digest_index_keeps_what_it_has_seen(spark):
+    index = exact_dedup.DigestIndex(spark, buckets=4)
+    first, second = frame(spark, ["a", "b", "b"]), frame(spark, ["b", "c", None])
+    exact_dedup.deduplicate(first, index).collect()
+    kept = [r.doc_id for r in exact_dedup.deduplicate(second, index).where("kept").collect()]
+    assert sorted(kept) == [1, 2] and index.table().count() == 4
+    plan = index.table().groupBy("digest").count()._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan  # the buckets are used
+
+
+def test_drop_duplicates_with_repeated_and_null_ids(spark):
+    rows = [(1, "a"), (1, "a"), (2, "b"), (3, "b"), (None, "c"), (None, "c"), (4, None), (5, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for limit in (10, 0):
+        got = sorted((r.text or "", r.doc_id or 0) for r in exact_dedup.drop_duplicates(df, broadcast_rows=limit).collect())
+        assert got == [("", 5), ("a", 1), ("b", 3), ("c", 0)]
+
+
+def brute_lines(texts, least, keep):
+    where = defaultdict(set)
+    key = lambda line: lower(line.strip("\x20\x09\x0a\x0b\x0c\x0d"))
+    for d, t in enumerate(texts):
+        for line in (t or "").split("\n"):
+            if key(line):
+                where[key(line)].add(d)
+    out, seen = {}, set()
+    for d, t in enumerate(texts):
+        kept = []
+        lines = (t or "").split("\n")
+        for line in lines:
+            k = key(line)
+            repeated = len(where[k]) >= least if k else False
+            if not repeated or (keep == "first" and k not in seen):
+                kept.append(line)
+            if repeated:
+                seen.add(k)
+        out[d] = (len(lines), len(lines) - len(kept), "\n".join(kept))
+    return out
+
+
+@pytest.mark.parametrize("keep,least,broadcast", [("none", 3, 10**6), ("first", 2, 10**6), ("none", 2, 0), ("first", 2, 0)])
+def test_line_dedup(spark, keep, least, broadcast):
+    texts = ["\n".join(t.split(" w")) if t else t for t in TEXTS] + [" Same \nx", "same\ny", "SAME\r\nz", "same"]
+    got = line_dedup.drop_lines(frame(spark, texts), least, 1, keep, broadcast_keys=broadcast).collect()
+    assert {r.doc_id: (r.n_lines, r.n_dropped, r.text) for r in got} == brute_lines(texts, least, keep)
+
+
+def test_line_dedup_of_nothing(spark):
+    assert line_dedup.drop_lines(empty(spark)).count() == 0
+
+
+def brute_components(texts, k, num, den):
+    sets = []
+    for t in texts:
+        ws = re.findall(r"[^\x20\x09-\x0D]+", lower(t))
+        sets.append({tuple(ws[i : i + k]) for i in range(len(ws) - k + 1)} if len(ws) >= k else {tuple(ws)} if ws else set())
+    parent = list(range(len(texts)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if sets[i] and sets[j]:
+                both = len(sets[i] & sets[j])
+                if den * both >= num * (len(sets[i]) + len(sets[j]) - both):
+                    a, b = sorted((root(i), root(j)))
+                    parent[b] = a
+    return {i: (len(sets[i]), root(i)) for i in range(len(texts))}
+
+
+@pytest.mark.parametrize("k,num,den,block", [(4, 85, 100, 4000), (5, 80, 100, 3), (1, 50, 100, 2)])
+def test_jaccard_join(spark, k, num, den, block):
+    texts = corpus(n=90, seed=k) + AWKWARD
+    got = jaccard_join.similar_groups(frame(spark, texts), k, num, den, block=block).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(texts, k, num, den)
+
+
+def test_jaccard_bounds_lose_nothing():
+    t = jaccard_join.Threshold(85, 100)
+    for n in range(1, 300):
+        for m in range(t.smallest_partner(n), n + 1):
+            need = t.overlap(n, m)
+            assert 100 * need >= 85 * (n + m - need) and 100 * (need - 1) < 85 * (n + m - need + 1)
+            shared = min(int(t.extra(n)), int(t.extra(m)))
+            assert n - need + shared <= t.beginning(n) and m - need + shared <= t.beginning(m)
+            assert shared >= t.shared(n) and shared >= 1
+
+
+def test_drop_similar_and_nothing(spark):
+    texts = corpus(n=40) + [None, "", "one", "ONE"]
+    expected = {i for i, (n, c) in brute_components(texts, 5, 80, 100).items() if i == c or not n}
+    df = frame(spark, texts)
+    for limit in (10**6, 0):
+        out = jaccard_join.drop_similar(df, broadcast_rows=limit)
+        assert out.columns == df.columns and {r.doc_id for r in out.collect()} == expected
+    assert jaccard_join.similar_groups(empty(spark)).count() == 0
+
+
+def test_components_of_paths_and_stars(spark):
+    edges = [(i, i + 1) for i in range(50)] + [(100, 200 + i) for i in range(30)] + [(7, 7), (300, 301), (301, 300)]
+    got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert {got[i] for i in range(51)} == {0} and {got[200 + i] for i in range(30)} == {100} and got[301] == 300
+
+
+def brute_repeats(texts, window):
+    where = defaultdict(list)
+    words = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for t in texts]
+    for d, ws in enumerate(words):
+        for i in range(len(ws) - window + 1):
+            where[tuple(ws[i : i + window])].append((d, i))
+    gone = defaultdict(set)
+    for places in where.values():
+        for d, i in places[1:]:
+            gone[d].update(range(i, i + window))
+    return {d: (len(ws), len(gone[d]), " ".join(w for i, w in enumerate(ws) if i not in gone[d])) for d, ws in enumerate(words)}
+
+
+@pytest.mark.parametrize("window,operator", [(20, substring_dedup.deduplicate_substrings), (9, substring_dedup.deduplicate_substrings), (50, suffix_array_dedup.deduplicate_passages), (12, suffix_array_dedup.deduplicate_passages)])
+@pytest.mark.parametrize("group", [1000, 1])
+def test_repeated_passages(spark, window, operator, group, monkeypatch):
+    monkeypatch.setattr(repeats, "GROUP", group)
+    texts = corpus(n=80, seed=window, words=60) + AWKWARD + ["w w w w w x w w w w w w w w w w w w w w w w w w w w w"] * 2
+    got = operator(frame(spark, texts), window).collect()
+    assert {r.doc_id: (r.n_words, r.n_removed, r.text) for r in got} == brute_repeats(texts, window)
+    assert operator(empty(spark), window).count() == 0
+
+
+def test_url_filter_beyond_the_broadcast(spark, monkeypatch):
+    urls = ["http://a.com/en/1", "HTTP://WWW.Example.COM/en/?q", "x", None, "https://b.net/fr", "https://b.net/fr/", "http://com", "http://com/", "http://c.org/#://d.com/", "http://user@e.com:80/en/", "http://a.com/en/1"]
+    pages = spark.createDataFrame([(i, u, "h") for i, u in enumerate(urls)] + [(0, urls[0], "h")], "page_id long, url string, host string")
+    rules = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/fr/")] + [("block", f"site{i}.org", "/") for i in range(40)]
+
+    def judge(u):
+        rest = u.partition("://")[2] if u and "://" in u else ""
+        before = re.match(r"[^?#]*", rest)[0]
+        host, path = lower(re.match("[^/]*", before)[0]), before[len(re.match("[^/]*", before)[0]) :]
+        fits = [(len(h + p), h + p, v) for v, h, p in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        best = max(fits, default=(0, None, "allow"))
+        return host, path, best[1], best[2]
+
+    expected = sorted(map(str, [(i, *judge(u)) for i, u in enumerate(urls)] + [(0, *judge(urls[0]))]))
+    for limit in (10, 10**6):
+        monkeypatch.setattr(url_filter, "BROADCAST_RULES", limit)
+        got = url_filter.judge(pages, url_filter.rules_from(spark, rules)).collect()
+        assert sorted(str((r.page_id, r.host, r.path, r.rule, r.verdict)) for r in got) == expected
+    none = url_filter.judge(pages, url_filter.rules_from(spark, rules).limit(0))
+    assert none.count() == 12 and none.where("verdict <> 'allow' OR rule IS NOT NULL").count() == 0
+
+
+def check_packing(pieces, tokens, segments, loss, documents):
+    by_doc, by_sequence = defaultdict(list), defaultdict(list)
+    for p in pieces:
+        by_doc[p.doc_id].append(p)
+        by_sequence[p.sequence_id].append(p)
+    assert set(by_doc) == set(documents)
+    for d, ps in by_doc.items():
+        ps.sort(key=lambda p: p.start)
+        assert [x for p in ps for x in p["ids"]] == documents[d]
+        assert all(p.doc_tokens == len(documents[d]) for p in ps)
+    for ps in by_sequence.values():
+        ps.sort(key=lambda p: p.offset)
+        assert [p.offset for p in ps] == [sum(q.length for q in ps[:i]) for i in range(len(ps))]
+        total = sum(p.length for p in ps)
+        assert total <= tokens and len(ps) <= segments and sum(p.loss for p in ps) <= loss
+        assert total == tokens or total & (total - 1) == 0
+
+
+def test_packing_texts(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    plain = Tokenizer.from_file(path)
+    texts = TEXTS + ["<|endoftext|> a<|endoftext|>", "it's  \t  12½ \U0001f600‍"]
+    expected = {i: [*plain.encode(t or "", add_special_tokens=False).ids, 1] for i, t in enumerate(texts)}
+    check_packing(packing.pack(frame(spark, texts), path).collect(), 2048, 64, 2048, expected)
+    small = packing.pack(frame(spark, texts), path, tokens=64, segments=3, loss=50, pool=4).collect()
+    check_packing(small, 64, 3, 50, expected)
+    assert packing.pack(empty(spark), path).count() == 0
+
+
+def test_packing_examples_under_a_loss_limit(spark):
+    rows = [(i, list(range(i % 37 + 1)), [j % 3 == 0 and 1 or 0 for j in range(i % 37 + 1)]) for i in range(200)] + [(200, None, None), (201, [5] * 500, None)]
+    df = spark.createDataFrame(rows, "doc_id long, ids array<int>, loss_mask array<int>").repartition(2)
+    got = packing.pack_examples(df, tokens=128, segments=8, loss=40, pool=16).collect()
+    check_packing(got, 128, 8, 40, {i: ids for i, ids, _ in rows if ids})
+
+
+def test_language_id(spark):
+    en, de = ["the thing that was with them", "which of these there"], ["der ist nicht und schön", "über die straße"]
+    ru = ["это просто текст"]
+    rows = [(i, t, lang) for i, (t, lang) in enumerate([(t * 3, "en") for t in en] + [(t * 3, "de") for t in de] + [(t, "ru") for t in ru] + [("zzz", None), (None, "en")])]
+    model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.languages == ["de", "en", "ru"]
+    texts = ["the thing that was with them", "текст", None, "", "123 !!", "the thing that was with them which of these there это просто текст это", "中文"]
+    out = {r.doc_id: r for r in language_id.identify(frame(spark, texts), model).collect()}
+    assert [out[i].lang_pred for i in range(5)] == ["en", "ru", "und", "und", "und"] and out[2].score == 0
+    assert [(s.lang, s.start, s.stop) for s in out[5].spans] == [("en", 0, 10), ("ru", 10, 14)]
+    assert out[6].lang_pred in model.languages
+    nothing = language_id.fit(empty(spark))
+    assert language_id.identify(frame(spark, texts), nothing).where("lang_pred <> 'und'").count() == 0
+    assert language_id.identify(empty(spark), model).count() == 0
+
+
+def test_viterbi_matches_exhaustive_search():
+    import itertools
+
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    lengths = [0, 1, 5, 3]
+    offsets = np.concatenate([[0], np.cumsum(lengths)])
+    score = rng.normal(size=(sum(lengths), 3)).astype(np.float32)
+    label = language_id.viterbi(score, offsets, 0.7)
+    for a, b in zip(offsets[:-1], offsets[1:], strict=True):
+        value = lambda path: sum(score[a + i, k] for i, k in enumerate(path)) - 0.7 * sum(x != y for x, y in zip(path, path[1:], strict=False))  # noqa: B023, E731
+        best = max((value(p) for p in itertools.product(range(3), repeat=b - a)), default=0)
+        assert abs(value(label[a:b].tolist()) - best) < 1e-4
+
+
+def test_quality(spark):
+    import random
+
+    rng = random.Random(0)
+    words = ["the", "of", "and", "in"] * 5 + ["".join(rng.choice("aeioulnrst") for _ in range(rng.randint(4, 9))) for _ in range(80)] + ["end."] * 8
+    good = [" ".join(rng.choice(words) for _ in range(60)).capitalize() for _ in range(60)]
+    caps = [t.upper().replace(" ", "!! ") for t in good[:8]]
+    marks = [t.replace(" ", "### ") for t in good[8:16]]
+    same = ["Spam " * 40 for _ in range(8)]
+    texts = good + caps + marks + same + [None, "", "   "]
+    df = frame(spark, texts)
+    scorer = quality.fit(df)
+    out = {r.doc_id: r for r in quality.score(df, scorer).collect()}
+    assert all(out[i].kept for i in range(60)) and not any(out[i].kept for i in range(60, len(texts)))
+    assert out[len(texts) - 1].score == 0 and out[len(texts) - 1].posterior is None
+    kept = quality.filter_quality(df, scorer)
+    assert kept.columns == df.columns and kept.count() == 60
+    assert quality.score(empty(spark), quality.fit(empty(spark))).count() == 0
+    alike = frame(spark, ["word " * 3])
+    assert quality.score(alike, quality.fit(alike)).count() == 1

@@ -1,0 +1,119 @@
+"""The opN_ queries against SQL on the smallest tables, held-out accuracy, and the pipeline against brute force."""
+
+import os
+import re
+from collections import defaultdict
+
+import duckdb
+import pytest
+
+pytest.importorskip("quartzite.llm")
+
+import corpus_pipeline
+import public_tokenizers
+from quartzite.llm import queries
+from tokenizers import Tokenizer
+
+SF = "/root/testdata/sf0.001"
+pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
+
+
+@pytest.fixture(scope="module")
+def duck():
+    con = duckdb.connect()
+    for t in ("documents", "benchmark", "pages", "labels"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    return con
+
+
+@pytest.mark.parametrize("name", sorted(queries.SQL))
+def test_matches_sql(spark, duck, name):
+    own = queries.QUERIES[name](spark, SF).toPandas()
+    other = duck.execute(queries.SQL[name]).fetchdf()
+    assert sorted(own.columns) == sorted(other.columns)
+    rows = lambda f: sorted(tuple(None if v != v else str(v) for v in r) for r in f[sorted(f.columns)].astype(object).itertuples(index=False))
+    assert list(map(str, rows(own))) == list(map(str, rows(other)))
+
+
+def test_language_of_held_out_documents(spark, duck):
+    out = queries.op2_language_id(spark, SF).where("held_out").toPandas().merge(duck.execute("SELECT doc_id, lang FROM documents WHERE lang IS NOT NULL").fetchdf(), on="doc_id")
+    assert len(out) > 30 and (out.lang == out.lang_pred).mean() >= 0.97
+    assert out.score.between(0, 1).all()
+
+
+def test_quality_against_labels(spark, duck):
+    out = queries.op9_quality(spark, SF).toPandas().merge(duck.execute("SELECT * FROM labels").fetchdf(), on="doc_id")
+    assert out[out.quality == 1].kept.mean() >= 0.98
+    assert out[out.quality == 0].kept.mean() <= 0.4
+
+
+def test_packing_is_whole(spark, duck):
+    plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    expected = {d: len(plain.encode(t or "", add_special_tokens=False).ids) + 1 for d, t in duck.execute("SELECT doc_id, text FROM documents").fetchall()}
+    out = queries.op8_packing(spark, SF).collect()
+    total = defaultdict(int)
+    for r in out:
+        total[r.doc_id] += r.length
+    assert total == expected and all(r.doc_tokens == expected[r.doc_id] for r in out)
+
+
+def words(text, pattern):
+    return re.findall(pattern, re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+
+
+def test_pipeline_against_brute_force(spark):
+    stages = dict(corpus_pipeline.STAGES)
+    assert list(stages) == ["quality classifier", "exact dedup", "n-gram Jaccard join", "benchmark decontamination", "packing"]
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    columns = docs.columns
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    results = []
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, SF).cache()
+        assert docs.columns == columns, name
+        results.append({r.doc_id: r.text for r in docs.collect()})
+    rated, exact, near, clean = results
+    scored = {r.doc_id: r.kept for r in queries.op9_quality(spark, SF).collect()}
+    assert rated == {d: t for d, t in texts.items() if scored[d]}
+    last = {}
+    for d in sorted(rated):
+        last[rated[d]] = d
+    assert exact == {d: t for t, d in last.items()}
+
+    shingles = {}
+    for d, t in exact.items():
+        ws = words(t, r"[^\x20\x09-\x0D]+")
+        shingles[d] = {tuple(ws[i : i + 5]) for i in range(len(ws) - 4)} if len(ws) >= 5 else {tuple(ws)}
+    group = {d: d for d in exact}
+    ids = sorted(exact)
+    changed = True
+    while changed:
+        changed = False
+        for i, a in enumerate(ids):
+            for b in ids[:i]:
+                both = len(shingles[a] & shingles[b])
+                if group[a] != group[b] and both and 100 * both >= 80 * (len(shingles[a]) + len(shingles[b]) - both):
+                    low, high = sorted((group[a], group[b]))
+                    group = {d: low if g == high else g for d, g in group.items()}
+                    changed = True
+    assert set(near) == {d for d in exact if group[d] == d} and all(near[d] == exact[d] for d in near)
+
+    pattern = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+    grams = set()
+    for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect():
+        ws = words(r.text, pattern)
+        n = min(10, len(ws))
+        grams |= {tuple(ws[i : i + n]) for i in range(len(ws) - n + 1)} if n else set()
+    sizes = {len(g) for g in grams}
+    assert set(clean) == set(near)
+    for d, t in near.items():
+        ws = words(t, pattern)
+        hit = {j for n in sizes for i in range(len(ws) - n + 1) if tuple(ws[i : i + n]) in grams for j in range(i, i + n)}
+        assert words(clean[d], pattern) == [w for j, w in enumerate(ws) if j not in hit]
+        assert hit or clean[d] == t
+    plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    pieces = defaultdict(list)
+    for r in stages["packing"](spark, docs, SF).collect():
+        pieces[r.doc_id].append((r.start, r["ids"]))
+    for d, t in clean.items():
+        assert [x for _, ids in sorted(pieces[d]) for x in ids] == [*plain.encode(t, add_special_tokens=False).ids, 1]
