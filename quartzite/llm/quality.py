@@ -30,7 +30,7 @@ SAMPLE = 20_000
 FEATURES = 1 << 14
 THRESHOLD = 0.5
 #: The labellers vote for junk on clear cases only: the estimate of how often they do so on good documents is held below this.
-FALSE_ALARMS = 0.01
+FALSE_ALARMS = 0.002
 #: Words from which on a share of words says something.
 ENOUGH = 15
 
@@ -94,7 +94,7 @@ def votes(s: dict[str, np.ndarray]) -> np.ndarray:
             vote(s["marks"] > 0.3, s["marks"] < 0.1),
             vote(enough & (s["same"] > 0.1), enough & (s["same"] < 0.03)),
             vote(s["run"] >= 6, enough & (s["run"] <= 3)),
-            vote(enough & (s["top"] > 0.25), enough & (s["top"] < 0.15)),
+            vote(enough & ((s["top"] > 0.25) | (s["same"] > 0.3)), enough & (s["top"] < 0.15) & (s["same"] < 0.03)),
             vote(enough & (s["short"] < 0.05), enough & (s["short"] > 0.15)),
             vote(enough & ((s["ends"] < 0.01) | (s["ends"] > 0.6)), enough & (s["ends"] > 0.02) & (s["ends"] < 0.35)),
             vote(s["letters"] < 0.75, s["letters"] > 0.9),
