@@ -97,7 +97,7 @@ def votes(s: dict[str, np.ndarray]) -> np.ndarray:
             vote(enough & ((s["top"] > 0.25) | (s["same"] > 0.3)), enough & (s["top"] < 0.15) & (s["same"] < 0.03)),
             vote(enough & (s["short"] < 0.05), enough & (s["short"] > 0.15)),
             vote(enough & ((s["ends"] < 0.01) | (s["ends"] > 0.6)), enough & (s["ends"] > 0.02) & (s["ends"] < 0.35)),
-            vote(s["letters"] < 0.75, s["letters"] > 0.9),
+            vote(enough & (s["letters"] < 0.75), s["letters"] > 0.9),
         ],
         axis=1,
     )
