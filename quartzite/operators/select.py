@@ -119,12 +119,12 @@ def uniform_sample(df: DataFrame, n: int, key: list[str], seed: int = 12345) ->
     return df.orderBy(F.xxhash64(F.lit(seed), *key), *key).limit(n)
 
 
-def thinned(df: DataFrame, ordinal: str, n: int, width: int) -> DataFrame:
-    """Rows at int(i * n / width) for i below width; all rows if there are no more."""
-    if n <= width:
-        return df
-    wanted = F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.floor(i * F.lit(n) / F.lit(width))))
-    return df.where(F.array_contains(wanted, F.col(ordinal).cast("long")))
+def thinned(df: DataFrame, run: list[str], ordinal: str, width: int) -> DataFrame:
+    """Of each run of n rows those at int(k * n / width) for k below width; all rows of a run that has no more than width."""
+    sizes = df.groupBy(*run).agg(F.count(F.lit(1)).alias("_n"))
+    k = F.ceil(F.col(ordinal) * width / F.col("_n"))
+    picked = (k < width) & (F.floor(k * F.col("_n") / width) == F.col(ordinal))
+    return df.join(sizes, run).where((F.col("_n") <= width) | picked).drop("_n")
 
 
 def canonical(df: DataFrame, path: str = "path", frame: str = "frame_index") -> DataFrame:

@@ -564,10 +564,10 @@ def eos_fit(spark: SparkSession, d: str) -> DataFrame:
     return out.select("p_brand", "n", F.round("e0", 3).alias("e0"), F.round("v0", 2).alias("v0"), F.round("b0_gpa", 2).alias("b0_gpa"), F.round("b0p", 1).alias("b0p"))
 
 
-@query("SELECT p_brand, v_least, round(e_least, 4) AS e_least FROM (SELECT p_brand, min_by(p_size + 80.0, abs(p_size - 20)) AS v_least, min(-500.0 + 50.625 * (pow(pow(100.0 / (p_size + 80.0), 2.0 / 3.0) - 1, 3) * 4.3 + pow(pow(100.0 / (p_size + 80.0), 2.0 / 3.0) - 1, 2) * (6 - 4 * pow(100.0 / (p_size + 80.0), 2.0 / 3.0)))) AS e_least FROM part GROUP BY 1) WHERE v_least = 100")
+@query("WITH x AS (SELECT p_brand, p_size + 80.0 AS v, pow(100.0 / (p_size + 80.0), 2.0 / 3.0) AS x FROM part), e AS (SELECT p_brand, v, -500.0 + 50.625 * (pow(x - 1, 3) * 4.3 + pow(x - 1, 2) * (6 - 4 * x)) AS e FROM x) SELECT p_brand, min_by(v, (e, v)) AS v_least, round(min(e), 4) AS e_least FROM e GROUP BY 1")
 def eos_least_point(spark: SparkSession, d: str) -> DataFrame:
     """The point of least energy that stands in where there is no fit."""
-    return rounded(eos.fit(eos_points(spark, d), ["p_brand"], "v", "e").where("v_least = 100").select("p_brand", "v_least", "e_least"))
+    return rounded(eos.fit(eos_points(spark, d), ["p_brand"], "v", "e").select("p_brand", "v_least", "e_least"))
 
 
 @query("SELECT p_partkey, round(1.5 * 0.9 * (pow(100.0 / (p_size + 80.0), 7.0 / 3.0) - pow(100.0 / (p_size + 80.0), 5.0 / 3.0)) * (1 + 0.75 * 0.3 * (pow(100.0 / (p_size + 80.0), 2.0 / 3.0) - 1)), 6) AS pressure FROM part")
@@ -650,11 +650,11 @@ def temperature_match(spark: SparkSession, d: str) -> DataFrame:
     return o.where(match.temperature_matches(F.lit(None).cast("double"), F.col("o_totalprice") / 1000, F.col("o_custkey"), 100.0, 5.0)).select("o_orderkey")
 
 
-@query("SELECT o_orderkey FROM orders WHERE o_orderkey % 20 = 3")
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')")
 def held_out_split(spark: SparkSession, d: str) -> DataFrame:
     """The rows of a stated split."""
-    o = table(spark, d, "orders").select("o_orderkey")
-    return match.held_out(o, o.where("o_orderkey % 20 = 3"), "o_orderkey")
+    split = table(spark, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
+    return match.held_out(table(spark, d, "orders"), split, "o_orderkey").select("o_orderkey", "o_totalprice")
 
 
 @query("SELECT l_returnflag, round(sum(coalesce(CASE l_returnflag WHEN 'A' THEN 6.94 WHEN 'N' THEN 14.007 END, 1.0) * l_quantity), 2) AS mass FROM lineitem GROUP BY 1")
@@ -727,11 +727,10 @@ def uniform_sample(spark: SparkSession, d: str) -> DataFrame:
     return select.uniform_sample(table(spark, d, "orders"), 100, ["o_orderkey"]).select("o_orderkey")
 
 
-@query(f"SELECT event_id FROM {RUNS} JOIN (SELECT user_id, count(*) AS n FROM events GROUP BY 1) USING (user_id) WHERE user_id = 1 AND (n <= 20 OR list_contains(list_transform(range(0, 20), lambda x: x * n // 20), i))")
+@query(f"SELECT event_id FROM {RUNS} JOIN (SELECT user_id, count(*) AS n FROM events GROUP BY 1) USING (user_id) WHERE n <= 20 OR list_contains(list_transform(range(0, 20), lambda x: x * n // 20), i)")
 def thinned_series(spark: SparkSession, d: str) -> DataFrame:
-    """20 places of one run (a sampling operator)."""
-    one = runs(spark, d).where("user_id = 1")
-    return select.thinned(one, "i", one.count(), 20).select("event_id")
+    """20 places of each run (a sampling operator)."""
+    return select.thinned(runs(spark, d), ["user_id"], "i", 20).select("event_id")
 
 
 @query("SELECT o_orderkey, c.metric, c.value FROM (SELECT o_orderkey, unnest([{'metric': 'a_mse', 'value': o_totalprice - 100000}, {'metric': 'b', 'value': o_custkey::DOUBLE}]) AS c FROM orders)")
