@@ -614,13 +614,14 @@ def first_appearance(spark: SparkSession, d: str) -> DataFrame:
  UNION ALL SELECT p_partkey, s_suppkey, 1, 'size' FROM part JOIN supplier ON p_size = s_nationkey),
 b AS (SELECT p_partkey, min(pr) AS pr FROM h GROUP BY 1),
 l AS (SELECT p_partkey, strategy, list_sort(list_distinct(list(s_suppkey))) AS s FROM h JOIN b USING (p_partkey, pr) GROUP BY 1, 2)
-SELECT p.p_partkey, coalesce(s[p.p_partkey % 3 + 1], s[1]) AS s_suppkey, strategy FROM part p LEFT JOIN l USING (p_partkey)"""
+SELECT p.p_partkey, coalesce(s[p.p_partkey % 3 + 1], s[1], -1) AS s_suppkey, coalesce(strategy, 'none') AS strategy FROM part p LEFT JOIN l USING (p_partkey)"""
 )
 def prioritised_match(spark: SparkSession, d: str) -> DataFrame:
     """The better of two strategies, the variant's place among equal hits, unmatched rows kept."""
     p = table(spark, d, "part").select("p_partkey", "p_size", (F.col("p_partkey") % 10).alias("tail"), (F.col("p_partkey") % 3).alias("variant"))
     s = table(spark, d, "supplier").select("s_suppkey", "s_nationkey", (F.col("s_suppkey") % 10).alias("s_tail"))
-    return match.prioritised(p, s, "p_partkey", "s_suppkey", [("both", [("p_size", "s_nationkey"), ("tail", "s_tail")]), ("size", [("p_size", "s_nationkey")])], "variant")
+    out = match.prioritised(p, s, "p_partkey", "s_suppkey", [("both", [("p_size", "s_nationkey"), ("tail", "s_tail")]), ("size", [("p_size", "s_nationkey")])], "variant")
+    return out.select("p_partkey", F.coalesce("s_suppkey", F.lit(-1)).alias("s_suppkey"), F.coalesce("strategy", F.lit("none")).alias("strategy"))
 
 
 @query("SELECT p_partkey, p_size FROM part WHERE NOT EXISTS (SELECT 1 FROM supplier WHERE s_nationkey = p_size)")
@@ -682,12 +683,12 @@ def force_split(spark: SparkSession, d: str) -> DataFrame:
     return calm.select("l_orderkey", F.lit(True).alias("calm")).unionByName(rest.select("l_orderkey", F.lit(False).alias("calm")))
 
 
-@query("SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN NULL ELSE NOT (o_orderpriority = '1-URGENT' OR o_orderstatus <> 'F' OR o_custkey % 80 >= 60) END AS converged FROM orders")
+@query("SELECT o_orderkey, coalesce(CASE WHEN o_orderstatus = 'P' THEN NULL ELSE NOT (o_orderpriority = '1-URGENT' OR o_orderstatus <> 'F' OR o_custkey % 80 >= 60) END::VARCHAR, 'undecidable') AS converged FROM orders")
 def convergence_three_valued(spark: SparkSession, d: str) -> DataFrame:
     """True, false or undecidable."""
     iterations = F.when(F.col("o_orderstatus") != "P", F.col("o_custkey") % 80)
     c = frames.converged(F.col("o_orderpriority") == "1-URGENT", F.col("o_orderstatus") == "F", iterations, F.lit(None).cast("int"))
-    return table(spark, d, "orders").select("o_orderkey", c.alias("converged"))
+    return table(spark, d, "orders").select("o_orderkey", F.coalesce(c.cast("string"), F.lit("undecidable")).alias("converged"))
 
 
 @query()

@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from quartzite.plans import queries
@@ -23,7 +24,7 @@ def duck():
 
 def rows(frame):
     frame = frame[sorted(frame.columns)]
-    clean = lambda v: None if v is None or v != v else round(float(v), 6) if isinstance(v, float) else v
+    clean = lambda v: None if pd.isna(v) else round(float(v), 6) if isinstance(v, float) else v
     return sorted(([str(clean(v)) for v in r] for r in frame.astype(object).itertuples(index=False)), key=str)
 
 
