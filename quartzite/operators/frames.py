@@ -104,3 +104,36 @@ def active_jobs(jobs: DataFrame, state: str, directory: str, roots: list[str], s
     from ..functions.text import under_any
 
     return jobs.where(F.col(state).isin(*states) & under_any(F.col(directory), roots))
+
+
+def property_names(info: Column) -> Column:
+    """Names of the per-atom properties that a frame's header lists."""
+    fields = F.split(F.coalesce(info["Properties"], F.lit("")), ":")
+    return F.filter(fields, lambda x, i: i % 3 == 0)
+
+
+def evaluation_model(info: Column, models: list[str], reference: str = "REF") -> Column:
+    """The first model, in the stated precedence, whose energy and forces a frame has beside those of the reference; null where there is none."""
+    names = property_names(info)
+    has = lambda m: info[f"{m}_energy"].isNotNull() & F.array_contains(names, f"{m}_forces")
+    model = F.lit(None).cast("string")
+    for m in reversed(models):
+        model = F.when(has(m), m).otherwise(model)
+    return F.when(has(reference), model)
+
+
+def evaluation_files(frames: DataFrame, models: list[str], reference: str = "REF") -> DataFrame:
+    """path, model of the files whose first frame can be evaluated."""
+    first = frames.groupBy("path").agg(F.min_by("info", "frame_index").alias("info"))
+    return first.select("path", evaluation_model(F.col("info"), models, reference).alias("model")).where("model IS NOT NULL")
+
+
+def frames_by_run(frames: DataFrame, unknown: str = "__unknown__") -> DataFrame:
+    """Number of frames for each run_id of the headers; frames without one are counted under a stated name. Reads no atoms if the source is asked for none."""
+    return frames.groupBy("path", F.coalesce(F.col("info")["run_id"], F.lit(unknown)).alias("run_id")).agg(F.count(F.lit(1)).alias("frames"))
+
+
+def frame_energy(header: Column, listed: Column, info: Column, key: str = "energy") -> Column:
+    """A frame's energy: the header's value if headers and frames agree in number (listed is then true), else a key, else any key with 'energy' that is no stress and not per atom."""
+    names = F.filter(F.array_sort(F.map_keys(info)), lambda k: F.lower(k).contains("energy") & ~F.lower(k).contains("stress") & ~F.lower(k).contains("per_atom"))
+    return F.coalesce(F.when(listed, header), info[key].try_cast("double"), info[F.get(names, F.lit(0))].try_cast("double"))

@@ -57,6 +57,11 @@ def rewrite(text: Column, key: str, value: Column) -> Column:
     return F.regexp_replace(text, F.lit(rf"(?im)^[ \t]*{key}[ \t]*=[^\n]*"), F.concat(F.lit(f"{key} = "), F.regexp_replace(value, r"([\\$])", r"\\$1")))
 
 
+def missing_keys(text: Column, keys: list[str]) -> Column:
+    """Keys that a settings text has no line for; a writer that may not append raises where there are any."""
+    return F.array_compact(F.array(*[F.when(~text.rlike(rf"(?im)^[ \t]*{k}[ \t]*="), F.lit(k)) for k in keys]))
+
+
 def kpoints_text(grid: Column, mesh: Column) -> Column:
     return F.concat_ws("\n", F.lit("Automatic mesh"), F.lit("0"), mesh, F.array_join(F.transform(grid, lambda n: n.cast("string")), " "), F.lit("0 0 0"))
 

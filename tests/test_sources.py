@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quartzite.functions.text import parent_dir
+from quartzite.operators import frames
 from quartzite.sources import catalog, files, settings, sinks, structures, trajectories
 from quartzite.streaming import ingest
 
@@ -223,6 +224,7 @@ def test_sinks_round_trip(spark, tree, tmp_path):
     assert back["counts"] == [1, 1, 2] and back["coords"][1] == [0.5, 0.5, 0.5]
     text = spark.range(1).select(sinks.upsert(F.lit("A = 1\nmagmom = 2\nMAGMOM = 3\n"), "MAGMOM", F.lit("9")).alias("a"), sinks.upsert(F.lit("A = 1\n"), "NELECT", F.lit("4")).alias("b"), sinks.rewrite(F.lit("System = x\nsystem=y\n"), "System", F.lit("z")).alias("c")).first()
     assert text.a == "A = 1\nMAGMOM = 9\nMAGMOM = 3\n" and text.b == "A = 1\nNELECT = 4\n" and text.c == "System = z\nSystem = z\n"
+    assert spark.range(1).select(sinks.missing_keys(F.lit("System = x\n istart=1\n"), ["System", "ISTART", "MAGMOM"]).alias("m")).first().m == ["MAGMOM"]
     sinks.write_table(spark.range(3).toDF("x"), str(tmp_path / "t"), ["x"], "x")
     assert spark.read.text(str(tmp_path / "t")).count() == 4
 
@@ -238,3 +240,16 @@ def test_streaming(spark, tmp_path):
     events = spark.createDataFrame([("u", t, 1.0), ("u", t + dt.timedelta(minutes=5), 3.0), ("u", t + dt.timedelta(hours=2), 5.0)], "user string, ts timestamp, v double")
     assert ingest.sessions(events, "ts", ["user"], "30 minutes").count() == 2
     assert ingest.windowed_means(events, "ts", ["user"], "v", "1 hour", "10 minutes").count() == 2
+
+
+def test_evaluation_files(spark, tmp_path):
+    header = 'Lattice="4 0 0 0 4 0 0 0 4" Properties=species:S:1:pos:R:3:REF_forces:R:3:{m}_forces:R:3 REF_energy=-1 {m}_energy=-2 run_id=a'
+    (tmp_path / "a.xyz").write_text(f"1\n{header.format(m='MACE')}\nH 0 0 0 0 0 0 0 0 0\n1\nnothing\nH 0 0 0\n")
+    (tmp_path / "b.xyz").write_text("1\nenergy=-1\nH 0 0 0\n")
+    df = files.read_trajectories(spark, str(tmp_path), "extxyz")
+    got = frames.evaluation_files(df, ["MACE", "ALLEGRO"]).collect()
+    assert [(r.path.rsplit("/", 1)[-1], r.model) for r in got] == [("a.xyz", "MACE")]
+    counts = {(r.path[-5:], r.run_id): r.frames for r in frames.frames_by_run(files.read_trajectories(spark, str(tmp_path), "extxyz", atoms=False)).collect()}
+    assert counts == {("a.xyz", "a"): 1, ("a.xyz", "__unknown__"): 1, ("b.xyz", "__unknown__"): 1}
+    e = df.select(frames.frame_energy(F.lit(None).cast("double"), F.lit(False), F.col("info")).alias("e")).where("e IS NOT NULL").collect()
+    assert sorted(r.e for r in e) == [-2.0, -1.0]
