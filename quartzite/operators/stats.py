@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -30,11 +30,10 @@ def category_shares(df: DataFrame, category: Column, unknown: str = "Uncategoris
 
 
 def composition(atoms: DataFrame, by: list[str], symbol: str, count: Column | None = None) -> DataFrame:
-    """Number and atomic percentage of each element in each group, with the rank by falling count and symbol."""
+    """Number and atomic percentage of each element in each group."""
     counts = atoms.groupBy(*by, symbol).agg((F.sum(count) if count is not None else F.count(F.lit(1))).alias("n"))
-    total = counts.groupBy(*by).agg(F.sum("n").alias("_all"))
-    joined = counts.join(total, by) if by else counts.crossJoin(F.broadcast(total))
-    return joined.select(*by, symbol, "n", F.try_divide(100.0 * F.col("n"), F.col("_all")).alias("percent"))
+    total = F.sum("n").over(Window.partitionBy(*by))  # over the few elements of a group, not its atoms
+    return counts.select(*by, symbol, "n", F.try_divide(100.0 * F.col("n"), total).alias("percent"))
 
 
 def thermo_summary(df: DataFrame, by: list[str], values: list[str], nan_aware: tuple[str, ...] = ("volume",)) -> DataFrame:
@@ -64,15 +63,13 @@ def density_histogram(df: DataFrame, by: list[str], value: str, bins: int) -> Da
 
     The edges are one row, read as a scalar, so the data are aggregated where they are.
     """
-    whole = edges(df, [], value)
-    low, high = whole.select("low").scalar(), whole.select("high").scalar()
-    binned = df.withColumn("_low", low).withColumn("_high", high)
-    binned = binned.withColumn("bin", bin_of(F.col(value).cast("double"), F.col("_low"), F.col("_high"), bins)).where("bin IS NOT NULL")
-    counts = binned.groupBy(*by, "bin", "_low", "_high").agg(F.count(F.lit(1)).alias("n"))
-    total = counts.groupBy(*by).agg(F.sum("n").alias("_all"))
-    counts = counts.join(total, by) if by else counts.crossJoin(F.broadcast(total))
-    width = (F.col("_high") - F.col("_low")) / bins
-    return counts.select(*by, "bin", (F.col("_low") + F.col("bin") * width).alias("left_edge"), "n", (F.col("n") / (F.col("_all") * width)).alias("density"))
+    whole = edges(df, [], value).select(F.struct("low", "high").alias("e")).scalar()
+    binned = df.withColumn("_e", whole)
+    binned = binned.withColumn("bin", bin_of(F.col(value).cast("double"), F.col("_e.low"), F.col("_e.high"), bins)).where("bin IS NOT NULL")
+    counts = binned.groupBy(*by, "bin", "_e").agg(F.count(F.lit(1)).alias("n"))
+    total = F.sum("n").over(Window.partitionBy(*by))  # over the bins of a group, not its rows
+    width = (F.col("_e.high") - F.col("_e.low")) / bins
+    return counts.select(*by, "bin", (F.col("_e.low") + F.col("bin") * width).alias("left_edge"), "n", (F.col("n") / (total * width)).alias("density"))
 
 
 def histogram_mode(df: DataFrame, by: list[str], value: str, bins: int = 60) -> DataFrame:
