@@ -10,8 +10,9 @@ one tree over everything, so each tree covers one block of documents, and exact
    there and leave one row, so that a token that every document has is still only a row for each batch.
 2. Documents with fewer repeated tokens there than any link needs have no link. Of the others, one for each distinct set
    has its set rebuilt, and its tokens ordered from rare to frequent; only the first of them, by the prefix filter, make candidates.
-3. Candidate components are the blocks. A block of over BLOCK sets is cut into parts, and each two parts meet in a
-   task of their own. In a block, pairs that are already connected are not looked at again, and what leaves is a forest.
+3. Candidate components are the blocks. A block of over BLOCK sets is cut into parts; each part is linked in itself and with
+   the first one, and only what is then outside the largest group meets all parts. In a block, pairs that are already
+   connected are not looked at again, and what leaves is a forest.
 
 Every filter keeps every link, so the result is exact for 64-bit hashes of tokens.
 
@@ -207,16 +208,15 @@ def overlap(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[np.minimum(at, len(b) - 1)] == a).sum())
 
 
-def link_block(nodes: np.ndarray, sets: list[np.ndarray], side: np.ndarray | None, t: Threshold) -> list[tuple[int, int]]:
-    """A forest that connects what links connect. side: only pairs of different sides are looked at."""
+def link_block(nodes: np.ndarray, sets: list[np.ndarray], side: np.ndarray, label: np.ndarray, t: Threshold, within: bool) -> list[tuple[int, int]]:
+    """A forest that connects what links connect, of sets whose labels differ (equal labels are connected already). Unless within, only pairs of different sides are looked at."""
     order = sorted(range(len(sets)), key=lambda i: (sets[i][0], len(sets[i])))
-    nodes, sets = nodes[order], [sets[i] for i in order]
-    side = None if side is None else side[order]
-    tree, label, edges = CountVectorTree(sets), np.arange(len(sets)), []
+    nodes, sets, side, label = nodes[order], [sets[i] for i in order], side[order], label[order]
+    tree, edges = CountVectorTree(sets), []
     for i in range(len(sets)):
         open_ = label != label[i]
         open_[: i + 1] = False
-        if side is not None:
+        if not within:
             open_ &= side != side[i]
         if not open_.any():
             continue
@@ -230,25 +230,52 @@ def link_block(nodes: np.ndarray, sets: list[np.ndarray], side: np.ndarray | Non
     return edges
 
 
-def _links(members: DataFrame, t: Threshold, block: int) -> DataFrame:
-    """members: comp, node, tokens. Edges (a, b) of forests within each component."""
-    parts = members.groupBy("comp").agg(F.ceil(F.greatest(F.count(F.lit(1)) / block, F.sum(F.size("tokens")) / BLOCK_TOKENS)).cast("int").alias("parts"))
-    placed = members.join(parts, "comp").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    placed = placed.withColumn("other", other).select("comp", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "node", "tokens")
+def _parts(members: DataFrame, block: int) -> DataFrame:
+    """How many parts each component is cut into."""
+    return members.groupBy("comp").agg(F.ceil(F.greatest(F.count(F.lit(1)) / block, F.sum(F.size("tokens")) / BLOCK_TOKENS)).cast("int").alias("parts"))
+
+
+def _block_edges(placed: DataFrame, t: Threshold) -> DataFrame:
+    """placed: comp, i, j, side, node, label, tokens. Edges (a, b) of each block (comp, i, j); where i is j, pairs of one side count too."""
 
     def run(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
         lists = group.column("tokens").combine_chunks()
         flat, ends = np.asarray(lists.values).view(np.uint64), np.asarray(lists.offsets)
         sets = [flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
-        part = np.asarray(group.column("part"))
-        edges = link_block(np.asarray(group.column("node")), sets, None if group.column("i")[0] == group.column("j")[0] else part, t)
+        side, label = np.asarray(group.column("side")), np.asarray(group.column("label")).copy()
+        edges = link_block(np.asarray(group.column("node")), sets, side, label, t, group.column("i")[0] == group.column("j")[0])
         return pa.table({"a": pa.array([a for a, _ in edges], pa.int64()), "b": pa.array([b for _, b in edges], pa.int64())})
 
     return placed.groupBy("comp", "i", "j").applyInArrow(run, "a long, b long")
 
 
+def _links(members: DataFrame, t: Threshold, block: int) -> DataFrame:
+    """members: comp, node, tokens. Edges (a, b) of forests that connect what links connect within each component.
+
+    A component of several parts is linked part by part and with its first part. What is then not in its largest group is
+    compared with all of it, in blocks. A family of near copies, however large, is mostly one group after the first step.
+    """
+    parts = materialise(_parts(members, block), "parts")
+    placed = members.join(parts, "comp").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    blocks = F.when(F.col("part") == 0, F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.struct(F.lit(0).alias("i"), j.alias("j"))))
+    blocks = blocks.otherwise(F.array(F.struct(F.lit(0).alias("i"), F.col("part").alias("j")), F.struct(F.col("part").alias("i"), F.col("part").alias("j"))))
+    first = placed.withColumn("b", F.explode(blocks)).select("comp", "b.i", "b.j", F.col("part").alias("side"), "node", F.col("node").alias("label"), "tokens")
+    edges = materialise(_block_edges(first, t), "links")
+    if not parts.where("parts > 1").limit(1).count():
+        return edges
+    labels = components(edges).withColumnRenamed("root", "label")
+    large = materialise(placed.where("parts > 1").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "large")
+    main = large.groupBy("comp", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("comp").agg(F.max_by("label", F.struct("n", "label")).alias("main"))
+    others = materialise(large.join(main, "comp").where("label <> main").select("comp", "node", "label", "tokens", "parts"), "others")
+    cuts = materialise(_parts(others, block).withColumnRenamed("parts", "cuts"), "cuts")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    rows = large.join(cuts, "comp").select("comp", every("cuts").alias("i"), (-1 - F.col("part")).alias("j"), F.lit(0).alias("side"), "node", "label", "tokens")
+    columns = others.join(cuts, "comp").withColumn("i", F.pmod(F.xxhash64(F.lit("cut"), "node"), F.col("cuts")).cast("int"))
+    columns = columns.select("comp", "i", every("parts").alias("j"), F.lit(1).alias("side"), "node", "label", "tokens").withColumn("j", -1 - F.col("j"))
+    return edges.unionByName(materialise(_block_edges(rows.unionByName(columns), t), "links"))
+
+
 def similar_groups(docs: DataFrame, words: int = WORDS, num: int = NUMERATOR, den: int = DENOMINATOR, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
     """One row for each document: doc_id, text_hash, n_shingles, class_id (of equal sets; null without tokens), class_size, component_id (smallest id reachable by links).
 
@@ -271,13 +298,14 @@ def similar_groups(docs: DataFrame, words: int = WORDS, num: int = NUMERATOR, de
 
     # From rare to frequent: tokens of one set only come first, so the beginning holds few shared tokens, or none.
     tokens = sets.select("node", "n", F.explode("tokens").alias("token"))
-    often = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    # Written first, so that the joins are of two plain shuffles and a frequent token can be split.
+    often = materialise(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "often")
     shared = tokens.join(often, "token").groupBy("node").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("df", "token"))).alias("shared"))
     least = F.floor((num * F.col("n") + den - 1) / den)
     take = F.col("n") - least + 1 - (F.col("n") - F.size("shared"))
     begin = shared.withColumn("take", take.cast("int")).where("take > 0").select("node", F.explode(F.slice("shared", F.lit(1), F.col("take"))).alias("s")).select("node", F.col("s.token").alias("token"))
     begin = materialise(begin, "beginnings")
-    lowest = begin.groupBy("token").agg(F.min("node").alias("low"), F.count(F.lit(1)).alias("m")).where("m > 1")
+    lowest = materialise(begin.groupBy("token").agg(F.min("node").alias("low"), F.count(F.lit(1)).alias("m")).where("m > 1"), "lowest")
     near = components(begin.join(lowest, "token").select(F.col("low").alias("a"), F.col("node").alias("b")))
 
     members = near.select(F.col("root").alias("comp"), "node").join(sets.select("node", "tokens"), "node")
@@ -285,7 +313,7 @@ def similar_groups(docs: DataFrame, words: int = WORDS, num: int = NUMERATOR, de
     named = classes.join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least_id = named.groupBy("root").agg(F.min("rep").alias("component_id"))
     named = materialise(named.join(least_id, "root").select("sig", F.col("node").alias("class_id"), "class_size", "component_id"), "classes")
-    for table in (begin, sets, kept):
+    for table in (begin, lowest, often, sets, kept):
         discard(table)
     slim = rows.select("doc_id", F.col("th").alias("text_hash"), F.col("n").alias("n_shingles"), "sig")
     out = slim.where("sig IS NOT NULL").join(named, "sig").select("doc_id", "text_hash", "n_shingles", "class_id", "class_size", "component_id")
