@@ -11,7 +11,7 @@ result stays the same. Confirmed keys are broadcast while there are at most BROA
 confirmed keys through a join on its id.
 
 Defined results: a null or empty text is one empty line; an empty key is never dropped; a key counts once a row, however
-often it repeats in it; rows with equal ids count each; an empty table gives no rows; only id and text are read.
+often it repeats in it; rows with equal ids count each; a document with a null id is never a first place; an empty table gives no rows; only id and text are read.
 """
 
 from __future__ import annotations

@@ -304,3 +304,28 @@ def test_quality(spark):
     assert quality.score(empty(spark), quality.fit(empty(spark))).count() == 0
     alike = frame(spark, ["word " * 3])
     assert quality.score(alike, quality.fit(alike)).count() == 1
+
+
+def test_null_and_repeated_ids(spark):
+    """Each row of a table with null and repeated ids has its row, and equal rows have equal results."""
+    texts = [*corpus(n=12), None, "", "one two three four five six seven eight nine ten eleven twelve"]
+    rows = [(None if i % 4 == 0 else i // 2, t) for i, t in enumerate(texts)] + [(3, texts[3]), (3, texts[3]), (None, texts[5]), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame([(1, texts[3]), (None, texts[2])], "item_id long, text string")
+    model = language_id.fit(df.withColumn("lang", F.lit("xx")))
+    results = {
+        "1": decontaminate.contamination(df, bench),
+        "2": language_id.identify(df, model),
+        "3": exact_dedup.deduplicate(df),
+        "4": line_dedup.drop_lines(df, 2, 1, "first"),
+        "5": jaccard_join.similar_groups(df),
+        "6": substring_dedup.deduplicate_substrings(df, 5),
+        "9": quality.score(df, quality.fit(df)),
+        "10": suffix_array_dedup.deduplicate_passages(df, 6),
+    }
+    for name, out in results.items():
+        assert out.count() == len(rows), name
+    same = {str(r) for r in substring_dedup.deduplicate_substrings(df.where("doc_id = 3"), 5).where(F.col("n_words") == len(texts[3].split())).collect()}
+    assert len(same) == 1
+    path = __import__("public_tokenizers").path("byte_bpe_50k.json")
+    assert packing.pack(df, path).agg(F.sum("length")).first()[0] >= len(rows)
