@@ -15,7 +15,6 @@ from pyspark.sql import DataFrame, SparkSession
 #: Separators of the two word definitions, after A-Z are lower-cased where that is asked for.
 ALNUM_SPLIT = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 ALNUM_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-SPACES = "\x20\x09\x0a\x0b\x0c\x0d"
 SLICE_BYTES = 3 << 20
 BATCH_BYTES = 8 << 20
 

@@ -42,10 +42,13 @@ SCRIPT_SHARE = 0.005
 
 
 def words_of(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
-    lists = pc.split_pattern_regex(pc.utf8_lower(pc.fill_null(texts, "")), pattern=NOT_LETTERS)
+    texts = pc.utf8_lower(pc.fill_null(texts, ""))
+    lists = pc.split_pattern_regex(texts, pattern=NOT_LETTERS)
     offsets = np.asarray(lists.offsets, dtype=np.int64)
     flat = lists.values.slice(int(offsets[0]), int(offsets[-1] - offsets[0]))
     full = np.asarray(pc.greater(pc.binary_length(flat), 0))
+    if pc.any(pc.match_substring_regex(texts, r"\pM")).as_py():
+        full = np.asarray(pc.match_substring_regex(flat, r"\pL"))  # marks without a letter are no word
     return np.concatenate([[0], np.cumsum(full)])[offsets - offsets[0]], flat.filter(pa.array(full))
 
 
