@@ -28,6 +28,9 @@ GRAM = 8
 BITS = 27
 CHUNK_BITS = 13
 ANCHORS_PER_TASK = 4_000_000
+#: Different runs of one minimiser that a task settles together.
+GROUP = 1000
+RANGES = "d1 long, d2 long, ranges array<struct<a:int,b:int>>"
 LAST_ID = (1 << 63) - 1
 RUNS = "d1 long, d2 long, v long, doc long, th long, start int, r int, loops boolean, content string"
 
@@ -182,8 +185,9 @@ def resolve(runs: DataFrame, window: int, resolver: Resolver) -> DataFrame:
     """
     distinct = runs.groupBy("d1", "d2").agg(F.min("v").alias("v"), F.min(F.struct("doc", "start")).alias("first"), F.bool_or("loops").alias("loops"))
     distinct = materialise(distinct, "distinct")
-    several = distinct.groupBy("v").agg(F.count(F.lit(1)).alias("n"), F.bool_or("loops").alias("loops")).where("n > 1 OR loops").select("v")
-    needed = materialise(distinct.join(several, "v").select("d1", "d2", "v", "first"), "needed")
+    # Written first, so that the join is one of two plain shuffles and a frequent minimiser can be split.
+    several = materialise(distinct.groupBy("v").agg(F.count(F.lit(1)).alias("n"), F.bool_or("loops").alias("loops")).where("n > 1 OR loops").select("v", "n"), "several")
+    needed = materialise(distinct.join(several, "v").select("d1", "d2", "v", "n", "first"), "needed")
     held = runs.sparkSession.sparkContext.broadcast(bitmap_of(needed, "d1"))
 
     def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,11 +220,39 @@ def resolve(runs: DataFrame, window: int, resolver: Resolver) -> DataFrame:
 
     contents = runs.where("content IS NOT NULL").select("d1", "d2", "content").mapInArrow(wanted, "d1 long, d2 long, content string")
     contents = contents.groupBy("d1", "d2").agg(F.max("content").alias("content"))
-    placed = needed.join(contents, ["d1", "d2"]).repartition(shuffle_partitions(runs.sparkSession), "v").sortWithinPartitions("v", "first")
-    ranges = placed.select("v", "d1", "d2", "content").mapInArrow(run, "d1 long, d2 long, ranges array<struct<a:int,b:int>>")
+    placed = needed.join(contents, ["d1", "d2"])
+    ordered = placed.where(F.col("n") <= GROUP).repartition(shuffle_partitions(runs.sparkSession), "v").sortWithinPartitions("v", "first")
+    ranges = ordered.select("v", "d1", "d2", "content").mapInArrow(run, RANGES)
+    if needed.where(F.col("n") > GROUP).limit(1).count():
+        ranges = ranges.unionByName(_by_windows(placed.where(F.col("n") > GROUP), window))
     return materialise(distinct.select("d1", "d2", "first").join(ranges, ["d1", "d2"], "left"), "ranges")
 
 
+def _by_windows(placed: DataFrame, window: int) -> DataFrame:
+    """What a resolver gives, for minimisers with so many different runs that no task may hold them together: every window is compared by its 128-bit hash, and its first place found by an aggregate."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [t.split(" ") for t in batch.column("content").to_pylist()]
+            hashes = word_hashes(pa.array([w for t in texts for w in t], pa.string()))
+            size = np.array([len(t) - window + 1 for t in texts])
+            ends = np.cumsum([0, *map(len, texts)])
+            at = np.repeat(ends[:-1] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
+            owner = np.repeat(np.arange(len(texts)), size)
+            i = at - ends[:-1][owner]
+            w1, w2 = (window_hashes(hashes, window, seed)[at].view(np.int64) for seed in (1, 2))
+            d1, d2, doc, start = (np.asarray(batch.column(c))[owner] for c in ("d1", "d2", "doc", "start"))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (d1, d2, i, w1, w2, doc, start + i)], names=["d1", "d2", "i", "w1", "w2", "doc", "place"])
+
+    rows = placed.select("d1", "d2", "content", "first.doc", F.col("first.start").cast("long").alias("start"))
+    rows = rows.mapInArrow(emit, "d1 long, d2 long, i long, w1 long, w2 long, doc long, place long")
+    rows = materialise(rows, "windows")
+    least = materialise(rows.groupBy("w1", "w2").agg(F.min(F.struct("doc", "place")).alias("least"), F.count(F.lit(1)).alias("m")).where("m > 1"), "least")
+    later = rows.join(least, ["w1", "w2"]).where(F.struct("doc", "place") > F.col("least"))
+    one = F.transform(F.collect_set(F.col("i").cast("int")), lambda i: F.struct(i.alias("a"), (i + 1).alias("b")))
+    return later.groupBy("d1", "d2").agg(one.alias("ranges"))
+
+
 def cut_repeats(docs: DataFrame, window: int, resolver: Resolver, id_col: str = "doc_id", text_col: str = "text", k: int = GRAM) -> DataFrame:
     """One row for each document: doc_id, n_words, n_removed, text of the kept words, joined by one space."""
     bounded_batches(docs.sparkSession)
