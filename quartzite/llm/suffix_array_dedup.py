@@ -4,7 +4,8 @@ Only suffixes that start at content-selected minimiser positions are retained (s
 passages of 50 words), and of equal surroundings only the first. The suffixes of a shard are sorted and neighbours
 compared; a suffix that shares too few words with its neighbours matches nothing. The others are extended left and
 right from the minimiser against the earlier ones of their block of neighbours, and together the two extensions must reach the
-length of a passage. A large block is settled by hashes of all its passages instead, with the same result.
+length of a passage. A large block is settled by hashes of all its passages instead, with the same result, and so is a whole
+group in which surroundings hold their minimiser more than once, because a retained suffix stands for one occurrence only.
 
 Defined results: as for substring deduplication, with passages in place of windows.
 """
@@ -43,8 +44,9 @@ def matched_before(texts: list[list[str]], window: int, k: int = GRAM) -> list[n
     contents = np.split(words, np.cumsum([len(t) for t in texts])[:-1])
     grams = [window_hashes(c, k) for c in contents]
     lowest = [g.min() for g in grams]
+    if any((g == v).sum() > 1 for g, v in zip(grams, lowest, strict=True)):
+        return by_hashes(contents, window)
     anchor = [int(g.argmin()) for g in grams]
-    loops = any((g == v).sum() > 1 for g, v in zip(grams, lowest, strict=True))
     order = sorted(range(len(contents)), key=lambda i: contents[i][anchor[i] :].astype(">u8").tobytes())
     right = [0, *(common(contents[a][anchor[a] :], contents[b][anchor[b] :]) for a, b in zip(order[:-1], order[1:], strict=True)), 0]
     masks = [np.zeros(len(c) - window + 1, bool) for c in contents]
@@ -54,7 +56,7 @@ def matched_before(texts: list[list[str]], window: int, k: int = GRAM) -> list[n
         if right[end] >= max(least, 1) and end < len(order):
             continue
         block = order[begin:end]
-        if loops or len(block) > COMPARED:
+        if len(block) > COMPARED:
             for i, mask in zip(sorted(block), by_hashes([contents[i] for i in sorted(block)], window), strict=True):
                 masks[i] |= mask
         else:

@@ -4,6 +4,7 @@ import hashlib
 import re
 from collections import defaultdict
 
+import pyarrow as pa
 import pytest
 from helpers import AWKWARD, corpus, empty, frame
 from pyspark.sql import functions as F
@@ -191,6 +192,23 @@ def test_repeated_passages(spark, window, operator, group, monkeypatch):
     assert operator(empty(spark), window).count() == 0
 
 
+@pytest.mark.parametrize("operator", [substring_dedup.deduplicate_substrings, suffix_array_dedup.deduplicate_passages])
+def test_passages_whose_minimiser_recurs(spark, operator):
+    """A holds the minimiser twice, and B's only passage starts at its second place."""
+    from quartzite.llm.common import window_hashes, word_hashes
+
+    def least(words):
+        return int(window_hashes(word_hashes(pa.array(words)), 8).argmin())
+
+    for seed in range(10_000):
+        v, middle, tail = ([f"{kind}{seed}_{i}" for i in range(n)] for kind, n in (("v", 8), ("m", 22), ("t", 42)))
+        if least(v + middle + v + tail) == least(v + tail) == 0:
+            break
+    texts = [" ".join(v + middle + v + tail), " ".join(v + tail)]
+    got = {r.doc_id: (r.n_words, r.n_removed, r.text) for r in operator(frame(spark, texts), 50).collect()}
+    assert got == brute_repeats(texts, 50) == {0: (80, 0, texts[0]), 1: (50, 50, "")}
+
+
 def test_url_filter_beyond_the_broadcast(spark, monkeypatch):
     urls = ["http://a.com/en/1", "HTTP://WWW.Example.COM/en/?q", "x", None, "https://b.net/fr", "https://b.net/fr/", "http://com", "http://com/", "http://c.org/#://d.com/", "http://user@e.com:80/en/", "http://a.com/en/1"]
     pages = spark.createDataFrame([(i, u, "h") for i, u in enumerate(urls)] + [(0, urls[0], "h")], "page_id long, url string, host string")
