@@ -9,8 +9,8 @@ The benchmark is the stated query set: it is read in blocks of ITEMS_PER_BLOCK i
 the same stage over the same batches, so what a task holds is bounded by a block.
 
 Defined results: a null text or item has no words; an item without words matches nothing; items with the same id count
-once, in any of their texts; repeated rows are judged each on its own; empty tables give no rows or no hits; only id and
-text are read unless `clean` is asked for, which keeps every column of the documents as it is, but for the text.
+once, in any of their texts; items with a null id are searched like others, mark their words, and together add one null to
+items; repeated rows are judged each on its own; empty tables give no rows or no hits; only id and text are read unless `clean` is asked for, which keeps every column of the documents as it is, but for the text.
 """
 
 from __future__ import annotations
@@ -33,17 +33,19 @@ ITEMS_PER_BLOCK = 20_000
 FOUND = "struct<n_words:bigint,n_hit:bigint,spans:array<struct<start:int,stop:int>>,items:array<bigint>>"
 
 
-def phrases_of(items: list[tuple[int, str | None]], window: int) -> tuple[pa.Array, dict[int, tuple[np.ndarray, np.ndarray]]]:
-    """The vocabulary, and for each phrase length the distinct (phrase, item) rows: symbols (from 1) and item ids."""
+def phrases_of(items: list[tuple[int | None, str | None]], window: int) -> tuple[pa.Array, dict[int, tuple[np.ndarray, np.ndarray]], list[int | None]]:
+    """The vocabulary, for each phrase length the distinct (phrase, item) rows: symbols (from 1) and places among the item ids, and these ids."""
     offsets, flat = word_lists(pa.array([t for _, t in items], pa.string()), "alnum")
     coded = flat.dictionary_encode()
     symbols = np.asarray(coded.indices).astype(np.int64) + 1
     rows: dict[int, set] = {}
+    ids = list(dict.fromkeys(item for item, _ in items))
+    place = {item: k for k, item in enumerate(ids)}
     for (item, _), a, b in zip(items, offsets[:-1], offsets[1:], strict=True):
         size = min(window, b - a)
         for i in range(a, b - size + 1 if size else a):
-            rows.setdefault(int(size), set()).add((tuple(symbols[i : i + size]), item))
-    return coded.dictionary, {n: (np.array([p for p, _ in x]), np.array([i for _, i in x], np.int64)) for n, x in ((n, sorted(x)) for n, x in rows.items())}
+            rows.setdefault(int(size), set()).add((tuple(symbols[i : i + size]), place[item]))
+    return coded.dictionary, {n: (np.array([p for p, _ in x]), np.array([i for _, i in x], np.int64)) for n, x in ((n, sorted(x)) for n, x in rows.items())}, ids
 
 
 def scan(texts: pa.Array, vocabulary: pa.Array, phrases: dict) -> tuple[np.ndarray, np.ndarray, list]:
@@ -94,17 +96,17 @@ def cut(text: str, spans: list[dict]) -> str:
     return "".join([*kept, text[at:]])
 
 
-def _pass(items: list[tuple[int, str | None]], window: int, into: int | None = None):
+def _pass(items: list[tuple[int | None, str | None]], window: int, into: int | None = None):
     """One pass over the documents. into: the place among the kept columns that gets the text without the spans; the pass then is the last one."""
-    vocabulary, phrases = phrases_of(items, window)
+    vocabulary, phrases, ids = phrases_of(items, window)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches, "__text"):
             offsets, hit, pairs = scan(part.column("__text"), vocabulary, phrases)
             before = part.column("__found").to_pylist()
-            found: dict[int, list[int]] = {}
+            found: dict[int, list[int | None]] = {}
             for t, item in pairs.tolist():
-                found.setdefault(t, []).append(item)
+                found.setdefault(t, []).append(ids[item])
             out = []
             for i, old in enumerate(before):
                 a, b = offsets[i], offsets[i + 1]
@@ -115,7 +117,7 @@ def _pass(items: list[tuple[int, str | None]], window: int, into: int | None = N
                 if old is not None:
                     for s in old["spans"]:
                         own[s["start"] : s["stop"]] = True
-                out.append({"n_words": int(b - a), "n_hit": int(own.sum()), "spans": merged_spans(own), "items": sorted({*found[i], *((old or {}).get("items") or [])})})
+                out.append({"n_words": int(b - a), "n_hit": int(own.sum()), "spans": merged_spans(own), "items": sorted({*found[i], *((old or {}).get("items") or [])}, key=lambda x: (x is None, x or 0))})
             if into is None:
                 columns = [pa.array(out, part.schema.field("__found").type) if c == "__found" else part.column(c) for c in part.schema.names]
                 yield pa.RecordBatch.from_arrays(columns, names=part.schema.names)
@@ -136,7 +138,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, i
     kept = docs.columns if clean else [id_col]
     out = docs.select(*[F.col(f"`{c}`").alias(f"__c{i}") for i, c in enumerate(kept)], F.col(f"`{text_col}`").alias("__text"), F.lit(None).cast(FOUND).alias("__found"))
     schema, block = out.schema, []
-    rows = benchmark.select(F.col(f"`{item_id}`").cast("long").alias("i"), F.col(f"`{item_text}`").alias("t")).where("i IS NOT NULL").toLocalIterator()
+    rows = benchmark.select(F.col(f"`{item_id}`").cast("long").alias("i"), F.col(f"`{item_text}`").alias("t")).toLocalIterator()
     for row in rows:
         if len(block) == items_per_block:
             out, block = out.mapInArrow(_pass(block, window), schema), []

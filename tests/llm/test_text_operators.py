@@ -50,6 +50,18 @@ def test_decontamination(spark):
     assert decontaminate.contamination(frame(spark, TEXTS), bench.limit(0)).where("n_hit > 0").count() == 0
 
 
+def test_decontamination_with_null_item_ids(spark):
+    docs = frame(spark, ["u v alpha beta w", "gamma x y delta", "alpha z", "gamma delta"])
+    items = [(None, "alpha beta"), (7, "gamma"), (None, "delta"), (8, "x y"), (7, "y")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for block in (100, 1, 2):
+        got = decontaminate.contamination(docs, bench, items_per_block=block).collect()
+        assert {r.doc_id: (r.n_hit, r["items"]) for r in got} == {0: (2, [None]), 1: (4, [7, 8, None]), 2: (0, []), 3: (2, [7, None])}
+        assert {r.doc_id: [(s.start, s.stop) for s in r.spans] for r in got} == {0: [(2, 4)], 1: [(0, 4)], 2: [], 3: [(0, 2)]}
+        clean = decontaminate.contamination(docs, bench, clean=True, items_per_block=block).collect()
+        assert {r.doc_id: r.text.split() for r in clean} == {0: ["u", "v", "w"], 1: [], 2: ["alpha", "z"], 3: []}
+
+
 def test_exact_dedup(spark):
     groups = defaultdict(list)
     for i, t in enumerate(TEXTS):
