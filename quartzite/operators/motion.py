@@ -108,7 +108,8 @@ def per_atom_lags(df: DataFrame, run: list[str], atom: list[str], by: list[str],
 
 
 def msd_all_origins(df: DataFrame, run: list[str], atom: list[str], by: list[str], ordinal: str, axes: list[str]) -> DataFrame:
-    return per_atom_lags(df, run, atom, by, ordinal, axes, displacement_all_origins, "msd")
+    """msd at every lag of the series: lag_limit is a rule for correlations."""
+    return per_atom_lags(df, run, atom, by, ordinal, axes, displacement_all_origins, "msd", lambda n: n)
 
 
 def velocity_correlation(df: DataFrame, run: list[str], atom: list[str], by: list[str], ordinal: str, axes: list[str]) -> DataFrame:

@@ -462,6 +462,16 @@ def msd_all_origins(spark: SparkSession, d: str) -> DataFrame:
     return rounded(out, 3)
 
 
+ALL_LAGS = f"(SELECT a.user_id, b.i - a.i AS lag, avg((b.value - a.value) ** 2) AS v FROM {RUNS} a JOIN {RUNS} b ON a.user_id = b.user_id AND b.i >= a.i GROUP BY ALL)"
+
+
+@query(f"SELECT lag, round(avg(v) + 1e-6, 3) AS msd, count(*) AS atoms FROM {ALL_LAGS} GROUP BY 1")
+def msd_every_lag(spark: SparkSession, d: str) -> DataFrame:
+    """Over all origins, for all lags."""
+    out = motion.msd_all_origins(runs(spark, d), [], ["user_id"], [], "i", ["value"])
+    return out.select("lag", F.round(F.col("msd") + 1e-6, 3).alias("msd"), "atoms")
+
+
 @query("SELECT lag, round(avg(v), 3) AS vacf, count(*) AS atoms FROM " + LAGS.format("a.value * b.value") + " GROUP BY 1")
 def vacf_small_lag(spark: SparkSession, d: str) -> DataFrame:
     """For lags up to 12."""

@@ -36,6 +36,17 @@ def test_msd_and_correlation_match_loops(spark):
     assert np.allclose(motion.autocorrelation(x), acf)
 
 
+def test_msd_keeps_every_lag_of_a_long_run(spark):
+    rng = np.random.default_rng(5)
+    x = {atom: rng.normal(size=n).cumsum() for atom, n in ((0, 600), (1, 600), (2, 300))}
+    df = spark.createDataFrame([(a, i, float(v)) for a, s in x.items() for i, v in enumerate(s)], "atom int, i int, x double")
+    got = {r.lag: (r.msd, r.atoms) for r in motion.msd_all_origins(df, [], ["atom"], [], "i", ["x"]).collect()}
+    assert sorted(got) == list(range(600))
+    for k in (0, 1, 255, 256, 299, 300, 301, 599):
+        each = [np.mean((s[k:] - s[: len(s) - k]) ** 2) for s in x.values() if k < len(s)]
+        assert np.isclose(got[k][0], np.mean(each)) and got[k][1] == len(each)
+
+
 def test_inefficiency_of_noise_and_of_a_constant():
     assert motion.inefficiency(np.ones(50)) == 1.0
     assert motion.inefficiency(np.random.default_rng(0).normal(size=5000)) < 1.3
