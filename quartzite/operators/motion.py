@@ -161,13 +161,19 @@ def inefficiency(x: np.ndarray) -> float:
 
 
 def equilibration(df: DataFrame, run: list[str], ordinal: str, value: str, candidates: int = 200, share: float = 0.5) -> DataFrame:
-    """For each run the start that leaves the most effective samples: start, inefficiency, n_effective. The first of equal ones wins."""
+    """For each run the start that leaves the most effective samples: start, inefficiency, n_effective. The first of equal ones wins.
+
+    Starts end at a share of the run and leave ten frames at least; each is tried where there are no more than `candidates`.
+    A run of fewer than ten frames is kept whole and counts as uncorrelated.
+    """
     fields = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in run)
 
     def run_one(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         x = group.sort_values(ordinal)[value].to_numpy(float)
-        starts = np.unique(np.linspace(0, int(len(x) * share), candidates).astype(int))
-        starts = starts[starts < len(x)]
+        if len(x) < 10:
+            return pd.DataFrame([[*key, 0, 1.0, float(len(x))]], columns=[*run, "start", "inefficiency", "n_effective"])
+        last = min(int(len(x) * share), len(x) - 10)
+        starts = np.arange(last + 1) if last < candidates else np.unique(np.linspace(0, last, candidates).astype(int))
         g = np.array([inefficiency(x[s:]) for s in starts])
         n = (len(x) - starts) / g
         best = int(n.argmax())

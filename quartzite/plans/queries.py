@@ -479,6 +479,12 @@ def vacf_small_lag(spark: SparkSession, d: str) -> DataFrame:
     return rounded(out, 3)
 
 
+@query()
+def velocity_correlation(spark: SparkSession, d: str) -> DataFrame:
+    """For all lags that the operator keeps, with the values relative to lag 0."""
+    return motion.velocity_correlation(runs(spark, d), [], ["user_id"], [], "i", ["value"])
+
+
 @query(f"SELECT a.user_id % 5 AS species, b.i - a.i AS lag, round(avg(a.value * b.value), 3) AS product, count(*) AS n FROM {RUNS} a JOIN {RUNS} b ON a.user_id = b.user_id AND b.i BETWEEN a.i AND a.i + 6 GROUP BY ALL")
 def lagged_products(spark: SparkSession, d: str) -> DataFrame:
     """A14 as an equi-join on exploded ordinals."""
@@ -490,7 +496,7 @@ def lagged_products(spark: SparkSession, d: str) -> DataFrame:
 def power_spectrum(spark: SparkSession, d: str) -> DataFrame:
     """Spectrum and running integral of each species' correlation."""
     rows = runs(spark, d).withColumn("species", F.col("user_id") % 3)
-    c = motion.per_atom_lags(rows, [], ["user_id"], ["species"], "i", ["value"], motion.autocorrelation, "vacf", lambda n: min(n, 33))
+    c = motion.velocity_correlation(rows, [], ["user_id"], ["species"], "i", ["value"])
     return motion.power_spectrum(c, ["species"], "vacf", 1.0)
 
 
@@ -503,7 +509,7 @@ def kinetic_temperature(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def equilibration_start(spark: SparkSession, d: str) -> DataFrame:
     """The start of most effective samples."""
-    return motion.equilibration(runs(spark, d), ["user_id"], "i", "value", candidates=20)
+    return motion.equilibration(runs(spark, d), ["user_id"], "i", "value")
 
 
 # --- pairs --------------------------------------------------------------------------------------------------------

@@ -3,9 +3,11 @@
 import os
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 
+from quartzite.operators import motion
 from quartzite.plans import queries
 
 SF = "/root/testdata/sf0.001"
@@ -36,6 +38,67 @@ def test_matches_sql(spark, duck, name):
     assert rows(own) == rows(other)
 
 
+@pytest.fixture(scope="module")
+def series():
+    events = pd.read_parquet(f"{SF}/events.parquet").sort_values(["ts", "event_id"])
+    return {int(u): g["value"].to_numpy(float) for u, g in events.groupby("user_id")}
+
+
+def mean_correlation(own):
+    """The mean over series of mean(x[i] * x[i + k]), for every k (all of these are shorter than 256)."""
+    at = lambda x, k: sum(x[i] * x[i + k] for i in range(len(x) - k)) / (len(x) - k)
+    return np.array([np.mean([at(x, k) for x in own if k < len(x)]) for k in range(max(map(len, own)))])
+
+
+def test_velocity_correlation_has_every_lag(spark, series):
+    got = queries.velocity_correlation(spark, SF).toPandas().sort_values("lag")
+    expected = mean_correlation(list(series.values()))
+    assert got["lag"].tolist() == list(range(len(expected)))
+    assert np.allclose(got["vacf"], expected) and np.allclose(got["vacf_norm"], expected / expected[0])
+    assert got["atoms"].tolist() == [sum(k < len(x) for x in series.values()) for k in range(len(expected))]
+
+
+def test_power_spectrum_transforms_every_lag(spark, series):
+    got = queries.power_spectrum(spark, SF).toPandas()
+    for species in range(3):
+        own = got[got["species"] == species].sort_values("k")
+        c = mean_correlation([x for u, x in series.items() if u % 3 == species])
+        n, m = len(c), 2 * len(c) - 2
+        assert len(own) == n
+        for k in range(n):
+            s = (c[0] + sum(2 * c[t] * np.cos(2 * np.pi * k * t / m) for t in range(1, n - 1)) + c[-1] * (-1) ** k) * 1e-15
+            assert np.isclose(own["s"].iloc[k], s if k in (0, n - 1) else 2 * s, rtol=1e-7, atol=1e-22)
+            assert np.isclose(own["nu"].iloc[k], k / (m * 1e-15) / 2.99792458e10)
+
+
+def brute_start(x):
+    best = (0, 1.0, float(len(x)))
+    for start in range(min(len(x) // 2, len(x) - 10) + 1) if len(x) >= 10 else []:
+        d, g = x[start:] - x[start:].mean(), 1.0
+        for t in range(1, len(d)):
+            c = np.mean(d[t:] * d[: len(d) - t]) / np.mean(d * d)
+            if c <= 0:
+                break
+            g += 2 * c * (1 - t / len(d))
+        if not start or len(d) / g > best[2] * (1 + 1e-12):
+            best = (start, g, len(d) / g)
+    return best
+
+
+def test_equilibration_tries_every_start(spark, series):
+    got = {r.user_id: (r.start, r.inefficiency, r.n_effective) for r in queries.equilibration_start(spark, SF).collect()}
+    assert set(got) == set(series)
+    assert all(got[u][0] == brute_start(x)[0] and np.allclose(got[u], brute_start(x)) for u, x in series.items())
+
+
+def test_equilibration_of_short_runs(spark):
+    rng = np.random.default_rng(0)
+    runs = {n: np.concatenate([np.linspace(9, 0, n // 2), rng.normal(size=n - n // 2)]) for n in (1, 5, 9, 10, 11, 14, 19, 20, 25, 60)}
+    df = spark.createDataFrame([(n, i, float(v)) for n, x in runs.items() for i, v in enumerate(x)], "run int, i int, v double")
+    got = {r.run: (r.start, r.inefficiency, r.n_effective) for r in motion.equilibration(df, ["run"], "i", "v").collect()}
+    assert all(got[n][0] == brute_start(x)[0] and np.allclose(got[n], brute_start(x)) for n, x in runs.items())
+
+
 @pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(queries.SQL)))
 def test_runs(spark, name):
     assert queries.QUERIES[name](spark, SF).count() > 0
