@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,6 +11,10 @@ from pyspark.sql import functions as F
 from .series import ordered
 
 
+#: Vectors that a task selects from at once.
+CHUNK_ROWS = 1000
+
+
 def distance(a: Column, b: Column) -> Column:
     """Euclidean distance of two arrays."""
     return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y) * (x.cast("double") - y)), F.lit(0.0), lambda s, x: s + x))
@@ -55,32 +60,46 @@ def target_size(size: float, n: int) -> int:
     return max(1, min(n, wanted))
 
 
-def hierarchical_selection(df: DataFrame, ordinal: str, vector: str, size: float, chunks: int, over: float = 2.0) -> DataFrame:
-    """Selection in chunks first (in parallel, over-sized), then farthest points over what the chunks kept."""
+def hierarchical_selection(df: DataFrame, ordinal: str, vector: str, size: float, over: float = 2.0, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """Selection in chunks first (in parallel, over-sized), then farthest points over what the chunks kept.
+
+    Vectors are dealt by a hash of the ordinal to chunks of about `chunk_rows`, whatever their number. A chunk keeps its part of
+    `over` times the wanted vectors, but as many as are wanted (a tenth of it at most), so that none is too poor to hold what
+    is far from all else. What is kept is dealt and culled again while it is more than a chunk and twice that total.
+    """
     import numpy as np
     import pandas as pd
 
+    from ..plans.storage import cut_lineage
+
     n = df.count()
     wanted = target_size(size, n)
-    share = max(1, math.ceil(over * wanted / chunks))
-    kind = df.schema[ordinal].dataType.simpleString()
-
-    def cull(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("o")
-        x = np.stack(group["v"].to_numpy()).astype(float)
-        far = np.linalg.norm(x - x.mean(axis=0), axis=1)
-        near, picks = np.full(len(x), np.inf), []
-        for _ in range(min(share, len(x))):
-            i = int(far.argmax())
-            picks.append(i)
-            near = np.minimum(near, np.linalg.norm(x - x[i], axis=1))
-            near[i] = -np.inf
-            far = near
-        return pd.DataFrame({"o": group["o"].to_numpy()[picks]})
-
-    rows = df.select(F.col(ordinal).alias("o"), F.col(vector).alias("v"), F.pmod(F.xxhash64(ordinal), F.lit(chunks)).alias("chunk"))
-    kept = rows.groupBy("chunk").applyInPandas(cull, f"o {kind}").withColumnRenamed("o", ordinal)
-    return farthest_points(df.join(kept, ordinal, "left_semi"), ordinal, vector, wanted)
+    schema = df.select(F.col(ordinal).alias("o"), F.col(vector).alias("v")).schema
+
+    def cull(share: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+        def run_one(group: pd.DataFrame) -> pd.DataFrame:
+            group = group.sort_values("o")
+            x = np.stack(group["v"].to_numpy()).astype(float)
+            far = np.linalg.norm(x - x.mean(axis=0), axis=1)
+            near, picks = np.full(len(x), np.inf), []
+            for _ in range(min(share, len(x))):
+                i = int(far.argmax())
+                picks.append(i)
+                near = np.minimum(near, np.linalg.norm(x - x[i], axis=1))
+                near[i] = -np.inf
+                far = near
+            return group[["o", "v"]].iloc[picks]
+
+        return run_one
+
+    left, turn = df.select(F.col(ordinal).alias("o"), F.col(vector).alias("v")), 0
+    while n and (not turn or n > max(chunk_rows, 2 * over * wanted)):
+        chunks = math.ceil(n / chunk_rows)
+        share = max(math.ceil(over * wanted / chunks), min(wanted, chunk_rows // 10))
+        dealt = left.withColumn("chunk", F.pmod(F.xxhash64(F.lit(turn), "o"), F.lit(chunks)))
+        left = cut_lineage(dealt.groupBy("chunk").applyInPandas(cull(share), schema), "culled")
+        n, turn = left.count(), turn + 1
+    return farthest_points(left.toDF(ordinal, vector), ordinal, vector, wanted)
 
 
 def allocation(df: DataFrame, group: str, target: int, strict: bool = False) -> DataFrame:

@@ -716,7 +716,7 @@ def farthest_point_selection(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def hierarchical_culling(spark: SparkSession, d: str) -> DataFrame:
     """Chunks first, then farthest points over what is left."""
-    return select.hierarchical_selection(table(spark, d, "embeddings"), "vec_id", "embedding", 20, 4)
+    return select.hierarchical_selection(table(spark, d, "embeddings"), "vec_id", "embedding", 20)
 
 
 ALLOCATION = """(WITH s AS (SELECT p_type, count(*) AS size FROM part GROUP BY 1), n AS (SELECT count(*) AS n FROM part),

@@ -94,6 +94,23 @@ def test_farthest_points_match_a_loop(spark):
     assert select.farthest_points(df, "i", "v", 100).count() == 60
 
 
+def test_culling_in_bounded_chunks_keeps_far_points(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    x = rng.normal(0, 0.01, (3000, 3))
+    corners = rng.choice(3000, 8, replace=False)
+    x[corners] += 10 * np.array([(a, b, c) for a in (-1, 1) for b in (-1, 1) for c in (-1, 1)])
+    df = spark.createDataFrame([(i, [float(v) for v in p]) for i, p in enumerate(x)], "i int, v array<double>")
+    left = []
+    last = select.farthest_points
+    monkeypatch.setattr(select, "farthest_points", lambda rows, *rest: left.append(rows.count()) or last(rows, *rest))
+    got = select.hierarchical_selection(df, "i", "v", 8, chunk_rows=100)
+    assert {r.i for r in got.collect()} == set(corners.tolist()) and left[0] <= 100
+    assert select.hierarchical_selection(df, "i", "v", 0.01, chunk_rows=100).count() == 30
+    assert select.hierarchical_selection(df.limit(5), "i", "v", 8, chunk_rows=100).count() == 5
+    sizes = df.groupBy(F.pmod(F.xxhash64(F.lit(0), "i"), F.lit(30))).count().agg(F.max("count")).first()[0]
+    assert sizes < 200
+
+
 def test_sizes_and_allocation(spark):
     assert [select.target_size(s, n) for s, n in ((0.5, 5), (0.5, 7), (3, 2), (0.001, 10))] == [2, 4, 2, 1]
     df = spark.createDataFrame([(g,) for g, n in (("a", 70), ("b", 25), ("c", 5)) for _ in range(n)], "g string")
