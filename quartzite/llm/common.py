@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -10,23 +11,28 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Separators of the two word definitions, after A-Z are lower-cased where that is asked for.
 ALNUM_SPLIT = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 ALNUM_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 SLICE_BYTES = 3 << 20
 BATCH_BYTES = 8 << 20
+#: Beyond this, a size that the optimizer gives is no estimate, but its stand-in for an unknown one.
+UNKNOWN_BYTES = 1 << 50
+#: Bytes of text for each byte of a compressed columnar file, roughly.
+PACKED = 3
+_LOCAL: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a default where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a local session may leave it unset; then it is a new temporary folder."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = "/tmp/checkpoints"
-        spark.conf.set("spark.checkpoint.dir", path)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(path)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        path = _LOCAL.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="quartzite-"))
     return path.rstrip("/")
 
 
@@ -38,7 +44,26 @@ def bounded_batches(spark: SparkSession) -> None:
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    """A new path in this application's own part of the shared folder."""
+    return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this application, once nothing that was built on them is read any more."""
+    remove(spark, f"{shared_dir(spark)}/{spark.sparkContext.applicationId}")
+
+
+def text_bytes(docs: DataFrame, column: str = "text") -> int:
+    """About how many bytes of text docs holds, from the sizes of its files; only where these are unknown it is counted. Sizes of filters follow it, results don't."""
+    known = int(str(docs.select(column)._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if known < UNKNOWN_BYTES:
+        return PACKED * known
+    return docs.agg(F.sum(F.octet_length(column))).first()[0] or 0
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
@@ -53,11 +78,9 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 def discard(df: DataFrame) -> None:
     """Delete the files of a materialised table that nothing reads any more."""
     spark = df.sparkSession
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        if folder.rpartition("/")[0].endswith(shared_dir(spark).rpartition(":")[2].lstrip("/")):
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(conf).delete(path, True)
+        if folder.rpartition("/")[0].endswith(f"/{spark.sparkContext.applicationId}"):
+            remove(spark, folder)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -110,6 +133,23 @@ def word_hashes(flat: pa.Array) -> np.ndarray:
     return table[np.asarray(coded.indices)] if len(words) else np.zeros(0, np.uint64)
 
 
+def word_digests(flat: pa.Array) -> np.ndarray:
+    """A 128-bit hash of each word as a row of two numbers, the first of them that of word_hashes' kind."""
+    coded = flat.dictionary_encode()
+    raw = b"".join(map(xxhash.xxh3_128_digest, coded.dictionary.to_pylist()))
+    return np.frombuffer(raw, np.uint64).reshape(-1, 2)[np.asarray(coded.indices)] if raw else np.zeros((0, 2), np.uint64)
+
+
+def in_order(id_col: Column) -> Column:
+    """A sortable, joinable form of ids of any type: by id, null ids last and equal to each other."""
+    return F.struct(id_col.isNull().alias("last"), id_col.alias("id"))
+
+
+def sample_share(key: Column, wanted: Column | float) -> Column:
+    """Whether a row is in a sample of the given share of all rows, chosen by a 63-bit hash of its key: shares of 1e-12 still choose rows."""
+    return F.shiftrightunsigned(F.xxhash64(key), 1) < F.lit(2.0**63) * wanted
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> np.uint64(30))
     x = x * np.uint64(0xBF58476D1CE4E5B9)

@@ -16,7 +16,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .repeats import GRAM, cut_repeats
+from .repeats import GRAM, GROUP, cut_repeats
 
 WINDOW = 20
 
@@ -60,10 +60,12 @@ class SuffixAutomaton:
         return new, self.length[self.link[new]]
 
 
-def seen_before(contents: list[list[str]], window: int) -> list[np.ndarray]:
-    """For each content a mask of its windows that occurred before: in an earlier content, or earlier in this one."""
+def seen_before(contents: list[list[str]], group: np.ndarray, window: int) -> list[np.ndarray]:
+    """For each content a mask of its windows that occurred before: in an earlier content of its group, or earlier in this one."""
     automaton, out = SuffixAutomaton(), []
-    for words in contents:
+    for at, words in enumerate(contents):
+        if at and group[at] != group[at - 1]:
+            automaton = SuffixAutomaton()
         state, statistic = 0, np.empty(len(words), np.int64)
         for i, c in enumerate(words):
             state, statistic[i] = automaton.extend(state, c)
@@ -71,6 +73,6 @@ def seen_before(contents: list[list[str]], window: int) -> list[np.ndarray]:
     return out
 
 
-def deduplicate_substrings(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", k: int = GRAM) -> DataFrame:
+def deduplicate_substrings(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", k: int = GRAM, group: int = GROUP) -> DataFrame:
     """Remove each word that a window covers whose words also start earlier: doc_id, n_words, n_removed, text."""
-    return cut_repeats(docs, window, seen_before, id_col, text_col, k)
+    return cut_repeats(docs, window, seen_before, id_col, text_col, k, group)

@@ -50,30 +50,53 @@ def test_sliding_extremes():
         assert repeats.sliding(np.minimum, x, width).tolist() == [x[i : i + width].min() for i in range(61 - width)]
 
 
-def brute_seen(contents, window):
+def brute_seen(contents, group, window):
     known, out = set(), []
-    for c in contents:
-        mask = []
-        for i in range(len(c) - window + 1):
-            w = tuple(c[i : i + window])
-            mask.append(w in known)
+    for g, c in zip(group, contents, strict=True):
+        windows = [(g, *c[i : i + window]) for i in range(len(c) - window + 1)]
+        out.append([])
+        for w in windows:
+            out[-1].append(w in known)
             known.add(w)
-        out.append(mask)
     return out
 
 
-@pytest.mark.parametrize("resolver", [substring_dedup.seen_before, lambda c, n: suffix_array_dedup.matched_before(c, n, 2)])
+def groups_of_runs(rng, window, k, groups):
+    """Different runs of windows with one minimiser, group after group, from small corpora in which grams recur often."""
+    contents, group = [], []
+    while len(set(group)) < groups:
+        base = [rng.choice("abcd"[: rng.randint(2, 4)]) for _ in range(rng.randint(window, 4 * window))]
+        texts = [base]
+        for _ in range(rng.randint(0, 4)):
+            copy = list(base)
+            for _ in range(rng.randint(0, 2)):
+                copy[rng.randrange(len(copy))] = rng.choice("abcd")
+            texts.append(copy)
+        runs = {}
+        for text in texts:
+            grams = common.window_hashes(common.word_digests(pa.array(text))[:, 0], k)
+            low = [int(grams[i : i + window - k + 1].min()) for i in range(len(text) - window + 1)]
+            edges = [0, *(i for i in range(1, len(low)) if low[i] != low[i - 1]), len(low)]
+            for i, j in zip(edges[:-1], edges[1:], strict=True):
+                runs.setdefault(low[i], {})[tuple(text[i : j + window - 1])] = None
+        for own in runs.values():
+            group += [len(set(group))] * len(own)
+            contents += own
+    return [list(c) for c in contents], np.array(group)
+
+
+@pytest.mark.parametrize("resolver", [lambda c, g, n, k: substring_dedup.seen_before(c, g, n), suffix_array_dedup.matched_before])
 def test_resolvers_match_sets_of_windows(resolver):
     rng = random.Random(7)
-    for trial in range(200):
-        window = rng.randint(2, 6)
-        # A group shares its least gram, as groups of runs with one minimiser do.
-        base = [rng.choice("ab") for _ in range(2 * window)]
-        contents = []
-        for _ in range(rng.randint(1, 5)):
-            c = list(base)
-            for _ in range(rng.randint(0, 2)):
-                c[rng.randrange(len(c))] = rng.choice("abc")
-            contents.append(c)
-        got = substring_dedup.seen_before(contents, window)
-        assert [m.tolist() for m in got] == brute_seen(contents, window)
+    for trial in range(400):
+        window = rng.randint(2, 7)
+        k = rng.randint(1, min(3, window))
+        contents, group = groups_of_runs(rng, window, k, 25)
+        got = resolver(contents, group, window, k)
+        assert [m.tolist() for m in got] == brute_seen(contents, group, window)
+
+
+def test_equal_lane_hashes_do_not_make_equal_digests():
+    digest = common.word_digests(pa.array(["a", "b", "a"]))
+    assert digest.shape == (3, 2) and (digest[0] == digest[2]).all() and (digest[0] != digest[1]).all()
+    assert common.word_digests(pa.array([], pa.string())).shape == (0, 2)

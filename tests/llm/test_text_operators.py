@@ -196,21 +196,34 @@ def brute_repeats(texts, window):
 
 @pytest.mark.parametrize("window,operator", [(20, substring_dedup.deduplicate_substrings), (9, substring_dedup.deduplicate_substrings), (50, suffix_array_dedup.deduplicate_passages), (12, suffix_array_dedup.deduplicate_passages)])
 @pytest.mark.parametrize("group", [1000, 1])
-def test_repeated_passages(spark, window, operator, group, monkeypatch):
-    monkeypatch.setattr(repeats, "GROUP", group)
+def test_repeated_passages(spark, window, operator, group):
     texts = corpus(n=80, seed=window, words=60) + AWKWARD + ["w w w w w x w w w w w w w w w w w w w w w w w w w w w"] * 2
-    got = operator(frame(spark, texts), window).collect()
+    got = operator(frame(spark, texts), window, group=group).collect()
     assert {r.doc_id: (r.n_words, r.n_removed, r.text) for r in got} == brute_repeats(texts, window)
     assert operator(empty(spark), window).count() == 0
+    named = frame(spark, texts).selectExpr("if(doc_id = 79, null, format_string('d%03d', doc_id)) AS doc_id", "text")
+    order = [*range(79), *range(80, len(texts)), 79]  # a null id comes last
+    expected = {d: x for d, x in zip(order, brute_repeats([texts[i] for i in order], window).values(), strict=True)}
+    got = operator(named, window, group=group).collect()
+    assert {79 if r.doc_id is None else int(r.doc_id[1:]): (r.n_words, r.n_removed, r.text) for r in got} == expected
+
+
+@pytest.mark.parametrize("operator", [substring_dedup.deduplicate_substrings, suffix_array_dedup.deduplicate_passages])
+def test_three_texts_with_a_recurring_minimiser(spark, operator):
+    """Passages that match at the second place of a minimiser, in texts whose first places do not match."""
+    phrase, core = [f"p{i}" for i in range(8)], [f"c{i}" for i in range(37)]
+    texts = [" ".join(x) for x in (phrase + core + phrase + [f"t{i}" for i in range(60)], ["x", *core, *phrase, *(f"t{i}" for i in range(60))], ["y", *phrase, *core, *phrase])]
+    got = {r.doc_id: (r.n_words, r.n_removed, r.text) for r in operator(frame(spark, texts), 50).collect()}
+    assert got == brute_repeats(texts, 50)
 
 
 @pytest.mark.parametrize("operator", [substring_dedup.deduplicate_substrings, suffix_array_dedup.deduplicate_passages])
 def test_passages_whose_minimiser_recurs(spark, operator):
     """A holds the minimiser twice, and B's only passage starts at its second place."""
-    from quartzite.llm.common import window_hashes, word_hashes
+    from quartzite.llm.common import window_hashes, word_digests
 
     def least(words):
-        return int(window_hashes(word_hashes(pa.array(words)), 8).argmin())
+        return int(window_hashes(word_digests(pa.array(words))[:, 0], 8).argmin())
 
     for seed in range(10_000):
         v, middle, tail = ([f"{kind}{seed}_{i}" for i in range(n)] for kind, n in (("v", 8), ("m", 22), ("t", 42)))
