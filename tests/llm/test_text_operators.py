@@ -286,6 +286,33 @@ def test_packing_texts(spark):
     small = packing.pack(frame(spark, texts), path, tokens=64, segments=3, loss=50, pool=4).collect()
     check_packing(small, 64, 3, 50, expected)
     assert packing.pack(empty(spark), path).count() == 0
+    long = [" " * 1_000_000, "x" * 200_000, "\n \t" * 50_000, " ".join("word" for _ in range(50_000))]
+    named = spark.createDataFrame([(f"d{i}", t) for i, t in enumerate(long)] + [(None, "x")], "doc_id string, text string")
+    expected = {f"d{i}": [*plain.encode(t, add_special_tokens=False).ids, 1] for i, t in enumerate(long)} | {None: [*plain.encode("x").ids, 1]}
+    check_packing(packing.pack(named, path).collect(), 2048, 64, 2048, expected)
+
+
+def test_fast_encoder_gives_the_ids_of_the_library():
+    """Every seventh code point beside letters, digits, blanks and marks; and files for which the proof must fail."""
+    import json
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    with open(path, encoding="utf-8") as file:
+        spec = json.load(file)
+    encode = packing.load_encoder(path, packing.merges_by_rank(spec))
+    points = [chr(i) for i in [*range(0x3000), *range(0x3000, 0x110000, 7)] if not 0xD800 <= i < 0xE000]
+    texts = [f"a{x}b 1{x}2 {x}{x} .{x}'s \n{x}\n" for x in points]
+    plain = Tokenizer.from_file(path)
+    assert [encode(t) for t in texts] == [e.ids for e in plain.encode_batch_fast(texts, add_special_tokens=False)]
+    merges = spec["model"]["merges"]
+    swapped = [*merges[:1000], merges[1001], merges[1000], *merges[1002:]]
+    assert packing.merges_by_rank(spec | {"model": spec["model"] | {"merges": swapped}}) is None
+    assert packing.merges_by_rank(spec | {"normalizer": {"type": "NFC"}}) is None
+    assert packing.load_encoder(path)("a  b") == plain.encode("a  b").ids
+    assert packing.has_long_run("\n \t" * 2000) and packing.has_long_run("x" * 5000) and not packing.has_long_run("x  " * 5000)
 
 
 def test_packing_examples_under_a_loss_limit(spark):
@@ -293,6 +320,11 @@ def test_packing_examples_under_a_loss_limit(spark):
     df = spark.createDataFrame(rows, "doc_id long, ids array<int>, loss_mask array<int>").repartition(2)
     got = packing.pack_examples(df, tokens=128, segments=8, loss=40, pool=16).collect()
     check_packing(got, 128, 8, 40, {i: ids for i, ids, _ in rows if ids})
+    assert not [r for r in got if r.doc_id == 200]  # an example without ids has no piece
+    import public_tokenizers
+
+    with pytest.raises(Exception, match="at least 1"):
+        packing.pack(frame(spark, ["a"]), public_tokenizers.path("byte_bpe_50k.json"), loss=0).collect()
 
 
 def test_language_id(spark):

@@ -2,9 +2,11 @@
 
 import os
 import re
+import zlib
 from collections import defaultdict
 
 import duckdb
+import numpy as np
 import pytest
 
 pytest.importorskip("quartzite.llm")
@@ -49,12 +51,17 @@ def test_quality_against_labels(spark, duck):
 
 def test_packing_is_whole(spark, duck):
     plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    expected = {d: len(plain.encode(t or "", add_special_tokens=False).ids) + 1 for d, t in duck.execute("SELECT doc_id, text FROM documents").fetchall()}
-    out = queries.op8_packing(spark, SF).collect()
-    total = defaultdict(int)
-    for r in out:
-        total[r.doc_id] += r.length
-    assert total == expected and all(r.doc_tokens == expected[r.doc_id] for r in out)
+    expected = {d: [*plain.encode(t or "", add_special_tokens=False).ids, 1] for d, t in duck.execute("SELECT doc_id, text FROM documents").fetchall()}
+    places, rooms = defaultdict(list), defaultdict(list)
+    for r in queries.op8_packing(spark, SF).collect():
+        ids = np.array(expected[r.doc_id][r.start : r.start + r.length], "<u4")
+        assert zlib.crc32(ids.tobytes()) == r.ids_crc32 and r.doc_tokens == len(expected[r.doc_id])
+        places[r.doc_id].append((r.start, r.length))
+        rooms[r.sequence_id].append((r.offset, r.length))
+    for parts, size in [*((p, len(expected[d])) for d, p in places.items()), *((p, None) for p in rooms.values())]:
+        ends = [0, *np.cumsum([n for _, n in sorted(parts)]).tolist()]
+        assert [a for a, _ in sorted(parts)] == ends[:-1] and ends[-1] == (size or ends[-1]) and (size or ends[-1] <= 2048)
+    assert set(places) == set(expected)
 
 
 def words(text, pattern):
