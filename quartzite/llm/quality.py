@@ -3,8 +3,9 @@
 Overlapping heuristic labellers vote good, junk or nothing on every document. Expectation-maximisation over the counts of
 vote patterns of the whole corpus (3 ** labellers rows at most) estimates how each labeller votes on good and on junk
 documents, without any hand-made label, and gives each pattern its posterior; a labeller that says nothing counts neither way. The posteriors then train a linear scorer
-over hashed word shapes, on about SAMPLE documents chosen by a hash of their ids (the documented bound of the fit). Every
-document is voted on, and every document is scored by the linear model.
+over hashed word shapes, on about SAMPLE documents chosen by a hash of their ids, or fewer where these would have more than
+SAMPLE_WORDS words (the documented bound of the fit, whatever the size of the corpus). Every document is voted on, and every
+document is scored by the linear model. `Scorer.accuracy` tells how each labeller was found to vote.
 
 Defined results: a text that is null or has no word has score 0 and isn't kept; repeated rows are scored each on its own;
 an empty table gives no rows; a corpus whose posteriors are all alike gives every document with words that posterior; `filter_quality`
@@ -23,14 +24,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from .common import bounded_batches, text_slices, word_lists
+from .common import bounded_batches, sample_share, text_slices, word_lists
 
 GOOD, JUNK, ABSTAIN = 1, 0, 2
 SAMPLE = 20_000
+SAMPLE_WORDS = 10_000_000
 FEATURES = 1 << 14
 THRESHOLD = 0.5
-#: The labellers vote for junk on clear cases only: the estimate of how often they do so on good documents is held below this.
-FALSE_ALARMS = 0.002
 #: Words from which on a share of words says something.
 ENOUGH = 15
 
@@ -103,7 +103,9 @@ def votes(s: dict[str, np.ndarray]) -> np.ndarray:
     )
 
 
-LABELLERS = 9
+#: What each labeller looks at.
+NAMES = ["odd marks", "capitals", "exclamation", "word repeats", "runs of a word", "commonest word", "short words", "sentence ends", "letters"]
+LABELLERS = len(NAMES)
 
 
 def shape_buckets(words: pa.Array) -> np.ndarray:
@@ -129,13 +131,13 @@ def features(offsets: np.ndarray, words: pa.Array, codes: np.ndarray, same: np.n
     return doc, feature, value / np.sqrt(np.bincount(doc, weights=value**2, minlength=n))[doc]
 
 
-def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> np.ndarray:
-    """Expectation-maximisation over vote patterns (rows of votes): each pattern's probability of good."""
-    if not len(counts):
-        return np.zeros(0)
+def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> tuple[np.ndarray, np.ndarray]:
+    """Expectation-maximisation over vote patterns (rows of votes): each pattern's probability of good, and how often each labeller that votes on junk and on good documents votes junk and good (labeller, truth, vote)."""
     prior = 0.8
     # To begin with, a vote for junk is taken to be rarer and surer than a vote for good.
     accuracy = np.tile(np.array([[0.35, 0.65], [0.03, 0.97]]), (patterns.shape[1], 1, 1))  # labeller, truth, vote
+    if not len(counts):
+        return np.zeros(0), accuracy
     p, voted = np.zeros(len(counts)), patterns != ABSTAIN
     vote = np.where(voted, patterns, 0)
     for _ in range(rounds):
@@ -147,9 +149,7 @@ def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> np.
         for k in range(patterns.shape[1]):
             seen = np.stack([np.bincount(vote[:, k], weights=w * voted[:, k], minlength=2) for w in weight]) + 1
             accuracy[k] = seen / seen.sum(axis=1, keepdims=True)
-            false_alarms = min(accuracy[k, GOOD, JUNK], FALSE_ALARMS)
-            accuracy[k, GOOD] = [false_alarms, 1 - false_alarms]
-    return p
+    return p, accuracy
 
 
 def train(doc: np.ndarray, feature: np.ndarray, value: np.ndarray, target: np.ndarray, rounds: int = 150, rate: float = 4.0, decay: float = 1e-5) -> np.ndarray:
@@ -167,8 +167,10 @@ def train(doc: np.ndarray, feature: np.ndarray, value: np.ndarray, target: np.nd
 
 
 class Scorer:
-    def __init__(self, posterior: dict[int, float], weights: np.ndarray):
+    def __init__(self, posterior: dict[int, float], weights: np.ndarray, accuracy: np.ndarray):
         self.posterior, self.weights = posterior, weights
+        #: Of each labeller: the share of its votes that are right, on junk and on good documents, as estimated.
+        self.accuracy = {name: (float(a[JUNK, JUNK]), float(a[GOOD, GOOD])) for name, a in zip(NAMES, accuracy, strict=True)}
 
     def score(self, offsets, words, codes, same) -> np.ndarray:
         doc, feature, value = features(offsets, words, codes, same)
@@ -180,25 +182,32 @@ def codes_of(v: np.ndarray) -> np.ndarray:
     return (v * 3 ** np.arange(v.shape[1])).sum(axis=1)
 
 
+def sampled_share(documents: int, words: int, sample: int = SAMPLE) -> float:
+    """The share of a corpus that makes about `sample` documents and at most about SAMPLE_WORDS words."""
+    return min(1.0, sample / max(documents, 1), SAMPLE_WORDS / max(words, 1))
+
+
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Scorer:
     """Votes of the whole corpus, their posteriors, and the linear scorer learned from about `sample` documents."""
     bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    total = rows.count()
-    rows = rows.select("text", (F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1e6 * min(1, sample / max(total, 1)))).alias("chosen"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(3**LABELLERS, np.int64)
+        seen, long = np.zeros(3**LABELLERS, np.int64), np.zeros(3**LABELLERS, np.int64)
         for part in text_slices(batches):
             offsets, shares, *_ = measures(part.column("text"))
-            seen += np.bincount(codes_of(votes(shares))[np.diff(offsets) > 0], minlength=len(seen))
+            size = np.diff(offsets)
+            code = codes_of(votes(shares))
+            seen += np.bincount(code[size > 0], minlength=len(seen))
+            long += np.bincount(code, weights=size, minlength=len(long)).astype(np.int64)
         at = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], names=["pattern", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at]), pa.array(long[at])], names=["pattern", "n", "words"])
 
-    found = rows.mapInArrow(count, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).orderBy("pattern").collect()
+    found = rows.select("text").mapInArrow(count, "pattern long, n long, words long").groupBy("pattern").agg(F.sum("n").alias("n"), F.sum("words").alias("words")).orderBy("pattern").collect()
     pattern = np.array([r.pattern for r in found], np.int64)
-    posterior = estimate(pattern[:, None] // 3 ** np.arange(LABELLERS) % 3, np.array([r.n for r in found], float))
+    posterior, accuracy = estimate(pattern[:, None] // 3 ** np.arange(LABELLERS) % 3, np.array([r.n for r in found], float))
     of = dict(zip(pattern.tolist(), posterior.tolist(), strict=True))
+    share = sampled_share(sum(r.n for r in found), sum(r.words for r in found), sample)
 
     def examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches):
@@ -210,13 +219,13 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample:
             lists = lambda x: pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(x))
             yield pa.RecordBatch.from_arrays([pa.array(target, pa.float64()), lists(feature.astype(np.int32)), lists(value.astype(np.float32))], names=["target", "feature", "value"])
 
-    table = rows.where("chosen").mapInArrow(examples, "target double, feature array<int>, value array<float>").where("target IS NOT NULL").toArrow().combine_chunks()
+    table = rows.where(sample_share(F.col("doc_id"), share)).select("text").mapInArrow(examples, "target double, feature array<int>, value array<float>").where("target IS NOT NULL").toArrow().combine_chunks()
     lists = table.column("feature").combine_chunks() if table.num_rows else None
     if lists is None:
-        return Scorer(of, np.zeros(FEATURES + 1))
+        return Scorer(of, np.zeros(FEATURES + 1), accuracy)
     doc = np.repeat(np.arange(table.num_rows), np.asarray(pc.list_value_length(lists)))
     weights = train(doc, np.asarray(lists.flatten()), np.asarray(table.column("value").combine_chunks().flatten()).astype(float), np.asarray(table.column("target")))
-    return Scorer(of, weights)
+    return Scorer(of, weights, accuracy)
 
 
 def score(docs: DataFrame, scorer: Scorer, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
