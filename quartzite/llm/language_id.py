@@ -1,15 +1,16 @@
 """Language identification of mixed-language text.
 
 A model of character n-grams is learned from labelled documents. The script ranges of a word's letters narrow the
-languages it can be; each word gets a log-likelihood under each of them; Viterbi over a text's words with a penalty for
-every switch labels spans, and the language with the most letters is the text's.
+languages it can be to those that use its main script, as long as there is one; each word gets a log-likelihood under each of
+these and none of the others; Viterbi over a text's words with a penalty for every switch labels spans, and the language with
+the most letters is the text's.
 
 The model is fitted on about SAMPLE documents of each language, chosen by a hash of their ids; its tables have BUCKETS
 hashed n-grams for each language, whatever the size of the corpus. Every document is labelled.
 
 Defined results: a text that is null or has no letter has no span, the language 'und' and score 0; without any labelled document
 every text is 'und'; rows whose language is null are not learned from; of languages with equally many letters the first
-in order of their names wins; an empty table gives no rows; only id, text and language are read, and language and id
+in order of their names wins, and of equally good ways to label a word that of the first; an empty table gives no rows; only id, text and language are read, and language and id
 never take part in labelling.
 """
 
@@ -23,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, mix, text_slices
+from .common import bounded_batches, mix, sample_share, text_slices
 
 SAMPLE = 4000
 BUCKETS = 1 << 16
@@ -86,14 +87,14 @@ class Model:
         self.uses = scripts >= SCRIPT_SHARE * np.maximum(scripts.sum(axis=1, keepdims=True), 1)
 
     def scores(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Each distinct word's score under each language (0 for the best, FLOOR at least), and its letters."""
+        """Each distinct word's score under each language (0 for the best, FLOOR at least, no chance for one that its script excludes), and its letters."""
         owner, bucket, size, script = grams(words)
         order = np.argsort(owner, kind="stable")
         begin = np.searchsorted(owner[order], np.arange(len(words)))
         score = np.add.reduceat(self.table[bucket[order]], begin, axis=0)
         allowed = self.uses[:, script].T
         score = np.where(allowed | ~allowed.any(axis=1, keepdims=True), score, -np.inf)
-        return np.maximum(score - score.max(axis=1, keepdims=True), FLOOR).astype(np.float32), size
+        return np.where(np.isfinite(score), np.maximum(score - score.max(axis=1, keepdims=True), FLOOR), score).astype(np.float32), size
 
 
 def viterbi(score: np.ndarray, offsets: np.ndarray, penalty: float) -> np.ndarray:
@@ -102,12 +103,12 @@ def viterbi(score: np.ndarray, offsets: np.ndarray, penalty: float) -> np.ndarra
     order = np.argsort(-length, kind="stable")
     length, start = length[order], offsets[:-1][order]
     n, kinds = score.shape
-    label = np.zeros(n, np.int8)
+    label = np.zeros(n, np.int32)
     if not n:
         return label
     alive = np.searchsorted(-length, -np.arange(1, length[0] + 1), "right")  # texts with more than t words
     stay = np.zeros((n, kinds), bool)
-    best_before = np.zeros(n, np.int8)
+    best_before = np.zeros(n, np.int32)
     value = np.zeros((len(length), kinds), np.float32)
     for t in range(int(length[0])):
         k = alive[t]
@@ -118,7 +119,7 @@ def viterbi(score: np.ndarray, offsets: np.ndarray, penalty: float) -> np.ndarra
             stay[at] = v >= top
             np.maximum(v, top, out=v)
         v += score[at]
-    current = value.argmax(axis=1).astype(np.int8)
+    current = value.argmax(axis=1).astype(np.int32)
     for t in range(int(length[0]) - 1, -1, -1):
         k = alive[t]
         at = start[:k] + t
@@ -135,10 +136,9 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     known = docs.where(F.col(lang_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     totals = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
     languages = sorted(totals)
-    share = F.lit(0)
-    for lang in languages:
-        share = F.when(F.col("lang") == lang, int(1e6 * min(1, sample / totals[lang]))).otherwise(share)
-    chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share) if languages else known
+    number = {lang: k for k, lang in enumerate(languages)}
+    shares = F.map_from_arrays(F.array(*map(F.lit, languages)), F.array(*(F.lit(sample / totals[lang]) for lang in languages)))
+    chosen = known.where(sample_share(F.col("doc_id"), shares[F.col("lang")])) if languages else known
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((len(languages), BUCKETS + len(SCRIPTS)))
@@ -147,7 +147,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
             if not len(flat):
                 continue
             coded = flat.dictionary_encode()
-            lang = np.array([languages.index(x) for x in part.column("lang").to_pylist()])[np.repeat(np.arange(part.num_rows), np.diff(offsets))]
+            lang = np.array([number[x] for x in part.column("lang").to_pylist()])[np.repeat(np.arange(part.num_rows), np.diff(offsets))]
             owner, bucket, size, script = grams(coded.dictionary.to_pylist())
             seen = np.zeros((len(coded.dictionary), len(languages)), np.int64)
             np.add.at(seen, (np.asarray(coded.indices), lang), 1)

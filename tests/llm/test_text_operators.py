@@ -359,6 +359,75 @@ def test_viterbi_matches_exhaustive_search():
         assert abs(value(label[a:b].tolist()) - best) < 1e-4
 
 
+def test_viterbi_with_excluded_and_many_languages():
+    import itertools
+
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    score = rng.normal(size=(7, 3)).astype(np.float32)
+    score[[0, 2, 3], [0, 1, 2]] = -np.inf
+    score[5] = [-np.inf, -np.inf, 0]
+    label = language_id.viterbi(score, np.array([0, 7]), 0.7)
+    value = lambda path: sum(score[i, k] for i, k in enumerate(path)) - 0.7 * sum(x != y for x, y in zip(path, path[1:], strict=False))
+    assert abs(value(label.tolist()) - max(map(value, itertools.product(range(3), repeat=7)))) < 1e-4
+    many = np.full((4, 300), -1.0, np.float32)
+    many[:, 250] = 0
+    assert language_id.viterbi(many, np.array([0, 1, 4]), 2.0).tolist() == [250] * 4
+
+
+def test_more_than_127_languages(spark):
+    rows = [(i, " ".join([f"{chr(97 + i % 26)}{chr(97 + i // 26)}{chr(97 + i % 26)}"] * 5), f"l{i:03d}") for i in range(150)]
+    model = language_id.fit(spark.createDataFrame(rows, "doc_id string, text string, lang string"))
+    got = {r.doc_id: r.lang_pred for r in language_id.identify(frame(spark, [t for _, t, _ in rows]), model).collect()}
+    assert got == {i: lang for i, _, lang in rows}
+
+
+def test_samples_of_huge_corpora_are_not_empty(spark):
+    """The share that a corpus of 1e11 rows leaves still chooses rows, and about as many as it should."""
+    from quartzite.llm.common import sample_share
+
+    n = 2_000_000
+    for wanted in (1.0, 0.3, 1e-3):
+        found = spark.range(n).where(sample_share(F.col("id"), wanted)).count()
+        assert abs(found - wanted * n) <= 5 * (wanted * n) ** 0.5
+    assert quality.sampled_share(10**11, 10**15) == pytest.approx(1e-8) and quality.sampled_share(10**11, 10**11) == pytest.approx(2e-7)
+    least = F.shiftrightunsigned(F.xxhash64("id"), 1)
+    smallest = spark.range(n).agg(F.min(least)).first()[0]
+    assert spark.range(n).where(sample_share(F.col("id"), (smallest + 2**20) / 2**63)).count() >= 1
+
+
+def test_estimate_is_expectation_maximisation():
+    """Against a plain version, one document at a time; and a labeller that is often wrong is found out."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    truth = rng.random(3000) < 0.8
+    right = [0.95, 0.9, 0.85, 0.55]
+    votes = np.stack([np.where(rng.random(3000) < 0.2, 2, np.where(rng.random(3000) < r, truth, ~truth)) for r in right], axis=1)
+    patterns, where, counts = np.unique(votes, axis=0, return_inverse=True, return_counts=True)
+    got, accuracy = quality.estimate(patterns, counts.astype(float), rounds=30)
+    prior, rate = 0.8, [[[0.35, 0.65], [0.03, 0.97]] for _ in right]
+    for _ in range(30):
+        p = []
+        for row in votes.tolist():
+            like = [1 - prior, prior]
+            for k, v in enumerate(row):
+                if v != 2:
+                    like = [like[y] * rate[k][y][v] for y in (0, 1)]
+            p.append(like[1] / sum(like))
+        prior = sum(p) / len(p)
+        for k in range(len(right)):
+            seen = [[1.0, 1.0], [1.0, 1.0]]
+            for row, x in zip(votes.tolist(), p, strict=True):
+                if row[k] != 2:
+                    seen[0][row[k]] += 1 - x
+                    seen[1][row[k]] += x
+            rate[k] = [[v / sum(s) for v in s] for s in seen]
+    assert np.allclose(got[where.ravel()], p, atol=1e-6) and np.allclose(accuracy, rate, atol=1e-6)
+    assert accuracy[0, 0, 0] > 0.85 and accuracy[3, 0, 0] < 0.7 and accuracy[3, 1, 1] < 0.7
+
+
 def test_quality(spark):
     import random
 
@@ -371,6 +440,7 @@ def test_quality(spark):
     texts = good + caps + marks + same + [None, "", "   "]
     df = frame(spark, texts)
     scorer = quality.fit(df)
+    assert list(scorer.accuracy) == quality.NAMES and all(0 <= x <= 1 for pair in scorer.accuracy.values() for x in pair)
     out = {r.doc_id: r for r in quality.score(df, scorer).collect()}
     assert all(out[i].kept for i in range(60)) and not any(out[i].kept for i in range(60, len(texts)))
     assert out[len(texts) - 1].score == 0 and out[len(texts) - 1].posterior is None
