@@ -22,7 +22,9 @@ BATCH_BYTES = 8 << 20
 #: Beyond this, a size that the optimizer gives is no estimate, but its stand-in for an unknown one.
 UNKNOWN_BYTES = 1 << 50
 #: Bytes of text for each byte of a compressed columnar file, roughly.
-PACKED = 3
+PACKED = 2
+#: Bytes that may be broadcast: sides of joins are measured against it.
+BROADCAST_BYTES = 64 << 20
 _LOCAL: dict[str, str] = {}
 
 
@@ -60,7 +62,8 @@ def release(spark: SparkSession) -> None:
 
 def text_bytes(docs: DataFrame, column: str = "text") -> int:
     """About how many bytes of text docs holds, from the sizes of its files; only where these are unknown it is counted. Sizes of filters follow it, results don't."""
-    known = int(str(docs.select(column)._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    leaves = docs._jdf.queryExecution().optimizedPlan().collectLeaves()
+    known = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
     if known < UNKNOWN_BYTES:
         return PACKED * known
     return docs.agg(F.sum(F.octet_length(column))).first()[0] or 0
@@ -87,6 +90,12 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """df, to be broadcast if its values have at most `limit` bytes; else joins shuffle it."""
+    width = sum((F.coalesce(F.octet_length(F.col(f"`{c}`").cast("string")), F.lit(0)) + 16 for c in df.columns), F.lit(0))
+    return F.broadcast(df) if (df.agg(F.sum(width.cast("long"))).first()[0] or 0) <= limit else df
+
+
 def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut batches so that each holds at most `limit` bytes of text, or one row."""
     for batch in batches:

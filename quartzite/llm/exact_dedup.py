@@ -1,12 +1,16 @@
 """Exact deduplication against a persistent digest index, with DataFrame operations only.
 
-The index is a table of one row for each distinct text: its SHA-256, the id that stays and the size of its group,
-bucketed and sorted by digest. New data meets it in a sort-merge anti-join for which only the new side moves, and the
-digests that the index lacks are appended. Only digests are shuffled, never texts.
+The index is a table of one row for each distinct text: its SHA-256, the id that stays and the batch that brought it,
+bucketed and sorted by digest. A batch is aggregated to its distinct digests, which meet the index in a sort-merge anti-join:
+only they are shuffled, into the index's buckets, and the index is read bucket by bucket where it lies. The digests that the
+index lacks are appended. Texts never move. A batch that is given again finds its own digests under its own name, appends
+nothing, and gets the same result, so a job that was lost after the append can be repeated.
 
-Defined results: a null text counts as the empty text; equal ids that repeat count as rows of their own; an empty table
-gives no rows; other columns are not read. Of equal texts in one batch the largest id stays; a text that the index held
-before the batch has no row that stays in this batch.
+A whole table goes through an index of its own in two batches, the larger ids first, so that of equal texts the largest id stays.
+
+Defined results: a null text counts as the empty text; equal ids that repeat count as rows of their own; null ids stay only
+where a text has no other; an empty table gives no rows; other columns are not read. Of equal texts in one batch the largest
+id stays; a text that the index held before the batch has no row that stays in this batch. Ids may be of any type that has an order.
 """
 
 from __future__ import annotations
@@ -16,14 +20,14 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, shared_path, shuffle_partitions
+from .common import BROADCAST_BYTES, broadcast_if_small, discard, materialise, remove, shared_path, shuffle_partitions
 
-#: Dropped rows that may be broadcast (about 100 bytes each).
-BROADCAST_ROWS = 1_000_000
+#: A group of more than this share of all rows is joined apart: there are at most as many such groups as its inverse.
+HOT_SHARE = 1 / 1000
 
 
 class DigestIndex:
-    """A table (digest BINARY, keep_id, group_size) in `path`, in `buckets` buckets sorted by digest."""
+    """A table (digest BINARY, keep_id, batch) in `path`, in `buckets` buckets sorted by digest."""
 
     def __init__(self, spark: SparkSession, path: str | None = None, name: str | None = None, buckets: int | None = None):
         self.spark = spark
@@ -37,65 +41,90 @@ class DigestIndex:
     def table(self) -> DataFrame:
         return self.spark.table(self.name)
 
-    def append(self, digests: DataFrame) -> None:
-        """Add the digests (digest, doc_id) that the index lacks; of equal ones the largest id stays."""
-        groups = digests.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-        if self.exists():
-            groups = groups.hint("merge").join(self.table().select("digest"), "digest", "left_anti")
-        (
-            groups.repartition(self.buckets, "digest")
-            .write.mode("append")
-            .option("path", self.path)
-            .bucketBy(self.buckets, "digest")
-            .sortBy("digest")
-            .saveAsTable(self.name)
-        )
+    def lacking(self, digests: DataFrame) -> DataFrame:
+        """Of rows (digest, doc_id) the distinct digests that the index lacks, with the largest id of each.
+
+        The distinct ones are written first: the optimizer would have the join before the aggregate, and a hot digest's rows in one task.
+        """
+        groups = materialise(digests.groupBy("digest").agg(F.max("doc_id").alias("keep_id")), "distinct")
+        return groups.repartition(self.buckets, "digest").hint("merge").join(self.table().select("digest"), "digest", "left_anti") if self.exists() else groups
+
+    def append(self, digests: DataFrame, batch: str) -> None:
+        self._write(self.lacking(digests).withColumn("batch", F.lit(batch)), self.name, self.path)
+
+    def _write(self, rows: DataFrame, name: str, path: str) -> None:
+        rows = rows.repartition(self.buckets, "digest")
+        rows.write.mode("append").option("path", path).bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(name)
+
+    def compact(self) -> None:
+        """Write the table again with one sorted file a bucket; appends leave one a batch."""
+        path = shared_path(self.spark, self.name) if self.path.startswith(shared_path(self.spark, "").rpartition("/")[0]) else f"{self.path.rstrip('/')}-{uuid.uuid4().hex[:12]}"
+        new, old = f"{self.name}_{uuid.uuid4().hex[:8]}", self.path
+        self._write(self.table(), new, path)
+        self.spark.sql(f"DROP TABLE {self.name}")
+        self.spark.sql(f"ALTER TABLE {new} RENAME TO {self.name}")
+        self.path = path
+        remove(self.spark, old)
+
+    def drop(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        remove(self.spark, self.path)
 
 
 def with_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     return docs.select(F.col(id_col).alias("doc_id"), F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256)).alias("digest"))
 
 
-def deduplicate(docs: DataFrame, index: DigestIndex | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each row of docs: doc_id, digest, keep_id, group_size, kept.
+def deduplicate(docs: DataFrame, index: DigestIndex | None = None, batch: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row for each row of docs: doc_id, digest, keep_id, group_size (rows of docs with this text), kept.
 
-    The group of a hot text can hold any share of the rows: counting it aggregates before the shuffle, and the join of
-    rows with their groups is an inner join of two plain shuffles, whose large partitions adaptive execution splits.
+    With an index, docs are one batch, of the given name. Without one, the whole table goes through an index of its own.
     """
     spark = docs.sparkSession
-    index = index or DigestIndex(spark)
     digests = materialise(with_digest(docs, id_col, text_col), "digests")
-    fresh = digests if not index.exists() else digests.hint("merge").join(index.table().select("digest"), "digest", "left_anti")
-    fresh_ids = None if fresh is digests else materialise(fresh.select("digest").distinct(), "fresh")
-    index.append(digests)
-    # A projection hides the bucketing, so that both sides are shuffled and a hot digest can be split.
-    groups = index.table().select(F.concat("digest", F.lit(b"")).alias("digest"), "keep_id", "group_size")
-    out = digests.hint("merge").join(groups, "digest")
-    if fresh_ids is None:
-        kept = F.col("doc_id").eqNullSafe(F.col("keep_id"))
-    else:
-        out = out.join(fresh_ids.withColumn("fresh", F.lit(True)), "digest", "left")
-        kept = F.coalesce("fresh", F.lit(False)) & F.col("doc_id").eqNullSafe(F.col("keep_id"))
-    return out.select("doc_id", "digest", "keep_id", "group_size", kept.alias("kept"))
-
-
-def drop_duplicates(docs: DataFrame, index: DigestIndex | None = None, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    if index is not None:
+        batch = batch or f"batch-{uuid.uuid4().hex}"
+        index.append(digests, batch)
+        return _decisions(digests, index, batch)
+    index = DigestIndex(spark)
+    pivot = digests.agg(F.min_by("doc_id", F.xxhash64("doc_id"))).first()[0]  # an id as good as drawn at random
+    larger = F.coalesce(F.col("doc_id") > F.lit(pivot), F.lit(False))
+    index.append(digests.where(larger), "larger ids")
+    index.append(digests.where(~larger), "other ids")
+    out = _decisions(digests, index)
+    index.drop()
+    return out
+
+
+def _decisions(digests: DataFrame, index: DigestIndex, batch: str | None = None) -> DataFrame:
+    """Each row with its group. A group that holds a large share of the rows is joined by broadcast, for there are few of them; all others by sort-merge."""
+    counts = digests.groupBy("digest").agg(F.count(F.lit(1)).alias("group_size"))
+    groups = materialise(counts.hint("merge").join(index.table(), "digest").select("digest", "keep_id", "group_size", "batch"), "groups")
+    total = groups.agg(F.sum("group_size")).first()[0] or 0
+    is_hot = F.col("group_size") > F.lit(total * HOT_SHARE)
+    hot = groups.where(is_hot)
+    out = digests.join(F.broadcast(hot), "digest")  # at most 1 / HOT_SHARE rows
+    out = out.unionByName(digests.join(F.broadcast(hot.select("digest")), "digest", "left_anti").hint("merge").join(groups.where(~is_hot), "digest"))
+    stays = F.col("doc_id").eqNullSafe(F.col("keep_id"))
+    if batch is not None:
+        stays &= F.col("batch") == batch
+    return out.select("doc_id", "digest", "keep_id", "group_size", stays.alias("kept"))
+
+
+def drop_duplicates(docs: DataFrame, index: DigestIndex | None = None, batch: str | None = None, id_col: str = "doc_id", text_col: str = "text", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """The rows of docs that stay, with all their columns as they were; of rows equal in id and text one stays.
 
-    The dropped rows are broadcast while they are few; beyond, the join shuffles.
+    The dropped rows are broadcast while they have at most so many bytes; beyond, the join shuffles.
     """
-    decided = materialise(deduplicate(docs, index, id_col, text_col), "decisions")
+    decided = materialise(deduplicate(docs, index, batch, id_col, text_col), "decisions")
     again = decided.where("kept").groupBy("doc_id", "digest").count().where("count > 1").select("doc_id", "digest")
     again = materialise(again, "again")
-    gone = decided.where(~F.col("kept")).select("doc_id", "digest").union(again).toDF("__id", "__digest_of")
+    gone = materialise(decided.where(~F.col("kept")).select("doc_id", "digest").union(again).toDF("__id", "__digest_of"), "gone")
     digest = F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256))
-
-    def held(keys: DataFrame) -> DataFrame:
-        return F.broadcast(keys) if keys.count() <= broadcast_rows else keys
-
     rows = docs.withColumn("__digest", digest)
     fits = F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__digest") == F.col("__digest_of"))
-    out = rows.join(held(gone), fits, "left_anti")
+    out = rows.join(broadcast_if_small(gone, broadcast_bytes), fits, "left_anti")
     if again.limit(1).count():
-        out = out.unionByName(rows.join(held(again.toDF("__id", "__digest_of")), fits, "left_semi").dropDuplicates([id_col, "__digest"]))
+        out = out.unionByName(rows.join(broadcast_if_small(again.toDF("__id", "__digest_of"), broadcast_bytes), fits, "left_semi").dropDuplicates([id_col, "__digest"]))
+    discard(decided)
     return out.drop("__digest")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 pytest.importorskip("quartzite.llm")
 
-from quartzite.llm import components, decontaminate, exact_dedup, jaccard_join, language_id, line_dedup, packing, quality, repeats, substring_dedup, suffix_array_dedup, url_filter
+from quartzite.llm import common, components, decontaminate, exact_dedup, jaccard_join, language_id, line_dedup, packing, quality, repeats, substring_dedup, suffix_array_dedup, url_filter
 
 TEXTS = corpus() + AWKWARD + ["", None, "one"]
 
@@ -72,23 +72,48 @@ def test_exact_dedup(spark):
             assert (got[i].keep_id, got[i].group_size, got[i].kept) == (max(ids), len(ids), i == max(ids))
             assert bytes(got[i].digest).hex() == hashlib.sha256(text.encode()).hexdigest()
     assert exact_dedup.deduplicate(empty(spark)).count() == 0
+    named = frame(spark, TEXTS).selectExpr("format_string('d%03d', doc_id) AS doc_id", "text", "1 AS batch", "2 AS keep_id")
+    for r in exact_dedup.deduplicate(named).collect():
+        assert int(r.keep_id[1:]) == got[int(r.doc_id[1:])].keep_id and r.group_size == got[int(r.doc_id[1:])].group_size
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("digest_index_")]
 
 
 def test_digest_index_keeps_what_it_has_seen(spark):
     index = exact_dedup.DigestIndex(spark, buckets=4)
-    first, second = frame(spark, ["a", "b", "b"]), frame(spark, ["b", "c", None])
-    exact_dedup.deduplicate(first, index).collect()
-    kept = [r.doc_id for r in exact_dedup.deduplicate(second, index).where("kept").collect()]
-    assert sorted(kept) == [1, 2] and index.table().count() == 4
-    plan = index.table().groupBy("digest").count()._jdf.queryExecution().executedPlan().toString()
-    assert "Exchange" not in plan  # the buckets are used
+    batches = {"one": frame(spark, ["a", "b", "b"]), "two": frame(spark, ["b", "c", None])}
+    rows = lambda name: sorted((r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup.deduplicate(batches[name], index, name).collect())
+    expected = {"one": [(0, 0, 1, True), (1, 2, 2, False), (2, 2, 2, True)], "two": [(0, 2, 1, False), (1, 1, 1, True), (2, 2, 1, True)]}
+    assert rows("one") == expected["one"] and rows("two") == expected["two"]
+    # A batch that is given again, in part too, changes nothing.
+    assert rows("two") == expected["two"] and rows("one") == expected["one"] and index.table().count() == 4
+    kept = exact_dedup.drop_duplicates(batches["two"], index, "two")
+    assert sorted((r.doc_id, r.text) for r in kept.collect()) == [(1, "c"), (2, None)]
+    index.compact()
+    assert index.table().count() == 4 and rows("two") == expected["two"]
+    assert exact_dedup.deduplicate(empty(spark), index, "none").count() == 0
+    index.drop()
+    assert not index.exists()
+
+
+def test_digest_index_stays_where_it_lies(spark):
+    """Only the new digests move when a batch meets the index, whatever the number of its buckets."""
+    for buckets in (4, 6):
+        index = exact_dedup.DigestIndex(spark, buckets=buckets)
+        index.append(exact_dedup.with_digest(frame(spark, ["a", "b"])), "one")
+        new = common.materialise(exact_dedup.with_digest(frame(spark, ["b", "c", "c"])), "new")
+        lacking = index.lacking(new)
+        plan = lacking._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == 1 and plan.count("Exchange hashpartitioning(digest") == 1 and "LeftAnti" in plan
+        assert f"SelectedBucketsCount: {buckets} out of {buckets}" in plan.partition("Exchange")[2]
+        assert [r.keep_id for r in lacking.collect()] == [2]
+        index.drop()
 
 
 def test_drop_duplicates_with_repeated_and_null_ids(spark):
     rows = [(1, "a"), (1, "a"), (2, "b"), (3, "b"), (None, "c"), (None, "c"), (4, None), (5, "")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    for limit in (10, 0):
-        got = sorted((r.text or "", r.doc_id or 0) for r in exact_dedup.drop_duplicates(df, broadcast_rows=limit).collect())
+    for limit in (10**6, 0):
+        got = sorted((r.text or "", r.doc_id or 0) for r in exact_dedup.drop_duplicates(df, broadcast_bytes=limit).collect())
         assert got == [("", 5), ("a", 1), ("b", 3), ("c", 0)]
 
 
