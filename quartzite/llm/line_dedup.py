@@ -1,17 +1,18 @@
 """Line deduplication with two Bloom filters.
 
 Pass one marks in each task which hashed keys it has seen once and which twice; merging two tasks' filters marks as seen
-twice what either has seen twice and what both have seen. Tasks ship bit positions, not filters, and each merging task
-holds only its own chunks of the filters, so nothing grows with the number of tasks. Pass two emits only the lines whose
-bits are all set in the second filter, aggregated before the shuffle, and confirms them exactly on 128-bit digests with
-their number of documents and their first document. Pass three drops the confirmed lines.
+twice what either has seen twice and what both have seen. A task holds the bits of FLUSH keys at most and ships positions, not
+filters, and each merging task owns a range of both filters, of MERGED bits at most, so nothing grows with the number of tasks.
+Pass two emits only the lines whose bits are all set in the second filter, aggregated before the shuffle, and confirms them
+exactly on 128-bit digests with their number of documents and their first document. Pass three drops the confirmed lines.
 
-The filters have 16 bits a line up to MAX_BITS (16 MB each); beyond that more lines are suspected and shuffled, and the
-result stays the same. Confirmed keys are broadcast while there are at most BROADCAST_KEYS; beyond, each document gets its own
-confirmed keys through a join on its id.
+The filters have 16 bits for each line that the files' sizes suggest, up to MAX_BITS (128 MB each); beyond that more lines are
+suspected and shuffled, and the result stays the same. Confirmed keys are broadcast while they have at most BROADCAST_BYTES;
+beyond, each document gets its own confirmed keys through a join on its id.
 
 Defined results: a null or empty text is one empty line; an empty key is never dropped; a key counts once a row, however
-often it repeats in it; rows with equal ids count each; a document with a null id is never a first place; an empty table gives no rows; only id and text are read.
+often it repeats in it; rows with equal ids count each; a document with a null id is never a first place; ids may be of any
+type that has an order; an empty table gives no rows; only id and text are read.
 """
 
 from __future__ import annotations
@@ -25,12 +26,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, materialise, shuffle_partitions, signed, text_slices
+from .common import BROADCAST_BYTES, bounded_batches, is_small, materialise, shuffle_partitions, signed, text_bytes, text_slices
 
-MAX_BITS = 1 << 27
+MAX_BITS = 1 << 30
 CHUNK = 1 << 16
+#: Bits of each filter that a merging task owns.
+MERGED = 1 << 25
+#: Bit positions that a task gathers before it ships them (8 bytes each).
+FLUSH = 4_000_000
 HASHES = 2
-BROADCAST_KEYS = 2_000_000
+BITS_PER_LINE = 16
+#: Bytes of a line, roughly.
+LINE_BYTES = 40
 
 
 def lines_of(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
@@ -58,8 +65,8 @@ def by_document(offsets: np.ndarray, codes: np.ndarray, n_codes: int) -> np.ndar
     return np.bincount(np.unique(owner * max(n_codes, 1) + codes) % max(n_codes, 1), minlength=n_codes)
 
 
-def _chunks(name: str, bitmap: np.ndarray) -> Iterator[tuple[int, str, bytes]]:
-    set_at = np.flatnonzero(bitmap)
+def _chunks(name: str, set_at: np.ndarray) -> Iterator[tuple[int, str, bytes]]:
+    """A row for each chunk of a filter in which bits are set (positions in ascending order)."""
     chunk = set_at // CHUNK
     edges = np.append(np.flatnonzero(np.concatenate([[True], chunk[1:] != chunk[:-1]])), len(set_at)) if len(set_at) else []
     for a, b in zip(edges[:-1], edges[1:], strict=True):
@@ -70,20 +77,24 @@ def repeated_filter(docs: DataFrame, bits: int, min_chars: int) -> np.ndarray:
     """The filter of keys that two documents or more seem to have, as a packed bitmap."""
 
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        once, twice = np.zeros(bits, bool), np.zeros(bits, bool)
+        gathered: list[np.ndarray] = []
         for part in text_slices(batches):
             offsets, lines = lines_of(part.column("text"))
             codes, digest, usable = digests(lines, min_chars)
             count = by_document(offsets, codes, len(digest))
             places = bit_places(digest, bits)
-            twice[places[usable & (count > 1)]] = True
-            # A bit set by an earlier slice, or by another key of this one, may stand for the same key.
-            new = places[usable].ravel()
-            twice[new[once[new]]] = True
-            once[new] = True
-        rows = [*_chunks("once", once), *_chunks("twice", twice)]
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows, strict=True)], names=["chunk", "which", "places"])
+            # A position that comes twice may stand for one key of two documents.
+            gathered += [places[usable].ravel(), places[usable & (count > 1)].ravel()]
+            if sum(map(len, gathered)) >= FLUSH:
+                yield shipped(gathered)
+                gathered = []
+        if any(map(len, gathered)):
+            yield shipped(gathered)
+
+    def shipped(gathered: list[np.ndarray]) -> pa.RecordBatch:
+        at, count = np.unique(np.concatenate(gathered), return_counts=True)
+        rows = [*_chunks("once", at[count == 1]), *_chunks("twice", at[count > 1])]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows, strict=True)], names=["chunk", "which", "places"])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         once: dict[int, np.ndarray] = {}
@@ -101,20 +112,25 @@ def repeated_filter(docs: DataFrame, bits: int, min_chars: int) -> np.ndarray:
         if twice:
             yield pa.RecordBatch.from_arrays([pa.array(list(twice)), pa.array([np.packbits(x, bitorder="little").tobytes() for x in twice.values()])], names=["chunk", "bitmap"])
 
-    merged = docs.mapInArrow(seen, "chunk long, which string, places binary").repartition(shuffle_partitions(docs.sparkSession), "chunk").mapInArrow(merge, "chunk long, bitmap binary")
+    parts = max(shuffle_partitions(docs.sparkSession), bits // MERGED)
+    merged = docs.mapInArrow(seen, "chunk long, which string, places binary").repartition(parts, "chunk").mapInArrow(merge, "chunk long, bitmap binary")
     bitmap = np.zeros(bits // 8, np.uint8)
     for row in merged.toLocalIterator():  # at most MAX_BITS in all
         bitmap[row.chunk * CHUNK // 8 : (row.chunk + 1) * CHUNK // 8] = np.frombuffer(row.bitmap, np.uint8)[: len(bitmap)]
     return bitmap
 
 
+def filter_bits(docs: DataFrame) -> int:
+    wanted, bits = BITS_PER_LINE * text_bytes(docs) // LINE_BYTES, CHUNK
+    while bits < min(MAX_BITS, wanted):
+        bits *= 2
+    return bits
+
+
 def repeated_lines(docs: DataFrame, min_docs: int, min_chars: int) -> DataFrame:
     """docs: doc_id, text. One row (hi, lo, first_doc) for each key found in at least min_docs documents."""
     spark = docs.sparkSession
-    lines = docs.agg(F.sum(F.length("text") - F.length(F.translate("text", "\n", "")) + 1)).first()[0] or 0
-    bits = CHUNK
-    while bits < min(MAX_BITS, 16 * lines):
-        bits *= 2
+    bits = filter_bits(docs)
     held = spark.sparkContext.broadcast(repeated_filter(docs, bits, min_chars))
 
     def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,20 +142,21 @@ def repeated_lines(docs: DataFrame, min_docs: int, min_chars: int) -> DataFrame:
             usable &= ((bitmap[places >> 3] >> (places & 7)) & 1).all(axis=1)
             if not usable.any():
                 continue
-            ids = part.column("doc_id").to_numpy(zero_copy_only=False)
-            owner = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-            first = np.full(len(digest), np.iinfo(np.int64).max)
-            known = np.asarray(part.column("doc_id").is_valid())[owner]
-            np.minimum.at(first, codes[known], ids[owner[known]].astype(np.int64))
+            ids = part.column("doc_id")
+            order = np.asarray(pc.array_sort_indices(ids))  # nulls last
+            rank = np.empty(len(ids), np.int64)
+            rank[order] = np.arange(len(ids))
+            first = np.full(len(digest), len(ids))
+            np.minimum.at(first, codes, np.repeat(rank, np.diff(offsets)))
             count = by_document(offsets, codes, len(digest))
             chosen = digest[usable]
-            yield pa.RecordBatch.from_arrays([pa.array(signed(chosen[:, 0].copy())), pa.array(signed(chosen[:, 1].copy())), pa.array(count[usable]), pa.array(first[usable])], names=["hi", "lo", "n", "first_doc"])
+            yield pa.RecordBatch.from_arrays([pa.array(signed(chosen[:, 0].copy())), pa.array(signed(chosen[:, 1].copy())), pa.array(count[usable]), ids.take(pa.array(order[first[usable]]))], names=["hi", "lo", "n", "first_doc"])
 
-    rows = docs.mapInArrow(suspects, "hi long, lo long, n long, first_doc long")
+    rows = docs.mapInArrow(suspects, f"hi long, lo long, n long, first_doc {docs.schema['doc_id'].dataType.simpleString()}")
     return rows.groupBy("hi", "lo").agg(F.sum("n").alias("n"), F.min("first_doc").alias("first_doc")).where(F.col("n") >= min_docs).select("hi", "lo", "first_doc")
 
 
-def drop_lines(docs: DataFrame, min_docs: int = 2, min_chars: int = 1, keep: str = "first", id_col: str = "doc_id", text_col: str = "text", broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
+def drop_lines(docs: DataFrame, min_docs: int = 2, min_chars: int = 1, keep: str = "first", id_col: str = "doc_id", text_col: str = "text", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """One row for each document: doc_id, n_lines, n_dropped, text of the lines that stay.
 
     keep: 'first' leaves each repeated line at its first place (in the smallest id, its first line there), 'none' drops all.
@@ -148,12 +165,11 @@ def drop_lines(docs: DataFrame, min_docs: int = 2, min_chars: int = 1, keep: str
     bounded_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     keys = materialise(repeated_lines(docs, min_docs, min_chars), "lines")
-    small = keys.count() <= broadcast_keys
+    if keep != "first":
+        keys = keys.select("hi", "lo", F.lit(None).cast(docs.schema["doc_id"].dataType).alias("first_doc"))
     held = None
-    if small:
-        listed = keys.toArrow()
-        table = np.stack([np.asarray(listed.column(c)).astype(np.int64) for c in ("hi", "lo", "first_doc")], axis=1)
-        held = spark.sparkContext.broadcast(table[np.lexsort((table[:, 1], table[:, 0]))])
+    if is_small(keys, broadcast_bytes):
+        held = spark.sparkContext.broadcast(sorted_keys(keys.toArrow().combine_chunks()))
     else:
         docs = _with_own_keys(docs, keys, min_chars)
 
@@ -161,20 +177,16 @@ def drop_lines(docs: DataFrame, min_docs: int = 2, min_chars: int = 1, keep: str
         for part in text_slices(batches):
             offsets, lines = lines_of(part.column("text"))
             codes, digest, usable = digests(lines, min_chars)
-            if held is not None:
-                table = held.value
-            else:
-                own = part.column("own").flatten().to_pylist()
-                table = np.array(sorted({(x["hi"], x["lo"], x["first_doc"]) for x in own}), np.int64).reshape(-1, 3)
+            table, firsts = held.value if held is not None else sorted_keys(pa.Table.from_struct_array(part.column("own").flatten()))
             hi, lo = signed(digest[:, 0].copy()), signed(digest[:, 1].copy())
-            dropped, first = np.zeros(len(digest), bool), np.zeros(len(digest), np.int64)
+            dropped, found = np.zeros(len(digest), bool), np.zeros(len(digest), np.int64)
             at, todo = np.searchsorted(table[:, 0], hi), usable.copy()
             while todo.any():  # digests with an equal first half are rare
                 todo &= at < len(table)
                 todo[todo] = table[at[todo], 0] == hi[todo]
                 same = np.flatnonzero(todo)
                 same = same[table[at[same], 1] == lo[same]]
-                dropped[same], first[same], todo[same] = True, table[at[same], 2], False
+                dropped[same], found[same], todo[same] = True, at[same], False
                 at = at + 1
             gone = dropped[codes]
             ids = part.column("doc_id").to_pylist()
@@ -186,7 +198,7 @@ def drop_lines(docs: DataFrame, min_docs: int = 2, min_chars: int = 1, keep: str
                     seen: set = set()
                     for j in np.flatnonzero(own):
                         c = codes[a + j]
-                        if c not in seen and ids[i] == first[c]:
+                        if c not in seen and ids[i] is not None and ids[i] == firsts[found[c]].as_py():
                             own[j] = False
                         seen.add(c)
                 n_dropped.append(int(own.sum()))
@@ -197,6 +209,14 @@ def drop_lines(docs: DataFrame, min_docs: int = 2, min_chars: int = 1, keep: str
     return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_lines long, n_dropped long, text string")
 
 
+def sorted_keys(listed: pa.Table) -> tuple[np.ndarray, pa.Array]:
+    """Rows (hi, lo) in order, and the first document of each."""
+    table = np.stack([np.asarray(listed.column(c)).astype(np.int64) for c in ("hi", "lo")], axis=1)
+    order = np.lexsort((table[:, 1], table[:, 0]))
+    firsts = listed.column("first_doc").combine_chunks() if len(order) else pa.array([], pa.null())
+    return table[order], firsts.take(pa.array(order))
+
+
 def _with_own_keys(docs: DataFrame, keys: DataFrame, min_chars: int) -> DataFrame:
     """Add to each document the confirmed keys among its lines (column own)."""
 
@@ -213,4 +233,4 @@ def _with_own_keys(docs: DataFrame, keys: DataFrame, min_chars: int) -> DataFram
 
     found = docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, hi long, lo long").join(keys, ["hi", "lo"])
     own = found.groupBy("doc_id").agg(F.collect_set(F.struct("hi", "lo", "first_doc")).alias("own")).withColumnRenamed("doc_id", "own_id")
-    return docs.join(own, F.col("doc_id").eqNullSafe(F.col("own_id")), "left").select("doc_id", "text", F.coalesce("own", F.array().cast("array<struct<hi:bigint,lo:bigint,first_doc:bigint>>")).alias("own"))
+    return docs.join(own, F.col("doc_id").eqNullSafe(F.col("own_id")), "left").select("doc_id", "text", F.coalesce("own", F.array().cast(own.schema["own"].dataType)).alias("own"))

@@ -140,10 +140,30 @@ def brute_lines(texts, least, keep):
 
 
 @pytest.mark.parametrize("keep,least,broadcast", [("none", 3, 10**6), ("first", 2, 10**6), ("none", 2, 0), ("first", 2, 0)])
-def test_line_dedup(spark, keep, least, broadcast):
+def test_line_dedup(spark, keep, least, broadcast, monkeypatch):
+    monkeypatch.setattr(line_dedup, "FLUSH", 50)
     texts = ["\n".join(t.split(" w")) if t else t for t in TEXTS] + [" Same \nx", "same\ny", "SAME\r\nz", "same"]
-    got = line_dedup.drop_lines(frame(spark, texts), least, 1, keep, broadcast_keys=broadcast).collect()
+    got = line_dedup.drop_lines(frame(spark, texts), least, 1, keep, broadcast_bytes=broadcast).collect()
     assert {r.doc_id: (r.n_lines, r.n_dropped, r.text) for r in got} == brute_lines(texts, least, keep)
+    named = frame(spark, texts).selectExpr("format_string('d%03d', doc_id) AS doc_id", "text")
+    got = line_dedup.drop_lines(named, least, 1, keep, broadcast_bytes=broadcast).collect()
+    assert {int(r.doc_id[1:]): (r.n_lines, r.n_dropped, r.text) for r in got} == brute_lines(texts, least, keep)
+
+
+def test_suspected_lines_stay_few_as_tables_grow(spark):
+    """Lines that occur once are hardly ever suspected, in tables of any size, because the filters grow with them."""
+    shares = []
+    for n in (2000, 20000):
+        docs = spark.range(n).selectExpr("id AS doc_id", "concat_ws('\n', transform(sequence(1, 10), i -> concat('a line of its own, ', sha2(concat(id, '-', i), 256))), 'shared') AS text")
+        docs = common.materialise(docs, "docs")
+        bits = line_dedup.filter_bits(docs)
+        bitmap = line_dedup.repeated_filter(docs, bits, 1)
+        table = pa.table(docs.limit(1000).toArrow())
+        _, lines = line_dedup.lines_of(table.column("text").combine_chunks())
+        _, digest, _ = line_dedup.digests(lines, 1)
+        places = line_dedup.bit_places(digest, bits)
+        shares.append(((bitmap[places >> 3] >> (places & 7)) & 1).all(axis=1).mean())
+    assert max(shares) < 0.01
 
 
 def test_line_dedup_of_nothing(spark):
