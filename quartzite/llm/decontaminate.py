@@ -5,12 +5,12 @@ benchmark phrases in the index. Only words that occur in the benchmark can lie i
 index is its runs of such words, without those shorter than the shortest phrase. Phrases are found by backward search
 through wavelet-tree ranks and located by sampled suffix positions; the places are merged into spans of words.
 
-The benchmark is the stated query set: it is read in blocks of ITEMS_PER_BLOCK items, and each block is one more pass of
-the same stage over the same batches, so what a task holds is bounded by a block.
+The benchmark is the stated query set: it is read in blocks of ITEMS_PER_BLOCK items, and each block is one more pass over the
+documents, written before the next one, so what the driver and a task hold is bounded by a block.
 
 Defined results: a null text or item has no words; an item without words matches nothing; items with the same id count
 once, in any of their texts; items with a null id are searched like others, mark their words, and together add one null to
-items; repeated rows are judged each on its own; empty tables give no rows or no hits; only id and text are read unless `clean` is asked for, which keeps every column of the documents as it is, but for the text.
+items; item ids may be of any type that has an order; repeated rows are judged each on its own; empty tables give no rows or no hits; only id and text are read unless `clean` is asked for, which keeps every column of the documents as it is, but for the text.
 """
 
 from __future__ import annotations
@@ -25,15 +25,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from .common import ALNUM_WORD, bounded_batches, text_slices, word_lists
+from .common import ALNUM_WORD, bounded_batches, materialise, text_slices, word_lists
 from .fm_index import FMIndex
 
 WINDOW = 10
 ITEMS_PER_BLOCK = 20_000
-FOUND = "struct<n_words:bigint,n_hit:bigint,spans:array<struct<start:int,stop:int>>,items:array<bigint>>"
+FOUND = "struct<n_words:bigint,n_hit:bigint,spans:array<struct<start:int,stop:int>>,items:array<ID>>"
 
 
-def phrases_of(items: list[tuple[int | None, str | None]], window: int) -> tuple[pa.Array, dict[int, tuple[np.ndarray, np.ndarray]], list[int | None]]:
+def phrases_of(items: list[tuple], window: int) -> tuple[pa.Array, dict[int, tuple[np.ndarray, np.ndarray]], list]:
     """The vocabulary, for each phrase length the distinct (phrase, item) rows: symbols (from 1) and places among the item ids, and these ids."""
     offsets, flat = word_lists(pa.array([t for _, t in items], pa.string()), "alnum")
     coded = flat.dictionary_encode()
@@ -96,7 +96,7 @@ def cut(text: str, spans: list[dict]) -> str:
     return "".join([*kept, text[at:]])
 
 
-def _pass(items: list[tuple[int | None, str | None]], window: int, into: int | None = None):
+def _pass(items: list[tuple], window: int, into: int | None = None):
     """One pass over the documents. into: the place among the kept columns that gets the text without the spans; the pass then is the last one."""
     vocabulary, phrases, ids = phrases_of(items, window)
 
@@ -104,7 +104,7 @@ def _pass(items: list[tuple[int | None, str | None]], window: int, into: int | N
         for part in text_slices(batches, "__text"):
             offsets, hit, pairs = scan(part.column("__text"), vocabulary, phrases)
             before = part.column("__found").to_pylist()
-            found: dict[int, list[int | None]] = {}
+            found: dict[int, list] = {}
             for t, item in pairs.tolist():
                 found.setdefault(t, []).append(ids[item])
             out = []
@@ -117,7 +117,7 @@ def _pass(items: list[tuple[int | None, str | None]], window: int, into: int | N
                 if old is not None:
                     for s in old["spans"]:
                         own[s["start"] : s["stop"]] = True
-                out.append({"n_words": int(b - a), "n_hit": int(own.sum()), "spans": merged_spans(own), "items": sorted({*found[i], *((old or {}).get("items") or [])}, key=lambda x: (x is None, x or 0))})
+                out.append({"n_words": int(b - a), "n_hit": int(own.sum()), "spans": merged_spans(own), "items": sorted({*found[i], *((old or {}).get("items") or [])}, key=lambda x: (x is None, 0 if x is None else x))})
             if into is None:
                 columns = [pa.array(out, part.schema.field("__found").type) if c == "__found" else part.column(c) for c in part.schema.names]
                 yield pa.RecordBatch.from_arrays(columns, names=part.schema.names)
@@ -136,12 +136,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, i
     """
     bounded_batches(docs.sparkSession)
     kept = docs.columns if clean else [id_col]
-    out = docs.select(*[F.col(f"`{c}`").alias(f"__c{i}") for i, c in enumerate(kept)], F.col(f"`{text_col}`").alias("__text"), F.lit(None).cast(FOUND).alias("__found"))
+    rows = benchmark.select(F.col(f"`{item_id}`").alias("i"), F.col(f"`{item_text}`").alias("t"))
+    kind = FOUND.replace("ID", rows.schema["i"].dataType.simpleString())
+    out = docs.select(*[F.col(f"`{c}`").alias(f"__c{i}") for i, c in enumerate(kept)], F.col(f"`{text_col}`").alias("__text"), F.lit(None).cast(kind).alias("__found"))
     schema, block = out.schema, []
-    rows = benchmark.select(F.col(f"`{item_id}`").cast("long").alias("i"), F.col(f"`{item_text}`").alias("t")).toLocalIterator()
-    for row in rows:
+    for row in rows.toLocalIterator():
         if len(block) == items_per_block:
-            out, block = out.mapInArrow(_pass(block, window), schema), []
+            out, block = materialise(out.mapInArrow(_pass(block, window), schema), "pass"), []
         block.append((row.i, row.t))
     if not clean:
         return out.mapInArrow(_pass(block, window), schema).select(F.col("__c0").alias("doc_id"), "__found.*")

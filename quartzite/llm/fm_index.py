@@ -24,6 +24,14 @@ def suffix_order(text: np.ndarray) -> np.ndarray:
         k *= 2
 
 
+def packed(bit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bits as 64-bit words, and how many are set before each word."""
+    octets = np.packbits(bit, bitorder="little")
+    words = np.zeros(len(bit) // 64 + 1, np.uint64)
+    words.view(np.uint8)[: len(octets)] = octets
+    return words, np.concatenate([[0], np.cumsum(np.bitwise_count(words).astype(np.int64))])
+
+
 class WaveletTree:
     """Level-wise wavelet tree with packed bits: rank and access for vectors of positions."""
 
@@ -33,16 +41,12 @@ class WaveletTree:
         s = symbols
         for shift in range(self.bits - 1, -1, -1):
             bit = ((s >> shift) & 1).astype(np.uint8)
-            packed = np.packbits(bit, bitorder="little")
-            words = np.zeros(len(bit) // 64 + 1, np.uint64)
-            words.view(np.uint8)[: len(packed)] = packed
-            counts = np.concatenate([[0], np.cumsum(np.bitwise_count(words).astype(np.int64))])
-            self.levels.append((words, counts, len(bit) - int(bit.sum())))
+            self.levels.append((*packed(bit), len(bit) - int(bit.sum())))
             s = np.concatenate([s[bit == 0], s[bit == 1]])
 
     @staticmethod
     def ones(level: tuple, at: np.ndarray) -> np.ndarray:
-        words, counts, _ = level
+        words, counts = level[:2]
         w = at >> 6
         mask = (np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)
         return counts[w] + np.bitwise_count(words[w] & mask).astype(np.int64)
@@ -69,7 +73,7 @@ class WaveletTree:
 
 
 class FMIndex:
-    """text: symbols from 1 up, each run ended by 0. sample: every so many positions of a run keep their place."""
+    """text: symbols from 1 up, each run ended by 0. sample: every so many positions of a run keep their place; a bit of each suffix tells which do."""
 
     def __init__(self, text: np.ndarray, sample: int = 8):
         n = len(text)
@@ -80,7 +84,7 @@ class FMIndex:
         begins = np.concatenate([[True], text[:-1] == 0]) if n else np.zeros(0, bool)
         start = np.maximum.accumulate(np.where(begins, np.arange(n), 0)) if n else np.zeros(0, np.int64)
         marked = ((order - start[order]) % sample == 0) if n else np.zeros(0, bool)
-        self.n, self.place = n, np.where(marked, order, -1)
+        self.n, self.marked, self.places = n, packed(marked), order[marked].astype(np.int32 if n < 1 << 31 else np.int64)
 
     def search(self, phrases: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Backward search of all phrases (a matrix, a row each; symbols may exceed those of the text) at once: ranges of suffixes."""
@@ -101,9 +105,9 @@ class FMIndex:
         out, rows, todo = np.empty(len(rows), np.int64), rows.copy(), np.arange(len(rows))
         steps = 0
         while len(todo):
-            place = self.place[rows[todo]]
-            done = place >= 0
-            out[todo[done]] = place[done] + steps
+            at = rows[todo]
+            done = (self.marked[0][at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) > 0
+            out[todo[done]] = self.places[WaveletTree.ones(self.marked, at[done])] + steps
             todo = todo[~done]
             c = self.tree.access(rows[todo])
             rows[todo] = self.first[c] + self.tree.rank(c, rows[todo])

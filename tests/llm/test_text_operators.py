@@ -60,6 +60,9 @@ def test_decontamination_with_null_item_ids(spark):
         assert {r.doc_id: [(s.start, s.stop) for s in r.spans] for r in got} == {0: [(2, 4)], 1: [(0, 4)], 2: [], 3: [(0, 2)]}
         clean = decontaminate.contamination(docs, bench, clean=True, items_per_block=block).collect()
         assert {r.doc_id: r.text.split() for r in clean} == {0: ["u", "v", "w"], 1: [], 2: ["alpha", "z"], 3: []}
+    named = spark.createDataFrame([(f"item {i}" if i else None, t) for i, t in items], "item_id string, text string")
+    got = decontaminate.contamination(docs.selectExpr("concat('d', doc_id) AS doc_id", "text"), named, items_per_block=2).collect()
+    assert {r.doc_id: (r.n_hit, r["items"]) for r in got} == {"d0": (2, [None]), "d1": (4, ["item 7", "item 8", None]), "d2": (0, []), "d3": (2, ["item 7", None])}
 
 
 def test_exact_dedup(spark):
@@ -280,7 +283,7 @@ def test_passages_whose_minimiser_recurs(spark, operator):
 
 
 def test_url_filter_beyond_the_broadcast(spark, monkeypatch):
-    urls = ["http://a.com/en/1", "HTTP://WWW.Example.COM/en/?q", "x", None, "https://b.net/fr", "https://b.net/fr/", "http://com", "http://com/", "http://c.org/#://d.com/", "http://user@e.com:80/en/", "http://a.com/en/1"]
+    urls = ["http://a.com/en/1", "HTTP://WWW.Example.COM/en/?q", "x", None, "https://b.net/fr", "https://b.net/fr/", "http://com", "http://com/", "http://c.org/#://d.com/", "http://user@e.com:80/en/", "http://a.com/en/1", "https://" + "a." * 20000 + "net/fr/x", "https://" + "b" * 50000 + "/", "x://net/fr"]
     pages = spark.createDataFrame([(i, u, "h") for i, u in enumerate(urls)] + [(0, urls[0], "h")], "page_id long, url string, host string")
     rules = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/fr/")] + [("block", f"site{i}.org", "/") for i in range(40)]
 
@@ -298,7 +301,7 @@ def test_url_filter_beyond_the_broadcast(spark, monkeypatch):
         got = url_filter.judge(pages, url_filter.rules_from(spark, rules)).collect()
         assert sorted(str((r.page_id, r.host, r.path, r.rule, r.verdict)) for r in got) == expected
     none = url_filter.judge(pages, url_filter.rules_from(spark, rules).limit(0))
-    assert none.count() == 12 and none.where("verdict <> 'allow' OR rule IS NOT NULL").count() == 0
+    assert none.count() == len(urls) + 1 and none.where("verdict <> 'allow' OR rule IS NOT NULL").count() == 0
 
 
 def check_packing(pieces, tokens, segments, loss, documents):
