@@ -10,9 +10,12 @@ one tree over everything, so each tree covers one block of documents, and exact
    there and leave one row, so that a token that every document has is still only a row for each batch.
 2. Documents with fewer repeated tokens there than any link needs have no link. Of the others, one for each distinct set
    has its set rebuilt, and its tokens ordered from rare to frequent; only the first of them, by the prefix filter, make candidates.
-3. Candidate components are the blocks. A block of over BLOCK sets is cut into parts; each part is linked in itself and with
-   the first one, and only what is then outside the largest group meets all parts. In a block, pairs that are already
-   connected are not looked at again, and what leaves is a forest.
+3. Candidate components are the blocks. A block of over BLOCK sets is cut into parts, and each part is linked in itself and with
+   the first one. What is then not connected in a component meets again either along the posting lists of its beginnings'
+   tokens (lists with members of several groups, equal lists once), or, where that is less work, as everything outside the
+   largest group with everything: a family of near copies, however large, is mostly one group by then, and a component that chance
+   tokens chain together has short lists. In a block, pairs that are already connected are not looked at again, and what
+   leaves is a forest. Blocks are dealt by range, so that tasks get like numbers of rows.
 
 Every filter keeps every link, so the result is exact for 64-bit hashes of tokens.
 
@@ -32,19 +35,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, discard, materialise, release_memory, shuffle_partitions, signed, text_slices, window_hashes, word_hashes, word_lists
+from .common import BROADCAST_BYTES, bounded_batches, broadcast_if_small, discard, materialise, release_memory, shuffle_partitions, signed, text_slices, window_hashes, word_hashes, word_lists
 from .components import components
 
 WORDS, NUMERATOR, DENOMINATOR = 5, 80, 100
 #: Sets in one R-tree, and their tokens (8 bytes each); larger blocks are cut into parts.
-BLOCK = 4000
+BLOCK = 100
 BLOCK_TOKENS = 2_000_000
 #: Tokens that a task holds at once while it counts them (16 bytes each).
 TOKENS_PER_TASK = 4_000_000
 #: Rows whose credits travel together.
 GROUP_BITS = 12
 LEAF = 16
-BROADCAST_IDS = 1_000_000
 
 
 def shingle_sets(texts: pa.Array, k: int) -> Iterator[np.ndarray]:
@@ -247,15 +249,30 @@ def _block_edges(placed: DataFrame, t: Threshold) -> DataFrame:
         edges = link_block(np.asarray(group.column("node")), sets, side, label, t, group.column("i")[0] == group.column("j")[0])
         return pa.table({"a": pa.array([a for a, _ in edges], pa.int64()), "b": pa.array([b for _, b in edges], pa.int64())})
 
-    return placed.groupBy("comp", "i", "j").applyInArrow(run, "a long, b long")
+    dealt = placed.repartitionByRange(shuffle_partitions(placed.sparkSession), "comp", "i", "j")
+    return dealt.groupBy("comp", "i", "j").applyInArrow(run, "a long, b long")
 
 
-def _links(members: DataFrame, t: Threshold, block: int) -> DataFrame:
-    """members: comp, node, tokens. Edges (a, b) of forests that connect what links connect within each component.
+def _lists(large: DataFrame, begin: DataFrame, block: int) -> DataFrame:
+    """large: comp, node, label, tokens; begin: node, token. The posting lists that hold several labels, one of equal lists: comp, token, cuts (parts of at most a block), work (rows that its blocks take)."""
+    rows = begin.join(large.select("comp", "node", "label", F.size("tokens").alias("size")), "node")
+    mixed = [F.bit_xor(F.xxhash64(F.lit(seed), "node")).alias(f"h{seed}") for seed in (1, 2)]
+    lists = rows.groupBy("comp", "token").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"), F.min("label").alias("low"), F.max("label").alias("high"), *mixed).where("low <> high")
+    lists = lists.groupBy("comp", "n", "size", "h1", "h2").agg(F.min("token").alias("token"))
+    lists = lists.withColumn("cuts", F.ceil(F.greatest(F.col("n") / block, F.col("size") / BLOCK_TOKENS)).cast("int"))
+    return lists.select("comp", "token", "cuts", (F.col("n") * F.col("cuts")).alias("work"))
 
-    A component of several parts is linked part by part and with its first part. What is then not in its largest group is
-    compared with all of it, in blocks. A family of near copies, however large, is mostly one group after the first step.
-    """
+
+def _list_blocks(large: DataFrame, begin: DataFrame, lists: DataFrame) -> DataFrame:
+    """The blocks of posting lists: every pair of a list's parts. A token names its list, for it is of one component only."""
+    rows = begin.join(lists.select("token", "cuts"), "token").withColumn("side", F.pmod(F.xxhash64("token", "node"), F.col("cuts")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
+    rows = rows.select(F.col("token").alias("comp"), F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "node")
+    return rows.join(large.select("node", "label", "tokens"), "node").select("comp", "i", "j", "side", "node", "label", "tokens")
+
+
+def _links(members: DataFrame, begin: DataFrame, t: Threshold, block: int) -> DataFrame:
+    """members: comp, node, tokens; begin: node, token. Edges (a, b) of forests that connect what links connect within each component."""
     parts = materialise(_parts(members, block), "parts")
     placed = members.join(parts, "comp").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     blocks = F.when(F.col("part") == 0, F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.struct(F.lit(0).alias("i"), j.alias("j"))))
@@ -267,7 +284,18 @@ def _links(members: DataFrame, t: Threshold, block: int) -> DataFrame:
     labels = components(edges).withColumnRenamed("root", "label")
     large = materialise(placed.where("parts > 1").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "large")
     main = large.groupBy("comp", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("comp").agg(F.max_by("label", F.struct("n", "label")).alias("main"))
-    others = materialise(large.join(main, "comp").where("label <> main").select("comp", "node", "label", "tokens", "parts"), "others")
+    outside = materialise(large.join(main, "comp").where("label <> main").select("comp", "node", "label", "tokens", "parts"), "outside")
+    lists = materialise(_lists(large, begin, block), "lists")
+    # The rows that each way takes: along the lists, or everything outside with everything.
+    size = large.groupBy("comp").agg(F.count(F.lit(1)).alias("n"), F.first("parts").alias("parts"))
+    loose = _parts(outside, block).withColumnRenamed("parts", "cuts").join(outside.groupBy("comp").agg(F.count(F.lit(1)).alias("m")), "comp")
+    work = size.join(loose, "comp").join(lists.groupBy("comp").agg(F.sum("work").alias("work")), "comp", "left")
+    along = materialise(work.where(F.coalesce("work", F.lit(0)) <= F.col("n") * F.col("cuts") + F.col("m") * F.col("parts")).select("comp"), "along")
+    chosen = materialise(lists.join(along, "comp", "left_semi"), "chosen")
+    edges = edges.unionByName(materialise(_block_edges(_list_blocks(large, begin, chosen), t), "links"))
+    others = materialise(outside.join(along, "comp", "left_anti"), "others")
+    if not others.limit(1).count():
+        return edges
     cuts = materialise(_parts(others, block).withColumnRenamed("parts", "cuts"), "cuts")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     rows = large.join(cuts, "comp").select("comp", every("cuts").alias("i"), (-1 - F.col("part")).alias("j"), F.lit(0).alias("side"), "node", "label", "tokens")
@@ -291,8 +319,7 @@ def similar_groups(docs: DataFrame, words: int = WORDS, num: int = NUMERATOR, de
     kept = rows.where("n > 0").select("row", "n", "sig").join(_repeats(rows, total), "row").where(F.col("credit") >= enough)
     kept = materialise(classes.join(kept.select("sig").distinct(), "sig", "left_semi"), "kept")
 
-    ids = kept.select("rep").distinct()
-    ids = F.broadcast(ids) if kept.count() <= BROADCAST_IDS else ids
+    ids = broadcast_if_small(kept.select("rep").distinct())
     sets = _sets(docs.join(ids, F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi"), words).join(kept.select("sig", "node", "n"), "sig").select("node", "n", "tokens")
     sets = materialise(sets, "sets")
 
@@ -309,7 +336,7 @@ def similar_groups(docs: DataFrame, words: int = WORDS, num: int = NUMERATOR, de
     near = components(begin.join(lowest, "token").select(F.col("low").alias("a"), F.col("node").alias("b")))
 
     members = near.select(F.col("root").alias("comp"), "node").join(sets.select("node", "tokens"), "node")
-    linked = components(_links(members, t, block))
+    linked = components(_links(members, begin, t, block))
     named = classes.join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least_id = named.groupBy("root").agg(F.min("rep").alias("component_id"))
     named = materialise(named.join(least_id, "root").select("sig", F.col("node").alias("class_id"), "class_size", "component_id"), "classes")
@@ -321,12 +348,12 @@ def similar_groups(docs: DataFrame, words: int = WORDS, num: int = NUMERATOR, de
     return out.unionByName(alone)
 
 
-def drop_similar(docs: DataFrame, words: int = WORDS, num: int = NUMERATOR, den: int = DENOMINATOR, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = BROADCAST_IDS) -> DataFrame:
+def drop_similar(docs: DataFrame, words: int = WORDS, num: int = NUMERATOR, den: int = DENOMINATOR, id_col: str = "doc_id", text_col: str = "text", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """The documents with the smallest id of their component, all columns as they were; texts without words all stay.
 
-    The dropped rows are broadcast while they are few; beyond, the join shuffles.
+    The dropped rows are broadcast while they have at most so many bytes; beyond, the join shuffles.
     """
     groups = materialise(similar_groups(docs, words, num, den, id_col, text_col), "groups")
     gone = groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__th"))
-    gone = F.broadcast(gone) if gone.count() <= broadcast_rows else gone
+    gone = broadcast_if_small(gone, broadcast_bytes)
     return docs.join(gone, F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text_col) == F.col("__th")), "left_anti")

@@ -202,6 +202,26 @@ def test_jaccard_join(spark, k, num, den, block):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(texts, k, num, den)
 
 
+def test_jaccard_join_of_chained_texts(spark):
+    """A component of candidates that chance tokens chain together, with links at far places, beside a family of near copies."""
+    import random
+
+    rng = random.Random(8)
+    texts = []
+    for i in range(60):
+        own = [f"u{i}_{j}" for j in range(12)]
+        texts.append(" ".join([*(f"c{i}" for _ in range(1)), *own, f"c{i + 1}"]))
+    texts += [t.replace("_3 ", "_x ") for t in texts[::9]]
+    base = [f"f{j}" for j in range(60)]
+    for _ in range(40):
+        copy = list(base)
+        copy[rng.randrange(60)] = f"z{rng.randrange(4)}"
+        texts.append(" ".join(copy))
+    for k, num in ((1, 70), (2, 60)):
+        got = jaccard_join.similar_groups(frame(spark, texts), k, num, 100, block=7).collect()
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(texts, k, num, 100)
+
+
 def test_jaccard_bounds_lose_nothing():
     t = jaccard_join.Threshold(85, 100)
     for n in range(1, 300):
@@ -218,7 +238,7 @@ def test_drop_similar_and_nothing(spark):
     expected = {i for i, (n, c) in brute_components(texts, 5, 80, 100).items() if i == c or not n}
     df = frame(spark, texts)
     for limit in (10**6, 0):
-        out = jaccard_join.drop_similar(df, broadcast_rows=limit)
+        out = jaccard_join.drop_similar(df, broadcast_bytes=limit)
         assert out.columns == df.columns and {r.doc_id for r in out.collect()} == expected
     assert jaccard_join.similar_groups(empty(spark)).count() == 0
 
