@@ -58,6 +58,12 @@ def lattice_lengths(cell: Column) -> Column:
     return F.array(*[F.sqrt(dot(r, r)) for r in rows(cell)])
 
 
+def heights(cell: Column) -> Column:
+    """Distances between opposite faces of the cell."""
+    a, b, c = rows(cell)
+    return F.array(*[volume(cell) / F.nullif(length(cross(x, y)), F.lit(0.0)) for x, y in ((b, c), (c, a), (a, b))])
+
+
 def nearest_image(delta: Column) -> Column:
     """A fractional difference moved by whole cells into [-0.5, 0.5]; halves go to the even integer."""
     return F.array(*[delta[i] - F.rint(delta[i]) for i in range(3)])

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Fixed value: the usual form of a number.
 NUMBER = r"[-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?"
 
 
@@ -101,6 +102,13 @@ def property_offset(properties: Column, name: str) -> Column:
     return F.when((F.size(fields) >= 3) & done["found"], done["at"])
 
 
+def json_numbers(value: Column) -> Column:
+    """The numbers of a JSON list, flat or of rows, with the mark _JSON before it or not; null where there is no such list."""
+    body = F.trim(F.regexp_replace(F.trim(value), r"^_JSON\s*", ""))
+    nested = F.flatten(F.from_json(body, "array<array<double>>"))
+    return F.when(body.rlike(r"^\[\s*\["), nested).when(F.startswith(body, F.lit("[")), F.from_json(body, "array<double>"))
+
+
 def matches_any(name: Column, parts: list[str]) -> Column:
     """Whether a name contains any of the parts, in either case."""
     return F.coalesce(F.lower(name).rlike("|".join(f"\\Q{p.lower()}\\E" for p in parts)) if parts else F.lit(False), F.lit(False))

@@ -114,7 +114,7 @@ def strain_grid(spark, low: float, high: float, n: int) -> DataFrame:
     return spark.range(n).select(strain.alias("strain"), F.pow(1 + strain / 100, F.lit(1 / 3)).alias("scale"), F.format_string("V_%+05.1f%%", strain).alias("tag"))
 
 
-def reference_volume(points: DataFrame, by: list[str], strain: str, keep: list[str]) -> DataFrame:
-    """Each compound's directory with the smallest strain; of equal ones the compressed one first."""
-    key = F.struct(F.abs(strain), strain)
+def reference_volume(points: DataFrame, by: list[str], strain: str, keep: list[str], order: list[str] | None = None) -> DataFrame:
+    """Each compound's directory with the smallest strain; of equal ones the compressed one first, then the first by order."""
+    key = F.struct(F.abs(strain), strain, *(order or []))
     return points.groupBy(*by).agg(F.min_by(F.struct(*keep), key).alias("_r")).select(*by, *[F.col(f"_r.{c}").alias(c) for c in keep])

@@ -81,7 +81,7 @@ def with_symbols(df: DataFrame, kinds: DataFrame, kind: str, symbol: str, inferr
 
     Callers that are strict look for nulls, see unmapped.
     """
-    out = df.join(F.broadcast(kinds.select(kind, F.col(symbol).alias("_dim"))), kind, "left")
+    out = df.join(kinds.select(kind, F.col(symbol).alias("_dim")), kind, "left")
     sources = [F.col("_dim"), *([F.col(inferred)] if inferred else []), *([F.lit(fallback)] if fallback else [])]
     return out.withColumn(symbol, F.coalesce(*sources)).drop("_dim")
 
@@ -93,7 +93,7 @@ def conflicts(df: DataFrame, kind: str, symbol: str) -> DataFrame:
 
 def with_mass(df: DataFrame, elements: DataFrame, symbol: str, missing: float = 1.0) -> DataFrame:
     """Masses from an element table; elements that it lacks get a stated mass."""
-    return df.join(F.broadcast(elements.select(F.col("symbol").alias(symbol), "mass")), symbol, "left").withColumn("mass", F.coalesce("mass", F.lit(missing)))
+    return df.join(elements.select(F.col("symbol").alias(symbol), "mass"), symbol, "left").withColumn("mass", F.coalesce("mass", F.lit(missing)))
 
 
 def per_run(df: DataFrame, settings: DataFrame, run: list[str]) -> DataFrame:

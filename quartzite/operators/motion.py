@@ -116,22 +116,29 @@ def velocity_correlation(df: DataFrame, run: list[str], atom: list[str], by: lis
     """vacf and its value relative to lag 0 (null where that is 0)."""
     out = per_atom_lags(df, run, atom, by, ordinal, axes, autocorrelation, "vacf")
     zero = out.where("lag = 0").select(*run, *by, F.col("vacf").alias("_0"))
-    out = out.join(zero, [*run, *by]) if [*run, *by] else out.crossJoin(F.broadcast(zero))
+    out = out.join(zero, [*run, *by]) if [*run, *by] else out.withColumn("_0", zero.select("_0").scalar())
     return out.withColumn("vacf_norm", F.try_divide("vacf", "_0")).drop("_0")
 
 
-def power_spectrum(vacf: DataFrame, key: list[str], value: str, dt_fs: float) -> DataFrame:
-    """One-sided spectrum of a correlation over wave numbers in cm^-1, with its running integral: key, k, nu, s, cumint."""
+def power_spectrum(vacf: DataFrame, key: list[str], value: str, dt_fs: float, unit_area: bool = False) -> DataFrame:
+    """One-sided spectrum of a correlation of N lags over wave numbers in cm^-1, with its running integral: key, k, nu, s, cumint.
+
+    The symmetric series of 2N - 1 lags is transformed and every frequency but zero doubled, so that the integral tends to the
+    correlation at lag 0. unit_area divides by the whole integral. A correlation of one lag has one row of zeros.
+    """
     fields = ", ".join(f"`{vacf.schema[c].name}` {vacf.schema[c].dataType.simpleString()}" for c in key)
 
     def run_one(k: tuple, group: pd.DataFrame) -> pd.DataFrame:
         c = group.sort_values("lag")[value].to_numpy(float)
-        both = np.concatenate([c, c[-2:0:-1]])
-        s = np.fft.rfft(both).real * dt_fs * 1e-15
-        s[1:-1] *= 2
-        nu = np.fft.rfftfreq(len(both), dt_fs * 1e-15) / LIGHT_CM
-        total = np.concatenate([[0.0], np.cumsum((s[1:] + s[:-1]) / 2 * np.diff(nu))])
-        out = pd.DataFrame({"k": np.arange(len(s)), "nu": nu, "s": s, "cumint": total})
+        dt = dt_fs * 1e-15
+        both = np.concatenate([c, c[:0:-1]])
+        s = np.fft.rfft(both).real * dt if len(c) > 1 else np.zeros(1)
+        s[1:] *= 2
+        hz = np.fft.rfftfreq(len(both), dt)
+        total = np.concatenate([[0.0], np.cumsum((s[1:] + s[:-1]) / 2 * np.diff(hz))])
+        if unit_area and total[-1] > 0:
+            s, total = s / total[-1], total / total[-1]
+        out = pd.DataFrame({"k": np.arange(len(s)), "nu": hz / LIGHT_CM, "s": s * LIGHT_CM, "cumint": total})
         for name, v in zip(key, k, strict=True):
             out[name] = v
         return out[[*key, "k", "nu", "s", "cumint"]]
@@ -150,7 +157,7 @@ def inefficiency(x: np.ndarray) -> float:
     """Statistical inefficiency: one and twice the normalised correlations, weighted by what is left, up to the first that isn't positive."""
     n = len(x)
     d = x - x.mean()
-    if n < 2 or not (d * d).sum():
+    if n < 3 or not (d * d).sum():
         return 1.0
     c = autocorrelation(d[:, None])
     c = c / c[0]
@@ -161,22 +168,26 @@ def inefficiency(x: np.ndarray) -> float:
 
 
 def equilibration(df: DataFrame, run: list[str], ordinal: str, value: str, candidates: int = 200, share: float = 0.5) -> DataFrame:
-    """For each run the start that leaves the most effective samples: start, inefficiency, n_effective. The first of equal ones wins.
+    """For each run the start that leaves the most effective samples: start, inefficiency, n_effective, capped. The first of equal ones wins.
 
-    Starts end at a share of the run and leave ten frames at least; each is tried where there are no more than `candidates`.
-    A run of fewer than ten frames is kept whole and counts as uncorrelated.
+    Starts go from 0 to a last one: a share of the run that leaves ten frames, or 1. They are spread evenly and are at most
+    `candidates` and at most the number of the last one. capped tells that the best is the last one that was tried, where the run
+    may still be drifting. A run of fewer than ten frames is kept whole and counts as uncorrelated.
     """
     fields = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in run)
 
+    names = [*run, "start", "inefficiency", "n_effective", "capped"]
+
     def run_one(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         x = group.sort_values(ordinal)[value].to_numpy(float)
         if len(x) < 10:
-            return pd.DataFrame([[*key, 0, 1.0, float(len(x))]], columns=[*run, "start", "inefficiency", "n_effective"])
-        last = min(int(len(x) * share), len(x) - 10)
-        starts = np.arange(last + 1) if last < candidates else np.unique(np.linspace(0, last, candidates).astype(int))
+            return pd.DataFrame([[*key, 0, 1.0, float(len(x)), False]], columns=names)
+        last = max(1, min(int(len(x) * share), len(x) - 10))
+        starts = np.unique(np.linspace(0, last, min(candidates, last)).astype(int))
         g = np.array([inefficiency(x[s:]) for s in starts])
         n = (len(x) - starts) / g
         best = int(n.argmax())
-        return pd.DataFrame([[*key, int(starts[best]), g[best], n[best]]], columns=[*run, "start", "inefficiency", "n_effective"])
+        capped = bool(starts[best] == starts[-1] and starts[-1] > 0)
+        return pd.DataFrame([[*key, int(starts[best]), g[best], n[best], capped]], columns=names)
 
-    return df.groupBy(*run).applyInPandas(run_one, f"{fields}, start long, inefficiency double, n_effective double")
+    return df.groupBy(*run).applyInPandas(run_one, f"{fields}, start long, inefficiency double, n_effective double, capped boolean")

@@ -1,7 +1,8 @@
 """Pairs of atoms of one frame under periodic boundaries.
 
-Below `small` atoms a frame's pairs come from a self-join on the frame. Larger frames are binned into cells as wide as
-the cut-off at least; each atom is sent to its own and the 26 neighbouring bins, so the join is on (frame, bin).
+A frame's cell is cut into bins as wide as the cut-off at least. Each atom is sent to its own and the neighbouring bins, across
+the cell's faces too, and the join is on (frame, bin): work grows with the number of near pairs, and a large frame is many keys.
+A cell that is less than three bins wide has as many neighbours as bins, so nothing is sent twice.
 """
 
 from __future__ import annotations
@@ -11,15 +12,27 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geometry import exact_image_distance, image_distance, volume
+from ..functions.geometry import exact_image_distance, heights, image_distance, volume
+
+#: Bins along an axis: their numbers stay within 63 bits.
+MOST_BINS = 1 << 20
 
 
 def frame_pairs(atoms: DataFrame, frame: list[str], cutoff: float, exact: bool = False, idx: str = "idx", symbol: str = "symbol", frac: str = "frac", cell: str = "cell") -> DataFrame:
-    """All pairs i < j of each frame nearer than the cut-off: frame, i, j, symbol_i, symbol_j, distance."""
-    a = atoms.select(*frame, F.col(idx).alias("i"), F.col(symbol).alias("symbol_i"), F.col(frac).alias("_a"), F.col(cell).alias("_cell"))
-    b = atoms.select(*frame, F.col(idx).alias("j"), F.col(symbol).alias("symbol_j"), F.col(frac).alias("_b"))
+    """All pairs i < j of each frame nearer than the cut-off: frame, i, j, symbol_i, symbol_j, distance.
+
+    A frame without a cell, and an atom without a position, have no pairs.
+    """
+    bins = F.transform(heights(F.col(cell)), lambda h: F.greatest(F.lit(1), F.least(F.lit(MOST_BINS), F.floor(h / cutoff * (1 - 1e-9)))).cast("long"))
+    placed = atoms.where(F.col(cell).isNotNull() & F.col(frac).isNotNull()).withColumn("_n", bins)
+    placed = placed.withColumn("_at", F.zip_with(F.col(frac), "_n", lambda x, n: F.pmod(F.floor(x * n).cast("long"), n)))
+    number = lambda at, n: (at[0] * n[1] + at[1]) * n[2] + at[2]
+    moves = F.array(*[F.array(*[F.lit(d).cast("long") for d in move]) for move in _moves(3)])
+    around = F.array_distinct(F.transform(moves, lambda m: number([F.pmod(F.col("_at")[k] + m[k], F.col("_n")[k]) for k in range(3)], F.col("_n"))))
+    a = placed.select(*frame, F.col(idx).alias("i"), F.col(symbol).alias("symbol_i"), F.col(frac).alias("_a"), F.col(cell).alias("_cell"), F.explode(around).alias("_bin"))
+    b = placed.select(*frame, F.col(idx).alias("j"), F.col(symbol).alias("symbol_j"), F.col(frac).alias("_b"), number(F.col("_at"), F.col("_n")).alias("_bin"))
     measure = exact_image_distance if exact else image_distance
-    pairs = a.join(b, frame).where("i < j")
+    pairs = a.join(b, [*frame, "_bin"]).where("i < j").drop("_bin")
     return pairs.withColumn("distance", measure(F.col("_a"), F.col("_b"), F.col("_cell"))).where(F.col("distance") < cutoff).drop("_a", "_b", "_cell")
 
 

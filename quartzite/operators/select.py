@@ -130,7 +130,7 @@ def allocation(df: DataFrame, group: str, target: int, strict: bool = False) ->
 def stratified(df: DataFrame, group: str, target: int, order: list[str]) -> DataFrame:
     """The first rows of each group by order, as many as its allocation."""
     ranked = df.withColumn("_rank", F.row_number().over(ordered([group], order)))
-    return ranked.join(F.broadcast(allocation(df, group, target)).select(group, "take"), group).where(F.col("_rank") <= F.col("take")).drop("_rank", "take")
+    return ranked.join(allocation(df, group, target).select(group, "take"), group).where(F.col("_rank") <= F.col("take")).drop("_rank", "take")
 
 
 def uniform_sample(df: DataFrame, n: int, key: list[str], seed: int = 12345) -> DataFrame:

@@ -85,10 +85,7 @@ SELECT dataset, count(*) AS n, round(sqrt(avg(((pred - p0) - (ref - r0)) ** 2)),
 )
 def rmse_relative_energy(spark: SparkSession, d: str) -> DataFrame:
     """RMSE of energies relative to each dataset's frame of least energy per atom."""
-    f = run_frames(spark, d).withColumn("one", F.lit(1))
-    base = f.groupBy("dataset").agg(F.min_by(F.struct("ref", "pred", "n_atoms"), F.struct(F.round(F.col("ref") / F.col("n_atoms"), 6).alias("e"), "frame")).alias("b"))
-    base = base.select("dataset", F.col("b.ref").alias("base_ref"), F.col("b.pred").alias("base_pred"), F.col("b.n_atoms").alias("base_n_atoms"))
-    return rounded(errors.errors_from_base(f.join(base, "dataset"), ["dataset"], "ref", "pred", "n_atoms"), 3)
+    return rounded(errors.relative_energy_errors(run_frames(spark, d), ["dataset"], "ref", "pred", "n_atoms", ["frame"]), 3)
 
 
 @query(f"SELECT dataset, round(avg(abs(pred - ref)), 3) AS mae, round(sqrt(avg((pred - ref) ** 2)), 3) AS rmse, round(avg(n_atoms), 4) AS mean_atoms, round(avg(abs(pred - ref)) / avg(n_atoms), 3) AS mae_per_atom, round(sqrt(avg((pred - ref) ** 2)) / avg(n_atoms), 3) AS rmse_per_atom FROM {FRAMES} GROUP BY dataset")
@@ -209,9 +206,9 @@ def average_lattice(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT user_id, round(100.0 * count(*) / 200, 2) AS progress, max(i) AS top FROM " + RUNS + " GROUP BY 1")
 def job_progress(spark: SparkSession, d: str) -> DataFrame:
-    """Percentage of planned steps, and the largest counter."""
-    out = runs(spark, d).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.max("i").alias("top"))
-    return out.select("user_id", stats.progress(F.col("n"), F.lit(200)).alias("progress"), "top")
+    """Percentage of planned steps, from the largest counters of each job."""
+    steps = runs(spark, d).select("user_id", (F.col("i") + 1).alias("n"), F.col("i").alias("top"), F.lit(0).alias("report"))
+    return stats.step_counters(steps, "user_id", "n", "top", "report").select("user_id", stats.progress(F.col("n"), F.lit(200)).alias("progress"), "top")
 
 
 @query("SELECT o_orderstatus, round(100.0 * (1 - count(*) FILTER (o_totalprice > 150000) / count(*)), 4) AS reduced FROM orders GROUP BY 1")
@@ -452,37 +449,35 @@ def single_origin_msd(spark: SparkSession, d: str) -> DataFrame:
     return rounded(motion.single_origin_msd(rows, [], ["user_id"], "i", ["value"], ["species"]), 9).select("species", "i", "msd", "n")
 
 
-LAGS = f"(SELECT a.user_id, b.i - a.i AS lag, avg({{}}) AS v FROM {RUNS} a JOIN {RUNS} b ON a.user_id = b.user_id AND b.i BETWEEN a.i AND a.i + 12 GROUP BY ALL)"
+LAGS = f"(SELECT a.user_id, b.i - a.i AS lag, avg({{}}) AS v FROM {RUNS} a JOIN {RUNS} b ON a.user_id = b.user_id AND b.i >= a.i GROUP BY ALL)"
+SQUARES, PRODUCTS = LAGS.format("(b.value - a.value) ** 2"), LAGS.format("a.value * b.value")
 
 
-@query("SELECT lag, round(avg(v), 3) AS msd, count(*) AS atoms FROM " + LAGS.format("(b.value - a.value) ** 2") + " GROUP BY 1")
+@query(f"SELECT user_id % 4 AS species, lag, round(avg(v) + 1e-6, 3) AS msd, count(*) AS atoms FROM {SQUARES} GROUP BY 1, 2")
 def msd_all_origins(spark: SparkSession, d: str) -> DataFrame:
-    """Over all origins, for lags up to 12."""
-    out = motion.per_atom_lags(runs(spark, d), [], ["user_id"], [], "i", ["value"], motion.displacement_all_origins, "msd", lambda n: min(n, 13))
-    return rounded(out, 3)
+    """Over all origins, for all lags, by species."""
+    out = motion.msd_all_origins(runs(spark, d).withColumn("species", F.col("user_id") % 4), [], ["user_id"], ["species"], "i", ["value"])
+    return out.select("species", "lag", F.round(F.col("msd") + 1e-6, 3).alias("msd"), "atoms")
 
 
-ALL_LAGS = f"(SELECT a.user_id, b.i - a.i AS lag, avg((b.value - a.value) ** 2) AS v FROM {RUNS} a JOIN {RUNS} b ON a.user_id = b.user_id AND b.i >= a.i GROUP BY ALL)"
-
-
-@query(f"SELECT lag, round(avg(v) + 1e-6, 3) AS msd, count(*) AS atoms FROM {ALL_LAGS} GROUP BY 1")
+@query(f"SELECT lag, round(avg(v) + 1e-6, 3) AS msd, count(*) AS atoms FROM {SQUARES} GROUP BY 1")
 def msd_every_lag(spark: SparkSession, d: str) -> DataFrame:
     """Over all origins, for all lags."""
     out = motion.msd_all_origins(runs(spark, d), [], ["user_id"], [], "i", ["value"])
     return out.select("lag", F.round(F.col("msd") + 1e-6, 3).alias("msd"), "atoms")
 
 
-@query("SELECT lag, round(avg(v), 3) AS vacf, count(*) AS atoms FROM " + LAGS.format("a.value * b.value") + " GROUP BY 1")
-def vacf_small_lag(spark: SparkSession, d: str) -> DataFrame:
-    """For lags up to 12."""
-    out = motion.per_atom_lags(runs(spark, d), [], ["user_id"], [], "i", ["value"], motion.autocorrelation, "vacf", lambda n: min(n, 13))
-    return rounded(out, 3)
+@query(f"SELECT lag, round(avg(v), 3) AS vacf, count(*) AS atoms FROM {PRODUCTS} GROUP BY 1")
+def vacf_every_lag(spark: SparkSession, d: str) -> DataFrame:
+    """For all lags of the series."""
+    return rounded(motion.per_atom_lags(runs(spark, d), [], ["user_id"], [], "i", ["value"], motion.autocorrelation, "vacf", lambda n: n), 3)
 
 
-@query()
+@query(f"WITH c AS (SELECT l.lag, avg(v) AS c, count(*) AS atoms FROM {PRODUCTS} l JOIN (SELECT user_id, count(*) AS n FROM events GROUP BY 1) USING (user_id) WHERE l.lag < least(n, greatest(256, n // 2)) GROUP BY 1) SELECT lag, round(c, 3) AS vacf, atoms, round(c / (SELECT c FROM c WHERE lag = 0), 6) AS vacf_norm FROM c")
 def velocity_correlation(spark: SparkSession, d: str) -> DataFrame:
     """For all lags that the operator keeps, with the values relative to lag 0."""
-    return motion.velocity_correlation(runs(spark, d), [], ["user_id"], [], "i", ["value"])
+    out = motion.velocity_correlation(runs(spark, d), [], ["user_id"], [], "i", ["value"])
+    return out.select("lag", F.round("vacf", 3).alias("vacf"), "atoms", F.round("vacf_norm", 6).alias("vacf_norm"))
 
 
 @query(f"SELECT a.user_id % 5 AS species, b.i - a.i AS lag, round(avg(a.value * b.value), 3) AS product, count(*) AS n FROM {RUNS} a JOIN {RUNS} b ON a.user_id = b.user_id AND b.i BETWEEN a.i AND a.i + 6 GROUP BY ALL")
@@ -492,12 +487,19 @@ def lagged_products(spark: SparkSession, d: str) -> DataFrame:
     return rounded(p.groupBy((F.col("user_id") % 5).alias("species"), F.col("lag").cast("long").alias("lag")).agg(F.avg(F.col("a") * F.col("b")).alias("product"), F.count(F.lit(1)).alias("n")), 3)
 
 
-@query()
+@query(
+    f"""WITH c AS (SELECT user_id % 3 AS species, lag, avg(v) AS c FROM {PRODUCTS} GROUP BY 1, 2), n AS (SELECT species, 2 * count(*) - 1 AS m FROM c GROUP BY 1),
+f AS (SELECT species, m, unnest(range((m + 1) // 2)) AS k FROM n),
+s AS (SELECT species, k, m, CASE WHEN k = 0 THEN 1 ELSE 2 END * 1e-15 * sum(CASE WHEN lag = 0 THEN 1 ELSE 2 END * c * cos(2 * pi() * k * lag / m)) AS s FROM f JOIN c USING (species) GROUP BY species, k, m)
+SELECT species, k, round(k / (m * 1e-15) / 29979245800.0, 4) AS nu, round(s * 29979245800.0, 4) AS s, round(coalesce(sum((s + before) / 2) OVER (PARTITION BY species ORDER BY k) / (m * 1e-15), 0), 3) AS cumint
+FROM (SELECT *, lag(s) OVER (PARTITION BY species ORDER BY k) AS before FROM s)"""
+)
 def power_spectrum(spark: SparkSession, d: str) -> DataFrame:
-    """Spectrum and running integral of each species' correlation."""
+    """Spectrum and running integral of each species' correlation, against sums of cosines."""
     rows = runs(spark, d).withColumn("species", F.col("user_id") % 3)
     c = motion.velocity_correlation(rows, [], ["user_id"], ["species"], "i", ["value"])
-    return motion.power_spectrum(c, ["species"], "vacf", 1.0)
+    out = motion.power_spectrum(c, ["species"], "vacf", 1.0)
+    return out.select("species", "k", F.round("nu", 4).alias("nu"), F.round("s", 4).alias("s"), F.round("cumint", 3).alias("cumint"))
 
 
 @query(f"SELECT l_orderkey, CASE WHEN count(*) > 1 THEN round(sum(l_quantity * (l_discount ** 2 + l_tax ** 2)) * 103.642696 / ((3 * count(*) - 3) * 8.617333262e-5), 2) END AS temperature FROM lineitem GROUP BY 1")
@@ -506,10 +508,21 @@ def kinetic_temperature(spark: SparkSession, d: str) -> DataFrame:
     return rounded(motion.kinetic_temperature(table(spark, d, "lineitem"), ["l_orderkey"], "l_quantity", ["l_discount", "l_tax"]), 2)
 
 
-@query()
+@query(
+    f"""WITH r AS {RUNS}, h AS (SELECT user_id, n, hi, least(200, hi) AS many FROM (SELECT user_id, count(*) AS n, greatest(1, least(count(*) // 2, count(*) - 10)) AS hi FROM events GROUP BY 1 HAVING count(*) >= 10)),
+t AS (SELECT DISTINCT user_id, n, CASE WHEN many = 1 THEN 0 WHEN k = many - 1 THEN hi ELSE floor(k * (hi::DOUBLE / (many - 1)))::BIGINT END AS start FROM (SELECT *, unnest(range(many)) AS k FROM h)),
+d AS (SELECT t.user_id, start, n - start AS m, i, value - avg(value) OVER (PARTITION BY t.user_id, start) AS d FROM t JOIN r ON r.user_id = t.user_id AND i >= start),
+a AS (SELECT x.user_id, x.start, x.m, y.i - x.i AS lag, avg(x.d * y.d) AS c FROM d x JOIN d y ON x.user_id = y.user_id AND x.start = y.start AND y.i >= x.i GROUP BY ALL),
+c AS (SELECT user_id, start, m, lag, c / nullif(first_value(c) OVER w, 0) AS c FROM a WINDOW w AS (PARTITION BY user_id, start ORDER BY lag)),
+z AS (SELECT *, min(lag) FILTER (c <= 0) OVER (PARTITION BY user_id, start) AS stop FROM c),
+g AS (SELECT user_id, start, m, greatest(1, 1 + 2 * coalesce(sum(c * (1 - lag / m)) FILTER (lag > 0 AND lag < coalesce(stop, m)), 0)) AS g FROM z GROUP BY 1, 2, 3),
+b AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY m / g DESC, start) AS place, max(start) OVER (PARTITION BY user_id) AS last FROM g)
+SELECT user_id, start, round(g, 4) AS inefficiency, round(m / g, 4) AS n_effective, start = last AND last > 0 AS capped FROM b WHERE place = 1
+UNION ALL SELECT user_id, 0, 1.0, count(*), false FROM events GROUP BY 1 HAVING count(*) < 10"""
+)
 def equilibration_start(spark: SparkSession, d: str) -> DataFrame:
-    """The start of most effective samples."""
-    return motion.equilibration(runs(spark, d), ["user_id"], "i", "value")
+    """The start of most effective samples, and whether it is the last that was tried."""
+    return rounded(motion.equilibration(runs(spark, d), ["user_id"], "i", "value"))
 
 
 # --- pairs --------------------------------------------------------------------------------------------------------
@@ -597,18 +610,39 @@ def eos_pressure(spark: SparkSession, d: str) -> DataFrame:
 def reference_volume(spark: SparkSession, d: str) -> DataFrame:
     """Each compound's least strained directory."""
     p = table(spark, d, "part").withColumn("strain", F.col("p_size") - 25)
-    best = p.groupBy("p_brand").agg(F.min_by("p_partkey", F.struct(F.abs("strain"), "strain", "p_partkey")).alias("p_partkey"))
-    return best
+    return eos.reference_volume(p, ["p_brand"], "strain", ["p_partkey"], ["p_partkey"])
 
 
 # --- sets, matches, selection -------------------------------------------------------------------------------------
 
 
-@query("SELECT md5(coalesce(text, '')) AS print, min(doc_id) AS doc_id FROM documents GROUP BY 1")
+@query("SELECT min(p_partkey) AS p_partkey, count(*) AS copies FROM part GROUP BY p_brand, p_size")
 def fingerprint_dedupe(spark: SparkSession, d: str) -> DataFrame:
-    """The first file of each digest."""
-    docs = table(spark, d, "documents").select("doc_id", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("print"))
-    return frames.drop_repeats(docs, ["print"], ["doc_id"]).select("print", "doc_id")
+    """The first frame of each fingerprint; noise far below the fifth digit and the order of atoms make no difference."""
+    noise = F.col("p_partkey") % 7 * 1e-7
+    x = F.array(F.col("p_size") + noise, F.lit(0.25), F.lit(0.5))
+    y = F.array(F.lit(0.125), F.lit(0.75), F.lit(1.0) - noise)
+    even = F.col("p_partkey") % 2 == 0
+    positions = F.when(even, F.array(x, y)).otherwise(F.array(y, x))
+    symbols = F.when(even, F.array(F.col("p_brand"), F.lit("O"))).otherwise(F.array(F.lit("O"), F.col("p_brand")))
+    z, ten = F.lit(0.0), F.lit(10.0)
+    p = table(spark, d, "part").withColumn("print", frames.fingerprint(F.lit(2), symbols, positions, F.array(ten, z, z, z, ten, z, z, z, ten)))
+    sizes = p.groupBy("print").agg(F.count(F.lit(1)).alias("copies"))
+    return frames.drop_repeats(p, ["print"], ["p_partkey"]).join(sizes, "print").select("p_partkey", "copies")
+
+
+@query("SELECT rtrim(regexp_extract(url, '^[^?#]*'), '/') AS name, min(page_id) AS page_id FROM pages GROUP BY 1")
+def repeated_paths(spark: SparkSession, d: str) -> DataFrame:
+    """Paths that differ in dots and double slashes only are one."""
+    plain = F.regexp_extract("url", r"^[^?#]*", 0)
+    host = F.regexp_extract("url", r"^https?://[^/]*", 0)
+    rest = F.substring(plain, F.length(host) + 1, F.length(plain))
+    tail = F.regexp_extract(rest, r"/[^/]*$", 0)
+    head = F.substring(rest, F.lit(1), F.length(rest) - F.length(tail))
+    odd = F.concat(head, F.when(F.col("page_id") % 3 == 1, "/.").when(F.col("page_id") % 3 == 2, "//other/..").otherwise(""), tail)
+    p = table(spark, d, "pages").select("page_id", host.alias("host"), odd.alias("path"))
+    out = frames.drop_repeats(frames.drop_repeated_paths(p.withColumn("path", F.concat(F.regexp_replace("host", "//", "_"), "path")), "path", ["page_id"]), ["resolved"], ["page_id"])
+    return out.select(F.regexp_replace("resolved", "_", "//").alias("name"), "page_id")
 
 
 @query("SELECT l_orderkey, count(*) AS n_atoms, count(DISTINCT l_returnflag) AS species FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F') GROUP BY 1 HAVING count(*) < 6")
@@ -767,11 +801,12 @@ def root_of_squares(spark: SparkSession, d: str) -> DataFrame:
 # --- texts and rules ----------------------------------------------------------------------------------------------
 
 
-@query("SELECT doc_id, len(x) AS n, coalesce(list_sum(x), 0) AS total FROM (SELECT doc_id, list_transform(regexp_extract_all(coalesce(text, ''), '([0-9]+)', 1), lambda v: try_cast(v AS DOUBLE)) AS x FROM documents)")
+@query(r"SELECT doc_id, len(x) AS n, round(coalesce(list_sum(list_filter(x, lambda v: abs(v) < 1e6)), 0), 4) AS total FROM (SELECT doc_id, list_transform(regexp_extract_all(coalesce(text, ''), '[-+]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][-+]?[0-9]+)?'), lambda v: try_cast(v AS DOUBLE)) AS x FROM documents)".replace("\\\\", "\\"))
 def float_extraction(spark: SparkSession, d: str) -> DataFrame:
-    """F01, in its unsigned whole form that two regex engines read alike."""
-    found = F.transform(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"([0-9]+)"), F.lit(1)), lambda x: x.try_cast("double"))
-    return table(spark, d, "documents").select("doc_id", F.size(found).cast("long").alias("n"), F.aggregate(found, F.lit(0.0), lambda a, x: a + x).alias("total"))
+    """all numbers of a text, with signs, decimals and exponents; the sum leaves out what is as large as a million."""
+    found = text.floats(F.col("text"))
+    small = F.filter(found, lambda x: F.abs(x) < 1e6)
+    return table(spark, d, "documents").select("doc_id", F.size(found).cast("long").alias("n"), F.round(F.aggregate(small, F.lit(0.0), lambda a, x: a + x), 4).alias("total"))
 
 
 @query("SELECT page_id, nullif(regexp_extract(url, '([^/]+)/[^/]*$', 1), '') AS parent, regexp_extract(url, '([^/]*)$', 1) AS name FROM pages")
@@ -791,14 +826,14 @@ def strip_characters(spark: SparkSession, d: str) -> DataFrame:
 def unordered_pair_key(spark: SparkSession, d: str) -> DataFrame:
     """A key of two names in either order."""
     n = table(spark, d, "nation").select(F.col("n_nationkey").alias("s_nationkey"), "n_name")
-    return table(spark, d, "supplier").join(F.broadcast(n), "s_nationkey").select("s_suppkey", text.pair_key(F.col("s_name"), F.col("n_name")).alias("pair"))
+    return table(spark, d, "supplier").join(n, "s_nationkey").select("s_suppkey", text.pair_key(F.col("s_name"), F.col("n_name")).alias("pair"))
 
 
 @query("SELECT doc_id, k AS key, count(*) AS n FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents) l, (SELECT unnest(['the', 'de']) AS k) WHERE contains(lower(line), k) GROUP BY 1, 2")
 def text_lines_matching(spark: SparkSession, d: str) -> DataFrame:
     """Lines of a file that hold a word, as an explode and a filter."""
     rows = table(spark, d, "documents").select("doc_id", F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line"))
-    keys = F.filter(F.array(F.lit("the"), F.lit("de")), lambda k: F.contains(F.lower("line"), k))
+    keys = F.array_compact(F.array(*[F.when(text.matches_any(F.col("line"), [k.upper()]), F.lit(k)) for k in ("the", "de")]))
     return rows.select("doc_id", F.explode(keys).alias("key")).groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -922,8 +957,3 @@ def session_activity(spark: SparkSession, d: str) -> DataFrame:
     return ingest.sessions(table(spark, d, "events"), "ts", ["user_id"], "30 minutes")
 
 
-@query("SELECT doc_id, count(*) AS entries FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents) WHERE contains(line, '=') GROUP BY 1")
-def settings_scan(spark: SparkSession, d: str) -> DataFrame:
-    """S16 over texts: entries of a settings grammar (here: lines with an equals sign)."""
-    rows = table(spark, d, "documents").select("doc_id", F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line"))
-    return rows.where(F.contains("line", F.lit("="))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("entries"))

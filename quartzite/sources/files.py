@@ -33,7 +33,7 @@ def lines(spark: SparkSession, path: str | list[str], pattern: str | None = None
 
 
 def parsed(files: DataFrame, grammar: Callable[[str, str], Iterator[dict]], ddl: str) -> DataFrame:
-    """Rows that a grammar (path, text) -> dicts finds in each file; a file that it can't read gives none."""
+    """Rows that a grammar (path, text) -> dicts finds in each file; a file that it can't read gives none, see unreadable."""
     kind = StructType.fromDDL(ddl)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -49,23 +49,54 @@ def parsed(files: DataFrame, grammar: Callable[[str, str], Iterator[dict]], ddl:
     return files.mapInArrow(run, kind)
 
 
-def read_structures(spark: SparkSession, path: str | list[str], pattern: str | None = None, grammar: str | None = None) -> DataFrame:
-    """Structures of POSCAR-like, LAMMPS data, or quantum-chemistry files: schema.STRUCTURE. Without a grammar it is POSCAR's."""
+def unreadable(files: DataFrame, grammar: Callable[[str, str], Iterator[dict]]) -> DataFrame:
+    """path, error of the files in which a grammar finds nothing: what it says is wrong, or that there is nothing."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bad = []
+            for path, text in zip(batch.column("path").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                try:
+                    error = None if any(True for _ in grammar(path, text)) else "nothing found"
+                except (ValueError, IndexError, KeyError) as e:
+                    error = f"{type(e).__name__}: {e}"
+                if error:
+                    bad.append({"path": path, "error": error})
+            yield pa.RecordBatch.from_pylist(bad, schema=pa.schema([("path", pa.string()), ("error", pa.string())]))
+
+    return files.mapInArrow(run, "path string, error string")
+
+
+def structure_grammars() -> dict[str, Callable[[str, str], Iterator[dict]]]:
     from ..functions.elements import MASS
 
     masses = dict(MASS)
-    grammars = {
+    return {
         "poscar": lambda _, text: structures.poscar(text),
         "lammps_data": lambda _, text: structures.lammps_data(text, masses),
         "gaussian_log": lambda _, text: structures.gaussian_log(text),
         "gaussian_archive": lambda _, text: structures.gaussian_archive(text),
         "gaussian_input": lambda _, text: structures.gaussian_input(text),
     }
-    return parsed(whole_files(spark, path, pattern), grammars[grammar or "poscar"], schema.STRUCTURE)
+
+
+def structures_of(files: DataFrame, grammar: str = "poscar") -> DataFrame:
+    """schema.STRUCTURE of path and text."""
+    return parsed(files, structure_grammars()[grammar], schema.STRUCTURE)
+
+
+def read_structures(spark: SparkSession, path: str | list[str], pattern: str | None = None, grammar: str | None = None) -> DataFrame:
+    """Structures of POSCAR-like, LAMMPS data, or quantum-chemistry files: schema.STRUCTURE. Without a grammar it is POSCAR's."""
+    return structures_of(whole_files(spark, path, pattern), grammar or "poscar")
 
 
 def element_counts(spark: SparkSession, path: str | list[str], pattern: str | None = None) -> DataFrame:
-    """path, frame_index, symbol, n of structure or xyz files, their grammar guessed; where that fails the other one is tried."""
+    """path, frame_index, symbol, n of structure or xyz files, see count_elements."""
+    return count_elements(whole_files(spark, path, pattern))
+
+
+def count_elements(files: DataFrame) -> DataFrame:
+    """path, frame_index, symbol, n of path and text: structures or xyz, the grammar guessed; where that fails the other one is tried."""
 
     def count(path: str, text: str) -> Iterator[dict]:
         first = structures.guess(path, text)
@@ -80,7 +111,7 @@ def element_counts(spark: SparkSession, path: str | list[str], pattern: str | No
             for s in sorted(set(symbols)):
                 yield {"frame_index": index, "symbol": s, "n": symbols.count(s)}
 
-    return parsed(whole_files(spark, path, pattern), count, "path string, frame_index long, symbol string, n long")
+    return parsed(files, count, "path string, frame_index long, symbol string, n long")
 
 
 class Trajectory(DataSource):
@@ -97,6 +128,13 @@ class Trajectory(DataSource):
         return TrajectoryReader(dict(self.options), schema)
 
 
+class PushedTrajectory(Trajectory):
+    """The same source for sessions that push filters into Python sources: ranges of frame_index become skip and limit."""
+
+    def reader(self, schema: StructType) -> DataSourceReader:
+        return PushedReader(dict(self.options), schema)
+
+
 class TrajectoryReader(DataSourceReader):
     def __init__(self, options: dict[str, str], kind: StructType):
         self.options, self.kind = options, kind
@@ -130,8 +168,30 @@ class TrajectoryReader(DataSourceReader):
         yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
 
+class PushedReader(TrajectoryReader):
+    def pushFilters(self, filters: list) -> Iterator:
+        """Bounds of frame_index end up in skip and limit, so a scan stops at the last frame that is asked for; Spark still applies every filter."""
+        low = int(self.options.get("skip", 0))
+        high = low + int(self.options["limit"]) if "limit" in self.options else None
+        for f in filters:
+            if getattr(f, "attribute", None) == ("frame_index",):
+                kind, value = type(f).__name__, getattr(f, "value", None)
+                if kind == "In" and value:
+                    first, last = min(value), max(value)
+                else:
+                    first = {"EqualTo": value, "GreaterThan": value + 1 if kind == "GreaterThan" else None, "GreaterThanOrEqual": value}.get(kind) if value is not None else None
+                    last = {"EqualTo": value, "LessThan": value - 1 if kind == "LessThan" else None, "LessThanOrEqual": value}.get(kind) if value is not None else None
+                low = low if first is None else max(low, first)
+                high = high if last is None else min(last + 1, high) if high is not None else last + 1
+            yield f
+        self.options["skip"] = str(low)
+        if high is not None:
+            self.options["limit"] = str(max(0, high - low))
+
+
 def read_trajectories(spark: SparkSession, path: str, grammar: str, **options) -> DataFrame:
-    spark.dataSource.register(Trajectory)
+    pushes = spark.conf.get("spark.sql.python.filterPushdown.enabled", "false") == "true"
+    spark.dataSource.register(PushedTrajectory if pushes else Trajectory)
     reader = spark.read.format("trajectory").option("path", path).option("grammar", grammar)
     for k, v in options.items():
         reader = reader.option(k, str(v).lower() if isinstance(v, bool) else v)

@@ -200,9 +200,14 @@ def two_columns(files: DataFrame, x: str = "t", y: str = "msd") -> DataFrame:
 
 def png_sizes(spark: SparkSession, path: str) -> DataFrame:
     """path, width, height, alpha of PNG files, from the first bytes of each."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.png").load(path)
-    number = lambda at: F.conv(F.hex(F.substring("content", at, 4)), 16, 10).cast("int")
-    return files.select("path", number(17).alias("width"), number(21).alias("height"), F.conv(F.hex(F.substring("content", 26, 1)), 16, 10).isin("4", "6").alias("alpha"))
+    return png_headers(spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.png").load(path))
+
+
+def png_headers(files: DataFrame) -> DataFrame:
+    """path, width, height, alpha from path and content; nulls where the content is no PNG."""
+    is_png = F.startswith(F.hex("content"), F.lit("89504E470D0A1A0A"))
+    number = lambda at: F.when(is_png, F.conv(F.hex(F.substring("content", at, 4)), 16, 10).cast("int"))
+    return files.select("path", number(17).alias("width"), number(21).alias("height"), F.when(is_png, F.conv(F.hex(F.substring("content", 26, 1)), 16, 10).isin("4", "6")).alias("alpha"))
 
 
 def convergence(outcars: DataFrame, oszicars: DataFrame, incars: DataFrame, directory: Column, failure: str = FAILURE) -> DataFrame:

@@ -73,12 +73,13 @@ def write_text(df: DataFrame, text: Column, path: str, by: list[str] | None = No
     (writer.partitionBy(*by) if by else writer).text(path)
 
 
-def write_table(df: DataFrame, path: str, columns: list[str], header: str) -> None:
-    """Numeric columns as %.10e text with a header line in each part."""
+def write_table(df: DataFrame, path: str, columns: list[str], header: str, order: list[str] | None = None, by: list[str] | None = None) -> None:
+    """Numeric columns as %.10e text, each part with its header line first; by: a folder for each key; order: of the rows, within and across parts."""
     text = F.concat_ws(" ", *[F.format_string("%.10e", F.col(c).cast("double")) for c in columns])
-    head = df.sparkSession.createDataFrame([(f"# {header}",)], "value string").withColumn("_o", F.lit(0))
-    body = df.select(text.alias("value")).withColumn("_o", F.lit(1))
-    head.unionByName(body).select("value").write.mode("overwrite").text(path)
+    rows = df.orderBy(*(by or []), *order) if order else df
+    # A tab never stands in a line, so that lines are written as they are.
+    writer = rows.select(*(by or []), text.alias(f"# {header}")).write.mode("overwrite").option("header", "true").option("sep", "\t")
+    (writer.partitionBy(*by) if by else writer).csv(path)
 
 
 def write_report(df: DataFrame, path: str, kind: str = "json") -> None:

@@ -161,6 +161,9 @@ def test_trajectories(spark, tree):
     x = files.read_trajectories(spark, f"{tree}/run/XDATCAR", "xdatcar").orderBy("frame_index").collect()
     assert [(r.frame_index, r.cell[0]) for r in x] == [(0, 4.0), (2, 5.0)]
     assert files.read_trajectories(spark, f"{tree}/run/XDATCAR", "xdatcar", skip=1, limit=2).count() == 1
+    assert [r.frame_index for r in files.read_trajectories(spark, f"{tree}/run/XDATCAR", "xdatcar").where("frame_index >= 1 AND frame_index < 3").collect()] == [2]
+    bad = files.unreadable(whole(spark, tree, "run").where("path LIKE '%POSCAR' OR path LIKE '%INCAR'"), files.structure_grammars()["poscar"]).collect()
+    assert [(r.path.rsplit("/", 1)[-1], r.error) for r in bad] == [("INCAR", "nothing found")]
     o = files.read_trajectories(spark, f"{tree}/run/OUTCAR", "outcar").first()
     assert [a.symbol for a in o.atoms] == ["Mn", "O"] and o.atoms[0].force == [3.0, 4.0, 0.0]
     e = files.read_trajectories(spark, f"{tree}/x/t.extxyz", "extxyz", raw=True).orderBy("frame_index").collect()
@@ -225,8 +228,9 @@ def test_sinks_round_trip(spark, tree, tmp_path):
     text = spark.range(1).select(sinks.upsert(F.lit("A = 1\nmagmom = 2\nMAGMOM = 3\n"), "MAGMOM", F.lit("9")).alias("a"), sinks.upsert(F.lit("A = 1\n"), "NELECT", F.lit("4")).alias("b"), sinks.rewrite(F.lit("System = x\nsystem=y\n"), "System", F.lit("z")).alias("c")).first()
     assert text.a == "A = 1\nMAGMOM = 9\nMAGMOM = 3\n" and text.b == "A = 1\nNELECT = 4\n" and text.c == "System = z\nSystem = z\n"
     assert spark.range(1).select(sinks.missing_keys(F.lit("System = x\n istart=1\n"), ["System", "ISTART", "MAGMOM"]).alias("m")).first().m == ["MAGMOM"]
-    sinks.write_table(spark.range(3).toDF("x"), str(tmp_path / "t"), ["x"], "x")
-    assert spark.read.text(str(tmp_path / "t")).count() == 4
+    sinks.write_table(spark.range(30).repartition(3).toDF("x"), str(tmp_path / "t"), ["x"], "x", order=["x"])
+    parts = [p.read_text().splitlines() for p in sorted((tmp_path / "t").glob("part-*"))]
+    assert all(p[0] == "# x" for p in parts if p) and [float(x) for p in parts for x in p[1:]] == list(range(30))
 
 
 def test_streaming(spark, tmp_path):
@@ -253,3 +257,19 @@ def test_evaluation_files(spark, tmp_path):
     assert counts == {("a.xyz", "a"): 1, ("a.xyz", "__unknown__"): 1, ("b.xyz", "__unknown__"): 1}
     e = df.select(frames.frame_energy(F.lit(None).cast("double"), F.lit(False), F.col("info")).alias("e")).where("e IS NOT NULL").collect()
     assert sorted(r.e for r in e) == [-2.0, -1.0]
+
+
+def test_bounds_of_frames_reach_the_scan():
+    from pyspark.sql.datasource import EqualTo, GreaterThan, In, LessThanOrEqual
+
+    def pushed(*filters, **options):
+        reader = files.PushedReader(options, None)
+        assert list(reader.pushFilters(list(filters))) == list(filters)
+        return int(reader.options["skip"]), reader.options.get("limit")
+
+    at = ("frame_index",)
+    assert pushed(GreaterThan(at, 4), LessThanOrEqual(at, 9)) == (5, "5")
+    assert pushed(EqualTo(at, 7), EqualTo(("n_atoms",), 3)) == (7, "1")
+    assert pushed(In(at, (3, 8))) == (3, "6")
+    assert pushed(LessThanOrEqual(at, 2), skip="5", limit="9") == (5, "0")
+    assert pushed(EqualTo(("path",), "x")) == (0, None)
