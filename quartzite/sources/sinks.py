@@ -78,7 +78,7 @@ def write_table(df: DataFrame, path: str, columns: list[str], header: str, order
     text = F.concat_ws(" ", *[F.format_string("%.10e", F.col(c).cast("double")) for c in columns])
     rows = df.orderBy(*(by or []), *order) if order else df
     # A tab never stands in a line, so that lines are written as they are.
-    writer = rows.select(*(by or []), text.alias(f"# {header}")).write.mode("overwrite").option("header", "true").option("sep", "\t")
+    writer = rows.select(*(by or []), text.alias(f"# {header}")).write.mode("overwrite").option("header", "true").option("sep", "\t").option("comment", "\u0001")
     (writer.partitionBy(*by) if by else writer).csv(path)
 
 
