@@ -957,3 +957,6 @@ def session_activity(spark: SparkSession, d: str) -> DataFrame:
     return ingest.sessions(table(spark, d, "events"), "ts", ["user_id"], "30 minutes")
 
 
+
+
+from . import file_queries  # noqa: E402, F401  (adds its queries to the same tables)
