@@ -249,8 +249,12 @@ def _block_edges(placed: DataFrame, t: Threshold) -> DataFrame:
         edges = link_block(np.asarray(group.column("node")), sets, side, label, t, group.column("i")[0] == group.column("j")[0])
         return pa.table({"a": pa.array([a for a, _ in edges], pa.int64()), "b": pa.array([b for _, b in edges], pa.int64())})
 
-    dealt = placed.repartitionByRange(shuffle_partitions(placed.sparkSession), "comp", "i", "j")
-    return dealt.groupBy("comp", "i", "j").applyInArrow(run, "a long, b long")
+    return placed.groupBy("comp", "i", "j").applyInArrow(run, "a long, b long")
+
+
+def _dealt(placed: DataFrame) -> DataFrame:
+    """Blocks of large components dealt by range, so that tasks get like numbers of rows."""
+    return placed.repartitionByRange(shuffle_partitions(placed.sparkSession), "comp", "i", "j")
 
 
 def _lists(large: DataFrame, begin: DataFrame, block: int) -> DataFrame:
@@ -272,17 +276,23 @@ def _list_blocks(large: DataFrame, begin: DataFrame, lists: DataFrame) -> DataFr
 
 
 def _links(members: DataFrame, begin: DataFrame, t: Threshold, block: int) -> DataFrame:
-    """members: comp, node, tokens; begin: node, token. Edges (a, b) of forests that connect what links connect within each component."""
+    """members: comp, node, tokens (a written table); begin: node, token. Edges (a, b) of forests that connect what links connect within each component."""
     parts = materialise(_parts(members, block), "parts")
-    placed = members.join(parts, "comp").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    placed = members.join(parts, "comp")
+    zero = F.lit(0)
+    whole = placed.where("parts = 1").select("comp", zero.alias("i"), zero.alias("j"), zero.alias("side"), "node", F.col("node").alias("label"), "tokens")
+    small = materialise(_block_edges(whole, t), "links")
+    if not parts.where("parts > 1").limit(1).count():
+        return small
+    placed = materialise(placed.where("parts > 1").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")), "placed")
     blocks = F.when(F.col("part") == 0, F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.struct(F.lit(0).alias("i"), j.alias("j"))))
     blocks = blocks.otherwise(F.array(F.struct(F.lit(0).alias("i"), F.col("part").alias("j")), F.struct(F.col("part").alias("i"), F.col("part").alias("j"))))
     first = placed.withColumn("b", F.explode(blocks)).select("comp", "b.i", "b.j", F.col("part").alias("side"), "node", F.col("node").alias("label"), "tokens")
-    edges = materialise(_block_edges(first, t), "links")
-    if not parts.where("parts > 1").limit(1).count():
-        return edges
+    edges = materialise(_block_edges(_dealt(first), t), "links")
     labels = components(edges).withColumnRenamed("root", "label")
-    large = materialise(placed.where("parts > 1").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "large")
+    large = materialise(placed.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "large")
+    edges = small.unionByName(edges)
+    discard(placed)
     main = large.groupBy("comp", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("comp").agg(F.max_by("label", F.struct("n", "label")).alias("main"))
     outside = materialise(large.join(main, "comp").where("label <> main").select("comp", "node", "label", "tokens", "parts"), "outside")
     lists = materialise(_lists(large, begin, block), "lists")
@@ -292,7 +302,7 @@ def _links(members: DataFrame, begin: DataFrame, t: Threshold, block: int) -> Da
     work = size.join(loose, "comp").join(lists.groupBy("comp").agg(F.sum("work").alias("work")), "comp", "left")
     along = materialise(work.where(F.coalesce("work", F.lit(0)) <= F.col("n") * F.col("cuts") + F.col("m") * F.col("parts")).select("comp"), "along")
     chosen = materialise(lists.join(along, "comp", "left_semi"), "chosen")
-    edges = edges.unionByName(materialise(_block_edges(_list_blocks(large, begin, chosen), t), "links"))
+    edges = edges.unionByName(materialise(_block_edges(_dealt(_list_blocks(large, begin, chosen)), t), "links"))
     others = materialise(outside.join(along, "comp", "left_anti"), "others")
     if not others.limit(1).count():
         return edges
@@ -301,7 +311,7 @@ def _links(members: DataFrame, begin: DataFrame, t: Threshold, block: int) -> Da
     rows = large.join(cuts, "comp").select("comp", every("cuts").alias("i"), (-1 - F.col("part")).alias("j"), F.lit(0).alias("side"), "node", "label", "tokens")
     columns = others.join(cuts, "comp").withColumn("i", F.pmod(F.xxhash64(F.lit("cut"), "node"), F.col("cuts")).cast("int"))
     columns = columns.select("comp", "i", every("parts").alias("j"), F.lit(1).alias("side"), "node", "label", "tokens").withColumn("j", -1 - F.col("j"))
-    return edges.unionByName(materialise(_block_edges(rows.unionByName(columns), t), "links"))
+    return edges.unionByName(materialise(_block_edges(_dealt(rows.unionByName(columns)), t), "links"))
 
 
 def similar_groups(docs: DataFrame, words: int = WORDS, num: int = NUMERATOR, den: int = DENOMINATOR, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
@@ -335,12 +345,12 @@ def similar_groups(docs: DataFrame, words: int = WORDS, num: int = NUMERATOR, de
     lowest = materialise(begin.groupBy("token").agg(F.min("node").alias("low"), F.count(F.lit(1)).alias("m")).where("m > 1"), "lowest")
     near = components(begin.join(lowest, "token").select(F.col("low").alias("a"), F.col("node").alias("b")))
 
-    members = near.select(F.col("root").alias("comp"), "node").join(sets.select("node", "tokens"), "node")
+    members = materialise(near.select(F.col("root").alias("comp"), "node").join(sets.select("node", "tokens"), "node"), "members")
     linked = components(_links(members, begin, t, block))
     named = classes.join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least_id = named.groupBy("root").agg(F.min("rep").alias("component_id"))
     named = materialise(named.join(least_id, "root").select("sig", F.col("node").alias("class_id"), "class_size", "component_id"), "classes")
-    for table in (begin, lowest, often, sets, kept):
+    for table in (begin, lowest, often, sets, kept, members):
         discard(table)
     slim = rows.select("doc_id", F.col("th").alias("text_hash"), F.col("n").alias("n_shingles"), "sig")
     out = slim.where("sig IS NOT NULL").join(named, "sig").select("doc_id", "text_hash", "n_shingles", "class_id", "class_size", "component_id")
