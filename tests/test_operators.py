@@ -71,6 +71,41 @@ def test_binned_pairs_match_all_pairs(spark):
     assert got == {(i, j) for i in range(150) for j in range(i + 1, 150) if np.linalg.norm(x[i] - x[j]) < 0.3}
 
 
+def test_periodic_bins_match_all_pairs(spark):
+    """Skewed, long, small and wide cells, positions outside the cell, and frames without a cell."""
+    import itertools
+
+    rng = np.random.default_rng(5)
+    cells = [np.diag([6.0, 7.0, 8.0]), np.array([[6.0, 0, 0], [3.0, 6.0, 0], [-2.0, 2.5, 7.0]]), np.diag([1.5, 2.0, 40.0]), np.array([[9.0, 0, 0], [-4.4, 8.0, 0], [0, 0, 2.1]])]
+    rows, expected = [], set()
+    for f, cell in enumerate(cells):
+        frac = rng.uniform(-1.2, 1.7, (60, 3))
+        rows += [(f, i, "A", x.tolist(), cell.ravel().tolist()) for i, x in enumerate(frac)]
+        around = np.array(list(itertools.product((-1, 0, 1), repeat=3)))
+        for i, j in itertools.combinations(range(60), 2):
+            d = frac[i] - frac[j]
+            d = d - np.round(d)
+            near = np.linalg.norm((d + around) @ cell, axis=1).min()
+            if near < 1.9:
+                expected.add((f, i, j, round(near, 6)))
+    rows += [(9, 0, "A", [0.0, 0.0, 0.0], None), (9, 1, "A", None, cells[0].ravel().tolist()), (9, 2, "A", [0.0, 0.0, 0.0], cells[0].ravel().tolist())]
+    df = spark.createDataFrame(rows, "frame int, idx int, symbol string, frac array<double>, cell array<double>")
+    got = pairs.frame_pairs(df, ["frame"], 1.9, exact=True).collect()
+    assert {(r.frame, r.i, r.j, round(r.distance, 6)) for r in got} == expected and len(got) == len(expected)
+
+
+def test_pairs_of_large_frames_grow_with_the_near_ones(spark):
+    """At one density, four times the atoms of one frame meet about four times as many candidates, not sixteen times."""
+    def candidates(n):
+        side = (n / 2) ** (1 / 3)
+        z, s = F.lit(0.0), F.lit(side)
+        df = spark.range(n).select(F.lit(0).alias("frame"), F.col("id").alias("idx"), F.lit("A").alias("symbol"), F.array(F.rand(1), F.rand(2), F.rand(3)).alias("frac"), F.array(s, z, z, z, s, z, z, z, s).alias("cell"))
+        return pairs.frame_pairs(df, ["frame"], 1.0).count()
+
+    small, large = candidates(1000), candidates(4000)
+    assert 3 < large / small < 5
+
+
 def test_exact_image_in_a_skewed_cell(spark):
     cell = [4.0, 0.0, 0.0, 3.5, 2.0, 0.0, 0.0, 0.0, 5.0]
     a, b = np.array([0.05, 0.1, 0.2]), np.array([0.55, 0.45, 0.9])
