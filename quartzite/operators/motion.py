@@ -6,12 +6,14 @@ for each atom with FFTs in Arrow-fed tasks (an atom's series is bounded by its r
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .series import ordered, up_to
 
@@ -19,6 +21,8 @@ from .series import ordered, up_to
 KINETIC_EV = 103.642696
 BOLTZMANN_EV = 8.617333262e-5
 LIGHT_CM = 2.99792458e10
+#: Sums by lag that a task holds before it hands them on.
+LAGS_HELD = 1_000_000
 
 
 def unwrap(df: DataFrame, atom: list[str], order: list[str], frac: str, scheme: str = "displacement", name: str = "unwrapped", length: str | None = None) -> DataFrame:
@@ -90,21 +94,64 @@ def lag_limit(n: int, share: float = 0.5, least: int = 256) -> int:
 def per_atom_lags(df: DataFrame, run: list[str], atom: list[str], by: list[str], ordinal: str, axes: list[str], kernel: Callable[[np.ndarray], np.ndarray], name: str, limit: Callable[[int], int] = lag_limit) -> DataFrame:
     """A kernel over each atom's series, then the mean over the atoms of each group and lag.
 
-    Tasks hold one atom at a time; sums and counts are merged by lag.
+    Series are sorted within partitions and streamed: a task holds one atom at a time, and the sums by lag of what it has seen.
     """
+    group = list(dict.fromkeys([*run, *by]))
     keys = list(dict.fromkeys([*run, *atom, *by]))
-    fields = [df.schema[c] for c in keys]
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + f", lag long, `{name}` double"
-
-    def run_one(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        x = group.sort_values(ordinal)[axes].to_numpy(float)
-        values = kernel(x)[: limit(len(x))] if len(x) else np.zeros(0)
-        out = pd.DataFrame({"lag": np.arange(len(values)), name: values})
-        for c, v in zip(keys, key, strict=True):
-            out[c] = v
-        return out[[*keys, "lag", name]]
-
-    return df.groupBy(*keys).applyInPandas(run_one, ddl).groupBy(*run, *by, "lag").agg(F.avg(name).alias(name), F.count(F.lit(1)).alias("atoms"))
+    values = [F.col(a).cast("double").alias(f"_x{k}") for k, a in enumerate(axes)]
+    rows = df.select(*keys, F.col(ordinal).alias("_i"), *values)
+    rows = (rows.repartition(*keys) if keys else rows.coalesce(1)).sortWithinPartitions(*keys, "_i").drop("_i")
+    ddl = ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in group), "_lag long, _total double, _n long"])
+    types = [to_arrow_type(df.schema[c].dataType) for c in group]
+
+    def run_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple, tuple[np.ndarray, np.ndarray]] = {}
+        held, last = [], None
+
+        def close() -> None:
+            x = np.concatenate(held)
+            found = kernel(x)[: limit(len(x))]
+            own = tuple(last[keys.index(c)] for c in group)
+            total, n = sums.get(own, (np.zeros(0), np.zeros(0, np.int64)))
+            longer = max(0, len(found) - len(n))
+            total, n = np.pad(total, (0, longer)), np.pad(n, (0, longer))
+            total[: len(found)] += found
+            n[: len(found)] += 1
+            sums[own] = total, n
+
+        def emitted() -> pa.RecordBatch:
+            size = [len(n) for _, n in sums.values()]
+            columns = [pa.array([own[k] for own, m in zip(sums, size, strict=True) for _ in range(m)], t) for k, t in enumerate(types)]
+            numbers = [np.concatenate([np.arange(m) for m in size]), np.concatenate([t for t, _ in sums.values()]), np.concatenate([n for _, n in sums.values()])]
+            return pa.RecordBatch.from_arrays([*columns, *map(pa.array, numbers)], names=[*group, "_lag", "_total", "_n"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = np.stack([np.asarray(batch.column(f"_x{k}")) for k in range(len(axes))], axis=1)
+            edge = np.zeros(batch.num_rows, bool)
+            edge[0] = True
+            for c in keys:
+                code = np.asarray(batch.column(c).dictionary_encode(null_encoding="encode").indices)
+                edge[1:] |= code[1:] != code[:-1]
+            begin = np.flatnonzero(edge)
+            for a, b in zip(begin, [*begin[1:], batch.num_rows], strict=True):
+                key = tuple(batch.column(c)[int(a)].as_py() for c in keys)
+                if held and key != last:
+                    close()
+                    held.clear()
+                last = key
+                held.append(x[a:b])
+            if sum(len(n) for _, n in sums.values()) > LAGS_HELD:
+                yield emitted()
+                sums.clear()
+        if held:
+            close()
+        if sums:
+            yield emitted()
+
+    summed = rows.mapInArrow(run_all, ddl)
+    return summed.groupBy(*group, F.col("_lag").alias("lag")).agg((F.sum("_total") / F.sum("_n")).alias(name), F.sum("_n").alias("atoms"))
 
 
 def msd_all_origins(df: DataFrame, run: list[str], atom: list[str], by: list[str], ordinal: str, axes: list[str]) -> DataFrame:

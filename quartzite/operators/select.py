@@ -13,6 +13,8 @@ from .series import ordered
 
 #: Vectors that a task selects from at once.
 CHUNK_ROWS = 1000
+#: Vectors that a round of farthest-point selection looks at on the driver.
+AHEAD = 64
 
 
 def distance(a: Column, b: Column) -> Column:
@@ -20,18 +22,27 @@ def distance(a: Column, b: Column) -> Column:
     return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y) * (x.cast("double") - y)), F.lit(0.0), lambda s, x: s + x))
 
 
+def apart(a: list[float], b: list[float]) -> float:
+    """What distance gives, added up in the same order."""
+    total = 0.0
+    for x, y in zip(a, b, strict=True):
+        total += (x - y) * (x - y)
+    return math.sqrt(total)
+
+
 def centroid(df: DataFrame, vector: str) -> list[float]:
     """Mean of all vectors, component by component (one row to the driver)."""
     places = df.select(F.posexplode(vector).alias("k", "x")).groupBy("k").agg(F.avg(F.col("x").cast("double")).alias("m")).orderBy("k")
     return [r.m for r in places.collect()]
 
 
-def farthest_points(df: DataFrame, ordinal: str, vector: str, n: int, checkpoint_every: int = 20) -> DataFrame:
+def farthest_points(df: DataFrame, ordinal: str, vector: str, n: int, checkpoint_every: int = 20, ahead: int = AHEAD) -> DataFrame:
     """Greedy k-centre selection: ordinal, rank, distance to what was picked before.
 
-    The first pick is the farthest from the centroid; of equal distances the smallest ordinal is taken. Each round sends one
-    vector to the tasks and brings one row back; the distances stay distributed. The lineage is cut every few rounds.
-    With n at or above the number of rows, all are kept in order.
+    The first pick is the farthest from the centroid; of equal distances the smallest ordinal is taken. A round brings the
+    `ahead` farthest vectors to the driver and picks among them as long as the best of them is farther than any vector that was
+    left behind can be, for distances only shrink; then the tasks get all these picks at once. The distances stay distributed.
+    The lineage is cut every few rounds. With n at or above the number of rows, all are kept in order.
     """
     from ..plans.storage import cut_lineage
 
@@ -43,14 +54,25 @@ def farthest_points(df: DataFrame, ordinal: str, vector: str, n: int, checkpoint
     state = df.select(F.col(ordinal).alias("_o"), F.col(vector).alias("_v"), F.lit(math.inf).alias("_d"))
     centre = literal(centroid(df, vector))
     pick = state.select("_o", "_v", distance(F.col("_v"), centre).alias("_far")).groupBy().agg(F.max_by(F.struct("_o", "_v", "_far"), F.struct("_far", -F.col("_o"))).alias("p")).first().p
-    picked = [(pick._o, 0, None)]
-    for k in range(1, n):
-        gap = distance(F.col("_v"), literal(pick._v))
-        state = state.withColumn("_d", F.when(F.col("_o") == pick._o, F.lit(-math.inf)).otherwise(F.least("_d", gap)))
-        if k % checkpoint_every == 0:
+    picked, new, turn = [(pick._o, 0, None)], [pick], 0
+    while len(picked) < n:
+        gap = F.array_min(F.transform(F.array(*[literal(p._v) for p in new]), lambda v: distance(F.col("_v"), v)))
+        state = state.withColumn("_d", F.when(F.col("_o").isin([p._o for p in new]), F.lit(-math.inf)).otherwise(F.least("_d", gap)))
+        turn += 1
+        if turn % checkpoint_every == 0:
             state = cut_lineage(state, "farthest")
-        pick = state.groupBy().agg(F.max_by(F.struct("_o", "_v", "_d"), F.struct("_d", -F.col("_o"))).alias("p")).first().p
-        picked.append((pick._o, k, float(pick._d)))
+        front = state.orderBy(F.col("_d").desc(), "_o").limit(ahead + 1).collect()
+        behind = front[ahead]._d if len(front) > ahead else -math.inf
+        left, new = {r._o: (r._d, r._v) for r in front[:ahead]}, []
+        while len(picked) < n and left:
+            best = max(left, key=lambda o: (left[o][0], -o))
+            far, v = left[best]
+            if new and far <= behind:
+                break
+            new.append(next(r for r in front if r._o == best))
+            picked.append((best, len(picked), float(far)))
+            del left[best]
+            left = {o: (min(d, apart(w, v)), w) for o, (d, w) in left.items()}
     return spark.createDataFrame(picked, f"`{ordinal}` {df.schema[ordinal].dataType.simpleString()}, rank long, distance double")
 
 

@@ -741,10 +741,24 @@ def convergence_three_valued(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").select("o_orderkey", F.coalesce(c.cast("string"), F.lit("undecidable")).alias("converged"))
 
 
-@query()
+def farthest_sql(n: int) -> str:
+    """Farthest points step by step, a table for each."""
+    steps = [
+        "e AS MATERIALIZED (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings)",
+        "m AS (SELECT list(x ORDER BY k) AS m FROM (SELECT k, avg(x) AS x FROM (SELECT unnest(v) AS x, unnest(range(len(v))) AS k FROM e) GROUP BY 1))",
+        "p0 AS MATERIALIZED (SELECT vec_id, 0 AS rank, NULL::DOUBLE AS distance, v FROM e, m ORDER BY list_distance(v, m) DESC, vec_id LIMIT 1)",
+    ]
+    for k in range(1, n):
+        near = f"SELECT e.vec_id, any_value(e.v) AS v, min(list_distance(e.v, p.v)) AS d FROM e, p{k - 1} p WHERE e.vec_id NOT IN (SELECT vec_id FROM p{k - 1}) GROUP BY 1"
+        steps.append(f"p{k} AS MATERIALIZED (SELECT * FROM p{k - 1} UNION ALL (SELECT vec_id, {k}, d, v FROM ({near}) ORDER BY d DESC, vec_id LIMIT 1))")
+    return f"WITH {', '.join(steps)} SELECT vec_id, rank::BIGINT AS rank, round(coalesce(distance, 0), 5) AS distance FROM p{n - 1}"
+
+
+@query(farthest_sql(10))
 def farthest_point_selection(spark: SparkSession, d: str) -> DataFrame:
     """Ten descriptors, farthest first."""
-    return select.farthest_points(table(spark, d, "embeddings"), "vec_id", "embedding", 10)
+    out = select.farthest_points(table(spark, d, "embeddings"), "vec_id", "embedding", 10)
+    return rounded(out.withColumn("distance", F.coalesce("distance", F.lit(0.0))), 5)
 
 
 @query()

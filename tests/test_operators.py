@@ -115,6 +115,40 @@ def test_exact_image_in_a_skewed_cell(spark):
     assert math.isclose(value(spark, geometry.exact_image_distance(arr(a), arr(b), arr(cell))), best)
 
 
+def test_farthest_points_of_a_grid_with_ties_and_copies(spark):
+    x = np.array([[i % 4, i // 4 % 4] for i in range(40)], float)
+    df = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(x)], "i int, v array<double>").repartition(3)
+    far, near, picks = np.linalg.norm(x - x.mean(axis=0), axis=1), np.full(40, np.inf), []
+    for _ in range(25):
+        picks.append(int(far.argmax()))
+        near = np.minimum(near, np.linalg.norm(x - x[picks[-1]], axis=1))
+        near[picks[-1]] = -np.inf
+        far = near
+    for ahead in (2, 7, 100):
+        assert [r.i for r in select.farthest_points(df, "i", "v", 25, ahead=ahead).orderBy("rank").collect()] == picks
+
+
+def test_lags_of_series_that_batches_break(spark):
+    """Null keys, runs over several batches, and a group of atoms of unequal lengths."""
+    rng = np.random.default_rng(1)
+    own = {("a", 1, "x"): 700, ("a", 2, "x"): 300, ("a", None, "y"): 5, (None, 1, "x"): 40, ("b", 1, None): 1}
+    data = {k: rng.normal(size=(n, 2)) for k, n in own.items()}
+    rows = [(*k, i, *map(float, v)) for k, x in data.items() for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "run string, atom int, kind string, i int, x double, y double").repartition(5)
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
+    try:
+        got = {(r.run, r.kind, r.lag): (r.msd, r.atoms) for r in motion.msd_all_origins(df, ["run"], ["atom"], ["kind"], "i", ["x", "y"]).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    expected = {}
+    for (run, _, kind), x in data.items():
+        for lag in range(len(x)):
+            d = x[lag:] - x[: len(x) - lag]
+            expected.setdefault((run, kind, lag), []).append((d * d).sum(axis=1).mean())
+    assert set(got) == set(expected) and all(np.isclose(got[k][0], np.mean(v)) and got[k][1] == len(v) for k, v in expected.items())
+
+
 def test_farthest_points_match_a_loop(spark):
     x = np.random.default_rng(4).normal(size=(60, 5))
     df = spark.createDataFrame([(i, [float(v) for v in p]) for i, p in enumerate(x)], "i int, v array<double>")
@@ -124,8 +158,9 @@ def test_farthest_points_match_a_loop(spark):
         near = np.minimum(near, np.linalg.norm(x - x[picks[-1]], axis=1))
         near[picks[-1]] = -np.inf
         far = near
-    got = [r.i for r in select.farthest_points(df, "i", "v", 6, checkpoint_every=2).orderBy("rank").collect()]
-    assert got == picks
+    for ahead in (1, 3, 64):
+        got = [r.i for r in select.farthest_points(df, "i", "v", 6, checkpoint_every=2, ahead=ahead).orderBy("rank").collect()]
+        assert got == picks
     assert select.farthest_points(df, "i", "v", 100).count() == 60
 
 
