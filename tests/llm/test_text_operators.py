@@ -276,6 +276,28 @@ def test_repeated_passages(spark, window, operator, group):
     assert {79 if r.doc_id is None else int(r.doc_id[1:]): (r.n_words, r.n_removed, r.text) for r in got} == expected
 
 
+@pytest.mark.parametrize("window,shard", [(5, 40), (12, 10**6)])
+def test_remove_known(spark, window, shard):
+    """Every word of a run of words that a reference text holds goes, whatever shard it is in; the reference is not changed by documents."""
+    texts = corpus(n=60, seed=9, words=30) + AWKWARD
+    known = [texts[3], " ".join((texts[9] or "").split()[5:50]), None, "", "a b", texts[3], " ".join(f"r{i}" for i in range(300)), "q " * 100]
+    texts += ["x " + " ".join(f"r{i}" for i in range(20, 120)) + " y", "q " * 30 + "z " + "q " * 4]
+    windows = set()
+    for t in known:
+        ws = (t or "").split()
+        windows |= {tuple(ws[i : i + window]) for i in range(len(ws) - window + 1)}
+    expected = {}
+    for d, t in enumerate(texts):
+        ws = re.findall(r"[^\x20\x09-\x0D]+", t or "")
+        gone = {j for i in range(len(ws) - window + 1) if tuple(ws[i : i + window]) in windows for j in range(i, i + window)}
+        expected[d] = (len(ws), len(gone), " ".join(w for i, w in enumerate(ws) if i not in gone))
+    reference = spark.createDataFrame([(t,) for t in known], "text string")
+    got = substring_dedup.remove_known(frame(spark, texts), reference, window, shard_words=shard).collect()
+    assert {r.doc_id: (r.n_words, r.n_removed, r.text) for r in got} == expected
+    assert substring_dedup.remove_known(frame(spark, texts), reference.limit(0), window).where("n_removed > 0").count() == 0
+    assert substring_dedup.remove_known(empty(spark), reference, window).count() == 0
+
+
 @pytest.mark.parametrize("operator", [substring_dedup.deduplicate_substrings, suffix_array_dedup.deduplicate_passages])
 def test_three_texts_with_a_recurring_minimiser(spark, operator):
     """Passages that match at the second place of a minimiser, in texts whose first places do not match."""
