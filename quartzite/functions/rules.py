@@ -11,8 +11,15 @@ KPOINT_DENSITY, GAMMA_LENGTH = 25.0, 15.0
 FRICTION = {"base": 2.0, "mass_power": 0.6, "temperature_power": 0.5, "low": 0.5, "high": 15.0}
 TIME_STEP = {"base": 1.0, "low": 0.2, "high": 2.0}
 BOLTZMANN_J, AMU_KG = 1.380649e-23, 1.66053906660e-27
-#: Atoms up to (null: any), whether there are 64 k-points or more, then caps and divisors of k-point groups and of cores for each band.
-LAYOUTS = [(50, True, 8, 8, 8, 2), (50, False, 4, 4, 4, 4), (100, True, 8, 8, 4, 4), (100, False, 4, 4, 4, 4), (None, True, 4, 16, 2, 8), (None, False, 2, 9, 2, 8)]
+#: For at most so many atoms (null: any number) and for 64 k-points or more, or fewer: caps and divisors of k-point groups and of cores for each band.
+LAYOUTS = [
+    {"atoms": 50, "many_points": True, "group_cap": 8, "points_a_group": 8, "core_cap": 8, "core_divisor": 2},
+    {"atoms": 50, "many_points": False, "group_cap": 4, "points_a_group": 4, "core_cap": 4, "core_divisor": 4},
+    {"atoms": 100, "many_points": True, "group_cap": 8, "points_a_group": 8, "core_cap": 4, "core_divisor": 4},
+    {"atoms": 100, "many_points": False, "group_cap": 4, "points_a_group": 4, "core_cap": 4, "core_divisor": 4},
+    {"atoms": None, "many_points": True, "group_cap": 4, "points_a_group": 16, "core_cap": 2, "core_divisor": 8},
+    {"atoms": None, "many_points": False, "group_cap": 2, "points_a_group": 9, "core_cap": 2, "core_divisor": 8},
+]
 
 
 def kpoint_grid(lengths: Column, constant: float = KPOINT_DENSITY) -> Column:
@@ -93,11 +100,12 @@ def nose_mass(freedom: Column, temperature: Column, period: Column, first_length
 def layout(atoms: Column, kpoints: Column, cores: int, most: int = 64) -> Column:
     """Parallel layout by number of atoms and k-points: groups over k-points, cores for each band, bands at once, blocking."""
     chosen = None
-    for limit, many, kcap, kdiv, ncap, ndiv in reversed(LAYOUTS):
-        kpar = F.greatest(F.lit(1), F.least(F.lit(kcap), F.floor(kpoints / kdiv), kpoints)).cast("int")
-        ncore = max(1, min(ncap, cores // ndiv, most))
-        row = F.struct(kpar.alias("kpar"), F.lit(ncore).alias("ncore"), F.lit(max(1, cores // max(1, min(ncap, cores // ndiv)))).alias("npar"), F.lit(4).alias("nsim"))
-        fits = (kpoints >= 64 if many else kpoints < 64) & (atoms <= limit if limit else F.lit(True))
+    for rule in reversed(LAYOUTS):
+        kpar = F.greatest(F.lit(1), F.least(F.lit(rule["group_cap"]), F.floor(kpoints / rule["points_a_group"]), kpoints)).cast("int")
+        fitting = min(rule["core_cap"], cores // rule["core_divisor"])
+        ncore = max(1, min(fitting, most))
+        row = F.struct(kpar.alias("kpar"), F.lit(ncore).alias("ncore"), F.lit(max(1, cores // max(1, fitting))).alias("npar"), F.lit(4).alias("nsim"))
+        fits = (kpoints >= 64 if rule["many_points"] else kpoints < 64) & (atoms <= rule["atoms"] if rule["atoms"] else F.lit(True))
         chosen = row if chosen is None else F.when(fits, row).otherwise(chosen)
     return chosen
 

@@ -323,6 +323,28 @@ def two_point_pick(spark: SparkSession, d: str) -> DataFrame:
     return sizes.select("user_id", F.array_join(F.transform(series.two_points(F.col("n")), lambda i: i.cast("string")), ",").alias("picks"))
 
 
+@query(f"SELECT user_id, coalesce(min(i) FILTER (value > 60 AND i >= n // 4), -1) AS place FROM (SELECT *, count(*) OVER (PARTITION BY user_id) AS n FROM {RUNS}) GROUP BY 1")
+def next_good_place(spark: SparkSession, d: str) -> DataFrame:
+    """The first good row at or after a quarter of each run."""
+    out = series.next_good(runs(spark, d), ["user_id"], "i", F.col("value") > 60, 0.25, "place")
+    return out.select("user_id", F.coalesce("place", F.lit(-1)).cast("long").alias("place"))
+
+
+@query("SELECT event_type, time_bucket(INTERVAL 1 HOUR, ts) AS start, count(*) AS n, round(avg(value), 4) AS mean FROM events GROUP BY 1, 2")
+def hourly_means(spark: SparkSession, d: str) -> DataFrame:
+    """2.9: means in tumbling windows, in the form of a table."""
+    return rounded(ingest.windowed_means(table(spark, d, "events"), "ts", ["event_type"], "value", "1 hour", "1 day"))
+
+
+@query("SELECT l_orderkey, round(sum(CASE l_returnflag WHEN 'A' THEN 39.0983 WHEN 'N' THEN 54.938 ELSE 15.999 END) / count(*), 6) AS mass FROM lineitem GROUP BY 1")
+def mean_masses(spark: SparkSession, d: str) -> DataFrame:
+    """the mean mass of a composition, which frictions are relative to."""
+    c = table(spark, d, "lineitem").groupBy("l_orderkey", "l_returnflag").agg(F.count(F.lit(1)).alias("n"))
+    m = F.when(F.col("l_returnflag") == "A", 39.0983).when(F.col("l_returnflag") == "N", 54.938).otherwise(15.999)
+    per = c.groupBy("l_orderkey").agg(F.collect_list(F.struct("n", m.alias("m"))).alias("s"))
+    return per.select("l_orderkey", F.round(rules.mean_mass(F.col("s.m"), F.col("s.n")), 6).alias("mass"))
+
+
 @query(f"SELECT user_id, max(i) AS last_good FROM {RUNS} WHERE value > 40 GROUP BY 1")
 def last_converged_row(spark: SparkSession, d: str) -> DataFrame:
     """W13."""
