@@ -25,6 +25,8 @@ UNKNOWN_BYTES = 1 << 50
 PACKED = 2
 #: Bytes that may be broadcast: sides of joins are measured against it.
 BROADCAST_BYTES = 64 << 20
+#: Buckets of packed rows for each partition that they are dealt to, so that partitions are alike.
+BUCKETS_A_PART = 8
 _LOCAL: dict[str, str] = {}
 
 
@@ -164,6 +166,21 @@ def sample_share(key: Column, wanted: Column | float) -> Column:
     return F.shiftrightunsigned(F.xxhash64(key), 1) < F.lit(2.0**63) * wanted
 
 
+def packed_by(bucket: np.ndarray, **columns: np.ndarray) -> pa.RecordBatch:
+    """One row for each bucket: its number and a list of each column's values. A shuffle by bucket then moves few wide rows instead of one for each value."""
+    order = np.argsort(bucket, kind="stable")
+    bucket = bucket[order]
+    begin = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, np.int64)
+    ends = pa.array(np.append(begin, len(bucket)), pa.int32())
+    return pa.RecordBatch.from_arrays([pa.array(bucket[begin].astype(np.int64)), *(pa.ListArray.from_arrays(ends, pa.array(x[order])) for x in columns.values())], names=["bucket", *columns])
+
+
+def unpacked(batches: Iterator[pa.RecordBatch], *names: str) -> list[np.ndarray]:
+    """All values of the list columns of a task's rows; nothing where it has no rows."""
+    parts = [[batch.column(c).flatten().to_numpy(zero_copy_only=False) for c in names] for batch in batches]
+    return [np.concatenate(x) for x in zip(*parts, strict=True)]
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> np.uint64(30))
     x = x * np.uint64(0xBF58476D1CE4E5B9)

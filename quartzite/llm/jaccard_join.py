@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, bounded_batches, broadcast_if_small, discard, materialise, release_memory, shuffle_partitions, signed, text_slices, window_hashes, word_hashes, word_lists
+from .common import BROADCAST_BYTES, BUCKETS_A_PART, bounded_batches, broadcast_if_small, discard, materialise, mix, packed_by, release_memory, shuffle_partitions, signed, text_slices, unpacked, window_hashes, word_hashes, word_lists
 from .components import components
 
 WORDS, NUMERATOR, DENOMINATOR = 5, 80, 100
@@ -111,16 +111,14 @@ def _repeats(signatures: DataFrame, total: int) -> DataFrame:
             rows, credit = np.unique(owner[again], return_counts=True)
             marks = distinct[count > 1]
             key = np.concatenate([token[~again], marks, rows])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(key), pa.array(np.concatenate([owner[~again], np.full(len(marks), -1), rows])), pa.array(np.concatenate([np.zeros(len(key) - len(rows), np.int64), credit]).astype(np.int32))],
-                names=["key", "row", "credit"],
-            )
+            bucket = mix(key.view(np.uint64)) % np.uint64(BUCKETS_A_PART * parts)
+            yield packed_by(bucket, key=key, row=np.concatenate([owner[~again], np.full(len(marks), -1), rows]), credit=np.concatenate([np.zeros(len(key) - len(rows), np.int64), credit]).astype(np.int32))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        columns = [tuple(np.asarray(batch.column(c)) for c in ("key", "row", "credit")) for batch in batches]
+        columns = unpacked(batches, "key", "row", "credit")
         if not columns:
             return
-        key, row, credit = (np.concatenate(x) for x in zip(*columns, strict=True))
+        key, row, credit = columns
         local, rows, credits = credit > 0, row, credit.astype(np.int64)
         key, row = key[~local], row[~local]
         order = np.argsort(key)
@@ -152,8 +150,8 @@ def _repeats(signatures: DataFrame, total: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array((group << GROUP_BITS) + at), pa.array(total[at])], names=["row", "credit"])
 
     parts = max(shuffle_partitions(signatures.sparkSession), -(-total // TOKENS_PER_TASK))
-    rows = signatures.where("n > 0").select("row", "sig", "tokens").mapInArrow(emit, "key long, row long, credit int")
-    counted = rows.repartition(parts, "key").mapInArrow(count, "group long, rows array<long>, credits array<long>")
+    rows = signatures.where("n > 0").select("row", "sig", "tokens").mapInArrow(emit, "bucket long, key array<long>, row array<long>, credit array<int>")
+    counted = rows.repartition(parts, "bucket").mapInArrow(count, "group long, rows array<long>, credits array<long>")
     return counted.repartition(parts, "group").mapInArrow(add, "row long, credit long")
 
 

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, discard, in_order, materialise, shuffle_partitions, text_bytes, text_slices, window_hashes, word_digests, word_lists
+from .common import BUCKETS_A_PART, bounded_batches, discard, in_order, materialise, packed_by, shuffle_partitions, text_bytes, text_slices, unpacked, window_hashes, word_digests, word_lists
 
 GRAM = 8
 #: Powers of two between which the bitmap of repeated minimisers has its bits: eight for each minimiser of the corpus.
@@ -120,23 +120,21 @@ def repeated_bitmap(docs: DataFrame, window: int, k: int) -> Bitmap:
             pad = np.zeros(window - k, np.uint64)
             top = sliding(np.maximum, np.concatenate([pad, low, pad]), window - k + 1)
             value, count = np.unique(grams[(grams == top) & (top > 0)], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array((value >> np.uint64(64 - bits + CHUNK_BITS)).astype(np.int64)), pa.array(value.view(np.int64)), pa.array(count > 1)], names=["chunk", "value", "again"])
+            chunk = value >> np.uint64(64 - bits + CHUNK_BITS)
+            yield packed_by(chunk % np.uint64(BUCKETS_A_PART * parts), value=value.view(np.int64), again=count > 1)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        values, again = [], []
-        for batch in batches:
-            values.append(np.asarray(batch.column("value")).view(np.uint64))
-            again.append(batch.column("again").to_numpy(zero_copy_only=False))
-        if not values:
+        columns = unpacked(batches, "value", "again")
+        if not columns:
             return
-        value, again = np.concatenate(values), np.concatenate(again)
+        value, again = columns[0].view(np.uint64), columns[1]
         order = np.argsort(value)
         value, again = value[order], again[order]
         again[1:] |= value[1:] == value[:-1]
         yield from chunks(value[again], bits)
 
     parts = max(shuffle_partitions(docs.sparkSession), expected // ANCHORS_PER_TASK)
-    return Bitmap(bits).fill(docs.select("text").mapInArrow(emit, "chunk long, value long, again boolean").repartition(parts, "chunk").mapInArrow(count, CHUNKS))
+    return Bitmap(bits).fill(docs.select("text").mapInArrow(emit, "bucket long, value array<long>, again array<boolean>").repartition(parts, "bucket").mapInArrow(count, CHUNKS))
 
 
 def bitmap_of(df: DataFrame, column: str, expected: int) -> Bitmap:
