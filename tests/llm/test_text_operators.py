@@ -564,3 +564,39 @@ def test_null_and_repeated_ids(spark):
     assert len(same) == 1
     path = __import__("public_tokenizers").path("byte_bpe_50k.json")
     assert packing.pack(df, path).agg(F.sum("length")).first()[0] >= len(rows)
+
+
+def test_very_long_texts(spark):
+    """Texts of a million characters and more, among short ones, in every operator that reads texts."""
+    import public_tokenizers
+
+    again = " ".join(f"w{i % 5000}" for i in range(120_000))
+    lines = "\n".join(f"line {i % 300} of {i}" if i % 3 else "always the same" for i in range(60_000))
+    texts = [again, lines, "x" * 1_500_000, " " * 1_500_000, "short text of a few words", None, "always the same", "é" * 700_000]
+    df = frame(spark, texts)
+    got = {r.doc_id: (r.n_words, r.n_removed, r.text) for r in substring_dedup.deduplicate_substrings(df, 20).collect()}
+    assert got == brute_repeats(texts, 20)
+    got = {r.doc_id: (r.n_words, r.n_removed, r.text) for r in suffix_array_dedup.deduplicate_passages(df, 50).collect()}
+    assert got == brute_repeats(texts, 50)
+    got = {r.doc_id: (r.n_lines, r.n_dropped, r.text) for r in line_dedup.drop_lines(df, 2, 1, "none").collect()}
+    assert got == brute_lines(texts, 2, "none")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.similar_groups(frame(spark, [*texts, again + " more"]), 4, 85, 100).collect()}
+    assert got == brute_components([*texts, again + " more"], 4, 85, 100)
+    bench = spark.createDataFrame([(1, "few words"), (2, " ".join(f"w{i}" for i in range(40, 60)))], "item_id long, text string")
+    found = {r.doc_id: (r.n_words, r.n_hit, r["items"]) for r in decontaminate.contamination(df, bench).collect()}
+    assert found[0] == (120_000, 24 * 20, [2]) and found[4][1:] == (2, [1]) and found[2] == (1, 0, [])
+    model = language_id.fit(df.withColumn("lang", F.when(F.col("doc_id") < 3, "aa").otherwise("bb")))
+    out = {r.doc_id: r.lang_pred for r in language_id.identify(df, model).collect()}
+    assert len(out) == len(texts) and out[3] == "und" and out[5] == "und"
+    assert quality.score(df, quality.fit(df)).count() == len(texts)
+    assert exact_dedup.deduplicate(df).where("kept").count() == len(set(t or "" for t in texts))
+    lengths = {r.doc_id: r.n for r in packing.pack(df, public_tokenizers.path("byte_bpe_50k.json")).groupBy("doc_id").agg(F.sum("length").alias("n")).collect()}
+    assert len(lengths) == len(texts) and lengths[5] == 1 and lengths[3] == 1_500_001
+
+
+def test_equally_many_letters_and_equally_good_languages(spark):
+    """Of languages that are equally good for a text the first in order of their names wins."""
+    rows = [(i, t, lang) for i, (t, lang) in enumerate([("aaaa", "zz"), ("aaaa", "mm"), ("bbbb", "kk")])]
+    model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    out = {r.doc_id: r.lang_pred for r in language_id.identify(frame(spark, ["aaaa aaaa", "aaaa " * 3 + "bbbb " * 3]), model).collect()}
+    assert out == {0: "mm", 1: "kk"}

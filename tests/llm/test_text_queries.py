@@ -15,6 +15,7 @@ pytest.importorskip("quartzite.llm")
 import corpus_pipeline
 import public_tokenizers
 from quartzite.llm import queries
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 SF = "/root/testdata/sf0.001"
@@ -147,3 +148,26 @@ def test_pipeline_against_brute_force(spark):
         pieces[r.doc_id].append((r.start, r["ids"]))
     for d, t in clean.items():
         assert [x for _, ids in sorted(pieces[d]) for x in ids] == [*plain.encode(t, add_special_tokens=False).ids, 1]
+
+
+def test_pipeline_on_awkward_tables(spark):
+    """No rows; and null ids and texts, repeated rows and columns with names of the operators' own."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    names = {"kept": True, "digest": b"x", "component_id": 1, "score": 0.5, "n_hit": 3, "batch": "b", "spans": None, "c0": 1, "__c0": 2}
+    wide = docs.where("doc_id < 40")
+    for name, value in names.items():
+        wide = wide.withColumn(name, F.lit(value).cast("string") if value is None else F.lit(value))
+    some = wide.where("doc_id < 5")
+    nulls = some.withColumn("doc_id", F.lit(None).cast("long")).unionByName(some.withColumn("text", F.lit(None).cast("string")).withColumn("doc_id", F.col("doc_id") + 1000))
+    for table in (docs.limit(0), wide.limit(0), wide.unionByName(some).unionByName(nulls)):
+        current, before = table, None
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            current = queries.exact_dedup.materialise(stage(spark, current, SF), "stage")
+            assert current.columns == table.columns
+            before = current.count() if before is None else before
+            assert current.count() <= before
+        packed = corpus_pipeline.STAGES[-1][1](spark, current, SF)
+        assert packed.select("doc_id").distinct().count() == current.select("doc_id").distinct().count()
+        assert (before == 0) == (table.limit(1).count() == 0)
+    keys = [tuple(r) for r in current.select("doc_id", "text").collect()]
+    assert len(set(keys)) == len(keys)
