@@ -346,9 +346,11 @@ def similar_groups(docs: DataFrame, words: int = WORDS, num: int = NUMERATOR, de
     members = materialise(near.select(F.col("root").alias("comp"), "node").join(sets.select("node", "tokens"), "node"), "members")
     linked = components(_links(members, begin, t, block))
     named = classes.join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least_id = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = materialise(named.join(least_id, "root").select("sig", F.col("node").alias("class_id"), "class_size", "component_id"), "classes")
-    for table in (begin, lowest, often, sets, kept, members):
+    # Roots of several classes only, and written first, so that the join is of plain shuffles and a large component can be split.
+    several = materialise(named.groupBy("root").agg(F.min("rep").alias("least"), F.count(F.lit(1)).alias("together")).where("together > 1"), "several")
+    least_id = F.when(F.col("together").isNull(), F.col("rep")).otherwise(F.col("least")).alias("component_id")
+    named = materialise(named.join(several, "root", "left").select("sig", F.col("node").alias("class_id"), "class_size", least_id), "classes")
+    for table in (begin, lowest, often, sets, kept, members, several):
         discard(table)
     slim = rows.select("doc_id", F.col("th").alias("text_hash"), F.col("n").alias("n_shingles"), "sig")
     out = slim.where("sig IS NOT NULL").join(named, "sig").select("doc_id", "text_hash", "n_shingles", "class_id", "class_size", "component_id")
