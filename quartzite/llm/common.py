@@ -26,7 +26,7 @@ PACKED = 2
 #: Bytes that may be broadcast: sides of joins are measured against it.
 BROADCAST_BYTES = 64 << 20
 #: Buckets of packed rows for each partition that they are dealt to, so that partitions are alike.
-BUCKETS_A_PART = 8
+BUCKETS_A_PART = 32
 _LOCAL: dict[str, str] = {}
 
 
