@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, jaccard_join, language_id, line_dedup, packing, quality, substring_dedup, suffix_array_dedup, url_filter
+from . import decontaminate, exact_dedup, fingerprints, jaccard_join, language_id, line_dedup, merkle, packing, quality, ranked_search, substring_dedup, suffix_array_dedup, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -80,10 +80,30 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_language_id, op3_exact_dedup, op4_line_dedup, op5_jaccard_join, op6_substring_dedup, op7_url_filter, op8_packing, op9_quality, op10_suffix_array_dedup)}
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = {c: F.col(c) for c in merkle.COLUMNS}
+    lines_joined = columns | {"text": F.replace("text", F.lit("\n"), F.lit(""))}
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    now = F.when(tampered, merkle.leaf_digest(list(lines_joined.values()))).otherwise(merkle.leaf_digest(list(columns.values())))
+    out = merkle.manifest(table(spark, sf_dir, "documents"), carry={"now": F.unhex(now)})
+    out = out.select("doc_id", *[merkle.text_of(F.col(c)).alias(c) for c in ("leaf", "subroot", "root")], merkle.proof_digest(F.col("path")).alias("proof_sha256"), merkle.folded(F.col("now"), F.col("path")).alias("folded_root"))
+    return out.withColumn("verified", F.col("folded_root") == F.col("root"))
 
-UPPER, LOWER = url_filter.UPPER, url_filter.LOWER
 
+def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fingerprints.compare_edited(table(spark, sf_dir, "documents"))
+    text = lambda c: F.lower(F.hex(c)).alias(c)
+    return out.select("doc_id", "n_chars", text("edited_sha256"), text("fingerprint"), text("edited_fingerprint"), "near_edited", "near_next")
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+_ALL = (op1_decontaminate, op2_language_id, op3_exact_dedup, op4_line_dedup, op5_jaccard_join, op6_substring_dedup, op7_url_filter, op8_packing, op9_quality, op10_suffix_array_dedup, op11_merkle_manifest, op12_fingerprints, op13_ranked_search)
+QUERIES = {f.__name__: f for f in _ALL}
+
+UPPER, LOWER = url_filter.UPPER, url_filter.LOWER
 
 
 def _repeats_sql(window: int) -> str:
@@ -100,6 +120,15 @@ SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(removed, 0)::BIGINT AS n_rem
 FROM w LEFT JOIN r USING (doc_id)"""
 
 
+def _written(value: str) -> str:
+    return f"coalesce(strlen({value})::VARCHAR || ':' || {value}, '-')"
+
+
+#: crc32 of the decimal id, bit by bit: DuckDB has no function for it.
+_CRC32 = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ord(x)::BIGINT)), lambda c, x:
+      list_reduce(list_prepend(xor(c, x), range(8)), lambda h, i: xor(h >> 1, CASE WHEN h % 2 = 1 THEN 3988292384 ELSE 0 END))))"""
+
+
 SQL = {
     "op1_decontaminate": f"""
 WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM documents),
@@ -143,4 +172,40 @@ l(verdict, h, q) AS (VALUES {", ".join(f"('{v}', '{h}', '{q}')" for v, h, q in U
 m AS (SELECT page_id, host, path, max(struct_pack(n := length(h || q), rule := h || q, verdict := l.verdict)) FILTER (h IS NOT NULL) AS best
       FROM p LEFT JOIN l ON (host = h OR host LIKE '%.' || h) AND starts_with(path, q) GROUP BY ALL)
 SELECT page_id, host, path, best.rule AS rule, coalesce(best.verdict, 'allow') AS verdict FROM m""",
+    "op11_merkle_manifest": f"""
+WITH RECURSIVE v AS (SELECT doc_id, source, {_written("doc_id::VARCHAR")} || {_written("source")} || {_written("lang")} || {_written("n_chars::VARCHAR")} AS head,
+      text, CASE WHEN {_CRC32} % 2 = 0 THEN replace(text, chr(10), '') ELSE text END AS now FROM documents),
+r AS (SELECT doc_id, source, sha256(head || {_written("text")}) AS leaf, sha256(head || {_written("now")}) AS forged,
+      row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS pos, count(*) OVER (PARTITION BY source) AS n FROM v),
+t(source, level, pos, n, digest) AS (
+      SELECT source, 0, pos, n, leaf FROM r UNION ALL
+      SELECT source, level + 1, pos // 3, (any_value(n) + 2) // 3, sha256(string_agg(digest, '' ORDER BY pos)) FROM t WHERE n > 1 GROUP BY source, level, pos // 3),
+s AS (SELECT source, digest AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM t WHERE n = 1),
+u(level, pos, n, digest) AS (
+      SELECT 0, pos, n, subroot FROM s UNION ALL
+      SELECT level + 1, pos // 3, (any_value(n) + 2) // 3, sha256(string_agg(digest, '' ORDER BY pos)) FROM u WHERE n > 1 GROUP BY level, pos // 3),
+f(doc_id, source, level, pos, n, own, others) AS (
+      SELECT doc_id, source, 0, pos, n, forged, '' FROM r UNION ALL
+      SELECT f.doc_id, f.source, any_value(f.level) + 1, any_value(f.pos) // 3, (any_value(f.n) + 2) // 3,
+             sha256(string_agg(CASE WHEN t.pos = f.pos THEN f.own ELSE t.digest END, '' ORDER BY t.pos)),
+             any_value(f.others) || coalesce(string_agg(t.digest, '' ORDER BY t.pos) FILTER (t.pos <> f.pos), '')
+      FROM f JOIN t ON t.source IS NOT DISTINCT FROM f.source AND t.level = f.level AND t.pos // 3 = f.pos // 3 WHERE f.n > 1 GROUP BY f.doc_id, f.source),
+g(doc_id, level, pos, n, own, others) AS (
+      SELECT f.doc_id, 0, s.pos, s.n, f.own, f.others FROM f JOIN s ON f.source IS NOT DISTINCT FROM s.source WHERE f.n = 1 UNION ALL
+      SELECT g.doc_id, any_value(g.level) + 1, any_value(g.pos) // 3, (any_value(g.n) + 2) // 3,
+             sha256(string_agg(CASE WHEN u.pos = g.pos THEN g.own ELSE u.digest END, '' ORDER BY u.pos)),
+             any_value(g.others) || coalesce(string_agg(u.digest, '' ORDER BY u.pos) FILTER (u.pos <> g.pos), '')
+      FROM g JOIN u ON u.level = g.level AND u.pos // 3 = g.pos // 3 WHERE g.n > 1 GROUP BY g.doc_id)
+SELECT r.doc_id, r.leaf, s.subroot, u.digest AS root, sha256(g.others) AS proof_sha256, g.own AS folded_root, g.own = u.digest AS verified
+FROM r JOIN s ON r.source IS NOT DISTINCT FROM s.source JOIN g ON g.doc_id = r.doc_id AND g.n = 1 JOIN u ON u.n = 1""",
+    "op13_ranked_search": f"""
+WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM benchmark),
+t AS (SELECT doc_id, any_value(len(ws)) AS n, term, count(*) AS tf FROM (SELECT doc_id, ws, unnest(ws) AS term FROM w) GROUP BY doc_id, term),
+c AS (SELECT count(*) AS docs, sum(len(ws))::BIGINT AS total FROM w WHERE len(ws) > 0),
+d AS (SELECT term, floor(1000 * ln((2 * any_value(docs) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS weight FROM t, c GROUP BY term),
+s AS (SELECT item_id, doc_id, sum(weight * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // total))))::BIGINT AS score
+      FROM (SELECT item_id, unnest(ws) AS term FROM b) JOIN t USING (term) JOIN d USING (term), c GROUP BY item_id, doc_id),
+k AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score FROM s WHERE score > 0)
+SELECT * FROM k WHERE rank <= 10""",
 }
