@@ -1,7 +1,7 @@
 """Benchmark decontamination through an FM-index of each training shard.
 
 Documents never move: each task indexes its own documents shard by shard (SLICE_BYTES of text each) and searches all
-benchmark phrases in the index. Only words that occur in the benchmark can lie inside a match, so a shard's text for the
+distinct benchmark phrases in the index, whatever the number of items that share one. Only words that occur in the benchmark can lie inside a match, so a shard's text for the
 index is its runs of such words, without those shorter than the shortest phrase. Phrases are found by backward search
 through wavelet-tree ranks and located by sampled suffix positions; the places are merged into spans of words.
 
@@ -30,26 +30,31 @@ from .fm_index import FMIndex
 
 WINDOW = 10
 ITEMS_PER_BLOCK = 20_000
+#: Items and spans in the rows that a task holds before it hands them on, and lists of items that it keeps for texts with the same phrases.
+HELD, LISTS = 200_000, 64
 FOUND = "struct<n_words:bigint,n_hit:bigint,spans:array<struct<start:int,stop:int>>,items:array<ID>>"
 
 
-def phrases_of(items: list[tuple], window: int) -> tuple[pa.Array, dict[int, tuple[np.ndarray, np.ndarray]], list]:
-    """The vocabulary, for each phrase length the distinct (phrase, item) rows: symbols (from 1) and places among the item ids, and these ids."""
+def phrases_of(items: list[tuple], window: int) -> tuple[pa.Array, dict[int, tuple[np.ndarray, np.ndarray]], list[list[int]], list]:
+    """The vocabulary; for each phrase length the distinct phrases (a matrix of symbols, from 1) and their numbers; the items of each phrase, as places among the item ids; these ids."""
     offsets, flat = word_lists(pa.array([t for _, t in items], pa.string()), "alnum")
     coded = flat.dictionary_encode()
     symbols = np.asarray(coded.indices).astype(np.int64) + 1
-    rows: dict[int, set] = {}
     ids = list(dict.fromkeys(item for item, _ in items))
     place = {item: k for k, item in enumerate(ids)}
+    having: dict[tuple, set] = {}
     for (item, _), a, b in zip(items, offsets[:-1], offsets[1:], strict=True):
         size = min(window, b - a)
         for i in range(a, b - size + 1 if size else a):
-            rows.setdefault(int(size), set()).add((tuple(symbols[i : i + size]), place[item]))
-    return coded.dictionary, {n: (np.array([p for p, _ in x]), np.array([i for _, i in x], np.int64)) for n, x in ((n, sorted(x)) for n, x in rows.items())}, ids
+            having.setdefault(tuple(symbols[i : i + size]), set()).add(place[item])
+    rows: dict[int, list] = {}
+    for number, phrase in enumerate(having):
+        rows.setdefault(len(phrase), []).append((phrase, number))
+    return coded.dictionary, {n: (np.array([p for p, _ in x]), np.array([k for _, k in x], np.int64)) for n, x in sorted(rows.items())}, [sorted(x) for x in having.values()], ids
 
 
 def scan(texts: pa.Array, vocabulary: pa.Array, phrases: dict) -> tuple[np.ndarray, np.ndarray, list]:
-    """Offsets of the shard's words, whether each word is hit, and the (text, item) pairs found."""
+    """Offsets of the shard's words, whether each word is hit, and the distinct (text, phrase) pairs found, in order."""
     offsets, flat = word_lists(texts, "alnum")
     hit, pairs = np.zeros(len(flat) + 1, np.int32), []
     if not len(flat) or not phrases:
@@ -70,15 +75,16 @@ def scan(texts: pa.Array, vocabulary: pa.Array, phrases: dict) -> tuple[np.ndarr
     text = symbols[np.minimum(at, len(symbols) - 1)]
     text[np.cumsum(length + 1) - 1] = 0
     index = FMIndex(text)
-    for size, (rows, items) in phrases.items():
+    for size, (rows, numbers) in phrases.items():
         low, high = index.search(rows)
         count = high - low
         which = np.repeat(np.arange(len(rows)), count)
         place = at[index.locate(np.repeat(low - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(int(count.sum())))]
         np.add.at(hit, place, 1)
         np.add.at(hit, place + size, -1)
-        pairs.append(np.stack([owner[place], items[which]], axis=1))
-    return offsets, np.cumsum(hit)[:-1] > 0, np.unique(np.concatenate(pairs), axis=0)
+        pairs.append(np.unique(owner[place] << 32 | numbers[which]))
+    found = np.unique(np.concatenate(pairs))
+    return offsets, np.cumsum(hit)[:-1] > 0, np.stack([found >> 32, found & 0xFFFFFFFF], axis=1)
 
 
 def merged_spans(hit: np.ndarray) -> list[dict]:
@@ -98,33 +104,47 @@ def cut(text: str, spans: list[dict]) -> str:
 
 def _pass(items: list[tuple], window: int, into: int | None = None):
     """One pass over the documents. into: the place among the kept columns that gets the text without the spans; the pass then is the last one."""
-    vocabulary, phrases, ids = phrases_of(items, window)
+    vocabulary, phrases, having, ids = phrases_of(items, window)
+
+    def listed(numbers: np.ndarray, before: list) -> list:
+        """The items of some phrases, and those found in earlier passes, in order."""
+        found = {ids[k] for n in numbers.tolist() for k in having[n]}
+        return sorted(found.union(before), key=lambda x: (x is None, 0 if x is None else x))
+
+    def emitted(part: pa.RecordBatch, out: list[dict]) -> pa.RecordBatch:
+        if into is None:
+            columns = [pa.array(out, part.schema.field("__found").type) if c == "__found" else part.column(c) for c in part.schema.names]
+            return pa.RecordBatch.from_arrays(columns, names=part.schema.names)
+        texts = [cut(t, f["spans"]) if f["spans"] else t for t, f in zip(part.column("__text").to_pylist(), out, strict=True)]
+        names = [c for c in part.schema.names if c.startswith("__c")]
+        return pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == f"__c{into}" else part.column(c) for c in names], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches, "__text"):
             offsets, hit, pairs = scan(part.column("__text"), vocabulary, phrases)
-            before = part.column("__found").to_pylist()
-            found: dict[int, list] = {}
-            for t, item in pairs.tolist():
-                found.setdefault(t, []).append(ids[item])
-            out = []
-            for i, old in enumerate(before):
+            bounds = np.searchsorted(pairs[:, 0], np.arange(part.num_rows + 1))
+            start, out, held, lists = 0, [], 0, {}
+            for i, old in enumerate(part.column("__found").to_pylist()):
                 a, b = offsets[i], offsets[i + 1]
-                if i not in found:
+                numbers = pairs[bounds[i] : bounds[i + 1], 1]
+                if not len(numbers):
                     out.append({"n_words": int(b - a), "n_hit": 0, "spans": [], "items": []} if old is None else old)
-                    continue
-                own = hit[a:b]
-                if old is not None:
-                    for s in old["spans"]:
+                else:
+                    own, before = hit[a:b], (old or {}).get("items") or []
+                    for s in old["spans"] if old is not None else []:
                         own[s["start"] : s["stop"]] = True
-                out.append({"n_words": int(b - a), "n_hit": int(own.sum()), "spans": merged_spans(own), "items": sorted({*found[i], *((old or {}).get("items") or [])}, key=lambda x: (x is None, 0 if x is None else x))})
-            if into is None:
-                columns = [pa.array(out, part.schema.field("__found").type) if c == "__found" else part.column(c) for c in part.schema.names]
-                yield pa.RecordBatch.from_arrays(columns, names=part.schema.names)
-            else:
-                texts = [cut(t, f["spans"]) if f["spans"] else t for t, f in zip(part.column("__text").to_pylist(), out, strict=True)]
-                names = [c for c in part.schema.names if c.startswith("__c")]
-                yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == f"__c{into}" else part.column(c) for c in names], names=names)
+                    key = (numbers.tobytes(), tuple(before))  # texts with the same phrases share a list
+                    if key not in lists:
+                        if len(lists) >= LISTS:
+                            lists.clear()
+                        lists[key] = listed(numbers, before)
+                    out.append({"n_words": int(b - a), "n_hit": int(own.sum()), "spans": merged_spans(own), "items": lists[key]})
+                held += len(out[-1]["items"]) + len(out[-1]["spans"])
+                if held > HELD:
+                    yield emitted(part.slice(start, len(out)), out)
+                    start, out, held = i + 1, [], 0
+            if out:
+                yield emitted(part.slice(start, len(out)), out)
 
     return run
 
