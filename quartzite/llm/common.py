@@ -52,9 +52,40 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def _store(spark: SparkSession, path: str) -> tuple:
+    """The file system of a path, and the path, as Hadoop has them: any store that Spark reads."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
 def remove(spark: SparkSession, folder: str) -> None:
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    store, path = _store(spark, folder)
+    store.delete(path, True)
+
+
+def listing(spark: SparkSession, folder: str) -> list[str]:
+    """Names in a folder; none where it doesn't exist."""
+    store, path = _store(spark, folder)
+    return sorted(x.getPath().getName() for x in store.listStatus(path)) if store.exists(path) else []
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    store, place = _store(spark, path)
+    stream = store.open(place)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def write_new(spark: SparkSession, path: str, text: str) -> None:
+    """A new small file; an error if there is one already."""
+    store, place = _store(spark, path)
+    stream = store.create(place, False)
+    try:
+        stream.write(bytearray(text.encode()))
+    finally:
+        stream.close()
 
 
 def release(spark: SparkSession) -> None:
@@ -161,9 +192,14 @@ def in_order(id_col: Column) -> Column:
     return F.struct(id_col.isNull().alias("last"), id_col.alias("id"))
 
 
-def sample_share(key: Column, wanted: Column | float) -> Column:
-    """Whether a row is in a sample of the given share of all rows, chosen by a 63-bit hash of its key: shares of 1e-12 still choose rows."""
-    return F.shiftrightunsigned(F.xxhash64(key), 1) < F.lit(2.0**63) * wanted
+def sample_share(wanted: Column | float, *keys: Column) -> Column:
+    """Whether a row is in a sample of the given share of all rows, chosen by a 63-bit hash of its keys: shares of 1e-12 still choose rows."""
+    return F.shiftrightunsigned(F.xxhash64(*keys), 1) < F.lit(2.0**63) * wanted
+
+
+def sampled(rows: DataFrame, wanted: Column | float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """About the given share of rows, by a hash of id and text, so that rows with equal (or null) ids don't go together; of equal rows one."""
+    return rows.where(sample_share(wanted, F.col(id_col), F.col(text_col))).dropDuplicates([id_col, text_col])
 
 
 def packed_by(bucket: np.ndarray, **columns: np.ndarray) -> pa.RecordBatch:

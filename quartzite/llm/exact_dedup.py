@@ -15,60 +15,111 @@ id stays; a text that the index held before the batch has no row that stays in t
 
 from __future__ import annotations
 
+import hashlib
+import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, broadcast_if_small, discard, materialise, remove, shared_path, shuffle_partitions
+from .common import BROADCAST_BYTES, broadcast_if_small, discard, listing, materialise, read_text, remove, shared_path, shuffle_partitions, write_new
 
 #: A group of more than this share of all rows is joined apart: there are at most as many such groups as its inverse.
 HOT_SHARE = 1 / 1000
+#: Files that a bucket may have before the index is compacted.
+MOST_FILES = 16
 
 
 class DigestIndex:
-    """A table (digest BINARY, keep_id, batch) in `path`, in `buckets` buckets sorted by digest."""
+    """A table (digest BINARY, keep_id, batch) below `path`, in `buckets` buckets sorted by digest.
 
-    def __init__(self, spark: SparkSession, path: str | None = None, name: str | None = None, buckets: int | None = None):
-        self.spark = spark
-        self.name = name or f"digest_index_{uuid.uuid4().hex[:12]}"
-        self.path = path or shared_path(spark, self.name)
-        self.buckets = buckets or shuffle_partitions(spark)
+    The path is all that tells an index: `_versions` holds a small file for each version, which names the folder of the table, its buckets
+    and the type of keep_id; the last one counts. A session whose catalog doesn't know the table registers it from there, so an
+    index outlives the application that began it. A path that holds anything else is refused. Appends add a file to each
+    bucket; once a bucket has over `most_files`, the table is written again with one sorted file a bucket, as a new version. One job
+    writes at a time. An append that was lost half-way is repeated under the same batch name.
+    """
+
+    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int | None = None, most_files: int = MOST_FILES):
+        self.spark, self.most_files = spark, most_files
+        self.path = (path or shared_path(spark, "digest_index")).rstrip("/")
+        self.wanted = buckets or shuffle_partitions(spark)
+
+    @property
+    def state(self) -> dict:
+        """The last version: folder, buckets, kind; {} where there is none."""
+        names = sorted((n for n in listing(self.spark, f"{self.path}/_versions") if n.endswith(".json")), reverse=True)
+        for name in names:
+            try:
+                return json.loads(read_text(self.spark, f"{self.path}/_versions/{name}")) | {"version": int(names[0][:-5])}
+            except ValueError:
+                continue  # its writer was lost while it wrote, and with it what it was about to name
+        if not names and listing(self.spark, self.path):
+            raise ValueError(f"{self.path} holds files that are no digest index")
+        return {}
 
     def exists(self) -> bool:
-        return self.spark.catalog.tableExists(self.name)
+        return bool(self.state)
+
+    def _begin(self, kind: str, buckets: int, last: int = -1) -> dict:
+        """A version with an empty folder of its own, not yet the last one."""
+        return {"folder": f"data-{uuid.uuid4().hex[:12]}", "buckets": buckets, "kind": kind, "version": last + 1}
+
+    def _publish(self, state: dict) -> None:
+        write_new(self.spark, f"{self.path}/_versions/{state['version']:09d}.json", json.dumps({k: state[k] for k in ("folder", "buckets", "kind")}))
+
+    def _name(self, state: dict) -> str:
+        """The table of a version in this session's catalog, registered if it isn't there, its files listed anew."""
+        place = f"{self.path}/{state['folder']}"
+        name = f"digest_index_{hashlib.sha256(place.encode()).hexdigest()[:20]}"
+        self.spark.sql(f"CREATE TABLE IF NOT EXISTS {name} (digest BINARY, keep_id {state['kind']}, batch STRING) USING parquet CLUSTERED BY (digest) SORTED BY (digest) INTO {state['buckets']} BUCKETS LOCATION '{place}'")
+        self.spark.sql(f"REFRESH TABLE {name}")
+        return name
 
     def table(self) -> DataFrame:
-        return self.spark.table(self.name)
+        return self.spark.table(self._name(self.state))
 
     def lacking(self, digests: DataFrame) -> DataFrame:
         """Of rows (digest, doc_id) the distinct digests that the index lacks, with the largest id of each.
 
         The distinct ones are written first: the optimizer would have the join before the aggregate, and a hot digest's rows in one task.
         """
-        groups = materialise(digests.groupBy("digest").agg(F.max("doc_id").alias("keep_id")), "distinct")
-        return groups.repartition(self.buckets, "digest").hint("merge").join(self.table().select("digest"), "digest", "left_anti") if self.exists() else groups
+        groups, state = materialise(digests.groupBy("digest").agg(F.max("doc_id").alias("keep_id")), "distinct"), self.state
+        if not state:
+            return groups
+        known = self.spark.table(self._name(state)).select("digest")
+        return groups.repartition(state["buckets"], "digest").hint("merge").join(known, "digest", "left_anti")
 
     def append(self, digests: DataFrame, batch: str) -> None:
-        self._write(self.lacking(digests).withColumn("batch", F.lit(batch)), self.name, self.path)
+        rows, state = self.lacking(digests).withColumn("batch", F.lit(batch)), self.state
+        if not state:
+            state = self._begin(digests.schema["doc_id"].dataType.simpleString(), self.wanted)
+            self._publish(state)
+        self._write(rows.repartition(state["buckets"], "digest"), state)
+        if len(self._files(state)) > self.most_files * state["buckets"]:
+            self.compact()
+
+    def _write(self, rows: DataFrame, state: dict) -> None:
+        rows.write.mode("append").format("parquet").bucketBy(state["buckets"], "digest").sortBy("digest").saveAsTable(self._name(state))
 
-    def _write(self, rows: DataFrame, name: str, path: str) -> None:
-        rows = rows.repartition(self.buckets, "digest")
-        rows.write.mode("append").option("path", path).bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(name)
+    def _files(self, state: dict) -> list[str]:
+        return [n for n in listing(self.spark, f"{self.path}/{state['folder']}") if n.startswith("part-")]
 
     def compact(self) -> None:
-        """Write the table again with one sorted file a bucket; appends leave one a batch."""
-        path = shared_path(self.spark, self.name) if self.path.startswith(shared_path(self.spark, "").rpartition("/")[0]) else f"{self.path.rstrip('/')}-{uuid.uuid4().hex[:12]}"
-        new, old = f"{self.name}_{uuid.uuid4().hex[:8]}", self.path
-        self._write(self.table(), new, path)
-        self.spark.sql(f"DROP TABLE {self.name}")
-        self.spark.sql(f"ALTER TABLE {new} RENAME TO {self.name}")
-        self.path = path
-        remove(self.spark, old)
+        """Write the table again, one sorted file a bucket. The new version counts once it is whole; then the old one's files go."""
+        old = self.state
+        new = self._begin(old["kind"], old["buckets"], old["version"])
+        # By the number of the bucket: rows of a bucketed table are left where they are if they are asked for by digest, several files a bucket.
+        self._write(self.table().repartition(old["buckets"], F.pmod(F.hash("digest"), F.lit(old["buckets"]))), new)
+        self._publish(new)
+        self.spark.sql(f"DROP TABLE IF EXISTS {self._name(old)}")
+        remove(self.spark, f"{self.path}/{old['folder']}")
 
     def drop(self) -> None:
-        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
-        remove(self.spark, self.path)
+        state = self.state
+        if state:
+            self.spark.sql(f"DROP TABLE IF EXISTS {self._name(state)}")
+            remove(self.spark, self.path)
 
 
 def with_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

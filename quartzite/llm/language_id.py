@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, mix, sample_share, text_slices
+from .common import bounded_batches, mix, sampled, text_slices
 
 SAMPLE = 4000
 BUCKETS = 1 << 16
@@ -138,7 +138,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     languages = sorted(totals)
     number = {lang: k for k, lang in enumerate(languages)}
     shares = F.map_from_arrays(F.array(*map(F.lit, languages)), F.array(*(F.lit(sample / totals[lang]) for lang in languages)))
-    chosen = known.where(sample_share(F.col("doc_id"), shares[F.col("lang")])) if languages else known
+    chosen = sampled(known, shares[F.col("lang")]) if languages else known
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((len(languages), BUCKETS + len(SCRIPTS)))

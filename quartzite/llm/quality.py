@@ -3,7 +3,7 @@
 Overlapping heuristic labellers vote good, junk or nothing on every document. Expectation-maximisation over the counts of
 vote patterns of the whole corpus (3 ** labellers rows at most) estimates how each labeller votes on good and on junk
 documents, without any hand-made label, and gives each pattern its posterior; a labeller that says nothing counts neither way. The posteriors then train a linear scorer
-over hashed word shapes, on about SAMPLE documents chosen by a hash of their ids, or fewer where these would have more than
+over hashed word shapes, on about SAMPLE documents chosen by a hash of id and text, equal rows once, or fewer where these would have more than
 SAMPLE_WORDS words (the documented bound of the fit, whatever the size of the corpus). Every document is voted on, and every
 document is scored by the linear model. `Scorer.accuracy` tells how each labeller was found to vote.
 
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from .common import bounded_batches, sample_share, text_slices, word_lists
+from .common import bounded_batches, sampled, text_slices, word_lists
 
 GOOD, JUNK, ABSTAIN = 1, 0, 2
 SAMPLE = 20_000
@@ -219,7 +219,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample:
             lists = lambda x: pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(x))
             yield pa.RecordBatch.from_arrays([pa.array(target, pa.float64()), lists(feature.astype(np.int32)), lists(value.astype(np.float32))], names=["target", "feature", "value"])
 
-    table = rows.where(sample_share(F.col("doc_id"), share)).select("text").mapInArrow(examples, "target double, feature array<int>, value array<float>").where("target IS NOT NULL").toArrow().combine_chunks()
+    table = sampled(rows, share).select("text").mapInArrow(examples, "target double, feature array<int>, value array<float>").where("target IS NOT NULL").toArrow().combine_chunks()
     lists = table.column("feature").combine_chunks() if table.num_rows else None
     if lists is None:
         return Scorer(of, np.zeros(FEATURES + 1), accuracy)

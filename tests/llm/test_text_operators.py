@@ -65,6 +65,28 @@ def test_decontamination_with_null_item_ids(spark):
     assert {r.doc_id: (r.n_hit, r["items"]) for r in got} == {"d0": (2, [None]), "d1": (4, ["item 7", "item 8", None]), "d2": (0, []), "d3": (2, ["item 7", None])}
 
 
+def test_decontamination_where_many_items_share_a_phrase(spark):
+    """A phrase of 5,000 items in 1,000 places is searched once: the pairs of items and places never exist at once."""
+    import resource
+    import time
+
+    shared = " ".join(f"p{i}" for i in range(10))
+    items = [(i, f"{shared} own{i} tail") for i in range(5000)]
+    vocabulary, phrases, having, ids = decontaminate.phrases_of(items, 10)
+    assert sum(len(x[0]) for x in phrases.values()) == 1 + 2 * 5000 and max(map(len, having)) == 5000
+    texts = pa.array([" x ".join([shared] * 500), "none", " y ".join([shared] * 500), shared + " own7 tail"])
+    before, began = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss, time.time()
+    _, hit, pairs = decontaminate.scan(texts, vocabulary, phrases)
+    assert time.time() - began < 10 and resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 300_000
+    assert len(pairs) == 5 and hit.sum() == 2 * 5000 + 12
+    docs = spark.createDataFrame(list(enumerate(texts.to_pylist())), "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {r.doc_id: (r.n_hit, r["items"]) for r in decontaminate.contamination(docs, bench).collect()}
+    every = list(range(5000))
+    assert got == {0: (5000, every), 1: (0, []), 2: (5000, every), 3: (12, every)}
+    assert {r.doc_id: len(r["items"]) for r in decontaminate.contamination(docs, bench, items_per_block=1700).collect()} == {0: 5000, 1: 0, 2: 5000, 3: 5000}
+
+
 def test_exact_dedup(spark):
     groups = defaultdict(list)
     for i, t in enumerate(TEXTS):
@@ -98,6 +120,52 @@ def test_digest_index_keeps_what_it_has_seen(spark):
     assert not index.exists()
 
 
+APPLICATION = """
+import sys
+sys.path.insert(0, {root!r})
+from quartzite.llm import exact_dedup
+from quartzite.session import session
+spark = session("batch", **{{"spark.master": "local[2]", "spark.sql.shuffle.partitions": "3", "spark.ui.enabled": "false", "spark.sql.warehouse.dir": {base!r} + "/warehouse", "spark.checkpoint.dir": {base!r} + "/shared"}})
+docs = spark.createDataFrame([(i, f"text {{i}}") for i in range({first}, {last})], "doc_id long, text string")
+index = exact_dedup.DigestIndex(spark, {base!r} + "/index")
+kept = exact_dedup.deduplicate(docs, index, "{batch}").where("kept").count()
+print("RESULT", kept, index.table().count(), len(index._files(index.state)))
+"""
+
+
+def test_digest_index_outlives_its_application(tmp_path):
+    """Applications of their own, one after the other, each with a new in-memory catalog: the second knows what the first has seen, in however many buckets it would have made."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = str(Path(__file__).resolve().parents[2])
+
+    def run(first, last, batch):
+        code = APPLICATION.format(root=root, base=str(tmp_path), first=first, last=last, batch=batch)
+        out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=300)
+        return [tuple(map(int, x.split()[1:])) for x in out.stdout.splitlines() if x.startswith("RESULT")][0]
+
+    assert run(0, 1000, "one")[:2] == (1000, 1000)
+    assert run(500, 1500, "two")[:2] == (500, 1500)
+    assert run(500, 1500, "two")[:2] == (500, 1500)
+
+
+def test_digest_index_compacts_and_refuses_other_files(spark, tmp_path):
+    index = exact_dedup.DigestIndex(spark, str(tmp_path / "index"), buckets=2, most_files=3)
+    for k in range(9):
+        index.append(exact_dedup.with_digest(frame(spark, [f"{k} {i}" for i in range(20)] + ["all"])), f"batch {k}")
+        assert index.table().count() == 20 * (k + 1) + 1 and len(index._files(index.state)) <= 6
+    assert index.state["version"] > 0 and len([n for n in common.listing(spark, index.path) if n.startswith("data-")]) == 1
+    again = exact_dedup.DigestIndex(spark, index.path, buckets=7)
+    assert again.state["buckets"] == 2 and again.table().count() == 181
+    common.write_new(spark, f"{index.path}/_versions/000000099.json", "{lost while wri")
+    assert again.table().count() == 181
+    common.write_new(spark, str(tmp_path / "other" / "file"), "x")
+    with pytest.raises(ValueError, match="no digest index"):
+        exact_dedup.DigestIndex(spark, str(tmp_path / "other")).append(exact_dedup.with_digest(frame(spark, ["a"])), "one")
+
+
 def test_digest_index_stays_where_it_lies(spark):
     """Only the new digests move when a batch meets the index, whatever the number of its buckets."""
     for buckets in (4, 6):
@@ -479,12 +547,20 @@ def test_samples_of_huge_corpora_are_not_empty(spark):
 
     n = 2_000_000
     for wanted in (1.0, 0.3, 1e-3):
-        found = spark.range(n).where(sample_share(F.col("id"), wanted)).count()
+        found = spark.range(n).where(sample_share(wanted, F.col("id"))).count()
         assert abs(found - wanted * n) <= 5 * (wanted * n) ** 0.5
     assert quality.sampled_share(10**11, 10**15) == pytest.approx(1e-8) and quality.sampled_share(10**11, 10**11) == pytest.approx(2e-7)
     least = F.shiftrightunsigned(F.xxhash64("id"), 1)
     smallest = spark.range(n).agg(F.min(least)).first()[0]
-    assert spark.range(n).where(sample_share(F.col("id"), (smallest + 2**20) / 2**63)).count() >= 1
+    assert spark.range(n).where(sample_share((smallest + 2**20) / 2**63, F.col("id"))).count() >= 1
+
+
+def test_samples_of_null_and_repeated_rows(spark):
+    """Null ids don't go together, and of rows that repeat one is learned from."""
+    rows = spark.range(20_000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("text "), F.col("id")).alias("text"))
+    assert 50 < common.sampled(rows, 100 / 20_000).count() < 160
+    alike = rows.withColumn("text", F.lit("the same"))
+    assert common.sampled(rows.unionByName(alike), 1.0).count() == 20_001 and common.sampled(alike.unionByName(rows), 100 / 40_000).count() < 100
 
 
 def test_estimate_is_expectation_maximisation():
