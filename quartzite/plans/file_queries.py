@@ -6,13 +6,15 @@ back through the data source. Runs are users with their events, frames are order
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import rules, text
 from ..operators import eos, errors, frames, match, pairs, select, series
-from ..sources import catalog, files, settings, sinks
-from .queries import RUNS, query, rounded, runs, table
+from ..sources import catalog, files, frame_index, ranges, settings, sinks
+from .queries import RUNS, SQL, query, rounded, runs, table
 from .storage import scratch
 
 
@@ -27,6 +29,17 @@ def run_of(path: str = "path") -> Column:
     return F.regexp_extract(path, r"/run(\d+)/", 1).cast("long").alias("user_id")
 
 
+def run_ranges(spark: SparkSession, d: str, name: str, line: Column, head: str = "", tail: str = "") -> DataFrame:
+    """Byte ranges of a file of each run, in a folder of its own; they are small, so that files have several."""
+    path = scratch(spark, name.lower())
+    sinks.write_text(run_files(spark, d, name, line, head, tail).select(run_of(), "text"), F.col("text"), path, ["user_id"])
+    return ranges.file_ranges(spark, path, range_bytes=4096)
+
+
+def user_of(path: str = "path") -> Column:
+    return F.regexp_extract(path, r"user_id=(\d+)/", 1).cast("long").alias("user_id")
+
+
 def say(pattern: str, *values: Column | str) -> Column:
     return F.format_string(pattern, *values)
 
@@ -42,16 +55,16 @@ def ionic_steps() -> Column:
 @query(f"SELECT user_id, i AS ionic_step, i % 3 + 1 AS iterations, round(value + 300, 4) AS temperature, round(-value, 4) AS energy FROM {RUNS}")
 def oszicar_scan(spark: SparkSession, d: str) -> DataFrame:
     """Electronic iterations, temperature and energy of each ionic step."""
-    out = settings.oszicar(run_files(spark, d, "OSZICAR", ionic_steps()))
-    return rounded(out.select(run_of(), "ionic_step", F.col("iterations").cast("long").alias("iterations"), "temperature", "energy"))
+    out = settings.oszicar(run_ranges(spark, d, "OSZICAR", ionic_steps()))
+    return rounded(out.select(user_of(), "ionic_step", F.col("iterations").cast("long").alias("iterations"), "temperature", "energy"))
 
 
 @query(f"SELECT user_id, i, round(value + 300, 4) AS temperature, round(-value, 4) AS energy, CASE WHEN user_id % 5 = 0 THEN 'NaN'::DOUBLE ELSE round(64 + i + 1.0, 4) END AS volume FROM {RUNS} JOIN (SELECT user_id, count(*) AS n FROM events GROUP BY 1) USING (user_id) WHERE user_id % 5 = 0 OR i < n - 1")
 def vasp_thermo_scan(spark: SparkSession, d: str) -> DataFrame:
     """Steps of one file and volumes of the other, the first volume left out, the longer cut; runs without volumes have none."""
-    volumes = run_files(spark, d, "OUTCAR", F.when(F.col("user_id") % 5 != 0, say("  volume of cell :  %.4f", F.col("i") + 64.0)).otherwise("nothing"))
-    out = settings.vasp_thermo(run_files(spark, d, "OSZICAR", ionic_steps()), volumes, text.parent_dir(F.col("path")))
-    return rounded(out.select(F.regexp_extract("run", r"run(\d+)$", 1).cast("long").alias("user_id"), F.col("i").cast("long").alias("i"), "temperature", "energy", "volume"))
+    volumes = run_ranges(spark, d, "OUTCAR", F.when(F.col("user_id") % 5 != 0, say("  volume of cell :  %.4f", F.col("i") + 64.0)).otherwise("nothing"))
+    out = settings.vasp_thermo(run_ranges(spark, d, "OSZICAR", ionic_steps()), volumes, F.regexp_extract("path", r"user_id=(\d+)/", 1))
+    return rounded(out.select(F.col("run").cast("long").alias("user_id"), F.col("i").cast("long").alias("i"), "temperature", "energy", "volume"))
 
 
 def three_series() -> Column:
@@ -62,8 +75,8 @@ def three_series() -> Column:
 UNION ALL SELECT user_id, 'volume', i // 2, round(value + 64, 4) FROM {RUNS} WHERE i % 2 = 0""")
 def outcar_series_scan(spark: SparkSession, d: str) -> DataFrame:
     """Three series of one log, each of its own length; lines with settings are no temperatures."""
-    out = settings.tvp(run_files(spark, d, "OUTCAR", three_series()))
-    return rounded(out.select(run_of(), "series", F.col("place").cast("long").alias("place"), "value"))
+    out = settings.tvp(run_ranges(spark, d, "OUTCAR", three_series()))
+    return rounded(out.select(user_of(), "series", F.col("place").cast("long").alias("place"), "value"))
 
 
 @query(f"SELECT user_id, i AS place, round(value + user_id % 3, 4) AS temperature FROM {RUNS}")
@@ -71,8 +84,8 @@ def outcar_temperature_scan(spark: SparkSession, d: str) -> DataFrame:
     """Of three ways to state a temperature the best one present counts for the whole file."""
     k, v = F.col("user_id") % 3, F.col("value")
     ways = [F.when(k == 0, say("  EKIN_LAT= 0.0  (temperature  %.4f K)", v)), F.when(k <= 1, say("  temperature = %.4f K", v + 1)), say("  kinetic (temperature %.4f K)", v + 2)]
-    out = settings.temperatures(run_files(spark, d, "OUTCAR", F.concat_ws("\n", *ways)))
-    return rounded(out.select(run_of(), F.col("place").cast("long").alias("place"), "temperature"))
+    out = settings.temperatures(run_ranges(spark, d, "OUTCAR", F.concat_ws("\n", *ways)))
+    return rounded(out.select(user_of(), F.col("place").cast("long").alias("place"), "temperature"))
 
 
 def eos_block() -> Column:
@@ -82,8 +95,8 @@ def eos_block() -> Column:
 @query(f"SELECT user_id, round(max_by(value, i) + 64, 4) AS volume, round(-max_by(value, i), 4) AS energy, round(0.2 * max_by(value, i), 4) AS pressure_gpa, round(greatest(abs(max_by(value, i)), 5), 4) AS max_force FROM {RUNS} GROUP BY 1")
 def eos_point_scan(spark: SparkSession, d: str) -> DataFrame:
     """The last volume, energy and pressure, and the largest force of the last block."""
-    out = settings.eos_point(run_files(spark, d, "OUTCAR", eos_block(), tail="\n"))
-    return rounded(out.select(run_of(), "volume", "energy", "pressure_gpa", "max_force"))
+    out = settings.eos_point(run_ranges(spark, d, "OUTCAR", eos_block(), tail="\n"))
+    return rounded(out.select(user_of(), "volume", "energy", "pressure_gpa", "max_force"))
 
 
 @query("SELECT o_orderkey, (o_custkey % 90)::BIGINT AS nelm, CASE WHEN o_orderkey % 3 = 0 THEN round(o_totalprice / 1000, 3) END AS potim, 'run ' || o_orderkey AS system, CASE WHEN o_orderkey % 3 = 0 THEN 5 ELSE 4 END::BIGINT AS entries, 'int' AS kind FROM orders")
@@ -118,8 +131,8 @@ def potcar_scan(spark: SparkSession, d: str) -> DataFrame:
 @query(f"SELECT user_id, i AS place, round(-value, 4) AS e_pot FROM {RUNS}")
 def report_scan(spark: SparkSession, d: str) -> DataFrame:
     """The second number of every energy line."""
-    out = settings.report_energies(run_files(spark, d, "REPORT", say("step\n   e_b>  1.5E+01  %.4f  2.0", -F.col("value"))))
-    return rounded(out.select(run_of(), F.col("place").cast("long").alias("place"), "e_pot"))
+    out = settings.report_energies(run_ranges(spark, d, "REPORT", say("step\n   e_b>  1.5E+01  %.4f  2.0", -F.col("value"))))
+    return rounded(out.select(user_of(), F.col("place").cast("long").alias("place"), "e_pot"))
 
 
 @query(f"SELECT user_id, (i // 30 + 1)::BIGINT AS block, i % 30 AS row, i * 10 AS step, round(value, 4) AS temperature, round(value + 64, 4) AS volume, round(-value, 4) AS energy FROM {RUNS} WHERE NOT (i % 30 > 20)")
@@ -129,8 +142,8 @@ def lammps_log_scan(spark: SparkSession, d: str) -> DataFrame:
     new = F.col("user_id") % 2 == 0
     head = F.when(i % 30 == 0, F.when(new, F.lit("Loop time of 1 on 1 procs\nStep Temp Press Volume TotEng")).otherwise(F.lit("Step TotEng Temp Vol Press")))
     row = F.when(new, say("%d %.4f 1.0 %.4f %.4f", i * 10, v, v + 64, -v)).otherwise(say("   %d %.4f %.4f %.4f 1.0", i * 10, -v, v, v + 64))
-    out = settings.lammps_thermo(run_files(spark, d, "log.lammps", F.concat_ws("\n", head, F.when(i % 30 == 21, F.lit("ERROR: lost atoms")), row), head="LAMMPS\n"))
-    return rounded(out.select(run_of(), F.col("block").cast("long").alias("block"), "row", "step", "temperature", "volume", "energy"))
+    out = settings.lammps_thermo(run_ranges(spark, d, "log.lammps", F.concat_ws("\n", head, F.when(i % 30 == 21, F.lit("ERROR: lost atoms")), row), head="LAMMPS\n"))
+    return rounded(out.select(user_of(), F.col("block").cast("long").alias("block"), "row", "step", "temperature", "volume", "energy"))
 
 
 @query("SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN 1.5 WHEN 1 THEN 2.0 WHEN 2 THEN 2.5 WHEN 3 THEN 3.0 ELSE 1.0 END::DOUBLE AS dt_fs, ['INCAR', 'OUTCAR', 'LAMMPS', 'LAMMPS', 'default'][c_custkey % 5 + 1] AS source FROM customer")
@@ -211,7 +224,7 @@ def numeric_log_round_trip(spark: SparkSession, d: str) -> DataFrame:
     """A numeric log with its header in each part, read again as two columns."""
     path = scratch(spark, "log")
     sinks.write_table(table(spark, d, "events"), path, ["event_id", "value"], "t msd", order=["event_id"])
-    return settings.two_columns(files.whole_files(spark, path, "part-*")).select("t", F.round("msd", 6).alias("msd"))
+    return settings.two_columns(ranges.file_ranges(spark, path, "part-*", range_bytes=1 << 16)).select("t", F.round("msd", 6).alias("msd"))
 
 
 @query("SELECT p_partkey, CASE WHEN p_partkey % 11 > 0 THEN p_size * 100 ELSE -1 END AS width, CASE WHEN p_partkey % 11 > 0 THEN (p_partkey % 500 + 1)::INT ELSE -1 END AS height, p_partkey % 11 > 0 AND p_partkey % 3 = 0 AS alpha FROM part")
@@ -349,24 +362,24 @@ def xyz_path(spark: SparkSession, d: str) -> str:
 
 
 @query(f"SELECT l_orderkey AS key, {SPECIES} AS symbol, count(*) AS n, round(sum(round(l_quantity / 100, 6)), 5) AS x, round(any_value(o_totalprice), 4) AS energy FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY 1, 2")
-def extxyz_scan(spark: SparkSession, d: str) -> DataFrame:
+def extxyz_scan(spark: SparkSession, d: str, read: Callable = files.read_trajectories) -> DataFrame:
     """Frames that the writer makes, scanned by the data source: atoms, energies and keys."""
-    f = files.read_trajectories(spark, xyz_path(spark, d), "extxyz")
+    f = read(spark, xyz_path(spark, d), "extxyz")
     rows = f.select(F.col("info")["frame"].cast("long").alias("key"), "energy", F.explode("atoms").alias("a"))
     return rows.groupBy("key", F.col("a.symbol").alias("symbol")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.col("a.pos")[0]), 5).alias("x"), F.round(F.first("energy"), 4).alias("energy"))
 
 
 @query("SELECT 'c' || o_custkey AS run_id, count(*) AS frames FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem) GROUP BY 1")
-def comment_scan(spark: SparkSession, d: str) -> DataFrame:
+def comment_scan(spark: SparkSession, d: str, read: Callable = files.read_trajectories) -> DataFrame:
     """Frames of each run from the comment lines alone."""
-    f = files.read_trajectories(spark, xyz_path(spark, d), "extxyz", atoms=False)
+    f = read(spark, xyz_path(spark, d), "extxyz", atoms=False)
     return frames.frames_by_run(f).groupBy("run_id").agg(F.sum("frames").alias("frames"))
 
 
 @query("SELECT l_orderkey AS key, 'fractional' AS coord_space, count(*) + 2 AS raw_lines, 'two words' AS note, 1 AS pos_column FROM lineitem GROUP BY 1")
-def raw_block_scan(spark: SparkSession, d: str) -> DataFrame:
+def raw_block_scan(spark: SparkSession, d: str, read: Callable = files.read_trajectories) -> DataFrame:
     """Fractional frames with their text as it was, and the place of a property in the header."""
-    f = files.read_trajectories(spark, xyz_path(spark, d), "extxyz", coords="fractional", raw=True)
+    f = read(spark, xyz_path(spark, d), "extxyz", coords="fractional", raw=True)
     comment = F.get(F.split("raw", "\n"), F.lit(1))
     lines = F.size(F.filter(F.split("raw", "\n"), lambda x: x != "")).cast("long")
     return f.select(text.header_value(comment, "frame").cast("long").alias("key"), "coord_space", lines.alias("raw_lines"), text.header_value(comment, "note").alias("note"), text.property_offset(text.header_value(comment, "Properties"), "pos").alias("pos_column"))
@@ -378,59 +391,75 @@ def run_steps(spark: SparkSession, d: str, line: Column, head: str, name: str) -
     return written(spark, rows, F.col("text"), name.lower(), ["user_id"])
 
 
-def user_of(path: str = "path") -> Column:
-    return F.regexp_extract(path, r"user_id=(\d+)/", 1).cast("long").alias("user_id")
-
-
 XDATCAR_HEAD = "run\n1.0\n 4.0 0.0 0.0\n 0.0 4.0 0.0\n 0.0 0.0 4.0\n K O\n 1 1\n"
 
 
 @query(f"SELECT user_id, i AS frame_index, 'fractional' AS coord_space, round(value / 1000, 6) AS x, CASE WHEN i >= 20 THEN 5.0 ELSE 4.0 END::DOUBLE AS a, 'K,O' AS symbols FROM {RUNS} WHERE i % 7 <> 3")
-def xdatcar_scan(spark: SparkSession, d: str) -> DataFrame:
+def xdatcar_scan(spark: SparkSession, d: str, read: Callable = files.read_trajectories) -> DataFrame:
     """Fractional frames; a new header changes the cell, a frame with a bad coordinate is left out and keeps its place."""
     i = F.col("i")
     head = F.when(i == 20, F.lit(XDATCAR_HEAD.replace("4.0", "5.0")[:-1]))
     line = F.concat_ws("\n", head, say("Direct configuration=%6d", i + 1), F.when(i % 7 == 3, F.lit("0.1 bad 0.1")).otherwise(say("%.6f 0.1\0 0.2", F.col("value") / 1000)), F.lit("0.5 0.5 0.5"))
-    f = files.read_trajectories(spark, run_steps(spark, d, line, XDATCAR_HEAD, "XDATCAR"), "xdatcar")
+    f = read(spark, run_steps(spark, d, line, XDATCAR_HEAD, "XDATCAR"), "xdatcar")
     return f.select(user_of(), "frame_index", "coord_space", F.round(F.col("atoms")[0]["pos"][0], 6).alias("x"), F.col("cell")[0].alias("a"), F.array_join("atoms.symbol", ",").alias("symbols"))
 
 
 @query(f"SELECT user_id, i AS frame_index, round(value / 1000, 6) AS x FROM {RUNS} WHERE i >= 10 AND i < 25 AND i % 7 <> 3 AND i IN (11, 12, 24, 30)")
 def random_access_frames(spark: SparkSession, d: str) -> DataFrame:
-    """Single frames of a range; skip and limit count the frames of the source, and bounds reach the scan where the session pushes them."""
+    """Single frames of a range, each read from its own place in the file by an index of offsets."""
     i = F.col("i")
     line = F.concat_ws("\n", say("Direct configuration=%6d", i + 1), F.when(i % 7 == 3, F.lit("0.1 bad 0.1")).otherwise(say("%.6f 0.1 0.2", F.col("value") / 1000)), F.lit("0.5 0.5 0.5"))
-    f = files.read_trajectories(spark, run_steps(spark, d, line, XDATCAR_HEAD, "XDATCAR"), "xdatcar", skip=10, limit=15)
-    return f.where(F.col("frame_index").isin(11, 12, 24, 30)).select(user_of(), "frame_index", F.round(F.col("atoms")[0]["pos"][0], 6).alias("x"))
+    index = frame_index.frame_index(spark, run_steps(spark, d, line, XDATCAR_HEAD, "XDATCAR"), "xdatcar", range_bytes=2048)
+    f = frame_index.indexed_frames(index, "xdatcar", (F.col("frame_index") >= 10) & (F.col("frame_index") < 25) & F.col("frame_index").isin(11, 12, 24, 30), range_bytes=512)
+    return f.select(user_of(), "frame_index", F.round(F.col("atoms")[0]["pos"][0], 6).alias("x"))
 
 
 OUTCAR_HEAD = " TITEL  = PAW_PBE Mn_pv 02Aug2007\n TITEL  = PAW_PBE O 08Apr2002\n   ions per type =               1   1\n      direct lattice vectors                 reciprocal lattice vectors\n     4.0 0.0 0.0     0.25 0.0 0.0\n     0.0 4.0 0.0     0.0 0.25 0.0\n     0.0 0.0 4.0     0.0 0.0 0.25\n"
 
 
 @query(f"SELECT user_id, i AS frame_index, k AS idx, ['Mn', 'O'][k + 1] AS symbol, round(CASE WHEN k = 0 THEN value / 100 ELSE 2.0 END, 6) AS x, round(CASE WHEN k = 0 THEN abs(value) ELSE 5.0 END, 4) AS force FROM {RUNS}, (SELECT unnest([0, 1]) AS k) WHERE i % 9 <> 8")
-def outcar_frame_scan(spark: SparkSession, d: str) -> DataFrame:
+def outcar_frame_scan(spark: SparkSession, d: str, read: Callable = files.read_trajectories) -> DataFrame:
     """Positions and forces of every ionic step; a step that breaks off is left out."""
     v = F.col("value")
     line = F.concat(F.lit(" POSITION          TOTAL-FORCE (eV/Angst)\n ------\n"), say(" %.6f 0.0 0.0  %.4f 0.0 0.0\n", v / 100, v), F.when(F.col("i") % 9 == 8, " 2.0 2.0 ***").otherwise(" 2.0 2.0 2.0  0.0 3.0 4.0"), F.lit("\n ------"))
-    f = files.read_trajectories(spark, run_steps(spark, d, line, OUTCAR_HEAD, "OUTCAR"), "outcar")
+    f = read(spark, run_steps(spark, d, line, OUTCAR_HEAD, "OUTCAR"), "outcar")
     a = files.atoms_of(f)
     return a.select(user_of(), "frame_index", "idx", "symbol", F.round(F.col("pos")[0], 6).alias("x"), F.round(frames.largest_force(F.array("force")), 4).alias("force"))
 
 
 @query(f"SELECT user_id, i AS frame_index, (i * 100)::VARCHAR AS step, round(value / 100, 6) AS x, 'X1,Mn' AS symbols, 3.0::DOUBLE AS a FROM {RUNS}")
-def dump_scan(spark: SparkSession, d: str) -> DataFrame:
+def dump_scan(spark: SparkSession, d: str, read: Callable = files.read_trajectories) -> DataFrame:
     """Frames of a text dump, atoms by their ids, positions from the box's corner; a type without an element is named by its number."""
     i, v = F.col("i"), F.col("value")
     line = F.concat(say("ITEM: TIMESTEP\n%d\nITEM: NUMBER OF ATOMS\n2\nITEM: BOX BOUNDS pp pp pp\n1.0 4.0\n0.0 5.0\n0.0 6.0\n", i * 100), say("ITEM: ATOMS id type element x y z\n2 2 Mn 2.0 1.0 1.0\n1 1 %s %.6f 0.0 0.0", F.lit(""), v / 100 + 1))
     line = F.regexp_replace(line, "ITEM: ATOMS id type element x y z\n2 2 Mn (.*)\n1 1  ", "ITEM: ATOMS id type x y z\n2 2 $1\n1 1 ")
     rows = run_files(spark, d, "dump.lammpstrj", line).select(run_of(), "text")
     path = written(spark, rows, F.col("text"), "dump", ["user_id"])
-    f = files.read_trajectories(spark, path, "lammpstrj")
+    f = read(spark, path, "lammpstrj")
     kinds = spark.createDataFrame([("X2", "Mn")], "kind string, symbol string")
     a = match.with_symbols(f.select(user_of(), "frame_index", F.col("info")["step"].alias("step"), F.col("cell")[0].alias("a"), F.explode("atoms").alias("r")).select("user_id", "frame_index", "step", "a", F.col("r.idx").alias("idx"), F.col("r.pos")[0].alias("x"), F.col("r.symbol").alias("kind")), kinds, "kind", "symbol", inferred="kind")
     return a.groupBy("user_id", "frame_index", "step", "a").agg(F.round(F.min_by("x", "idx"), 6).alias("x"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "symbol"))), lambda e: e["symbol"]), ",").alias("symbols"))
 
 
+def in_ranges(spark: SparkSession, path: str, grammar: str, **options) -> DataFrame:
+    """The frames by ranges of bytes; they are small, so that files have several."""
+    return frame_index.read_split(spark, path, grammar, range_bytes=8192, **options)
+
+
+def split_scan(scan: Callable) -> None:
+    """The query of a scan once more, with files read in ranges."""
+
+    def split(spark: SparkSession, d: str) -> DataFrame:
+        return scan(spark, d, in_ranges)
+
+    split.__name__, split.__doc__ = f"split_{scan.__name__}", f"{scan.__doc__} Each file is read by several tasks."
+    query(SQL[scan.__name__])(split)
+
+
+for _scan in (extxyz_scan, comment_scan, raw_block_scan, xdatcar_scan, outcar_frame_scan, dump_scan):
+    split_scan(_scan)
+
+
 # --- discovery ----------------------------------------------------------------------------------------------------
 
 

@@ -1,4 +1,8 @@
-"""Settings, logs and tables kept as text, read with column expressions: one row for each file, or for each entry."""
+"""Settings, logs and tables kept as text.
+
+Settings are small files, read whole with column expressions. Logs are read by parsers that compose over byte ranges: their source is
+`ranges.file_ranges`, which makes many tasks of a file, or path and text, one row a file.
+"""
 
 from __future__ import annotations
 
@@ -7,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import NUMBER, floats, last_number
 from ..operators.series import ordered
+from . import logs, ranges
 
 #: Electronic steps allowed where a file does not say.
 DEFAULT_NELM = 60
@@ -59,57 +64,37 @@ def potcar(files: DataFrame) -> DataFrame:
     return rows.select("path", "place", F.regexp_extract("t", r"TITEL\s*=\s*\S+\s+([A-Za-z]+)", 1).alias("symbol"), F.regexp_extract("t", r"ZVAL\s*=\s*([\d.]+)$", 1).cast("double").alias("zval"))
 
 
-def report_energies(files: DataFrame) -> DataFrame:
+def report_energies(source: DataFrame) -> DataFrame:
     """path, place, e_pot: the second number of every e_b line of a REPORT."""
-    found = F.regexp_extract_all("text", F.lit(rf"e_b>\s*{NUMBER}\s+({NUMBER})"), F.lit(1))
-    return files.select("path", F.posexplode(found).alias("place", "_v")).select("path", "place", F.col("_v").cast("double").alias("e_pot"))
+    found = ranges.scan(source, logs.Counted({"e_pot": rf"e_b>\s*{NUMBER}\s+({NUMBER})"}, {"e_pot": "e_b>"}))
+    return found.select("path", "place", F.col("value").alias("e_pot"))
 
 
-def eos_point(files: DataFrame) -> DataFrame:
+def eos_point(source: DataFrame) -> DataFrame:
     """path, volume, energy, pressure_gpa, max_force of an OUTCAR: the last volume, energy and pressure (kB to GPa), the largest force of the last block; without volume or energy there is no row."""
-    block = F.element_at(F.regexp_extract_all("text", F.lit(r"TOTAL-FORCE[^\n]*\n\s*-+\n((?:\s*[-\d.]+(?:\s+[-\d.]+){5}\s*\n)*)"), F.lit(1)), -1)
-    rows = F.filter(F.transform(F.split(block, "\n"), floats), lambda r: F.size(r) == 6)
-    force = F.array_max(F.transform(rows, lambda r: F.sqrt(r[3] * r[3] + r[4] * r[4] + r[5] * r[5])))
-    out = files.select("path", last_number(F.col("text"), rf"volume of cell\s*:\s*({NUMBER})").alias("volume"), last_number(F.col("text"), rf"free\s+energy\s+TOTEN\s*=\s*({NUMBER})").alias("energy"), (0.1 * last_number(F.col("text"), rf"external pressure\s*=\s*({NUMBER})")).alias("pressure_gpa"), F.when(F.array_size(rows) > 0, force).alias("max_force"))
+    out = ranges.ends(source, logs.LastPoint()).select("path", "volume", "energy", (0.1 * F.col("pressure")).alias("pressure_gpa"), "max_force")
     return out.where("volume IS NOT NULL AND energy IS NOT NULL")
 
 
-def _matches(pattern: str, barred: str):
-    return lambda x: x.rlike(pattern) & ~x.rlike(barred)
-
-
-def tvp(files: DataFrame) -> DataFrame:
+def tvp(source: DataFrame) -> DataFrame:
     """path, series ('temperature', 'volume', 'pressure'), place, value: three series of an OUTCAR, each with its own length; lines with settings are no temperatures."""
-    settings = r"TEBEG|TEIN|SMASS|TAV|TCHAIN|POTIM"
     patterns = {"temperature": rf"temperature\s*=?\s*({NUMBER})", "volume": rf"volume of cell\s*:\s*({NUMBER})", "pressure": rf"external pressure\s*=\s*({NUMBER})"}
-    rows = files.select("path", F.filter(F.split("text", "\n"), lambda x: x.rlike("temperature|volume of cell|external pressure")).alias("rows"))
-    out = None
-    for series, pattern in patterns.items():
-        barred = settings if series == "temperature" else r"\b\B"
-        keep = F.filter("rows", _matches(pattern, barred))
-        one = rows.select("path", F.lit(series).alias("series"), F.posexplode(keep).alias("place", "_x")).select("path", "series", "place", F.regexp_extract("_x", pattern, 1).cast("double").alias("value"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    hints = {"temperature": "temperature", "volume": "volume of cell", "pressure": "external pressure"}
+    return ranges.scan(source, logs.Counted(patterns, hints, {"temperature": "TEBEG|TEIN|SMASS|TAV|TCHAIN|POTIM"}, every=False))
 
 
-def temperatures(files: DataFrame) -> DataFrame:
+def temperatures(source: DataFrame) -> DataFrame:
     """path, place, temperature of an OUTCAR: of three ways in which a file can say it the best one present counts for the whole file."""
-    ways = [rf"EKIN_LAT[^\n]*temperature\s+({NUMBER})", rf"temperature\s*=\s*({NUMBER})", rf"\(temperature\s+({NUMBER})"]
-    found = [F.regexp_extract_all("text", F.lit(w), F.lit(1)) for w in ways]
-    best = F.when(F.size(found[0]) > 0, found[0]).when(F.size(found[1]) > 0, found[1]).otherwise(found[2])
-    return files.select("path", F.posexplode(best).alias("place", "_v")).select("path", "place", F.col("_v").cast("double").alias("temperature"))
+    ways = {"lattice": rf"EKIN_LAT.*temperature\s+({NUMBER})", "equals": rf"temperature\s*=\s*({NUMBER})", "bracket": rf"\(temperature\s+({NUMBER})"}
+    found = ranges.scan(source, logs.BestWay(ways, dict.fromkeys(ways, "temperature")))
+    return found.select("path", "place", F.col("value").alias("temperature"))
 
 
-def oszicar(files: DataFrame) -> DataFrame:
+def oszicar(source: DataFrame) -> DataFrame:
     """schema.SCF without block: every ionic step of an OSZICAR with its electronic iterations, temperature and energy."""
-    rows = files.select("path", F.posexplode(F.split("text", r"\r?\n")).alias("i", "x"))
-    scf = rows.withColumn("_scf", F.regexp_extract("x", r"^\s*(?:DAV|RMM|CG|EDIA|SDA)\s*:\s*(\d+)", 1).try_cast("int"))
-    ionic = scf.withColumn("_ionic", F.col("x").rlike(r"^\s*\d+\s+(?:T=|F=)"))
-    w = ordered(["path"], ["i"]).rowsBetween(Window.unboundedPreceding, -1)
-    marked = ionic.withColumn("step", F.coalesce(F.sum(F.col("_ionic").cast("int")).over(w), F.lit(0)))
-    value = lambda k: F.max(F.when(F.col("_ionic"), F.nullif(F.regexp_extract("x", rf"(?:^|\s){k}=\s*({NUMBER})", 1), F.lit("")).try_cast("double")))
-    out = marked.where("_scf IS NOT NULL OR _ionic").groupBy("path", F.col("step").cast("long").alias("ionic_step")).agg(F.max("_scf").alias("iterations"), F.bool_or("_ionic").alias("has_ionic_line"), value("T").alias("temperature"), F.coalesce(value("E0"), value("E")).alias("energy"))
-    return out
+    found = ranges.scan(source, logs.IonicSteps())
+    out = found.groupBy("path", "ionic_step").agg(*[F.max(c).alias(c) for c in ("iterations", "has_ionic_line", "temperature", "energy")])
+    return out.select("path", "ionic_step", "iterations", "has_ionic_line", "temperature", "energy")
 
 
 def vasp_thermo(oszicars: DataFrame, outcars: DataFrame, directory: Column) -> DataFrame:
@@ -122,23 +107,9 @@ def vasp_thermo(oszicars: DataFrame, outcars: DataFrame, directory: Column) -> D
     return out.where("volume IS NOT NULL OR _any IS NULL").withColumn("volume", F.coalesce("volume", F.lit(float("nan")))).drop("_any")
 
 
-def lammps_thermo(files: DataFrame) -> DataFrame:
+def lammps_thermo(source: DataFrame) -> DataFrame:
     """schema.THERMO of log files: blocks open at a line with Step and Temp and close at Loop time, an error, a blank, short or non-numeric line; columns are found by the names of their header."""
-    rows = files.select("path", F.posexplode(F.split("text", r"\r?\n")).alias("i", "x"))
-    rows = rows.withColumn("x", F.trim("x")).withColumn("_head", F.col("x").rlike(r"(?i)^step\s.*\btemp\b"))
-    w = ordered(["path"], ["i"])
-    rows = rows.withColumn("block", F.sum(F.col("_head").cast("int")).over(w)).where("block > 0")
-    heads = rows.where("_head").select("path", "block", F.split(F.lower("x"), r"\s+").alias("_names"))
-    rows = rows.join(heads, ["path", "block"]).withColumn("_v", F.transform(F.split("x", r"\s+"), lambda t: t.try_cast("double")))
-    bad = ~F.col("_head") & ((F.size("_v") < F.size("_names")) | F.exists("_v", lambda v: v.isNull()))
-    rows = rows.withColumn("_bad", F.sum(bad.cast("int")).over(ordered(["path", "block"], ["i"]))).where("_bad = 0 AND NOT _head")
-
-    def column(names: list[str], place: int | None = None) -> Column:
-        at = F.coalesce(*[F.nullif(F.array_position("_names", F.lit(n)), F.lit(0)) for n in names], F.lit(place))
-        return F.get("_v", (at - 1).cast("int"))
-
-    row = (F.row_number().over(ordered(["path", "block"], ["i"])) - 1).cast("long")
-    return rows.select("path", F.col("block").cast("int").alias("block"), row.alias("row"), column(["step"], 1).cast("long").alias("step"), column(["temp"], 2).alias("temperature"), column(["volume", "vol"], 4).alias("volume"), column(["toteng", "etotal"], 5).alias("energy"), column(["press"]).alias("pressure"))
+    return ranges.scan(source, logs.ThermoBlocks())
 
 
 def time_steps(incars: DataFrame, outcars: DataFrame, scripts: DataFrame, directory: Column) -> DataFrame:
@@ -191,11 +162,9 @@ def scheduler(files: DataFrame) -> DataFrame:
     return rows.select(*[F.trim(F.col("c")[i]).alias(n) for i, n in enumerate(names)]).where("id RLIKE '^[0-9]'")
 
 
-def two_columns(files: DataFrame, x: str = "t", y: str = "msd") -> DataFrame:
+def two_columns(source: DataFrame, x: str = "t", y: str = "msd") -> DataFrame:
     """path, row, x, y of two-column text; lines that begin with # and lines without two numbers are left out."""
-    rows = files.select("path", F.posexplode(F.split("text", r"\r?\n")).alias("row", "_l")).where("NOT _l RLIKE '^\\\\s*#'")
-    v = F.transform(F.split(F.trim("_l"), r"[\s,]+"), lambda t: t.try_cast("double"))
-    return rows.withColumn("_v", v).select("path", "row", F.get("_v", F.lit(0)).alias(x), F.get("_v", F.lit(1)).alias(y)).dropna(subset=[x, y])
+    return ranges.scan(source, logs.NumberedLines()).select("path", "row", F.col("x").alias(x), F.col("y").alias(y))
 
 
 def png_sizes(spark: SparkSession, path: str) -> DataFrame:
@@ -214,7 +183,7 @@ def convergence(outcars: DataFrame, oszicars: DataFrame, incars: DataFrame, dire
     """run, converged (null where undecidable) of each run, from its three files: the most electronic iterations of any step count."""
     from ..operators.frames import converged
 
-    a = outcars.select(directory.alias("run"), F.col("text").rlike(failure).alias("failed"))
+    a = ranges.ends(outcars, logs.Marked(failure)).select(directory.alias("run"), F.col("found").alias("failed"))
     b = oszicar(oszicars).withColumn("run", directory).groupBy("run").agg(F.max("iterations").alias("iterations"), F.bool_or("has_ionic_line").alias("energy"))
     c = incars.select(directory.alias("run"), electronic_limit(incar_map(F.col("text"))).alias("limit"))
     out = a.join(b, "run", "full").join(c, "run", "left")
