@@ -27,20 +27,12 @@ def last_number(text: Column, pattern: str) -> Column:
     return F.get(found, F.size(found) - 1).try_cast("double")
 
 
-def first_number(text: Column, pattern: str) -> Column:
-    return F.get(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), F.lit(0)).try_cast("double")
-
-
 def normal_symbol(text: Column) -> Column:
     """The leading letters of a species label, the first one a capital: 'mn_pv' gives 'Mn'."""
     head = F.regexp_extract(F.trim(text), r"^([A-Za-z]+)", 1)
     return F.nullif(F.initcap(head), F.lit(""))
 
 
-def path_parts(path: Column) -> Column:
-    return F.filter(F.split(path, "/"), lambda p: p != "")
-
-
 def parent_dir(path: Column) -> Column:
     return F.regexp_extract(path, r"^(.*)/[^/]*$", 1)
 

@@ -107,11 +107,11 @@ def per_atom(points: DataFrame, volume: str, energy: str, atoms: str) -> DataFra
     return kept.withColumn(volume, F.col(volume) / F.col(atoms)).withColumn(energy, F.col(energy) / F.col(atoms))
 
 
-def strain_grid(spark, low: float, high: float, n: int) -> DataFrame:
-    """Volume strains in percent with their scale of lengths and directory tags such as V_+02.5%."""
-    i = F.col("id")
-    strain = F.lit(low) + i * ((high - low) / max(n - 1, 1))
-    return spark.range(n).select(strain.alias("strain"), F.pow(1 + strain / 100, F.lit(1 / 3)).alias("scale"), F.format_string("V_%+05.1f%%", strain).alias("tag"))
+def strain_grid(df: DataFrame, volume: str, low: float, high: float, n: int) -> DataFrame:
+    """Each row n times, with strains of its volume in percent, their scale of lengths, directory tags such as V_+02.5% and the strained volume."""
+    strain = F.lit(low) + F.col("_i") * ((high - low) / max(n - 1, 1))
+    grid = df.withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("strain", strain).drop("_i")
+    return grid.withColumns({"scale": F.pow(1 + F.col("strain") / 100, F.lit(1 / 3)), "tag": F.format_string("V_%+05.1f%%", "strain"), volume: F.col(volume) * (1 + F.col("strain") / 100)})
 
 
 def reference_volume(points: DataFrame, by: list[str], strain: str, keep: list[str], order: list[str] | None = None) -> DataFrame:

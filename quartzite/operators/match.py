@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import chain
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .series import ordered
 
+#: Characters of the needles that an automaton holds at once.
+BLOCK_CHARS = 1 << 20
+
 
 def prioritised(left: DataFrame, right: DataFrame, left_id: str, right_id: str, strategies: list[tuple[str, list[tuple[str, str]]]], variant: str | None = None) -> DataFrame:
     """At most one match for each left row: left_id, right_id, strategy; both null where no strategy matches.
@@ -27,13 +35,61 @@ def prioritised(left: DataFrame, right: DataFrame, left_id: str, right_id: str,
     return left.select(left_id).join(out, left_id, "left")
 
 
-def containment(left: DataFrame, right: DataFrame, left_id: str, right_id: str, needle: str, token_pattern: str, haystack: str) -> DataFrame:
+def shared_tokens(left: DataFrame, right: DataFrame, left_id: str, right_id: str, needle: str, token_pattern: str, haystack: str) -> DataFrame:
     """Left rows whose needle is one of the tokens of a right row's text (either case), as an equi-join on exploded tokens."""
     a = left.select(F.col(left_id), F.lower(needle).alias("_t"))
     b = right.select(F.col(right_id), F.explode(F.array_distinct(F.regexp_extract_all(F.lower(haystack), F.lit(f"({token_pattern})"), F.lit(1)))).alias("_t"))
     return a.join(b, "_t").select(left_id, right_id)
 
 
+def containment(left: DataFrame, right: DataFrame, left_id: str, right_id: str, needle: str, haystack: str, block_chars: int = BLOCK_CHARS, rows_a_batch: int = 1 << 14) -> DataFrame:
+    """left_id, right_id: left rows whose needle occurs anywhere in a right row's text, in either case (A-Z and whatever else Spark lower-cases).
+
+    The distinct needles are read in blocks of block_chars characters; the texts are streamed through an Aho-Corasick automaton of each
+    block, one pass of the texts a block, so work follows texts and hits, never pairs. Rows that share a needle meet it afterwards, in a
+    join. Null and empty needles occur in nothing; equal ids count as rows of their own.
+    """
+    import ahocorasick
+
+    words = left.select(F.lower(F.col(f"`{needle}`").cast("string")).alias("_t")).where("length(_t) > 0").distinct()
+    texts = right.select(F.col(f"`{right_id}`").alias("_r"), F.lower(F.col(f"`{haystack}`").cast("string")).alias("_h"))
+    kind = texts.schema["_r"].dataType.simpleString()
+    id_type = to_arrow_type(texts.schema["_r"].dataType)
+
+    def passed(block: list[str]) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            automaton = ahocorasick.Automaton()
+            for k, word in enumerate(block):
+                automaton.add_word(word, k)
+            automaton.make_automaton()
+            for batch in batches:
+                place, found = [], []
+                for row, text in enumerate(batch.column("_h").to_pylist()):
+                    hits = {k for _, k in automaton.iter(text)} if text else ()
+                    place += [row] * len(hits)
+                    found += [block[k] for k in hits]
+                    if len(found) >= rows_a_batch:
+                        yield pa.RecordBatch.from_arrays([batch.column("_r").take(pa.array(place, pa.int64())).cast(id_type), pa.array(found, pa.string())], names=["_r", "_t"])
+                        place, found = [], []
+                yield pa.RecordBatch.from_arrays([batch.column("_r").take(pa.array(place, pa.int64())).cast(id_type), pa.array(found, pa.string())], names=["_r", "_t"])
+
+        return texts.mapInArrow(run, f"_r {kind}, _t string")
+
+    hits, block, size = None, [], 0
+    for word in chain((r._t for r in words.toLocalIterator()), [None]):
+        if word is None or (block and size + len(word) > block_chars):
+            if block:
+                hits = passed(block) if hits is None else hits.unionByName(passed(block))
+            block, size = [], 0
+        if word is not None:
+            block.append(word)
+            size += len(word)
+    if hits is None:
+        hits = texts.select("_r", F.lit(None).cast("string").alias("_t")).where("false")
+    asked = left.select(F.col(f"`{left_id}`").alias("_l"), F.lower(F.col(f"`{needle}`").cast("string")).alias("_t"))
+    return asked.join(hits, "_t").select(F.col("_l").alias(left_id), F.col("_r").alias(right_id))
+
+
 def unmatched(left: DataFrame, matches: DataFrame, left_id: str) -> DataFrame:
     return left.join(matches.where(F.col("strategy").isNotNull()).select(left_id), left_id, "left_anti")
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 from pyspark.sql.window import WindowSpec
 
 
@@ -207,3 +208,31 @@ def mask_frames(frames: DataFrame, mask: DataFrame, run: list[str], ordinal: str
     """Frames whose mask is true; a run whose mask and frames differ in number is left out altogether."""
     sizes = frames.groupBy(*run).agg(F.count(F.lit(1)).alias("_f")).join(mask.groupBy(*run).agg(F.count(F.lit(1)).alias("_m")), run).where("_f = _m").select(*run)
     return frames.join(sizes, run, "left_semi").join(mask.where(F.col(ok)).select(*run, ordinal), [*run, ordinal])
+
+
+def placed(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """df with the place of each row (from 0) in the order of the whole table: a range sort, numbers within its partitions, and the counts of the partitions before; no task holds more than a partition."""
+    import numpy as np
+    import pyarrow as pa
+    from pyspark import TaskContext
+
+    from ..plans.storage import scratch
+
+    spark = df.sparkSession
+
+    def number(batches):
+        part, count = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(batch.num_rows, part, np.int32)), pa.array(np.arange(count, count + batch.num_rows))], names=[*batch.schema.names, "_part", "_at"])
+            count += batch.num_rows
+
+    folder = scratch(spark, "placed")
+    kind = StructType([*df.schema.fields, StructField("_part", IntegerType()), StructField("_at", LongType())])
+    df.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order).mapInArrow(number, kind).write.parquet(folder)
+    rows = spark.read.schema(kind).parquet(folder)
+    before, total = [], 0
+    for r in rows.groupBy("_part").count().orderBy("_part").collect():  # a row for each partition
+        before.append((r._part, total))
+        total += r["count"]
+    offsets = spark.createDataFrame(before, "_part int, _before long")
+    return rows.join(F.broadcast(offsets), "_part").withColumn(name, F.col("_at") + F.col("_before")).select(*df.columns, name)

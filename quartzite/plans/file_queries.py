@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import rules, text
-from ..operators import eos, errors, frames, match, pairs, select, series
+from ..operators import descriptors, eos, errors, frames, match, pairs, select, series
 from ..sources import catalog, files, frame_index, ranges, settings, sinks
 from .queries import RUNS, SQL, query, rounded, runs, table
 from .storage import scratch
@@ -118,14 +118,14 @@ def kpoints_scan(spark: SparkSession, d: str) -> DataFrame:
     return out.select(F.regexp_extract("path", r"(\d+)", 1).cast("long").alias("p_partkey"), F.array_join(F.col("grid").cast("array<string>"), "x").alias("grid"), F.col("n").cast("long").alias("n"))
 
 
-@query("SELECT c_nationkey::BIGINT AS nation, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS place, ['Mn', 'O', 'K'][c_custkey % 3 + 1] AS symbol, round(c_custkey % 17 + 0.25, 4) AS zval FROM customer")
+@query("SELECT c_custkey // 50 AS file, row_number() OVER (PARTITION BY c_custkey // 50 ORDER BY c_custkey) - 1 AS place, ['Mn', 'O', 'K'][c_custkey % 3 + 1] AS symbol, round(c_custkey % 17 + 0.25, 4) AS zval FROM customer")
 def potcar_scan(spark: SparkSession, d: str) -> DataFrame:
     """Name and valence of every potential in a file."""
     symbol = F.element_at(F.array(F.lit("Mn"), F.lit("O"), F.lit("K")), (F.col("c_custkey") % 3 + 1).cast("int"))
     entry = F.concat(F.lit(" TITEL  = PAW_PBE "), symbol, F.when(F.col("c_custkey") % 2 == 0, "_pv").otherwise(""), F.lit(" 02Aug2007\n POMASS =   54.938; "), say("ZVAL   =   %.3f    mass\n", F.col("c_custkey") % 17 + 0.25))
-    per = table(spark, d, "customer").groupBy("c_nationkey").agg(F.array_sort(F.collect_list(F.struct("c_custkey", entry.alias("e")))).alias("r"))
-    out = settings.potcar(per.select(say("/n/%d/POTCAR", F.col("c_nationkey")).alias("path"), F.array_join("r.e", "").alias("text")))
-    return out.select(F.regexp_extract("path", r"(\d+)", 1).cast("long").alias("nation"), F.col("place").cast("long").alias("place"), "symbol", F.round("zval", 4).alias("zval"))
+    per = table(spark, d, "customer").groupBy(F.floor(F.col("c_custkey") / 50).alias("file")).agg(F.array_sort(F.collect_list(F.struct("c_custkey", entry.alias("e")))).alias("r"))
+    out = settings.potcar(per.select(say("/n/%d/POTCAR", F.col("file")).alias("path"), F.array_join("r.e", "").alias("text")))
+    return out.select(F.regexp_extract("path", r"(\d+)", 1).cast("long").alias("file"), F.col("place").cast("long").alias("place"), "symbol", F.round("zval", 4).alias("zval"))
 
 
 @query(f"SELECT user_id, i AS place, round(-value, 4) AS e_pot FROM {RUNS}")
@@ -175,18 +175,18 @@ def type_conflicts(spark: SparkSession, d: str) -> DataFrame:
     return out.select("kind", F.array_join("symbols", ",").alias("symbols"))
 
 
-@query("""WITH o AS (SELECT o_orderkey % 40 AS epoch, o_orderkey, o_totalprice AS loss, CASE WHEN o_orderkey % 4 < 3 THEN o_totalprice / 10 - 12000 END AS mse FROM orders),
-t AS (SELECT epoch, max_by(loss, o_orderkey) AS loss, max_by(mse, o_orderkey) AS mse FROM o GROUP BY 1)
-SELECT 'train_loss_epoch' AS metric, epoch, round(loss, 3) AS value FROM t UNION ALL SELECT 'val_mse', epoch, round(mse, 3) FROM t WHERE mse IS NOT NULL
-UNION ALL SELECT 'val_rmse', epoch, round(sqrt(mse), 3) FROM t WHERE mse >= 0""")
+@query("""WITH o AS (SELECT o_custkey // 50 AS run, o_orderkey % 40 AS epoch, o_orderkey, o_totalprice AS loss, CASE WHEN o_orderkey % 4 < 3 THEN o_totalprice / 10 - 12000 END AS mse FROM orders),
+t AS (SELECT run, epoch, max_by(loss, o_orderkey) AS loss, max_by(mse, o_orderkey) AS mse FROM o GROUP BY 1, 2)
+SELECT run, 'train_loss_epoch' AS metric, epoch, round(loss, 3) AS value FROM t UNION ALL SELECT run, 'val_mse', epoch, round(mse, 3) FROM t WHERE mse IS NOT NULL
+UNION ALL SELECT run, 'val_rmse', epoch, round(sqrt(mse), 3) FROM t WHERE mse >= 0""")
 def metrics_scan(spark: SparkSession, d: str) -> DataFrame:
-    """Wide sparse metrics, written as CSV and read as a long table; the last value of an epoch counts, roots of squares are added."""
-    wide = table(spark, d, "orders").select((F.col("o_orderkey") % 40).alias("epoch"), F.col("o_orderkey").alias("step"), F.col("o_totalprice").alias("train_loss_epoch"), F.when(F.col("o_orderkey") % 4 < 3, F.col("o_totalprice") / 10 - 12000).alias("val_mse"))
+    """Wide sparse metrics of each run, written as CSV and read as a long table; the last value of an epoch counts, roots of squares are added."""
+    wide = table(spark, d, "orders").select(F.floor(F.col("o_custkey") / 50).alias("run"), (F.col("o_orderkey") % 40).alias("epoch"), F.col("o_orderkey").alias("step"), F.col("o_totalprice").alias("train_loss_epoch"), F.when(F.col("o_orderkey") % 4 < 3, F.col("o_totalprice") / 10 - 12000).alias("val_mse"))
     path = scratch(spark, "metrics")
-    sinks.write_report(wide.repartition(1).sortWithinPartitions("step"), path, "csv")
-    long = settings.metrics(spark, path)
-    curve = frames.learning_curve(long.where("metric <> 'step'"), ["path"], "epoch", ["row"])
-    return frames.root_metrics(curve).select("metric", "epoch", F.round("value", 3).alias("value"))
+    wide.repartition("run").sortWithinPartitions("run", "step").write.partitionBy("run").option("header", "true").csv(path)
+    long = settings.metrics(spark, path).where("metric NOT IN ('step', 'run')").withColumn("run", F.regexp_extract("path", r"/run=(\d+)/", 1).cast("long"))
+    curve = frames.learning_curve(long, ["run"], "epoch", ["row"])
+    return frames.root_metrics(curve).select("run", "metric", "epoch", F.round("value", 3).alias("value"))
 
 
 @query("SELECT '/pool/s' || (o_custkey % 20) || '.xyz' AS source_file, count(*) AS frames, count(DISTINCT o_orderpriority) AS directories FROM orders GROUP BY 1")
@@ -214,7 +214,7 @@ def active_jobs(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("o_orderkey")
     state = F.element_at(F.array(F.lit("RUNNING"), F.lit("PENDING"), F.lit("COMPLETED")), (k % 3 + 1).cast("int"))
     line = F.when(k % 10 == 0, say("%d|RUNNING|short", k)).otherwise(F.concat(say("%d|", k), state, say("|job|None|1:00|/data/c%d/r%d", F.col("o_custkey") % 30, k)))
-    per = table(spark, d, "orders").groupBy((k % 16).alias("part")).agg(F.concat_ws("\n", F.lit("JOBID|STATE|NAME|REASON|TIME|DIR"), F.array_join(F.collect_list(line), "\n")).alias("text"))
+    per = table(spark, d, "orders").groupBy(F.floor(k / 100).alias("part")).agg(F.concat_ws("\n", F.lit("JOBID|STATE|NAME|REASON|TIME|DIR"), F.array_join(F.collect_list(line), "\n")).alias("text"))
     jobs = frames.active_jobs(settings.scheduler(per), "state", "workdir", ["/data/c1", "/data/c2/"])
     return jobs.select(F.col("id").cast("long").alias("id"), "state", "workdir")
 
@@ -290,18 +290,18 @@ def poscar_scan(spark: SparkSession, d: str) -> DataFrame:
     return per_species(s, F.regexp_extract("comment", r"(\d+)", 1).cast("long"))
 
 
-@query("SELECT p_brand, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS part, p_partkey, round(pow(p_size + 1.0, 3), 3) AS volume, 1 AS n_atoms FROM part")
+@query("SELECT p_partkey // 40 AS file, row_number() OVER (PARTITION BY p_partkey // 40 ORDER BY p_partkey) - 1 AS part, p_partkey, round(pow(p_size + 1.0, 3), 3) AS volume, 1 AS n_atoms FROM part")
 def concatenated_structure_scan(spark: SparkSession, d: str) -> DataFrame:
     """Structures one after the other in a file, with vectors that wrap over lines, volumes for scales and velocities."""
     size, k = F.col("p_size") + 1.0, F.col("p_partkey")
     rows = F.when(k % 3 == 0, say("%.6f 0.0\n0.0 0.0 %.6f 0.0 0.0\n0.0 %.6f", size, size, size)).otherwise(say("%.6f 0.0 0.0\n0.0 %.6f 0.0\n0.0 0.0 %.6f", size, size, size))
     scaled = F.when(k % 3 == 1, F.concat(say("%.6f", -F.pow(size, F.lit(3.0))), F.lit("\n2.0 0.0 0.0\n0.0 2.0 0.0\n0.0 0.0 2.0"))).otherwise(F.concat(F.lit("1.0\n"), rows))
     one = F.concat(say("part %d\n", k), scaled, F.lit("\nMn\n1\nDirect\n0.1 0.2 0.3\n"), F.when(k % 2 == 0, "\n0.0 0.0 0.1\n").otherwise(""))
-    per = table(spark, d, "part").groupBy("p_brand").agg(F.array_sort(F.collect_list(F.struct("p_partkey", one.alias("t")))).alias("r"))
-    s = files.structures_of(per.select(F.col("p_brand").alias("path"), F.array_join("r.t", "").alias("text")))
+    per = table(spark, d, "part").groupBy(F.floor(F.col("p_partkey") / 40).cast("string").alias("file")).agg(F.array_sort(F.collect_list(F.struct("p_partkey", one.alias("t")))).alias("r"))
+    s = files.structures_of(per.select(F.col("file").alias("path"), F.array_join("r.t", "").alias("text")))
     from ..functions.geometry import volume
 
-    return s.select(F.col("path").alias("p_brand"), F.col("part").cast("long").alias("part"), F.regexp_extract("comment", r"(\d+)", 1).cast("long").alias("p_partkey"), F.round(volume(F.col("cell")), 3).alias("volume"), "n_atoms")
+    return s.select(F.col("path").cast("long").alias("file"), F.col("part").cast("long").alias("part"), F.regexp_extract("comment", r"(\d+)", 1).cast("long").alias("p_partkey"), F.round(volume(F.col("cell")), 3).alias("volume"), "n_atoms")
 
 
 @query(PER_SPECIES)
@@ -460,6 +460,35 @@ for _scan in (extxyz_scan, comment_scan, raw_block_scan, xdatcar_scan, outcar_fr
     split_scan(_scan)
 
 
+@query("""WITH a AS (SELECT l_orderkey AS key, row_number() OVER () AS i, round(l_quantity / 100, 6) AS x, round(l_discount, 6) AS y, round(l_tax, 6) AS z FROM lineitem),
+p AS (SELECT a.key, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2)) AS d FROM a JOIN a b ON a.key = b.key AND a.i < b.i),
+n AS (SELECT key, count(*) AS n FROM a GROUP BY 1)
+SELECT key, floor(d / 0.5 * 10)::BIGINT AS bin, round(count(*) / any_value(n), 6) AS share FROM p JOIN n USING (key) WHERE d < 0.5 AND abs(d * 20 - round(d * 20)) > 1e-6 GROUP BY 1, 2""")
+def frame_descriptors(spark: SparkSession, d: str) -> DataFrame:
+    """2.10, T05: distances in every frame, by the descriptor that is registered under that name; distances on the edge of a bin are left out."""
+    a = order_atoms(spark, d)
+    atom = F.transform(F.arrays_zip("names", "coords"), lambda r: F.struct(r["names"].alias("symbol"), r["coords"].alias("pos")))
+    f = a.select(F.lit("p").alias("path"), F.col("key").alias("frame_index"), cell().alias("cell"), F.lit("cartesian").alias("coord_space"), atom.alias("atoms"))
+    rows = descriptors.described(f, "inner_distances", cutoff=0.5, bins=10).select(F.col("frame_index").alias("key"), F.posexplode("vector").alias("bin", "share"))
+    return rows.where("share > 0").select("key", F.col("bin").cast("long").alias("bin"), F.round("share", 6).alias("share"))
+
+
+@descriptors.register("inner_distances")
+def inner_distances(cutoff: float, bins: int) -> descriptors.Descriptor:
+    """Pairs of atoms by their distance, for each atom, without those whose distance can't be told from the edge of a bin."""
+    import numpy as np
+
+    def describe(symbols: list[str], positions: np.ndarray, cell: np.ndarray | None) -> np.ndarray:
+        total = np.zeros(bins)
+        for i in range(len(positions) - 1):
+            place = np.sqrt(((positions[i + 1 :] - positions[i]) ** 2).sum(axis=1)) / cutoff * bins
+            place = place[(place < bins) & (np.abs(place - np.round(place)) > 1e-6)]
+            total += np.bincount(place.astype(np.int64), minlength=bins)
+        return total / max(len(positions), 1)
+
+    return describe
+
+
 # --- discovery ----------------------------------------------------------------------------------------------------
 
 
@@ -588,8 +617,8 @@ def structure_kinds(spark: SparkSession, d: str) -> DataFrame:
 def natural_order(spark: SparkSession, d: str) -> DataFrame:
     """Names whose runs of digits compare as numbers."""
     name = say("V%d/run_%d", F.col("p_size"), F.col("p_partkey") % 1000)
-    rows = table(spark, d, "part").select("p_partkey", text.natural_key(name).alias("k"), F.lit(1).alias("all"))
-    return series.with_ordinal(rows, ["all"], ["k", "p_partkey"], "i").select("p_partkey", (F.col("i") + 1).cast("long").alias("place"))
+    rows = table(spark, d, "part").select("p_partkey", text.natural_key(name).alias("k"))
+    return series.placed(rows, ["k", "p_partkey"], "i").select("p_partkey", (F.col("i") + 1).alias("place"))
 
 
 @query("SELECT s_suppkey, ['Mn', 'O', 'Li', 'none'][s_suppkey % 4 + 1] AS symbol FROM supplier")
@@ -632,7 +661,16 @@ def token_matches(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "part").select("p_partkey", F.upper(F.regexp_extract("p_name", r"^(\w+)", 1)).alias("needle"))
     word = F.element_at(F.array(*map(F.lit, ("small", "red", "blue", "green", "large"))), (F.col("s_suppkey") % 5 + 1).cast("int"))
     s = table(spark, d, "supplier").select("s_suppkey", F.concat(F.lit("x-"), word, F.lit("_"), word, F.lit(" Yx")).alias("hay"))
-    return match.containment(p, s, "p_partkey", "s_suppkey", "needle", "[a-z]+", "hay")
+    return match.shared_tokens(p, s, "p_partkey", "s_suppkey", "needle", "[a-z]+", "hay")
+
+
+@query("""SELECT p_partkey, c_custkey FROM (SELECT p_partkey, lower(p_partkey::VARCHAR || CASE WHEN p_partkey % 2 = 0 THEN 'A' ELSE '' END) AS needle FROM part) JOIN (SELECT c_custkey, c_name || '-x' || (c_custkey * 7919) || 'a' || c_nationkey AS hay FROM customer) ON contains(lower(hay), needle)""")
+def substring_matches(spark: SparkSession, d: str) -> DataFrame:
+    """Rows whose id occurs anywhere in another row's text, inside longer tokens too."""
+    k = F.col("p_partkey")
+    p = table(spark, d, "part").select("p_partkey", F.concat(k.cast("string"), F.when(k % 2 == 0, "A").otherwise("")).alias("needle"))
+    c = table(spark, d, "customer").select("c_custkey", F.concat("c_name", F.lit("-x"), (F.col("c_custkey") * 7919).cast("string"), F.lit("a"), F.col("c_nationkey").cast("string")).alias("hay"))
+    return match.containment(p, c, "p_partkey", "c_custkey", "needle", "hay", block_chars=4096)
 
 
 @query("SELECT event_id, round(json_extract(props, '$.k')::DOUBLE + value, 4) AS total, 9 AS n FROM events")

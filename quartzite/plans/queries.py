@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry, rules, text
-from ..operators import eos, errors, frames, match, motion, pairs, select, series, stats
+from ..operators import eos, errors, fits, frames, match, motion, pairs, select, series, stats
 from ..streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -502,6 +502,14 @@ def velocity_correlation(spark: SparkSession, d: str) -> DataFrame:
     return out.select("lag", F.round("vacf", 3).alias("vacf"), "atoms", F.round("vacf_norm", 6).alias("vacf_norm"))
 
 
+@query(f"SELECT user_id % 5 AS species, round(regr_intercept(value + user_id + 0.5 * i, i), 4) AS a, round(ln(regr_slope(value + user_id + 0.5 * i, i)), 4) AS q, count(*) AS n FROM {RUNS} GROUP BY 1 HAVING regr_slope(value + user_id + 0.5 * i, i) > 0")
+def fitted_models(spark: SparkSession, d: str) -> DataFrame:
+    """2.10, A22: a model of one's own, a + exp(q) i, fitted to the series of each species; a line in another guise, so SQL knows the least squares."""
+    rows = runs(spark, d).select((F.col("user_id") % 5).alias("species"), F.col("i").cast("double").alias("i"), (F.col("value") + F.col("user_id") + 0.5 * F.col("i")).alias("y"))
+    out = fits.fit(rows, ["species"], "i", "y", lambda x, a, q: a + F.exp(q) * x, [F.avg("y"), F.lit(0.0)], ["a", "q"]).where("converged")
+    return out.select("species", F.round("a", 4).alias("a"), F.round("q", 4).alias("q"), "n")
+
+
 @query(f"SELECT a.user_id % 5 AS species, b.i - a.i AS lag, round(avg(a.value * b.value), 3) AS product, count(*) AS n FROM {RUNS} a JOIN {RUNS} b ON a.user_id = b.user_id AND b.i BETWEEN a.i AND a.i + 6 GROUP BY ALL")
 def lagged_products(spark: SparkSession, d: str) -> DataFrame:
     """A14 as an equi-join on exploded ordinals."""
@@ -600,8 +608,8 @@ def binned_neighbours(spark: SparkSession, d: str) -> DataFrame:
 
 
 def eos_points(spark: SparkSession, d: str) -> DataFrame:
-    """Brands as compounds, sizes as volumes, mean prices as energies around an exact curve."""
-    p = table(spark, d, "part").groupBy("p_brand", "p_size").agg(F.avg("p_retailprice").alias("noise"))
+    """Brands as compounds, sizes as volumes, energies on an exact curve."""
+    p = table(spark, d, "part").select("p_brand", "p_size").distinct()
     v = F.col("p_size") + 80.0
     x = F.pow(100.0 / v, F.lit(2.0 / 3.0))
     e = -500.0 + 9 * 100.0 * 0.9 / 16 * (F.pow(x - 1, F.lit(3.0)) * 4.3 + F.pow(x - 1, F.lit(2.0)) * (6 - 4 * x))
@@ -932,10 +940,11 @@ def merged_settings(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").select("o_orderkey", m["K"].alias("source"))
 
 
-@query("SELECT -10.0 + 2.5 * i AS strain, round(pow(1 + (-10.0 + 2.5 * i) / 100, 1.0 / 3.0), 6) AS scale, printf('V_%+05.1f%%', -10.0 + 2.5 * i) AS tag FROM range(9) t(i)")
+@query("SELECT p_partkey, -10.0 + 2.5 * i AS strain, round(pow(1 + (-10.0 + 2.5 * i) / 100, 1.0 / 3.0), 6) AS scale, printf('V_%+05.1f%%', -10.0 + 2.5 * i) AS tag, round((p_size + 80.0) * (1 + (-10.0 + 2.5 * i) / 100), 6) AS volume FROM part, range(9) t(i)")
 def volume_strain_grid(spark: SparkSession, d: str) -> DataFrame:
-    """F10."""
-    return rounded(eos.strain_grid(spark, -10.0, 10.0, 9), 6)
+    """nine strained volumes of every structure."""
+    p = table(spark, d, "part").select("p_partkey", (F.col("p_size") + 80.0).alias("volume"))
+    return rounded(eos.strain_grid(p, "volume", -10.0, 10.0, 9), 6)
 
 
 def cells(p: DataFrame) -> Column:

@@ -249,3 +249,32 @@ def test_running_sum_over_blocks(spark):
     df = spark.range(1000).select(F.lit(1).alias("run"), F.col("id").alias("i"))
     out = series.running_sum(df, ["run"], "i", F.col("i").cast("double"), "s", block=64)
     assert out.where("s <> i * (i + 1) / 2").count() == 0 and out.count() == 1000
+
+
+def test_uniform_sample_is_the_smallest_hashes(spark):
+    from pyspark.sql import functions as F
+
+    from quartzite.operators import select
+
+    df = spark.range(500).repartition(7)
+    hashes = {r.id: r.h for r in df.select("id", F.xxhash64(F.lit(9), "id").alias("h")).collect()}
+    got = {r.id for r in select.uniform_sample(df, 40, ["id"], seed=9).collect()}
+    assert got == set(sorted(hashes, key=lambda k: (hashes[k], k))[:40]) and select.uniform_sample(df, 900, ["id"]).count() == 500
+
+
+def test_places_of_a_whole_table(spark):
+    from quartzite.operators import series
+
+    rows = [(i * 7919 % 1000, i % 3) for i in range(1000)] + [(5, 9), (None, 1)]
+    df = spark.createDataFrame(rows, "a long, b long").repartition(6)
+    got = {(r.a, r.b): r.place for r in series.placed(df, ["a", "b"], "place").collect()}
+    assert got == {k: i for i, k in enumerate(sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1])))}
+    assert series.placed(df.limit(0), ["a"], "place").count() == 0
+
+
+def test_error_stats(spark):
+    from quartzite.operators import errors
+
+    rows = [("a", 1.0, 1.5), ("a", 2.0, 1.0), ("b", 0.0, 0.0)]
+    out = {r.k: r for r in errors.error_stats(spark.createDataFrame(rows, "k string, ref double, pred double").repartition(3), ["k"], "ref", "pred").collect()}
+    assert out["a"].mae == 0.75 and abs(out["a"].rmse - 0.625**0.5) < 1e-12 and out["b"].rmse == 0

@@ -273,3 +273,10 @@ def test_bounds_of_frames_reach_the_scan():
     assert pushed(In(at, (3, 8))) == (3, "6")
     assert pushed(LessThanOrEqual(at, 2), skip="5", limit="9") == (5, "0")
     assert pushed(EqualTo(("path",), "x")) == (0, None)
+
+
+def test_sizes_of_images(spark, tmp_path):
+    (tmp_path / "a.png").write_bytes(bytes.fromhex("89504E470D0A1A0A0000000D49484452") + (640).to_bytes(4, "big") + (480).to_bytes(4, "big") + b"\x08\x06")
+    (tmp_path / "b.png").write_bytes(b"no image")
+    out = {r.path.rsplit("/", 1)[-1]: (r.width, r.height, r.alpha) for r in settings.png_sizes(spark, str(tmp_path)).collect()}
+    assert out == {"a.png": (640, 480, True), "b.png": (None, None, None)}
