@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialise
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Rules that may be broadcast: at 100 bytes each under 100 MB.
 BROADCAST_RULES = 1_000_000
@@ -73,7 +75,8 @@ def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col:
             test = test & (at[f"w{i}"].bitwiseAND(bit) != 0)
         return F.coalesce(test, F.lit(False))
 
-    rows = rows.select("page_id", "host", "path", F.array_distinct(F.filter(keys, may_hold)).alias("keys"))
+    # Written once: pages are scanned, and their keys built and tested, one time for those that pass and those that meet the rules.
+    rows = materialise(rows.select("page_id", "host", "path", F.array_distinct(F.filter(keys, may_hold)).alias("keys")), "candidates")
     passed = rows.where(F.size("keys") == 0).select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
     # A null first entry stands for the page itself, so that rows can be counted.
     rows = rows.where(F.size("keys") > 0).select("page_id", "host", "path", F.explode(F.concat(F.array(F.lit(None).cast("string")), "keys")).alias("key"))
