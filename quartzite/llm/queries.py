@@ -100,7 +100,13 @@ def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-_ALL = (op1_decontaminate, op2_language_id, op3_exact_dedup, op4_line_dedup, op5_jaccard_join, op6_substring_dedup, op7_url_filter, op8_packing, op9_quality, op10_suffix_array_dedup, op11_merkle_manifest, op12_fingerprints, op13_ranked_search)
+def known_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The form of operator 6 with a reference of its own: passages of eight words of the benchmark leave the documents."""
+    out = substring_dedup.remove_known(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=8)
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+_ALL = (op1_decontaminate, op2_language_id, op3_exact_dedup, op4_line_dedup, op5_jaccard_join, op6_substring_dedup, op7_url_filter, op8_packing, op9_quality, op10_suffix_array_dedup, op11_merkle_manifest, op12_fingerprints, op13_ranked_search, known_passages)
 QUERIES = {f.__name__: f for f in _ALL}
 
 UPPER, LOWER = url_filter.UPPER, url_filter.LOWER
@@ -164,6 +170,15 @@ SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, m.component_id
 FROM w LEFT JOIN n USING (doc_id) JOIN (SELECT x AS doc_id, min(y) AS component_id FROM r GROUP BY x) m USING (doc_id)""",
     "op6_substring_dedup": _repeats_sql(20),
     "op10_suffix_array_dedup": _repeats_sql(50),
+    "known_passages": """
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+b AS (SELECT regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM benchmark),
+p AS (SELECT DISTINCT array_to_string(list_slice(ws, i, i + 7), ' ') AS g FROM (SELECT ws, unnest(range(1, len(ws) - 6)) AS i FROM b WHERE len(ws) >= 8)),
+g AS (SELECT doc_id, i, array_to_string(list_slice(ws, i, i + 7), ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 6)) AS i FROM w WHERE len(ws) >= 8)),
+c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 8)) AS j FROM g SEMI JOIN p USING (g)),
+k AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS j FROM w),
+r AS (SELECT k.doc_id, count(c.j) AS removed, string_agg(word, ' ' ORDER BY k.j) FILTER (c.j IS NULL) AS kept FROM k LEFT JOIN c ON k.doc_id = c.doc_id AND k.j = c.j GROUP BY k.doc_id)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN r USING (doc_id)""",
     "op7_url_filter": f"""
 WITH u AS (SELECT page_id, CASE WHEN url LIKE '%://%' THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS r FROM pages),
 v AS (SELECT page_id, regexp_extract(r, '^([^?#]*)', 1) AS b FROM u),

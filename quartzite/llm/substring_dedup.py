@@ -4,7 +4,8 @@ Documents are streamed through suffix automata of reference shards; after each w
 longest suffix that the shard has, and spans whose statistic reaches the threshold are removed. There are two forms.
 
 `remove_known` takes a reference of its own (licences, boilerplate, a test set). Shards of SHARD_WORDS words are built into automata
-by tasks, and broadcast one after the other; each is one more pass over the documents, which carry the spans found so far.
+by tasks, written, and broadcast one after the other; each is one more pass over the documents, which carry the spans found so far,
+and the table of the pass before is deleted.
 
 `deduplicate_substrings` takes the corpus as its own reference, in which every text counts for those after it. That can't be
 broadcast: the automata of a corpus are larger than it is, and every shard would meet every document, work that grows with the
@@ -19,6 +20,8 @@ gives no rows; only id and text are read.
 
 from __future__ import annotations
 
+import pickle
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, materialise, text_slices, word_lists
+from .common import bounded_batches, discard, materialise, shuffle_partitions, text_slices, word_lists
 from .repeats import GRAM, GROUP, cut_repeats
 
 WINDOW = 20
@@ -38,9 +41,13 @@ SHARD_WORDS = 200_000
 class SuffixAutomaton:
     """A suffix automaton of several sequences, extended a symbol at a time."""
 
-    def __init__(self):
-        self.next: list[dict] = [{}]
-        self.link, self.length = [-1], [0]
+    def __init__(self, following: list[dict] | None = None, link: list[int] | None = None, length: list[int] | None = None):
+        self.next: list[dict] = following or [{}]
+        self.link, self.length = link or [-1], length or [0]
+
+    def packed(self) -> bytes:
+        """What another process makes the same automaton from."""
+        return pickle.dumps((self.next, self.link, self.length))
 
     def _copy(self, p: int, c, q: int) -> int:
         """A copy of q for the suffixes that end in state p and then c."""
@@ -139,6 +146,29 @@ def automaton_of(texts: list[list[str]]) -> SuffixAutomaton:
     return automaton
 
 
+def automata(reference: DataFrame, text_col: str, window: int, words: int) -> DataFrame:
+    """automaton: the pickled suffix automaton of each shard of a reference, built by tasks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for texts in batch.column("texts"):
+                yield pa.RecordBatch.from_pydict({"automaton": pa.array([automaton_of(texts.as_py()).packed()], pa.binary())})
+
+    pieces = materialise(shards(reference, text_col, window, words), "shards")
+    return materialise(pieces.repartition(shuffle_partitions(reference.sparkSession)).mapInArrow(run, "automaton binary"), "automata")
+
+
+#: The automaton that a worker process has at hand, with its name.
+_LOADED: dict[str, SuffixAutomaton] = {}
+
+
+def loaded(name: str, raw: bytes) -> SuffixAutomaton:
+    if name not in _LOADED:
+        _LOADED.clear()
+        _LOADED[name] = SuffixAutomaton(*pickle.loads(raw))
+    return _LOADED[name]
+
+
 def remove_known(docs: DataFrame, reference: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", reference_text: str = "text", shard_words: int = SHARD_WORDS) -> DataFrame:
     """Remove from each document every word of a maximal span of at least `window` words that a reference text holds: doc_id, n_words, n_removed, text (of the kept words, joined by one space).
 
@@ -150,9 +180,9 @@ def remove_known(docs: DataFrame, reference: DataFrame, window: int = WINDOW, id
     out = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.array().cast(spans).alias("spans"))
     schema = out.schema
 
-    def found(held) -> DataFrame:
+    def found(held, name: str) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            automaton = held.value
+            automaton = loaded(name, held.value)
             for part in text_slices(batches):
                 offsets, flat = word_lists(part.column("text"), lower=False)
                 words, rows = flat.to_pylist(), []
@@ -168,10 +198,14 @@ def remove_known(docs: DataFrame, reference: DataFrame, window: int = WINDOW, id
 
         return out.mapInArrow(run, schema)
 
-    for row in materialise(shards(reference, reference_text, window, shard_words), "shards").toLocalIterator():
-        held = spark.sparkContext.broadcast(automaton_of(row.texts))
-        out = materialise(found(held), "known")
+    before = None
+    for row in automata(reference, reference_text, window, shard_words).toLocalIterator():  # one automaton of bounded size at a time
+        held = spark.sparkContext.broadcast(bytes(row.automaton))
+        out = materialise(found(held, uuid.uuid4().hex), "known")
         held.unpersist()
+        if before is not None:
+            discard(before)
+        before = out
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches):
