@@ -1,8 +1,8 @@
 """Pairs of atoms of one frame under periodic boundaries.
 
-A frame's cell is cut into bins as wide as the cut-off at least. Each atom is sent to its own and the neighbouring bins, across
-the cell's faces too, and the join is on (frame, bin): work grows with the number of near pairs, and a large frame is many keys.
-A cell that is less than three bins wide has as many neighbours as bins, so nothing is sent twice.
+A frame's cell is cut into bins as wide as the cut-off at least. Each atom is sent to its own bin and to one of each two opposite
+neighbours, across the cell's faces too, and the join is on (frame, bin): work grows with the number of near pairs, and a large frame is many keys.
+In a cell that is less than three bins wide opposite neighbours may be the same, so an atom is sent to all bins around, to each once.
 """
 
 from __future__ import annotations
@@ -27,13 +27,21 @@ def frame_pairs(atoms: DataFrame, frame: list[str], cutoff: float, exact: bool =
     placed = atoms.where(F.col(cell).isNotNull() & F.col(frac).isNotNull()).withColumn("_n", bins)
     placed = placed.withColumn("_at", F.zip_with(F.col(frac), "_n", lambda x, n: F.pmod(F.floor(x * n).cast("long"), n)))
     number = lambda at, n: (at[0] * n[1] + at[1]) * n[2] + at[2]
-    moves = F.array(*[F.array(*[F.lit(d).cast("long") for d in move]) for move in _moves(3)])
-    around = F.array_distinct(F.transform(moves, lambda m: number([F.pmod(F.col("_at")[k] + m[k], F.col("_n")[k]) for k in range(3)], F.col("_n"))))
-    a = placed.select(*frame, F.col(idx).alias("i"), F.col(symbol).alias("symbol_i"), F.col(frac).alias("_a"), F.col(cell).alias("_cell"), F.explode(around).alias("_bin"))
-    b = placed.select(*frame, F.col(idx).alias("j"), F.col(symbol).alias("symbol_j"), F.col(frac).alias("_b"), number(F.col("_at"), F.col("_n")).alias("_bin"))
+    steps = lambda moves: F.array(*[F.array(*[F.lit(d).cast("long") for d in move]) for move in moves])
+    near = lambda moves: F.transform(steps(moves), lambda m: number([F.pmod(F.col("_at")[k] + m[k], F.col("_n")[k]) for k in range(3)], F.col("_n")))
+    wide = F.array_min("_n") >= 3
+    placed = placed.withColumn("_home", number(F.col("_at"), F.col("_n"))).withColumn("_wide", wide)
+    # Bins around a bin come in opposite pairs, so in a cell that is three bins wide one of each pair finds all; in a narrower one the two may be the same.
+    one_way = [m for m in _moves(3) if m >= (0, 0, 0)]
+    around = F.when(F.aggregate("_n", F.lit(1).cast("long"), lambda x, n: x * n) == 1, F.array(F.lit(0).cast("long"))).when(F.col("_wide"), near(one_way)).otherwise(F.array_distinct(near(_moves(3))))
+    a = placed.select(*frame, F.col(idx).alias("i"), F.col(symbol).alias("symbol_i"), F.col(frac).alias("_a"), F.col(cell).alias("_cell"), "_home", "_wide", F.explode(around).alias("_bin"))
+    b = placed.select(*frame, F.col(idx).alias("j"), F.col(symbol).alias("symbol_j"), F.col(frac).alias("_b"), F.col("_home").alias("_bin"))
     measure = exact_image_distance if exact else image_distance
-    pairs = a.join(b, [*frame, "_bin"]).where("i < j").drop("_bin")
-    return pairs.withColumn("distance", measure(F.col("_a"), F.col("_b"), F.col("_cell"))).where(F.col("distance") < cutoff).drop("_a", "_b", "_cell")
+    met = a.join(b, [*frame, "_bin"]).where((F.col("i") < F.col("j")) | (F.col("_wide") & (F.col("_bin") != F.col("_home"))))
+    met = met.withColumn("distance", measure(F.col("_a"), F.col("_b"), F.col("_cell"))).where(F.col("distance") < cutoff)
+    turned = F.col("i") > F.col("j")
+    pick = lambda x, y, name: F.when(turned, F.col(y)).otherwise(F.col(x)).alias(name)
+    return met.select(*frame, pick("i", "j", "i"), pick("symbol_i", "symbol_j", "symbol_i"), pick("j", "i", "j"), pick("symbol_j", "symbol_i", "symbol_j"), "distance")
 
 
 def binned_pairs(points: DataFrame, frame: list[str], cutoff: float, axes: list[str], idx: str = "idx") -> DataFrame:
