@@ -27,23 +27,21 @@ def whole_files(spark: SparkSession, path: str | list[str], pattern: str | None
     return reader.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
-def lines(spark: SparkSession, path: str | list[str], pattern: str | None = None) -> DataFrame:
-    """path, line_no (from 0), line."""
-    return whole_files(spark, path, pattern).select("path", F.posexplode(F.split("text", r"\r?\n")).alias("line_no", "line"))
-
-
-def parsed(files: DataFrame, grammar: Callable[[str, str], Iterator[dict]], ddl: str) -> DataFrame:
-    """Rows that a grammar (path, text) -> dicts finds in each file; a file that it can't read gives none, see unreadable."""
-    kind = StructType.fromDDL(ddl)
+def parsed(files: DataFrame, grammar: Callable[[str, str], Iterator[dict]], ddl: str, error: str | None = None) -> DataFrame:
+    """Rows that a grammar (path, text) -> dicts finds in each file. A file that it can't read gives none; with `error`, the name of one more column, it gives a row of its path and what is wrong."""
+    kind = StructType.fromDDL(ddl + (f", `{error}` string" if error else ""))
+    arrow = to_arrow_schema(kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        arrow = to_arrow_schema(kind)
         for batch in batches:
             for path, text in zip(batch.column("path").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                wrong = "nothing found"
                 try:
                     rows = [{"path": path} | r for r in grammar(path, text)]
-                except (ValueError, IndexError, KeyError):
-                    rows = []
+                except (ValueError, IndexError, KeyError) as e:
+                    rows, wrong = [], f"{type(e).__name__}: {e}"
+                if error and not rows:
+                    rows = [{"path": path, error: wrong}]
                 yield from pa.Table.from_pylist(rows, schema=arrow).to_batches(max_chunksize=256)
 
     return files.mapInArrow(run, kind)
@@ -51,20 +49,7 @@ def parsed(files: DataFrame, grammar: Callable[[str, str], Iterator[dict]], ddl:
 
 def unreadable(files: DataFrame, grammar: Callable[[str, str], Iterator[dict]]) -> DataFrame:
     """path, error of the files in which a grammar finds nothing: what it says is wrong, or that there is nothing."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            bad = []
-            for path, text in zip(batch.column("path").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                try:
-                    error = None if any(True for _ in grammar(path, text)) else "nothing found"
-                except (ValueError, IndexError, KeyError) as e:
-                    error = f"{type(e).__name__}: {e}"
-                if error:
-                    bad.append({"path": path, "error": error})
-            yield pa.RecordBatch.from_pylist(bad, schema=pa.schema([("path", pa.string()), ("error", pa.string())]))
-
-    return files.mapInArrow(run, "path string, error string")
+    return parsed(files, lambda path, text: ({} for _ in grammar(path, text)), "path string", "error").where("error IS NOT NULL")
 
 
 def structure_grammars() -> dict[str, Callable[[str, str], Iterator[dict]]]:
@@ -80,9 +65,9 @@ def structure_grammars() -> dict[str, Callable[[str, str], Iterator[dict]]]:
     }
 
 
-def structures_of(files: DataFrame, grammar: str = "poscar") -> DataFrame:
-    """schema.STRUCTURE of path and text."""
-    return parsed(files, structure_grammars()[grammar], schema.STRUCTURE)
+def structures_of(files: DataFrame, grammar: str = "poscar", error: str | None = None) -> DataFrame:
+    """schema.STRUCTURE of path and text; with `error`, files that can't be read have a row that tells why."""
+    return parsed(files, structure_grammars()[grammar], schema.STRUCTURE, error)
 
 
 def read_structures(spark: SparkSession, path: str | list[str], pattern: str | None = None, grammar: str | None = None) -> DataFrame:

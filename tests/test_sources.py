@@ -280,3 +280,31 @@ def test_sizes_of_images(spark, tmp_path):
     (tmp_path / "b.png").write_bytes(b"no image")
     out = {r.path.rsplit("/", 1)[-1]: (r.width, r.height, r.alpha) for r in settings.png_sizes(spark, str(tmp_path)).collect()}
     assert out == {"a.png": (640, 480, True), "b.png": (None, None, None)}
+
+
+def test_errors_come_with_the_rows(spark, tree):
+    texts = spark.createDataFrame([("good", POSCAR), ("bad", POSCAR.replace("1 1 2", "1 x 2")), ("none", "")], "path string, text string")
+    out = {r.path: (r.n_atoms, r.why is None) for r in files.structures_of(texts, error="why").collect()}
+    assert out["good"] == (4, True) and out["bad"] == (None, False) and out["none"] == (None, False)
+    assert files.structures_of(texts).count() == 1
+
+
+def test_frame_writer(spark, tmp_path):
+    """A file for each key in frame order; a job that fails leaves no file, and one that is given again replaces them."""
+    from quartzite.sources import frame_writer
+
+    rows = [(f"run/{k % 5}", i, 1.0 + i, ["H", "O"]) for k in range(5) for i in range(20)]
+    df = spark.createDataFrame(rows, "run string, frame long, x double, names array<string>").repartition(7)
+    coords = F.array(F.array("x", F.lit(0.0), F.lit(0.0)), F.array(F.lit(1.0), "x", F.lit(2.0)))
+    text = df.withColumn("text", sinks.extxyz_text(F.col("names"), coords, F.array(*[F.lit(float(x)) for x in (9, 0, 0, 0, 9, 0, 0, 0, 9)])))
+    path = str(tmp_path / "out")
+    for _ in range(2):
+        frame_writer.write_frames(text, path, "run", ["frame"], "text")
+        assert sorted(p.name for p in (tmp_path / "out").iterdir()) == [f"run%2F{k}.xyz" for k in range(5)]
+    back = files.read_trajectories(spark, path, "extxyz").collect()
+    assert sorted((r.path[-9:-4], r.frame_index, r.atoms[0].pos[0]) for r in back) == sorted((f"n%2F{k}", i, 1.0 + i) for k in range(5) for i in range(20))
+    broken = text.withColumn("text", F.when((F.col("run") == "run/3") & (F.col("frame") == 15), F.raise_error(F.lit("lost")).cast("string")).otherwise(F.col("text")))
+    for bad, why in ((broken, "lost"), (text.withColumn("run", F.nullif(F.col("run"), F.lit("run/1"))), "without a key")):
+        with pytest.raises(Exception, match=why):
+            frame_writer.write_frames(bad, str(tmp_path / why[:4]), "run", ["frame"], "text")
+        assert not (tmp_path / why[:4]).exists() or not list((tmp_path / why[:4]).iterdir())
