@@ -154,6 +154,74 @@ def per_atom_lags(df: DataFrame, run: list[str], atom: list[str], by: list[str],
     return summed.groupBy(*group, F.col("_lag").alias("lag")).agg((F.sum("_total") / F.sum("_n")).alias(name), F.sum("_n").alias("atoms"))
 
 
+def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each lag from -(len(a) - 1) to len(b) - 1 the sum over i of a[i] * b[i + lag], summed over columns."""
+    n = len(a) + len(b) - 1
+    size = 1 << (n - 1).bit_length()
+    f = np.fft.irfft(np.conj(np.fft.rfft(a, size, axis=0)) * np.fft.rfft(b, size, axis=0), size, axis=0).sum(axis=1)
+    return np.concatenate([f[size - len(a) + 1 :], f[: len(b)]])
+
+
+def square_gaps(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """As products, of |b[i + lag] - a[i]| squared."""
+    square = lambda x: (x * x).sum(axis=1, keepdims=True)
+    return products(np.ones((len(a), 1)), square(b)) + products(square(a), np.ones((len(b), 1))) - 2 * products(a, b)
+
+
+def blocked_lags(df: DataFrame, run: list[str], atom: list[str], by: list[str], ordinal: str, axes: list[str], block: int, name: str, kernel: Callable[[np.ndarray, np.ndarray], np.ndarray] = products, most: int | None = None) -> DataFrame:
+    """What per_atom_lags gives, for series of any length: by, lag, the mean over atoms, atoms; all lags, or those up to `most`.
+
+    ordinal counts from 0 without gaps. A series is cut into blocks, a row each, which meet the blocks behind them as far as lags reach; a task holds two blocks
+    at a time and sums by lag, each divided by the number of origins of its series, so sums of all pairs of blocks and atoms can be merged in any order.
+    """
+    group = list(dict.fromkeys([*run, *by]))
+    keys = list(dict.fromkeys([*run, *atom, *by]))
+    values = F.struct(F.col(ordinal).cast("long").alias("i"), F.array(*[F.col(a).cast("double") for a in axes]).alias("x"))
+    rows = df.select(*keys, F.floor(F.col(ordinal) / block).cast("long").alias("_b"), values.alias("_v"))
+    blocks = rows.groupBy(*keys, "_b").agg(F.array_sort(F.collect_list("_v")).alias("_v")).select(*keys, "_b", F.col("_v.x").alias("_x"))  # `block` rows at most
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"))
+    last = F.floor((F.col("_size") - 1) / block) - F.col("_b")
+    reach = last if most is None else F.least(last, F.lit(-(-(most + block) // block)))
+    one = blocks.join(sizes, keys) if keys else blocks.withColumn("_size", sizes.select("_size").scalar())
+    one = one.withColumn("_ahead", F.explode(F.sequence(F.lit(0).cast("long"), reach.cast("long")))).withColumnRenamed("_x", "_a").withColumn("_to", F.col("_b") + F.col("_ahead"))
+    pairs = one.join(blocks.select(*keys, F.col("_b").alias("_to"), F.col("_x").alias("_c")), [*keys, "_to"])
+    types = [to_arrow_type(df.schema[c].dataType) for c in group]
+    ddl = ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in group), "_from long, _total array<double>, _n array<long>"])
+
+    def run_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple, tuple[np.ndarray, np.ndarray]] = {}
+
+        def emitted() -> pa.RecordBatch:
+            columns = [pa.array([k[0][i] for k in sums], t) for i, t in enumerate(types)]
+            return pa.RecordBatch.from_arrays([*columns, pa.array([k[1] for k in sums], pa.int64()), pa.array([v for v, _ in sums.values()], pa.list_(pa.float64())), pa.array([n for _, n in sums.values()], pa.list_(pa.int64()))], names=[*group, "_from", "_total", "_n"])
+
+        for batch in batches:
+            for r in range(batch.num_rows):
+                at = lambda c: batch.column(c)[r]  # noqa: E731, B023
+                a, c = (np.stack(at(x).values.to_numpy(zero_copy_only=False)) for x in ("_a", "_c"))
+                size, ahead, first = at("_size").as_py(), at("_ahead").as_py(), at("_b").as_py() == 0
+                start = ahead * block - (block - 1)
+                found = np.zeros(2 * block - 1)
+                own = kernel(a, c)
+                found[block - len(a) : block - len(a) + len(own)] = own
+                lags = start + np.arange(2 * block - 1)
+                good = (lags >= 0) & (lags < size) & (lags <= (size if most is None else most))
+                found = np.where(good, found / np.maximum(size - lags, 1), 0.0)
+                n = (good & first & (lags >= ahead * block)).astype(np.int64)  # the origin 0 of an atom has each lag once
+                key = tuple(at(x).as_py() for x in group), start
+                total, seen = sums.get(key, (0.0, 0))
+                sums[key] = total + found, seen + n
+            if len(sums) * block > LAGS_HELD:
+                yield emitted()
+                sums.clear()
+        if sums:
+            yield emitted()
+
+    merged = pairs.mapInArrow(run_all, ddl).select(*group, "_from", F.posexplode(F.arrays_zip("_total", "_n")).alias("_k", "_z"))
+    out = merged.groupBy(*group, (F.col("_from") + F.col("_k")).alias("lag")).agg((F.sum("_z._total") / F.sum("_z._n")).alias(name), F.sum("_z._n").alias("atoms"))
+    return out.where("atoms > 0")
+
+
 def msd_all_origins(df: DataFrame, run: list[str], atom: list[str], by: list[str], ordinal: str, axes: list[str]) -> DataFrame:
     """msd at every lag of the series: lag_limit is a rule for correlations."""
     return per_atom_lags(df, run, atom, by, ordinal, axes, displacement_all_origins, "msd", lambda n: n)

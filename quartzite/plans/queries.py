@@ -495,6 +495,12 @@ def vacf_every_lag(spark: SparkSession, d: str) -> DataFrame:
     return rounded(motion.per_atom_lags(runs(spark, d), [], ["user_id"], [], "i", ["value"], motion.autocorrelation, "vacf", lambda n: n), 3)
 
 
+@query(f"SELECT lag, round(avg(v), 3) AS vacf, count(*) AS atoms FROM {PRODUCTS} GROUP BY 1")
+def vacf_in_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """The same for series that no task could hold, in blocks of sixteen rows."""
+    return rounded(motion.blocked_lags(runs(spark, d), [], ["user_id"], [], "i", ["value"], 16, "vacf"), 3)
+
+
 @query(f"WITH c AS (SELECT l.lag, avg(v) AS c, count(*) AS atoms FROM {PRODUCTS} l JOIN (SELECT user_id, count(*) AS n FROM events GROUP BY 1) USING (user_id) WHERE l.lag < least(n, greatest(256, n // 2)) GROUP BY 1) SELECT lag, round(c, 3) AS vacf, atoms, round(c / (SELECT c FROM c WHERE lag = 0), 6) AS vacf_norm FROM c")
 def velocity_correlation(spark: SparkSession, d: str) -> DataFrame:
     """For all lags that the operator keeps, with the values relative to lag 0."""

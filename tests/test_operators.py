@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from quartzite.functions import geometry, rules, text
@@ -278,3 +279,22 @@ def test_error_stats(spark):
     rows = [("a", 1.0, 1.5), ("a", 2.0, 1.0), ("b", 0.0, 0.0)]
     out = {r.k: r for r in errors.error_stats(spark.createDataFrame(rows, "k string, ref double, pred double").repartition(3), ["k"], "ref", "pred").collect()}
     assert out["a"].mae == 0.75 and abs(out["a"].rmse - 0.625**0.5) < 1e-12 and out["b"].rmse == 0
+
+
+@pytest.mark.parametrize("block", [1, 4, 7, 100])
+def test_lags_in_blocks(spark, block):
+    """Any length of blocks gives what the kernels over whole series give, for products and displacements, of series of unequal length."""
+    import random
+
+    from quartzite.operators import motion
+
+    rng = random.Random(block)
+    rows = [(f"r{a % 2}", a, i, rng.gauss(0, 1), rng.gauss(0, 2)) for a, n in enumerate((1, 5, 23, 30, 8)) for i in range(n)]
+    df = spark.createDataFrame(rows, "run string, atom long, i long, x double, y double").repartition(3)
+    for kernel, whole in ((motion.products, motion.autocorrelation), (motion.square_gaps, motion.displacement_all_origins)):
+        for by in (["run"], []):
+            expected = {(*[r[c] for c in by], r.lag): (r.v, r.atoms) for r in motion.per_atom_lags(df, by, ["run", "atom"], [], "i", ["x", "y"], whole, "v", lambda n: n).collect()}
+            got = {(*[r[c] for c in by], r.lag): (r.v, r.atoms) for r in motion.blocked_lags(df, by, ["run", "atom"], [], "i", ["x", "y"], block, "v", kernel).collect()}
+            assert set(got) == set(expected) and all(got[k] == pytest.approx(expected[k], abs=1e-9) for k in got)
+    few = motion.blocked_lags(df, ["run"], ["atom"], [], "i", ["x"], block, "v", most=9)
+    assert few.agg({"lag": "max"}).first()[0] == 9
