@@ -308,3 +308,22 @@ def test_frame_writer(spark, tmp_path):
         with pytest.raises(Exception, match=why):
             frame_writer.write_frames(bad, str(tmp_path / why[:4]), "run", ["frame"], "text")
         assert not (tmp_path / why[:4]).exists() or not list((tmp_path / why[:4]).iterdir())
+
+
+def test_files_are_copied_and_moved(spark, tmp_path):
+    """Nothing is written over; a plan that is run again finds its work done."""
+    from quartzite.sources import moves
+
+    for name in ("a", "b", "c"):
+        (tmp_path / name).write_text(name * 5)
+    (tmp_path / "taken").write_text("other")
+    p = lambda *names: tuple(str(tmp_path / n) if n else None for n in names)
+    plan = spark.createDataFrame([p("a", "x/a"), p("b", "taken"), p("gone", "x/gone"), p("c", "x/both"), p("b", "x/both"), p("c", None), p("a", "x/a")], "source string, target string")
+    run = lambda plan, move=False: {(r.source.rsplit("/", 1)[-1], (r.target or "").rsplit("/", 1)[-1]): r.status for r in moves.transfer(plan, move).collect()}
+    expected = {("a", "a"): "done", ("b", "taken"): "exists", ("gone", "gone"): "missing", ("b", "both"): "done", ("c", "both"): "exists", ("c", ""): "missing"}
+    assert run(plan) == expected and run(plan) == expected and (tmp_path / "a").exists()
+    moved = spark.createDataFrame([p("a", "x/a"), p("c", "y/c"), p("b", "taken")], "source string, target string")
+    for _ in range(2):
+        assert run(moved, True) == {("a", "a"): "done", ("c", "c"): "done", ("b", "taken"): "exists"}
+    assert [(tmp_path / n).exists() for n in "abc"] == [False, True, False]
+    assert [(tmp_path / n).read_text() for n in ("x/a", "y/c", "x/both", "taken")] == ["aaaaa", "ccccc", "bbbbb", "other"] and not list(tmp_path.glob("*/*.part"))
