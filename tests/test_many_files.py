@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from quartzite.sources import files, ranges, sinks
+from quartzite.sources import files, frame_index, ranges, sinks
 
 FRAME = "1\nLattice=\"1 0 0 0 1 0 0 0 1\"\nH 0 0 0\n"
 
@@ -43,3 +43,20 @@ def test_listing_is_that_of_spark(spark, tmp_path):
             assert sorted(got) == sorted((p, a, b) for p in expected for a, b in ((0, 6), (6, 10)))
     (tmp_path / "none").mkdir()
     assert ranges.file_ranges(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_checksums_are_no_frames(spark, tmp_path):
+    """Bytes of a hidden file that look like a frame aren't counted; a count behind a NUL is one, and a huge one takes what there is."""
+    (tmp_path / "a.xyz").write_text(FRAME)
+    (tmp_path / ".a.xyz.crc").write_bytes(b"crc\n2\nrun_id=x\n\xff\n")
+    (tmp_path / "b.xyz").write_bytes(b"\0" + FRAME.encode() + b"99999999999999\ncut\nH 0 0 0\n")
+    for read in (files.read_trajectories, frame_index.read_split):
+        got = sorted((r.path[-5:], r.frame_index, r.n_atoms) for r in read(spark, str(tmp_path), "extxyz").collect())
+        assert got == [("a.xyz", 0, 1), ("b.xyz", 0, 1)]
+
+
+def test_small_ranges_share_tasks(spark, tmp_path):
+    (tmp_path / "a.xyz").write_text(FRAME * 3000)
+    index = frame_index.frame_index(spark, str(tmp_path), "extxyz", range_bytes=512)
+    found = frame_index.indexed_frames(index, "extxyz", range_bytes=512)
+    assert found.rdd.getNumPartitions() <= 16 and found.count() == 3000
