@@ -20,6 +20,8 @@ from pyspark.sql.types import StructType
 from ..plans.storage import scratch
 
 Model = Callable[..., Column]
+#: Relative rounding of a sum of squares.
+ROUNDING = 1e-12
 STATE = "point array<double>, best array<double>, sse double, jtj array<double>, jtr array<double>, damping double, rounds int, done boolean, n long"
 
 
@@ -57,7 +59,8 @@ def advance(state: dict, seen: dict, lower: np.ndarray, upper: np.ndarray, toler
     point, best, damping, rounds = np.array(state["point"]), state["best"], state["damping"], state["rounds"] + 1
     sse = seen["sse"] if seen["sse"] is not None and np.isfinite([seen["sse"], *seen["jtj"], *seen["jtr"]]).all() else np.inf
     state, was = dict(state), state["sse"]
-    accepted = np.isfinite(sse) and (best is None or sse <= was)
+    # Sums of squares can't tell points apart that are closer than this; the gradient, which gives the step, can.
+    accepted = np.isfinite(sse) and (best is None or sse <= was * (1 + ROUNDING))
     small = False
     if accepted:
         moved = 1.0 if best is None else float(np.max(np.abs(point - best) / (np.abs(point) + 1e-12)))
@@ -100,7 +103,7 @@ def fit(df: DataFrame, by: list[str], x: str, y: str, model: Model | str, start:
     kind = StructType([*keys.fields, *StructType.fromDDL(STATE).fields])
 
     p = [F.col("point")[i] for i in range(k)]
-    h = [F.abs(c) * 1e-6 + 1e-9 for c in p]
+    h = [F.abs(c) * 1e-5 + 1e-8 for c in p]
     at = lambda i, sign: [c + sign * h[i] if j == i else c for j, c in enumerate(p)]
 
     def sums(active: DataFrame) -> DataFrame:
