@@ -23,6 +23,8 @@ from .ranges import batched, below, located
 #: Bytes of files that a task of the trajectory source reads (a larger file is a task of its own), and what opening one counts for.
 TASK_BYTES = 64 << 20
 OPEN_BYTES = 64 << 10
+#: Characters of whole files whose rows make a batch.
+BATCH_CHARS = 1 << 20
 
 
 def whole_files(spark: SparkSession, path: str | list[str], pattern: str | None = None) -> DataFrame:
@@ -38,6 +40,7 @@ def parsed(files: DataFrame, grammar: Callable[[str, str], Iterator[dict]], ddl:
     arrow = to_arrow_schema(kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in batches:
             for path, text in zip(batch.column("path").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 wrong = "nothing found"
@@ -47,7 +50,12 @@ def parsed(files: DataFrame, grammar: Callable[[str, str], Iterator[dict]], ddl:
                     rows, wrong = [], f"{type(e).__name__}: {e}"
                 if error and not rows:
                     rows = [{"path": path, error: wrong}]
-                yield from pa.Table.from_pylist(rows, schema=arrow).to_batches(max_chunksize=256)
+                held += rows
+                size += len(text or "")
+                if len(held) >= 256 or size >= BATCH_CHARS:  # a table for each file costs more than small files do
+                    yield from pa.Table.from_pylist(held, schema=arrow).to_batches(max_chunksize=256)
+                    held, size = [], 0
+        yield from pa.Table.from_pylist(held, schema=arrow).to_batches(max_chunksize=256)
 
     return files.mapInArrow(run, kind)
 

@@ -60,3 +60,11 @@ def test_small_ranges_share_tasks(spark, tmp_path):
     index = frame_index.frame_index(spark, str(tmp_path), "extxyz", range_bytes=512)
     found = frame_index.indexed_frames(index, "extxyz", range_bytes=512)
     assert found.rdd.getNumPartitions() <= 16 and found.count() == 3000
+
+
+def test_small_structures_share_batches(spark, monkeypatch):
+    """Readable and broken files in one partition, in batches that several files fill: the rows and errors of each stay."""
+    text = "x\n1.0\n4 0 0\n0 4 0\n0 0 4\nMn\n1\nDirect\n0 0 0\n"
+    rows = spark.createDataFrame([(str(i), text if i % 10 else "broken") for i in range(1000)], "path string, text string").coalesce(1)
+    got = files.structures_of(rows, error="wrong").select("path", "n_atoms", "wrong").collect()
+    assert {r.path: (r.n_atoms, r.wrong is None) for r in got} == {str(i): (1, True) if i % 10 else (None, False) for i in range(1000)} and len(got) == 1000
