@@ -68,3 +68,15 @@ def test_small_structures_share_batches(spark, monkeypatch):
     rows = spark.createDataFrame([(str(i), text if i % 10 else "broken") for i in range(1000)], "path string, text string").coalesce(1)
     got = files.structures_of(rows, error="wrong").select("path", "n_atoms", "wrong").collect()
     assert {r.path: (r.n_atoms, r.wrong is None) for r in got} == {str(i): (1, True) if i % 10 else (None, False) for i in range(1000)} and len(got) == 1000
+
+
+def test_index_is_made_by_many_tasks_from_few_states(spark, tmp_path):
+    """The marks of small files are walked by several tasks, and frames under one header share one state, without their ordinals."""
+    head = "x\n1.0\n4 0 0\n0 4 0\n0 0 4\nA\n1\n"
+    for k in range(40):
+        (tmp_path / f"{k}.xdat").write_text(head + "Direct configuration= 1\n0 0 0\n" * 30 + head.replace("4", "5") + "Direct configuration= 1\n0 0 0\n" * 5)
+    index = frame_index.frame_index(spark, str(tmp_path), "xdatcar")
+    assert index.count() == 40 * 35 and index.select("state").distinct().count() == 2
+    assert len(index.inputFiles()) > 4
+    got = frame_index.indexed_frames(index, "xdatcar", F.col("frame_index").isin(29, 30)).select("frame_index", F.col("cell")[0].alias("a")).distinct().collect()
+    assert sorted(map(tuple, got)) == [(29, 4.0), (30, 5.0)]
