@@ -1,7 +1,7 @@
 """Frames to extended xyz files, one for each key, in the order of their frames, and texts to a folder for each key: whole files or none.
 
-Each task writes the files of its keys under temporary names; the driver renames them once all tasks are done, and deletes them if
-the job fails. What a task that was lost or tried again has left is deleted with the temporary folder.
+Each task writes the files of its keys under temporary names; they are renamed once all tasks are done (frames by the driver, texts in
+folders by tasks), and deleted if the job fails. What a task that was lost or tried again has left is deleted with the temporary folder.
 """
 
 from __future__ import annotations
@@ -16,7 +16,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 from pyspark.sql.types import StructType
 
-from .ranges import located
+from ..plans.storage import scratch
+from .ranges import batched, located, tasks_of
+
+#: Files that a task moves to their folders.
+TASK_FILES = 1 << 16
 
 
 class Written(WriterCommitMessage):
@@ -90,52 +94,6 @@ class KeyedWriter(DataSourceArrowWriter):
             store.delete_dir(f"{path}/{self.job}")
 
 
-class FolderTexts(DataSource):
-    """Texts in a folder for each key: columns key (the folder) and text, the rows of a key together. Option: path."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "folder_texts"
-
-    def schema(self) -> str:
-        return "key string, text string"
-
-    def writer(self, schema: StructType, overwrite: bool) -> DataSourceArrowWriter:
-        return FolderWriter(dict(self.options))
-
-
-class FolderWriter(KeyedWriter):
-    """A file for each key of a task, in the key's folder. Files are written by pyarrow: Hadoop's local file system starts processes for each."""
-
-    def write(self, batches: Iterator[pa.RecordBatch]) -> Written:
-        store, path = self.place()
-        task = uuid.uuid4().hex
-        folder, keys, stream = f"{path}/{self.job}/{task}", [], None
-        store.create_dir(folder, recursive=True)
-        try:
-            for batch in batches:
-                for key, text in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                    if stream is None or key != keys[-1]:
-                        if stream is not None:
-                            stream.close()
-                        stream = store.open_output_stream(f"{folder}/{len(keys)}")
-                        keys.append(key)
-                    stream.write(((text or "") + "\n").encode())
-        finally:
-            if stream is not None:
-                stream.close()
-        return Written(keys, folder)
-
-    def commit(self, messages: list[Written | None]) -> None:
-        store, path = self.place()
-        for k in {k for m in messages if m for k in m.names}:
-            store.create_dir(f"{path}/{k}", recursive=True)
-        for m in messages:
-            for i, k in enumerate(m.names if m else []):
-                store.move(f"{m.folder}/{i}", f"{path}/{k}/part-{m.folder.rpartition('/')[2]}-{i}.txt")
-        self._clear()
-
-
 def folder_name(column: str, value: Column) -> Column:
     """column=value, as Spark names the folders of a partitioned table."""
     text = value.cast("string")
@@ -147,13 +105,55 @@ def folder_name(column: str, value: Column) -> Column:
 
 
 def write_folders(rows: DataFrame, path: str, by: list[str], text: str) -> None:
-    """Texts, each ended by a newline, in a folder for each key below path, which is replaced."""
-    store, at = located(path)
+    """Texts, each ended by a newline, in a folder for each key below path, which is replaced. Files are written by pyarrow, as Hadoop's local file system starts processes for each, and moved to their folders by tasks once all are written."""
+    spark, (store, at) = rows.sparkSession, located(path)
     if store.get_file_info(at).type.name == "Directory":
         store.delete_dir(at)
-    rows.sparkSession.dataSource.register(FolderTexts)
+    job, names = f"{at.rstrip('/')}/_temporary-{uuid.uuid4().hex}", scratch(spark, "names")
+    arrow = pa.schema([("key", pa.string()), ("file", pa.string())])
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from batched(written(batches), arrow)
+
+    def written(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        store, _ = located(path)
+        task, files, current, stream = uuid.uuid4().hex, 0, None, None
+        store.create_dir(f"{job}/{task}", recursive=True)
+        try:
+            for batch in batches:
+                for key, value in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                    if stream is None or key != current:
+                        if stream is not None:
+                            stream.close()
+                        stream, current = store.open_output_stream(f"{job}/{task}/{files}"), key
+                        yield {"key": key, "file": f"{task}/{files}"}
+                        files += 1
+                    stream.write(((value or "") + "\n").encode())
+        finally:
+            if stream is not None:
+                stream.close()
+
+    def move(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = located(path)
+        for batch in batches:
+            for key, file in zip(batch.column("key").to_pylist(), batch.column("file").to_pylist(), strict=True):
+                place = f"{base.rstrip('/')}/{key}/part-{file.replace('/', '-')}.txt"
+                store.create_dir(place.rpartition("/")[0], recursive=True)
+                try:
+                    store.move(f"{job}/{file}", place)
+                except OSError:  # a task that was tried again: moved before
+                    if not store.get_file_info(place).is_file:
+                        raise
+        yield from ()
+
     keyed = rows.select(F.concat_ws("/", *[folder_name(c, F.col(c)) for c in by]).alias("key"), F.col(text).alias("text"))
-    keyed.sortWithinPartitions("key").write.format("folder_texts").option("path", path).mode("append").save()
+    store.create_dir(job, recursive=True)
+    try:
+        keyed.sortWithinPartitions("key").mapInArrow(write, "key string, file string").write.parquet(names)
+        moved = spark.read.parquet(names)
+        moved.repartition(tasks_of(moved, F.lit(1), TASK_FILES)).mapInArrow(move, "key string").count()
+    finally:
+        store.delete_dir(job)
 
 
 def write_frames(frames: DataFrame, path: str, key: str, order: list[str], text: str, suffix: str = ".xyz") -> None:

@@ -58,16 +58,14 @@ def hidden(name: str) -> bool:
 
 
 def below(store, path: str) -> Iterator:
-    """The files below a path that aren't hidden, nor in hidden folders."""
+    """The files below a path that aren't hidden, nor in hidden folders, by path. The store lists all folders in one call."""
     import pyarrow.fs as fs
 
-    for f in sorted(store.get_file_info(fs.FileSelector(path)), key=lambda f: f.path):
-        if hidden(f.base_name):
-            continue
-        if f.is_file:
+    top = len(path.rstrip("/")) + 1
+    found = [f for f in store.get_file_info(fs.FileSelector(path, recursive=True)) if f.is_file]
+    for f in sorted(found, key=lambda f: f.path):
+        if not any(map(hidden, f.path[top:].split("/"))):
             yield f
-        else:
-            yield from below(store, f.path)
 
 
 def listed(spark: SparkSession, paths: list[str], pattern: str | None) -> DataFrame:

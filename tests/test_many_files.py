@@ -1,5 +1,6 @@
 """Very many small files: written by key, listed by tasks, several read by a task; what Spark's listings hide is no input."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from quartzite.sources import files, frame_index, ranges, sinks
@@ -80,3 +81,33 @@ def test_index_is_made_by_many_tasks_from_few_states(spark, tmp_path):
     assert len(index.inputFiles()) > 4
     got = frame_index.indexed_frames(index, "xdatcar", F.col("frame_index").isin(29, 30)).select("frame_index", F.col("cell")[0].alias("a")).distinct().collect()
     assert sorted(map(tuple, got)) == [(29, 4.0), (30, 5.0)]
+
+
+def test_names_of_folders_stay_with_the_tasks(spark, tmp_path, monkeypatch):
+    """The driver moves no file of a key; files that a move left behind when it was tried again are as they were, and a job that fails leaves none."""
+    import pyarrow.fs as fs
+
+    from quartzite.sources import frame_writer
+
+    class Store:
+        def __init__(self):
+            self.calls = []
+
+        def __reduce__(self):  # tasks have a plain one
+            return fs.LocalFileSystem, ()
+
+        def __getattr__(self, name):
+            self.calls.append(name)
+            return getattr(fs.LocalFileSystem(), name)
+
+    store, path = Store(), str(tmp_path / "out")
+    with monkeypatch.context() as m:
+        m.setattr(frame_writer, "located", lambda p: (store, p))
+        df = spark.range(200).select("id", F.format_string("text %d", "id").alias("value"))
+        frame_writer.write_folders(df, path, ["id"], "value")
+    assert "move" not in store.calls and len(store.calls) < 10
+    assert {(r.id, r.value) for r in spark.read.text(path).collect()} == {(i, f"text {i}") for i in range(200)}
+    assert not [p for p in (tmp_path / "out").iterdir() if p.name.startswith("_temporary")]
+    with pytest.raises(Exception, match="broken"):
+        frame_writer.write_folders(df.withColumn("value", F.when(F.col("id") == 77, F.raise_error(F.lit("broken"))).otherwise(F.col("value"))), path, ["id"], "value")
+    assert not list((tmp_path / "out").iterdir())
