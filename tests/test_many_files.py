@@ -111,3 +111,12 @@ def test_names_of_folders_stay_with_the_tasks(spark, tmp_path, monkeypatch):
     with pytest.raises(Exception, match="broken"):
         frame_writer.write_folders(df.withColumn("value", F.when(F.col("id") == 77, F.raise_error(F.lit("broken"))).otherwise(F.col("value"))), path, ["id"], "value")
     assert not list((tmp_path / "out").iterdir())
+
+
+def test_files_are_listed_once(spark, tmp_path):
+    """Ranges that are counted and then read are those of one listing, whatever comes into the folders in between."""
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "x.log").write_text("0123456789")
+    found = ranges.file_ranges(spark, str(tmp_path))
+    (tmp_path / "a" / "y.log").write_text("0123456789")
+    assert [r.path for r in found.collect()] == [str(tmp_path / "a" / "x.log")]
