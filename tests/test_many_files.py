@@ -120,3 +120,12 @@ def test_files_are_listed_once(spark, tmp_path):
     found = ranges.file_ranges(spark, str(tmp_path))
     (tmp_path / "a" / "y.log").write_text("0123456789")
     assert [r.path for r in found.collect()] == [str(tmp_path / "a" / "x.log")]
+
+
+def test_outcar_index_is_made_by_many_tasks(spark, tmp_path):
+    head = " TITEL  = PAW O x\n   ions per type =   1\n"
+    for k in range(40):
+        (tmp_path / f"{k}.OUTCAR").write_text(head + " POSITION    TOTAL-FORCE (eV/Angst)\n ----\n 0 0 0 1 1 1\n" * 5)
+    index = frame_index.frame_index(spark, str(tmp_path), "outcar")
+    assert index.count() == 200 and len(index.inputFiles()) > 4
+    assert frame_index.indexed_frames(index, "outcar").count() == 200
