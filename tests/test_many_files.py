@@ -129,3 +129,38 @@ def test_outcar_index_is_made_by_many_tasks(spark, tmp_path):
     index = frame_index.frame_index(spark, str(tmp_path), "outcar")
     assert index.count() == 200 and len(index.inputFiles()) > 4
     assert frame_index.indexed_frames(index, "outcar").count() == 200
+
+
+def test_a_split_scan_moves_ranges_not_frames(spark, tmp_path, monkeypatch):
+    """What is shuffled for 4,000 frames that are all read are rows of ranges: of marks, and of where to begin."""
+    step = " POSITION    TOTAL-FORCE (eV/Angst)\n ----\n 0 0 0 1 1 1\n"
+    for k in range(2):
+        (tmp_path / f"{k}.OUTCAR").write_text(" TITEL  = PAW O x\n   ions per type =   1\n" + step * 2000)
+    made, scratch = [], frame_index.scratch
+    monkeypatch.setattr(frame_index, "scratch", lambda spark, name: made.append(scratch(spark, name)) or made[-1])
+    split = frame_index.read_split(spark, str(tmp_path), "outcar", range_bytes=1 << 15)
+    whole = frame_index.indexed_frames(frame_index.frame_index(spark, str(tmp_path), "outcar"), "outcar")
+    assert made and all(spark.read.parquet(p).count() <= 10 for p in made[:2])
+    assert split.count() == 4000 and sorted(map(str, split.collect())) == sorted(map(str, whole.collect()))
+
+
+def test_columns_of_steps_are_the_frames_of_the_grammar(spark):
+    """Numbers that Arrow may read in another way than Python, lines that are short or long, steps that break off, changed species."""
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    from quartzite import schema
+    from quartzite.sources import frame_batches, trajectories
+
+    arrow = to_arrow_schema(StructType.fromDDL(schema.FRAME))
+    head = " TITEL  = PAW Mn_pv x\n TITEL  = PAW O x\n   ions per type =   1   1\n"
+    step = " POSITION    TOTAL-FORCE (eV/Angst)\n ----\n{}\n{}\n"
+    good = "\t1.5 -2e3 .5  1. 0 -0.0  more"
+    odd = ["1 2 3 4 5", "1 2 3 4 5 ***", "", "1_0 2 3 4 5 6", "+1 2 3 4 5 6", "nan inf -inf 4 5 6", "nan(1) 2 3 4 5 6", "1 2 3 4 5 6", "1\x1f2 3 4 5 6", "0x1 2 3 4 5 6", "1\0 2 3 4 5 6", "1 2 3 4 5 6\r"]
+    for text in [*odd, good]:
+        steps = [head, step.format(good, text), step.format(text, good), "   ions per type =   0   1\n", step.format(good, text), "direct lattice vectors\n1 0 0\n0 1 0\n0 0 1\n", step.format(good, good), " POSITION TOTAL-FORCE\n --\n"]
+        lines = "".join(steps).splitlines(keepends=True)
+        expected = [{"path": p} | f for p in "ab" for f in trajectories.outcar(lines)]
+        got = pa.Table.from_batches(list(frame_batches.frame_batches(((p, lines, {}) for p in "ab"), "outcar", arrow)), schema=arrow)
+        assert expected and str(got.to_pylist()) == str(pa.Table.from_pylist(expected, schema=arrow).to_pylist())
