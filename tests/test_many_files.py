@@ -164,3 +164,19 @@ def test_columns_of_steps_are_the_frames_of_the_grammar(spark):
         expected = [{"path": p} | f for p in "ab" for f in trajectories.outcar(lines)]
         got = pa.Table.from_batches(list(frame_batches.frame_batches(((p, lines, {}) for p in "ab"), "outcar", arrow)), schema=arrow)
         assert expected and str(got.to_pylist()) == str(pa.Table.from_pylist(expected, schema=arrow).to_pylist())
+
+
+def test_files_of_one_range_are_read_once(spark, tmp_path, monkeypatch):
+    """Small files beside a long one: the long one alone is marked, and the frames are those of the stream; empty files have none."""
+    step = " POSITION    TOTAL-FORCE (eV/Angst)\n ----\n 0 0 0 1 1 1\n"
+    for k, n in enumerate((0, 1, 5, 300)):
+        (tmp_path / f"{k}.OUTCAR").write_text(" TITEL  = PAW O x\n   ions per type =   1\n" + step * n)
+    (tmp_path / "empty.OUTCAR").write_text("")
+    made, scratch = [], frame_index.scratch
+    monkeypatch.setattr(frame_index, "scratch", lambda spark, name: made.append(scratch(spark, name)) or made[-1])
+    split = frame_index.read_split(spark, str(tmp_path), "outcar", range_bytes=1 << 12)
+    assert [r.path[-8:] for r in spark.read.parquet(made[0]).select("path").distinct().collect()] == ["3.OUTCAR"]
+    assert sorted(map(str, split.collect())) == sorted(map(str, files.read_trajectories(spark, str(tmp_path), "outcar").collect()))
+    made.clear()
+    few = frame_index.read_split(spark, str(tmp_path), "outcar", "[012].OUTCAR")
+    assert few.count() == 6 and spark.read.parquet(made[0]).count() == 0
