@@ -77,3 +77,42 @@ def test_fit_beside_a_large_spread(spark):
     got = fits.fit(df, ["k"], "x", "y", lambda x, a, q: a + F.exp(q) * x, [F.avg("y"), F.lit(0.0)], ["a", "q"]).first()
     slope, cut = np.polyfit(x, y, 1)
     assert got.converged and abs(got.q - np.log(slope)) < 1e-6 and abs(got.a - cut) < 1e-2
+
+
+def rising(df):
+    return {r.k: r for r in fits.fit(df, ["k"], "x", "y", lambda x, a, q: a + F.exp(q) * x, [F.avg("y"), F.lit(0.0)], ["a", "q"]).collect()}
+
+
+def copies(spark, slopes, shift):
+    """Series of 50 rows about lines, each many times over at offsets that are far apart."""
+    rng = np.random.default_rng(5)
+    own = [(k, float(x), 100 + s * x + rng.normal(0, 30)) for k, s in enumerate(slopes) for _ in range(4) for x in range(50)]
+    rows = [(k, x, y + shift * c) for c in range(60) for k, x, y in own]
+    fitted = {}
+    for k in range(len(slopes)):
+        x, y = (np.array([r[i] for r in rows if r[0] == k], np.longdouble) for i in (1, 2))
+        slope = ((x - x.mean()) * (y - y.mean())).sum() / ((x - x.mean()) ** 2).sum()
+        fitted[k] = float(slope), float(y.mean() - slope * x.mean())
+    return spark.createDataFrame(rows, "k int, x double, y double").repartition(4), fitted
+
+
+def test_fit_of_copies_that_lie_far_apart(spark):
+    """Offsets of some 3e7: slopes are less than the rounding of the squares, and derivatives have few digits over narrow differences."""
+    df, fitted = copies(spark, [0.1, 0.5, 1.0, 2.5], 1_000_000)
+    for r in rising(df).values():
+        slope, cut = fitted[r.k]
+        assert r.converged and abs(r.q - np.log(slope)) < 1e-6 and abs(r.a - cut) < 1e-5
+
+
+def test_fit_without_a_least_has_not_converged(spark):
+    """exp(q) can't be negative: the least squares of falling series lie at infinity. A slope of one, q = 0, is a fit like others."""
+    df, fitted = copies(spark, [-0.4, 0.6, -3.0, 1.0], 1500)
+    got = rising(df)
+    assert [got[k].converged for k in range(4)] == [fitted[k][0] > 0 for k in range(4)] == [False, True, False, True]
+    assert all(abs(got[k].q - np.log(fitted[k][0])) < 1e-8 for k in (1, 3))
+
+
+def test_fit_of_undetermined_parameters_has_not_converged(spark):
+    df = spark.createDataFrame([(1, 2.0, float(y)) for y in range(9)], "k int, x double, y double")
+    got = fits.fit(df, ["k"], "x", "y", lambda x, a, b: a + b * x, [F.lit(1.0), F.lit(1.0)], ["a", "b"]).first()
+    assert not got.converged and got.rounds < 40 and abs(got.sse - 60) < 1e-9
