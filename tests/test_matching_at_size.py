@@ -58,6 +58,31 @@ def test_frequent_tokens_are_dealt(spark, monkeypatch):
     assert got.rdd.getNumPartitions() >= 30 and got.rdd.glom().map(len).max() < len(rows) / 8
 
 
+def test_rows_are_repeated_no_more_in_larger_tables(spark, monkeypatch):
+    """How often rows are dealt depends on the cores: twice the rows are twice the shuffle, not eight times."""
+    dealt, kind = [], type(spark.range(1))
+    whole = kind.repartition
+    monkeypatch.setattr(match, "PAIRS", 100)
+    monkeypatch.setattr(kind, "repartition", lambda self, *to: dealt.append(self.count()) or whole(self, *to))
+    for times in (1, 2):
+        a = spark.range(2000 * times).select(F.col("id").alias("l"), F.lit("Red").alias("n"))
+        b = spark.range(200 * times).select(F.col("id").alias("r"), F.lit("a red b").alias("h"))
+        got = match.shared_tokens(a, b, "l", "r", "n", "[a-z]+", "h")
+        assert got.count() == got.distinct().count() == 400_000 * times**2
+    one, two = sum(dealt[:2]), sum(dealt[2:])
+    assert one < 20 * 2200 and two < 2.2 * one
+
+
+def test_grids_of_tokens_of_all_shapes(spark, monkeypatch):
+    """Long on either side, equal ids, null ids, rare tokens, tokens of one side only."""
+    monkeypatch.setattr(match, "PAIRS", 50)
+    left = [(i, "long") for i in range(300)] + [(i % 3, "wide") for i in range(5)] + [(None, "even"), (1, "even")] * 20 + [(8, "rare"), (9, "own"), (4, None)]
+    right = [(1, "long"), (None, "long rare"), (2, "other")] + [(i % 90, "WIDE even") for i in range(180)]
+    a, b = spark.createDataFrame(left, "l int, n string"), spark.createDataFrame(right, "r int, h string")
+    got = match.shared_tokens(a, b, "l", "r", "n", "[a-z]+", "h")
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(str((i, r)) for i, n in left for r, h in right if n in h.lower().split())
+
+
 def test_needles_stay_off_the_driver(spark, monkeypatch):
     """Blocks of needles are bounded in number, and written by tasks."""
     monkeypatch.setattr(match, "BLOCKS", 4)
